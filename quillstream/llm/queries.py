@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
+from .bpe import encode_documents, load_ranks
 from .common import read
+from .jaccard_join import join_near_texts
+from .langid import identify
+from .mixing import mix_sources
 from .quality import filter_quality
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
+from .toxicity import score_toxicity
 from .url_filter import filter_urls
 
 #: A dated URL list in the form that ``filter_urls`` takes; a deployment passes its own table.
@@ -34,14 +41,50 @@ URL_LIST = [
 FETCH_STEP, YEAR_MINUTES = 7919, 366 * 24 * 60
 
 
+def tokenizer() -> tuple[list[bytes], str]:
+    """Tokens by rank and the split pattern of the multilingual byte-level vocabulary."""
+    import public_tokenizers
+
+    return load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_quality(read(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents")).drop("crc")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_near_texts(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.pmod(F.col("page_id") * FETCH_STEP, F.lit(YEAR_MINUTES))
     captures = read(spark, sf_dir, "pages").select(
