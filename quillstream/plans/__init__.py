@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chunks, salience
+
+MODULES: list[ModuleType] = [chunks, salience]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Every function ``q_<name>`` of the modules, by name."""
+    return {name[2:]: f for m in MODULES for name, f in vars(m).items() if name.startswith("q_") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.oracles().items()}
