@@ -17,8 +17,8 @@ def heuristics(name: str = "user") -> list[tuple[str, float, list[str]]]:
 
 
 def family_scores(text: Column, families: list[tuple[str, float, list[str]]], linear: bool = True) -> dict[str, Column]:
-    """Score of each family: weight * (1 + (m - 1) / 2) for m patterns found, or weight * m if not ``linear``."""
-    low, out = F.lower(text), {}
+    """Score of each family in a lower-case text: weight * (1 + (m - 1) / 2) for m patterns found, or weight * m if not ``linear``."""
+    low, out = text, {}
     for family, weight, patterns in families:
         m = total([F.regexp_like(low, python_regex(p)).cast("int") for p in patterns])
         out[family] = F.when(m > 0, weight * (1 + 0.5 * (m - 1)) if linear else weight * m).otherwise(0.0)
@@ -27,9 +27,9 @@ def family_scores(text: Column, families: list[tuple[str, float, list[str]]], li
 
 def with_salience(df: DataFrame, text: str = "text", families: list | None = None) -> DataFrame:
     """Add one column ``h_<family>`` each and salience, their sum."""
-    scores = family_scores(F.col(text), heuristics() if families is None else families)
-    df = df.withColumns({f"h_{k}": v for k, v in scores.items()})
-    return df.withColumn("salience", F.round(total([F.col(f"h_{k}") for k in scores]), 6))
+    scores = family_scores(F.col("_low"), heuristics() if families is None else families)
+    df = df.withColumn("_low", F.lower(text)).withColumns({f"h_{k}": v for k, v in scores.items()})
+    return df.withColumn("salience", F.round(total([F.col(f"h_{k}") for k in scores]), 6)).drop("_low")
 
 
 def with_context_bonus(df: DataFrame, document: str, order: str) -> DataFrame:

@@ -12,7 +12,7 @@ BEHAVIOURS = ["frustration", "boredom", "curiosity", "anxiety", "joy", "warmth",
 
 
 def _round(value: Column, digits: int = 3) -> Column:
-    return F.round(value.cast("double"), digits)
+    return F.round(F.round(value.cast("double"), 9), digits)  # the first rounding takes the noise of the sums off
 
 
 def with_linguistic(df: DataFrame, text: str = "text") -> DataFrame:
@@ -44,8 +44,8 @@ def with_affect(df: DataFrame, lexicon: DataFrame, key: str, text: str = "text")
     tokens = split.select(key, F.explode(negated).alias("t")).select(key, "t.*").where(~F.col("word").isin(L.NEGATIONS))
     valence = F.when(F.col("negated"), -F.col("valence")).otherwise(F.col("valence"))
     means = tokens.join(lexicon, "word").groupBy(key).agg(F.avg(valence).alias("_v"), F.avg("arousal").alias("_r"))
-    t, low = F.col(text), F.lower(text)
-    df = df.join(means, key, "left").withColumn("_lengths", F.transform(sentences(t), lambda s: F.size(words(s))))
+    t, low = F.col(text), F.col("_low")
+    df = df.join(means, key, "left").withColumn("_low", F.lower(text)).withColumn("_lengths", F.transform(sentences(t), lambda s: F.size(words(s))))
     resisting = F.least(0.02 * occurrences(low, L.AFFECT_RESISTANCE), F.lit(0.08))
     allowing = F.least(0.02 * (occurrences(low, L.AFFECT_PERMISSIONS) + occurrences(low, L.LIFTS)), F.lit(0.08))
     valence = F.coalesce("_v", F.lit(0.0)) - resisting + allowing
@@ -60,13 +60,14 @@ def with_affect(df: DataFrame, lexicon: DataFrame, key: str, text: str = "text")
     return (
         df.withColumn("affect_valence", F.when(blank, 0.0).otherwise(_round(clamp(valence, -1.0))))
         .withColumn("affect_arousal", F.when(blank, 0.0).otherwise(_round(clamp(arousal, 0.0))))
-        .drop("_v", "_r", "_lengths")
+        .drop("_v", "_r", "_lengths", "_low")
     )
 
 
 def with_behaviours(df: DataFrame, text: str = "text") -> DataFrame:
     """Add behavioral_frustration, _boredom, _curiosity, _anxiety, _joy, _warmth and _arousal, each 0 to 1."""
-    t, low = F.col(text), F.lower(text)
+    df = df.withColumn("_low", F.lower(text))
+    t, low = F.col(text), F.col("_low")
     actions = F.regexp_extract_all(t, python_regex(r"\*[a-z][a-z\s]{0,20}\*"), F.lit(0))
     annoyed = F.filter(actions, lambda a: F.lower(a).rlike("|".join(L.FRUSTRATION_ACTIONS)))
     loud = F.regexp_count(t, python_regex(r"\b(?:" + "|".join(L.EMOTIONAL_CAPS) + r")\b", ""))
@@ -149,4 +150,4 @@ def with_behaviours(df: DataFrame, text: str = "text") -> DataFrame:
     for name, score in scores:
         bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
         df = df.withColumn(f"behavioral_{name}", F.when(blank, 0.0).otherwise(_round(bounded)))
-    return df.drop("_lengths", "_sorted", "_words", "_pieces", "_strip", "_ask")
+    return df.drop("_lengths", "_sorted", "_words", "_pieces", "_strip", "_ask", "_low")

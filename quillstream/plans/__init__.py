@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, salience
+from . import chunks, ledger, memory, salience, signals
 
-MODULES: list[ModuleType] = [chunks, salience]
+MODULES: list[ModuleType] = [chunks, salience, signals, ledger, memory]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

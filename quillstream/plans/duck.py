@@ -57,7 +57,7 @@ def steps(count: str, *levels: tuple[float, float]) -> str:
 
 
 def r3(value: str) -> str:
-    return f"round(({value})::DOUBLE, 3)"
+    return f"round(round(({value})::DOUBLE, 9), 3)"
 
 
 CHUNKS = f"""{TALKS},
