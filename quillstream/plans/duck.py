@@ -57,7 +57,9 @@ def steps(count: str, *levels: tuple[float, float]) -> str:
 
 
 def r3(value: str) -> str:
-    return f"round(round(({value})::DOUBLE, 9), 3)"
+    """Three digits, halves away from zero, once the noise of sums is off."""
+    x = f"round(({value})::DOUBLE, 9)"
+    return f"(sign({x}) * floor(abs({x}) * 1000 + 0.500000001) / 1000)"
 
 
 CHUNKS = f"""{TALKS},
