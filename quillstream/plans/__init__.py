@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, ledger, memory, parse, salience, signals
+from . import chunks, ledger, memory, parse, reporting, salience, signals
 
-MODULES: list[ModuleType] = [chunks, salience, signals, ledger, memory, parse]
+MODULES: list[ModuleType] = [chunks, salience, signals, ledger, memory, parse, reporting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
