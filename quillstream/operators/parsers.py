@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,9 @@ from ..functions.text import stripped
 HEADER = r"(?i)^===\s*(human|assistant|system|w|h|c)\s*===\s*$"
 INLINE_HUMAN, INLINE_ASSISTANT = r"(?i)^(?:(?:human|user|h):|\*\*(?:human|user)\*\*:)\s*(.*)$", r"(?i)^(?:(?:assistant|claude|a):|\*\*(?:assistant|claude)\*\*:)\s*(.*)$"
 SUFFIXES = {"md": "markdown", "markdown": "markdown", "jsonl": "jsonl", "json": "jsonl", "html": "html", "htm": "html", "txt": "txt"}
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Named character references, as HTML 4 has them and ``apos``.
+ENTITIES = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"}
+PIECES = r"&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]{1,5};|&#[xX][0-9a-fA-F]{1,4};|[^&]+|&"
 
 
 def markdown_segments(docs: DataFrame, key: str, text: str = "text", thinking: bool = True) -> DataFrame:
@@ -72,19 +77,23 @@ def jsonl_segments(lines: DataFrame, key: list[str], line: str = "line", thinkin
     return found if thinking else found.where("content_type <> 'thinking'")
 
 
+def unescaped(text: Column) -> Column:
+    """Character references replaced: the named ones of HTML 4 and numbers of the basic plane; others stay."""
+    names = F.create_map(*[F.lit(x) for x in chain(*ENTITIES.items())])
+    number = lambda t: F.when(t.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(t, "([0-9]+)", 1))
+    char = lambda t: F.decode(F.unhex(F.lpad(F.hex(number(t).cast("long")), 4, "0")), "UTF-16BE")
+    piece = lambda t: F.when(~t.startswith("&"), t).when(t.startswith("&#"), char(t)).otherwise(F.coalesce(F.try_element_at(names, t), t))
+    return F.when(~F.contains(text, F.lit("&")), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), piece), ""))
+
+
 def html_text(html: Column, drop_script: bool = False) -> Column:
     """Text nodes joined by single spaces. Scripts and styles are text too unless dropped; tags in them are not tags."""
     parts = F.split(html, r"(?is)(?=<(?:script|style)\b)|(?<=</script>)|(?<=</style>)")
     raw = lambda p: p.rlike(r"(?is)^<(?:script|style)\b")
 
-    def decoded(x: Column) -> Column:
-        for name, char in ENTITIES.items():
-            x = F.replace(x, F.lit(name), F.lit(char))
-        return x
-
     def nodes(p: Column) -> Column:
         inner = F.regexp_extract(p, r"(?is)^<\w+[^>]*>(.*?)(?:</\w+>)?$", 1)
-        plain = F.transform(F.split(p, r"(?s)(?:<!--.*?-->|<[!/?a-zA-Z][^>]*>)+"), decoded)
+        plain = F.transform(F.split(p, r"(?s)(?:<!--.*?-->|<[!/?a-zA-Z][^>]*>)+"), unescaped)
         return F.filter(F.when(raw(p), F.array(inner)).otherwise(plain), lambda x: x != "")
 
     kept = F.filter(parts, lambda p: ~raw(p)) if drop_script else parts

@@ -74,13 +74,13 @@ def test_cooldown(spark):
 
 def test_budget_admission_against_a_plain_loop(spark, sf):
     calls = table(spark, sf, "events").withColumn("cost", F.abs("value") / 1000)
-    got = {r["event_id"]: r["verdict"] for r in guards.budget_admission(calls, "user_id", "ts", "event_id", "cost", 0.05, 0.2).collect()}
+    got = {r["event_id"]: r["verdict"] for r in guards.budget_admission(calls, "user_id", "ts", "event_id", "cost", 0.05, 0.06).collect()}
     kept, wanted = {}, {}
     for r in calls.orderBy("ts", "event_id").collect():
         at, c = r["ts"].timestamp(), r["cost"]
         mine = kept.setdefault(r["user_id"], [])
         hour, day = sum(v for t, v in mine if t > at - 3600), sum(v for t, v in mine if t > at - 86400)
-        wanted[r["event_id"]] = "Hourly" if hour + c > 0.05 else "Daily" if day + c > 0.2 else "ok"
+        wanted[r["event_id"]] = "Hourly" if hour + c > 0.05 else "Daily" if day + c > 0.06 else "ok"
         if wanted[r["event_id"]] == "ok":
             mine.append((at, c))
     assert got == wanted
