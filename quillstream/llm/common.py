@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,10 @@ atexit.register(sweep)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the driver's tables."""
+    """One of the driver's tables. Python workers started from now on also look for this package where it is here."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(filter(None, [environment.get("PYTHONPATH"), root]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
