@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import python_regex
+from .folds import half_up, sequential
 
 HOUR, DAY = 3600, 86400
 
@@ -58,51 +59,37 @@ def token_bucket(calls: DataFrame, subsystem: str, time: str, order: str, per_mi
     A bucket starts full (limit plus burst) and refills with elapsed time; a rejection takes nothing, which later
     calls depend on, so it is a fold over the subsystem's calls in order.
     """
-    at = (F.unix_micros(time) / 1e6).alias("at")
-    rows = calls.select(subsystem, order, at, per_minute.cast("double").alias("limit"), burst.cast("double").alias("burst"))
-    history = rows.groupBy(subsystem).agg(F.sort_array(F.collect_list(F.struct("at", order, "limit", "burst"))).alias("_h"))
-    kind = dict(calls.dtypes)[order]
-    empty = F.array().cast(f"array<struct<{order}:{kind},allowed:boolean,tokens:double,wait:double>>")
-    start = F.struct(empty.alias("out"), F.lit(-1.0).alias("tokens"), F.lit(0.0).alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        full, rate = x["limit"] + x["burst"], x["limit"] / 60
-        have = F.when(s["tokens"] < 0, full).otherwise(F.least(full, s["tokens"] + (x["at"] - s["at"]) * rate))
+    at = (F.unix_micros(time) / 1e6).alias("_at")
+    rows = calls.select(subsystem, order, at, per_minute.cast("double").alias("_limit"), burst.cast("double").alias("_burst"))
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        now, limit, extra = row
+        full, rate = limit + extra, limit / 60
+        have = full if state is None else min(full, state[0] + (now - state[1]) * rate)
         allowed = have >= 1
-        left = F.when(allowed, have - 1).otherwise(have)
-        wait = F.when(allowed, 0.0).otherwise((1 - have) / rate)
-        row = F.struct(x[order].alias(order), allowed.alias("allowed"), F.round(left, 6).alias("tokens"), F.round(wait, 6).alias("wait"))
-        return F.struct(F.concat(s["out"], F.array(row)).alias("out"), left.alias("tokens"), x["at"].alias("at"))
+        left = have - 1 if allowed else have
+        return (left, now), (allowed, half_up(left, 6), 0.0 if allowed else half_up((1 - have) / rate, 6))
 
-    return history.select(subsystem, F.explode(F.aggregate("_h", start, step)["out"]).alias("r")).select(subsystem, "r.*")
+    return sequential(rows, subsystem, ["_at", order], ["_at", "_limit", "_burst"], lambda: None, step, "allowed boolean, tokens double, wait double")
 
 
 def budget_admission(calls: DataFrame, stream: str, time: str, order: str, amount: str, hourly: float, daily: float) -> DataFrame:
     """(stream, order, verdict): calls in order, recorded only if neither the hour's nor the day's limit would be passed.
 
-    What was admitted decides what follows, so it is a fold; the state keeps the admitted calls of the last day.
+    What was admitted decides what follows, so it is a fold; the state is the admitted calls of the last day.
     """
-    item = F.struct((F.unix_micros(time) / 1e6).alias("at"), F.col(order), F.col(amount).cast("double").alias("amount"))
-    history = calls.groupBy(stream).agg(F.sort_array(F.collect_list(item)).alias("_h"))
-    kind = dict(calls.dtypes)[order]
-    start = F.struct(
-        F.array().cast(f"array<struct<{order}:{kind},verdict:string>>").alias("out"),
-        F.array().cast("array<struct<at:double,amount:double>>").alias("kept"),
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        kept = F.filter(s["kept"], lambda k: k["at"] > x["at"] - DAY)
-        spent = lambda rows: F.aggregate(rows, F.lit(0.0), lambda t, k: t + k["amount"])
-        verdict = (
-            F.when(spent(F.filter(kept, lambda k: k["at"] > x["at"] - HOUR)) + x["amount"] > hourly, "Hourly")
-            .when(spent(kept) + x["amount"] > daily, "Daily")
-            .otherwise("ok")
-        )
-        new = F.struct(x["at"].alias("at"), x["amount"].alias("amount"))
-        row = F.struct(x[order].alias(order), verdict.alias("verdict"))
-        return F.struct(F.concat(s["out"], F.array(row)).alias("out"), F.when(verdict == "ok", F.concat(kept, F.array(new))).otherwise(kept).alias("kept"))
-
-    return history.select(stream, F.explode(F.aggregate("_h", start, step)["out"]).alias("r")).select(stream, "r.*")
+    rows = calls.select(stream, order, (F.unix_micros(time) / 1e6).alias("_at"), F.col(amount).cast("double").alias("_amount"))
+
+    def step(kept: list, row: tuple) -> tuple[list, tuple]:
+        now, cost = row
+        kept = [k for k in kept if k[0] > now - DAY]
+        if sum(v for t, v in kept if t > now - HOUR) + cost > hourly:
+            return kept, ("Hourly",)
+        if sum(v for _, v in kept) + cost > daily:
+            return kept, ("Daily",)
+        return [*kept, (now, cost)], ("ok",)
+
+    return sequential(rows, stream, ["_at", order], ["_at", "_amount"], list, step, "verdict string")
 
 
 def circuit_breaker(calls: DataFrame, stream: str, order: str, failed: str) -> DataFrame:

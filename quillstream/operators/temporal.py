@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import half_up, sequential
+
 DECAY, HISTORY, ELEVATED, LEAST_HISTORY = 0.85, 50, 1.5, 3
 # Seed baselines as type -> signal -> (mean, std), each of weight 5.
 SIGNALS = ["meta_commentary", "hedging_ratio", "self_correction", "question_density", "affect_valence", "affect_arousal"]
@@ -19,25 +21,18 @@ SEEDS = {
 
 
 def decayed_peaks(df: DataFrame, stream: str, order: str, values: dict[str, float]) -> DataFrame:
-    """Add d_<signal>: max of the value and 0.85 of the last one, rounded to 3 at every step; from a start value each.
+    """d_<signal> of every row: max of the value and 0.85 of the last one, rounded to 3 at every step, from a start each.
 
-    The rounding feeds back, so it is a fold over the stream's ordered history, which is one array a stream; for
-    streams without end use the streaming form, which holds one number a signal.
+    The rounding feeds back, so it is a fold over each stream in order.
     """
-    item = F.struct(F.col(order), *[F.col(v) for v in values])
-    ordered = df.groupBy(stream).agg(F.sort_array(F.collect_list(item)).alias("_h"))
-    start = F.struct(
-        F.array().cast(f"array<struct<{order}:{dict(df.dtypes)[order]},{','.join(f'd_{v}:double' for v in values)}>>").alias("out"),
-        *[F.lit(float(s)).alias(f"d_{v}") for v, s in values.items()],
-    )
+    names = list(values)
 
-    def step(state: Column, x: Column) -> Column:
-        now = {v: F.round(F.greatest(x[v].cast("double"), state[f"d_{v}"] * DECAY), 3) for v in values}
-        row = F.struct(x[order].alias(order), *[c.alias(f"d_{v}") for v, c in now.items()])
-        return F.struct(F.concat(state["out"], F.array(row)).alias("out"), *[c.alias(f"d_{v}") for v, c in now.items()])
+    def step(state: list[float], row: tuple) -> tuple[list[float], tuple]:
+        now = [half_up(max(float(x) if x is not None else 0.0, last * DECAY)) for x, last in zip(row, state, strict=True)]
+        return now, tuple(now)
 
-    folded = ordered.select(stream, F.explode(F.aggregate("_h", start, step)["out"]).alias("r"))
-    return folded.select(stream, "r.*")
+    schema = ", ".join(f"`d_{v}` double" for v in names)
+    return sequential(df, stream, [order], names, lambda: [float(values[v]) for v in names], step, schema)
 
 
 def decayed_peaks_closed(df: DataFrame, stream: str, order: str, value: str, decay: float = DECAY) -> DataFrame:
@@ -112,27 +107,24 @@ def drives(events: DataFrame, stream: str, order: str) -> DataFrame:
     """Levels of three drives after every pulse: (stream, order, building, publishing, experimenting, turns).
 
     Pulses have code_changed, notes_written, publishable, research, reflective (booleans). Levels rise and decay by
-    fixed rates within 0 and 1, rounded to 3 at every step, in a fold over the stream's ordered pulses.
+    fixed rates within 0 and 1, rounded to 3 at every step, in a fold over each stream's pulses in order.
     """
     fields = ["code_changed", "notes_written", "publishable", "research", "reflective"]
-    ordered = events.groupBy(stream).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("_h"))
-    kind = dict(events.dtypes)[order]
-    empty = F.array().cast(f"array<struct<{order}:{kind},building:double,publishing:double,experimenting:double>>")
-    start = F.struct(empty.alias("out"), *[F.lit(0.0).alias(d) for d in ("building", "publishing", "experimenting")])
-
-    def clamp(x: Column) -> Column:
-        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 3)
-
-    def step(s: Column, x: Column) -> Column:
-        building = clamp(s["building"] + F.when(x["code_changed"], -0.4).otherwise(0.15))
-        publishing = clamp(s["publishing"] + F.when(x["publishable"], -0.35).when(x["notes_written"], 0.05).otherwise(0.1))
-        change = F.when(x["research"], -0.3).when(x["code_changed"], -0.12).when(x["reflective"], 0.08).otherwise(-0.03)
-        experimenting = clamp(s["experimenting"] + change)
-        row = F.struct(x[order].alias(order), building.alias("building"), publishing.alias("publishing"), experimenting.alias("experimenting"))
-        levels = [building.alias("building"), publishing.alias("publishing"), experimenting.alias("experimenting")]
-        return F.struct(F.concat(s["out"], F.array(row)).alias("out"), *levels)
-
-    folded = ordered.select(stream, F.explode(F.aggregate("_h", start, step)["out"]).alias("r")).select(stream, "r.*")
+
+    def clamp(x: float) -> float:
+        return half_up(max(0.0, min(1.0, x)))
+
+    def step(levels: tuple, row: tuple) -> tuple[tuple, tuple]:
+        code, notes, publishable, research, reflective = row
+        building, publishing, experimenting = levels
+        levels = (
+            clamp(building + (-0.4 if code else 0.15)),
+            clamp(publishing + (-0.35 if publishable else 0.05 if notes else 0.1)),
+            clamp(experimenting + (-0.3 if research else -0.12 if code else 0.08 if reflective else -0.03)),
+        )
+        return levels, levels
+
+    folded = sequential(events, stream, [order], fields, lambda: (0.0, 0.0, 0.0), step, "building double, publishing double, experimenting double")
     return folded.withColumn("turns", turn_budget(F.col("building")))
 
 

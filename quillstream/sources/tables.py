@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,13 @@ LEXICON = [("warm", 0.7, -0.2), ("wrong", -0.6, 0.3), ("surge", 0.2, 0.9), ("res
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, with its time-zone free timestamps read as UTC."""
+    """A table, with its time-zone free timestamps read as UTC.
+
+    Python workers started from now on also look for this package where it is here.
+    """
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(filter(None, [environment.get("PYTHONPATH"), root]))
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
