@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
@@ -28,9 +29,33 @@ def occurrences(lowered: Column, tokens: list[str]) -> Column:
     return total([((F.length(lowered) - F.length(F.replace(lowered, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in tokens])
 
 
-def matches(text: Column, patterns: list[str], flags: str = "i") -> Column:
-    """Number of matches of all patterns."""
-    return total([F.regexp_count(text, python_regex(p, flags)) for p in patterns])
+def needed_literal(pattern: str) -> str:
+    """The longest lower-case text that everything a pattern matches contains; empty if there is none.
+
+    Groups, classes, wildcards and optional characters are left out, so that what remains must occur as it stands.
+    """
+    plain = re.sub(r"\\[bBsSdDwW]", "\0", pattern)
+    while re.search(r"\([^()]*\)", plain):
+        plain = re.sub(r"\([^()]*\)(?:[?*+]|\{[^}]*\})?", "\0", plain)
+    plain = re.sub(r"\\(.)", lambda m: chr(0xE000 + ord(m[1])), plain)
+    plain = re.sub(r"\[[^\]]*\](?:[?*+]|\{[^}]*\})?", "\0", plain)
+    if "|" in plain:
+        return ""
+    plain = re.sub(r".(?:[?*]|\{[^}]*\})", "\0", plain)
+    parts = re.split(r"[\0.^$+]", plain)
+    return max(("".join(chr(ord(c) - 0xE000) if 0xE000 <= ord(c) < 0xE080 else c for c in p) for p in parts), key=len).lower()
+
+
+def guarded(lowered: Column, pattern: str, found: Column) -> Column:
+    """``found`` where the text has the pattern's literal, else 0: a plain search is far cheaper than a pattern's."""
+    literal = needed_literal(pattern)
+    return F.when(F.contains(lowered, F.lit(literal)), found).otherwise(0) if len(literal) > 1 else found
+
+
+def matches(text: Column, patterns: list[str], flags: str = "i", lowered: Column | None = None) -> Column:
+    """Number of matches of all patterns; ``lowered`` is the lower-case text, if there is a column of it."""
+    low = F.lower(text) if lowered is None else lowered
+    return total([guarded(low, p, F.regexp_count(text, python_regex(p, flags))) for p in patterns])
 
 
 def stripped(text: Column) -> Column:

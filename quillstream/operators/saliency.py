@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import HEURISTICS
-from ..functions.text import python_regex, total
+from ..functions.text import guarded, python_regex, total
 
 THRESHOLD, TO_PREVIOUS, TO_NEXT = 3.0, 0.3, 0.15
 
@@ -20,7 +20,7 @@ def family_scores(text: Column, families: list[tuple[str, float, list[str]]], li
     """Score of each family in a lower-case text: weight * (1 + (m - 1) / 2) for m patterns found, or weight * m if not ``linear``."""
     low, out = text, {}
     for family, weight, patterns in families:
-        m = total([F.regexp_like(low, python_regex(p)).cast("int") for p in patterns])
+        m = total([guarded(low, p, F.regexp_like(low, python_regex(p)).cast("int")) for p in patterns])
         out[family] = F.when(m > 0, weight * (1 + 0.5 * (m - 1)) if linear else weight * m).otherwise(0.0)
     return out
 

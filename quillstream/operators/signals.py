@@ -17,16 +17,17 @@ def _round(value: Column, digits: int = 3) -> Column:
 
 def with_linguistic(df: DataFrame, text: str = "text") -> DataFrame:
     """Add meta_commentary, hedging_ratio, self_correction and question_density."""
-    t = F.col(text)
+    df = df.withColumn("_low", F.lower(text))
+    t, low = F.col(text), F.col("_low")
     df = df.withColumn("_n", F.greatest(F.lit(1), F.size(sentences(t))))
-    df = df.withColumn("_h", matches(t, L.HEDGE_PATTERNS)).withColumn("_a", matches(t, L.ASSERT_PATTERNS))
+    df = df.withColumn("_h", matches(t, L.HEDGE_PATTERNS, lowered=low)).withColumn("_a", matches(t, L.ASSERT_PATTERNS, lowered=low))
     unquoted = F.regexp_replace(F.regexp_replace(t, F.lit('"[^"]*"'), F.lit("")), python_regex(r"(?<!\w)'[^']*'(?!\w)", ""), F.lit(""))
     return (
-        df.withColumn("meta_commentary", _round(F.least(F.lit(1.0), matches(t, L.META_PATTERNS) / F.col("_n"))))
+        df.withColumn("meta_commentary", _round(F.least(F.lit(1.0), matches(t, L.META_PATTERNS, lowered=low) / F.col("_n"))))
         .withColumn("hedging_ratio", _round(F.coalesce(F.col("_h") / F.nullif(F.col("_h") + F.col("_a"), F.lit(0)), F.lit(0.5))))
-        .withColumn("self_correction", matches(t, L.CORRECTION_PATTERNS).cast("double"))
+        .withColumn("self_correction", matches(t, L.CORRECTION_PATTERNS, lowered=low).cast("double"))
         .withColumn("question_density", _round(F.least(F.lit(1.0), F.regexp_count(unquoted, F.lit(r"\?")) / F.col("_n"))))
-        .drop("_n", "_h", "_a")
+        .drop("_n", "_h", "_a", "_low")
     )
 
 
@@ -109,39 +110,39 @@ def with_behaviours(df: DataFrame, text: str = "text") -> DataFrame:
     unresolved = F.when(F.length("_strip") > 100, ended).otherwise(phrase(F.col("_strip")))
     asking = F.when(F.col("_words") > 0, steps(F.col("_ask") / (F.col("_words") / 50), (1, 0.15), (0.5, 0.08))).otherwise(0.0)
     curiosity = (
-        F.least(_round(F.least(F.lit(1.0), matches(t, L.INTROSPECTION) / F.col("_pieces"))) * 2, F.lit(0.25))
+        F.least(_round(F.least(F.lit(1.0), matches(t, L.INTROSPECTION, lowered=low) / F.col("_pieces"))) * 2, F.lit(0.25))
         + steps(hits(low, L.DELIGHT), (2, 0.2), (1, 0.1))
         + steps(hits(low, L.ELABORATION), (3, 0.25), (1, 0.15))
         + asking
-        + steps(matches(t, L.METAPHORS), (3, 0.1), (1, 0.05))
+        + steps(matches(t, L.METAPHORS, lowered=low), (3, 0.1), (1, 0.05))
         + F.when(unresolved, 0.05).otherwise(0.0)
     )
     anxiety = (
-        steps(matches(t, L.META_HEDGES), (2, 0.3), (1, 0.15))
+        steps(matches(t, L.META_HEDGES, lowered=low), (2, 0.3), (1, 0.15))
         + steps(hits(low, L.POWERLESS), (2, 0.2), (1, 0.1))
         + steps(hits(low, L.PERMISSION_SEEKING), (2, 0.15), (1, 0.08))
-        + steps(matches(t, L.CONTRADICTIONS), (2, 0.15), (1, 0.08))
+        + steps(matches(t, L.CONTRADICTIONS, lowered=low), (2, 0.15), (1, 0.08))
         + F.when(unresolved, steps(F.col("_ask"), (4, 0.2), (2, 0.1))).otherwise(0.0)
     )
     joy = (
-        steps(matches(t, L.JOY_ACTIONS), (2, 0.35), (1, 0.2))
-        + steps(matches(t, L.REALIZATIONS), (2, 0.25), (1, 0.15))
+        steps(matches(t, L.JOY_ACTIONS, lowered=low), (2, 0.35), (1, 0.2))
+        + steps(matches(t, L.REALIZATIONS, lowered=low), (2, 0.25), (1, 0.15))
         + steps(hits(low, L.UNDERSTATED), (2, 0.2), (1, 0.1))
         + steps(F.regexp_count(t, F.lit("!")) / F.col("_pieces"), (0.3, 0.2), (0.15, 0.1))
     )
     yours = F.regexp_count(t, python_regex(r"\byou\b"))
     warmth = (
-        steps(matches(t, L.INTIMATE), (3, 0.35), (2, 0.25), (1, 0.15))
+        steps(matches(t, L.INTIMATE, lowered=low), (3, 0.35), (2, 0.25), (1, 0.15))
         + steps(hits(low, L.TENDERNESS), (2, 0.35), (1, 0.2))
-        + steps(matches(t, L.CALLBACKS), (2, 0.2), (1, 0.1))
+        + steps(matches(t, L.CALLBACKS, lowered=low), (2, 0.2), (1, 0.1))
         + F.when((F.col("_words") > 0) & (yours / F.greatest(F.lit(1), F.col("_words")) > 0.02), 0.1).otherwise(0.0)
     )
     lines = F.transform(F.split(t, "\n"), stripped)
     compressed = F.size(F.filter(lines, lambda x: (F.length(x) < 20) & (F.size(words(x)) <= 2) & x.rlike(L.COMPRESSED_LINE)))
     arousal = (
         steps(compressed, (3, 0.2), (1, 0.1))
-        + steps(matches(t, L.ANAPHORA, "is"), (2, 0.25), (1, 0.15))
-        + F.when(matches(t, L.COLLISIONS) >= 1, 0.2).otherwise(0.0)
+        + steps(matches(t, L.ANAPHORA, "is", lowered=low), (2, 0.25), (1, 0.15))
+        + F.when(matches(t, L.COLLISIONS, lowered=low) >= 1, 0.2).otherwise(0.0)
         + steps(hits(low, L.SUPERPOSITION), (2, 0.2), (1, 0.1))
         + steps(hits(low, L.INTENSITY), (3, 0.15), (1, 0.08))
     )
