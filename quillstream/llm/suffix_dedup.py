@@ -21,6 +21,8 @@ LENGTH = 400
 ANCHOR = 48
 #: Bytes of text that one shard sorts, on average, and that a scan holds at a time.
 SHARD, CHUNK, LONGEST = 3_000_000, 2_000_000, 8_000_000
+#: Bytes of different contents of one anchor over which its windows are counted one by one instead of sorted in a shard.
+HOT = 4 * SHARD
 
 _rng = np.random.default_rng(20240607)
 _TABLES = _rng.integers(0, 2**63, (2, 256), dtype=np.uint64)
@@ -143,6 +145,36 @@ def repeated_runs(contents: DataFrame, shards: int) -> DataFrame:
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "anchor long, digest long, runs array<array<long>>")
 
 
+def windows_of(contents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Every window of the contents, as 128 bits of hashes: anchor, digest, copies, begin, one, two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("content").to_pylist()
+            for start, end in in_chunks(texts, CHUNK // 8):
+                data, offsets = joined(texts[start:end])
+                n = np.diff(offsets) - length + 1
+                row = np.repeat(np.arange(n.size), n)
+                begin = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+                at = offsets[row] + begin
+                columns = [batch.column(c).take(pa.array(row + start)) for c in ("anchor", "digest", "copies")]
+                columns += [pa.array(begin), *(pa.array(Rolling(data, k)(at, at + length).view(np.int64)) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "copies", "begin", "one", "two"])
+
+    return contents.mapInArrow(run, "anchor long, digest long, copies long, begin long, one long, two long")
+
+
+def counted_runs(contents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """What ``repeated_runs`` gives, for anchors whose contents would overfill a shard: windows are counted, with
+    partial sums first, and the repeated ones of a content (353 at most) joined to runs."""
+    windows = stored(windows_of(contents, length))
+    often = windows.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
+    begins = windows.join(often, ["one", "two"], "left_semi").groupBy("anchor", "digest").agg(F.sort_array(F.collect_set("begin")).alias("b"))
+    first = F.filter("b", lambda x, i: F.coalesce(F.get("b", i - 1) < x - 1, F.lit(True)))
+    last = F.filter("b", lambda x, i: F.coalesce(F.get("b", i + 1) > x + 1, F.lit(True)))
+    return begins.select("anchor", "digest", F.zip_with(first, last, lambda x, y: F.array(x, y + length)).alias("runs"))
+
+
 def merged(runs: list[list[int]]) -> list[tuple[int, int]]:
     """Maximal intervals of begin, end pairs."""
     out: list[tuple[int, int]] = []
@@ -179,32 +211,41 @@ def without_spans(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"{own}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def duplicate_spans(docs: DataFrame) -> DataFrame:
+def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, spans) of the texts with bytes to remove, by key of the text.
 
     1. A scan emits the stretches of windows that share an anchor; equal ones are counted (partial sums first).
     2. Of anchors with more than one stretch, one example of each content is cut out of its text.
     3. Contents meet by hash of the anchor in shards of about SHARD bytes, where all suffixes are sorted.
+       Anchors with over ``hot`` bytes of contents, such as a passage with ever other neighbours, would make a shard
+       of any size; their windows are counted over all tasks instead.
     4. The repeated runs go back to every place of their content; a text that occurs twice goes entirely.
     """
     contents = scanned(docs).groupBy("anchor", "digest").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "doc_id", "start", "size")).alias("at")
     )
     contents = stored(contents)
-    live = contents.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1")
-    wanted = stored(contents.join(live.select("anchor"), "anchor", "left_semi").select("anchor", "digest", "copies", "at.*"))
-    by_text = wanted.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "digest", "copies", "start", "size")).alias("wanted"))
-    whole, asked = keyed(docs).alias("d"), by_text.alias("w")
-    found = whole.join(asked, (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    total = wanted.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, int(-(-total // SHARD)))
-    runs = stored(repeated_runs(cut_out(found.select("d.text", "w.wanted")), shards))
+    live = contents.groupBy("anchor").agg(F.sum("copies").alias("n"), F.sum("at.size").alias("bytes")).where("n > 1")
+    live = live.select("anchor", (F.col("bytes") > hot).alias("hot"))
+    wanted = stored(contents.join(live, "anchor").select("anchor", "digest", "copies", "hot", "at.*"))
+
+    def cut(chosen: DataFrame) -> DataFrame:
+        by_text = chosen.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "digest", "copies", "start", "size")).alias("wanted"))
+        whole, asked = keyed(docs).alias("d"), by_text.alias("w")
+        found = whole.join(asked, (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+        return cut_out(found.select("d.text", "w.wanted"))
+
+    total = {r["hot"]: r["total"] for r in wanted.groupBy("hot").agg(F.sum("size").alias("total")).collect()}
+    shards = max(1, int(-(-total.get(False, 0) // SHARD)))
+    runs = stored(repeated_runs(cut(wanted.where("NOT hot")), shards))
+    if True in total:
+        runs = runs.union(stored(counted_runs(cut(wanted.where("hot")))))
     places = scanned(docs).select("key", "anchor", "digest", "start").join(runs, ["anchor", "digest"])
     spans = F.transform("runs", lambda r: F.array(F.col("start") + r[0], F.col("start") + r[1]))
     return places.select("key", F.explode(spans).alias("span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Remove every byte of ``docs`` that a 400-byte string covers which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes left, for every row; strings
@@ -212,7 +253,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bytes stays whole; of repeated rows or equal texts of 400 bytes or more nothing is left; an empty table gives an
     empty result; extra columns are ignored. Two contents count as equal if 128 bits of hashes of them are.
     """
-    spans = duplicate_spans(docs)
+    spans = duplicate_spans(docs, hot)
     found = keyed(docs).join(spans, "key", "left").select("doc_id", "text", "spans")
     return without_spans(found)
 

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -58,14 +59,27 @@ def expected(texts):
     return out
 
 
-def test_matches_brute_force(edges, edge_rows):
-    got = suffix_dedup.remove_repeats(edges).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 800, 0])
+def test_matches_brute_force(edges, edge_rows, hot):
+    got = suffix_dedup.remove_repeats(edges, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
     wanted = expected([(t or "").encode() for _, t in edge_rows])
     key = lambda r: tuple(str(x) for x in r)
     assert sorted((tuple(r) for r in got), key=key) == sorted(((i, *w) for (i, _), w in zip(edge_rows, wanted, strict=True)), key=key)
     assert sum(w[1] for w in wanted) > 5000
 
 
+def test_counted_windows_of_a_shared_passage(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passage = words(90)
+    rows = [(i, f"{words(20 + i % 7)} {passage if i % 2 else passage[i : i + 500]} {words(15)}") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, rows[0][1])], "doc_id long, text string")
+    wanted = expected([t.encode() for _, t in [*rows, (40, rows[0][1])]])
+    for hot in (0, 5000, suffix_dedup.HOT):
+        found = suffix_dedup.remove_repeats(docs, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
+        assert [tuple(r)[1:] for r in found.orderBy("doc_id").collect()] == wanted
+
+
 def test_long_texts_are_cut_with_overlap(edges, edge_rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LONGEST", 700)
     data = b"".join(bytes([97 + (i * i) % 23]) for i in range(3000))
