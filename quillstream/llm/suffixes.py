@@ -48,13 +48,17 @@ def smaller_types(text: np.ndarray) -> np.ndarray:
 
 def pair_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common-prefix values of pairs of suffixes, up to ``cap``; ``text`` continues ``cap + 16`` zeros past its end."""
-    out, todo = np.zeros(a.size, np.int32), np.arange(a.size)
-    blocks = np.lib.stride_tricks.sliding_window_view(text, 16)
-    while todo.size:
-        at = out[todo]
-        same = blocks[a[todo] + at] == blocks[b[todo] + at]
-        out[todo] += np.where(same.all(axis=1), 16, same.argmin(axis=1)).astype(np.int32)
-        todo = todo[same.all(axis=1) & (out[todo] < cap)]
+    out, todo = np.full(a.size, cap, np.int32), np.arange(a.size)
+    words = np.ndarray(text.size - 7, "<u8", text, strides=(1,))  # the eight bytes from every position on
+    for depth in range(0, cap, 8):
+        differ = words[a + depth] ^ words[b + depth]
+        ends = differ != 0
+        if ends.any():
+            lowest = differ[ends] & (~differ[ends] + np.uint64(1))  # the first bit that differs, a power of two
+            out[todo[ends]] = depth + ((np.frexp(lowest.astype(np.float64))[1] - 1) >> 3)
+            todo, a, b = todo[~ends], a[~ends], b[~ends]
+        if not todo.size:
+            break
     return np.minimum(out, cap)
 
 
