@@ -214,14 +214,15 @@ def without_spans(docs: DataFrame) -> DataFrame:
 def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, spans) of the texts with bytes to remove, by key of the text.
 
-    1. A scan emits the stretches of windows that share an anchor; equal ones are counted (partial sums first).
+    1. A scan stores the stretches of windows that share an anchor; equal ones are counted (partial sums first).
     2. Of anchors with more than one stretch, one example of each content is cut out of its text.
     3. Contents meet by hash of the anchor in shards of about SHARD bytes, where all suffixes are sorted.
        Anchors with over ``hot`` bytes of contents, such as a passage with ever other neighbours, would make a shard
        of any size; their windows are counted over all tasks instead.
     4. The repeated runs go back to every place of their content; a text that occurs twice goes entirely.
     """
-    contents = scanned(docs).groupBy("anchor", "digest").agg(
+    found = stored(scanned(docs))
+    contents = found.groupBy("anchor", "digest").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "doc_id", "start", "size")).alias("at")
     )
     contents = stored(contents)
@@ -232,15 +233,15 @@ def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def cut(chosen: DataFrame) -> DataFrame:
         by_text = chosen.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "digest", "copies", "start", "size")).alias("wanted"))
         whole, asked = keyed(docs).alias("d"), by_text.alias("w")
-        found = whole.join(asked, (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-        return cut_out(found.select("d.text", "w.wanted"))
+        asked_of = whole.join(asked, (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+        return cut_out(asked_of.select("d.text", "w.wanted"))
 
     total = {r["hot"]: r["total"] for r in wanted.groupBy("hot").agg(F.sum("size").alias("total")).collect()}
     shards = max(1, int(-(-total.get(False, 0) // SHARD)))
     runs = stored(repeated_runs(cut(wanted.where("NOT hot")), shards))
     if True in total:
         runs = runs.union(stored(counted_runs(cut(wanted.where("hot")))))
-    places = scanned(docs).select("key", "anchor", "digest", "start").join(runs, ["anchor", "digest"])
+    places = found.select("key", "anchor", "digest", "start").join(runs, ["anchor", "digest"])
     spans = F.transform("runs", lambda r: F.array(F.col("start") + r[0], F.col("start") + r[1]))
     return places.select("key", F.explode(spans).alias("span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
 
