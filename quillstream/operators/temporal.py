@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,22 @@ def decayed_peaks(df: DataFrame, stream: str, order: str, values: dict[str, floa
 
 
 def decayed_peaks_closed(df: DataFrame, stream: str, order: str, value: str, decay: float = DECAY) -> DataFrame:
-    """Add peak: the unrounded decayed peak as a running maximum of value / decay^t, for streams of under 4,000 steps."""
+    """Add peak: the unrounded decayed peak in closed form, for streams of any length.
+
+    Inside a block of steps it is a running maximum of value / decay^t, with t from the start of the block. The blocks are
+    so short that the factor stays under 1e142. The end of the earlier block that leads at a row, the one with the largest
+    ln(peak) - t * ln(decay), is carried forward by its distance.
+    """
+    length = int(325 / max(-math.log(decay), 1e-6))
     w = Window.partitionBy(stream).orderBy(order)
-    t = F.row_number().over(w) - 1
-    scaled = df.withColumn("_t", t).withColumn("_x", F.col(value) * F.pow(F.lit(1 / decay), F.col("_t")))
-    return scaled.withColumn("peak", F.greatest(F.lit(0.0), F.max("_x").over(w) * F.pow(F.lit(decay), F.col("_t")))).drop("_t", "_x")
+    placed = df.withColumn("_t", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_t") / length))
+    placed = placed.withColumn("_r", F.col("_t") - F.col("_b") * length).withColumn("_x", F.col(value) * F.pow(F.lit(1 / decay), F.col("_r")))
+    inside = F.max("_x").over(Window.partitionBy(stream, "_b").orderBy(order)) * F.pow(F.lit(decay), F.col("_r"))
+    ended = (F.col("_r") == length - 1) & (F.col("_p") > 0)
+    end = F.when(ended, F.struct((F.ln("_p") - F.col("_t") * F.ln(F.lit(decay))).alias("k"), F.col("_t").alias("t"), F.col("_p").alias("p")))
+    led = placed.withColumn("_p", inside).withColumn("_e", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = F.col("_e.p") * F.pow(F.lit(decay), F.col("_t") - F.col("_e.t"))
+    return led.withColumn("peak", F.greatest(F.lit(0.0), "_p", carried)).drop("_t", "_b", "_r", "_x", "_p", "_e")
 
 
 def elevation(df: DataFrame, stream: str, order: str, value: str, count_signal: bool = False) -> DataFrame:

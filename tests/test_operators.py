@@ -173,6 +173,18 @@ def test_decayed_peak_forms_agree(spark, sf):
     assert gap < 0.005
 
 
+@pytest.mark.parametrize("decay", [0.5, 0.85, 0.999])
+def test_decayed_peak_of_a_long_stream(spark, decay):
+    """Past the 4,367th step, where 0.85 to the minus t leaves the range of doubles; zeros, nulls and negatives too."""
+    values = [None if i % 11 == 3 else (-1.0, 0.0, 0.0, 0.25, 0.0, 1e-3, 0.0)[i % 7] * (1 + i % 13) if i < 8_000 else 0.0 for i in range(12_000)]
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "s string, i int, v double")
+    got = [r["peak"] for r in temporal.decayed_peaks_closed(df, "s", "i", "v", decay).orderBy("i").collect()]
+    wanted, last = [], 0.0
+    for v in values:
+        wanted.append(last := max(v or 0.0, last * decay))
+    assert got == pytest.approx(wanted, rel=1e-9, abs=1e-290)
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", windows.ROCKSDB)
     got = windows.drained(windows.decayed_peaks(windows.event_stream(spark, sf)), str(tmp_path), "append")
