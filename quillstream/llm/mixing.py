@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytestream import in_chunks, joined, word_bounds
 from .common import stored
@@ -19,7 +20,8 @@ BINS = 2048
 EPOCHS, RATE, DECAY = 120, 40.0, 1e-4
 #: Bytes that a task turns into histograms at a time.
 CHUNK = 2_000_000
-MAX_DOMAINS = 64
+#: Labels up to which the sample has its full rows a label, and rows a label with more of them.
+MANY_LABELS, LEAST_PER_LABEL = 64, 25
 
 
 def histograms(texts: list[bytes]) -> np.ndarray:
@@ -56,13 +58,16 @@ class DomainModel:
 
 
 def sample_labelled(labelled: DataFrame, label: str, per_label: int, seed: int) -> DataFrame:
-    """About ``per_label`` rows of each label (all, if fewer), chosen by a hash of doc_id and text length."""
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_DOMAINS).collect()
-    rate = F.lit(0.0)
-    for row in counts:
-        rate = F.when(F.col(label) == row[label], min(1.0, per_label / row["count"])).otherwise(rate)
+    """About ``per_label`` rows of each label (all, if fewer), chosen by a hash of doc_id and text length.
+
+    Every label is drawn from. With over MANY_LABELS of them the rows of each are fewer, LEAST_PER_LABEL or more.
+    """
+    counts = labelled.groupBy(label).count().collect()
+    per_label = min(per_label, max(LEAST_PER_LABEL, per_label * MANY_LABELS // max(len(counts), 1)))
+    rates = [(row[label], min(1.0, per_label / row["count"])) for row in counts]
     drawn = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    return labelled.where(drawn < rate)
+    known = labelled.sparkSession.createDataFrame(rates, T.StructType([labelled.schema[label], T.StructField("_rate", T.DoubleType())]))
+    return labelled.join(F.broadcast(known), label).where(drawn < F.col("_rate")).select(*labelled.columns)
 
 
 def fit_domains(labelled: DataFrame, label: str, per_label: int = SAMPLE_PER_DOMAIN, seed: int = 3) -> DomainModel:
@@ -171,7 +176,7 @@ def mix_sources(
 ) -> DataFrame:
     """Rate every document so that the expected tokens of each domain match the target weights.
 
-    Domains are the values of ``label`` (at most MAX_DOMAINS); a classifier fitted on a bounded labelled sample
+    Domains are all values of ``label``; a classifier fitted on a bounded labelled sample
     gives every document its posteriors. Without ``weights`` the targets are temperature-smoothed shares. Returns
     doc_id, n_tokens, domain (likeliest), posterior, rate and copies: the whole part of the rate plus one with the
     probability of its fraction, drawn by a hash of (doc_id, crc32 of the text, seed). A null or empty text has no

@@ -91,6 +91,18 @@ def test_windows_cover_every_byte():
     assert covered == set(range(740))
 
 
+def many_labels(spark, n, each):
+    """Documents of ``n`` labels whose texts repeat a word of their own; the last labels are the rarest."""
+    rows = [(k * 100 + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 30, f"l{k:03}") for k in range(n) for i in range(each + (k < n - 6))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_models_have_every_label(spark):
+    docs, labels = many_labels(spark, 70, 3), {f"l{k:03}" for k in range(70)}
+    assert set(langid.fit_network(docs).languages) == labels
+    assert set(mixing.fit_domains(docs, "lang").domains) == labels
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = toxicity.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id")
