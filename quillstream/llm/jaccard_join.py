@@ -19,7 +19,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Independent runs, and splits of every run before buckets are looked at. A node of the recursion keeps each
 #: sketch coordinate with probability 1 / (similarity * COORDINATES), so that a pair at the threshold stays
 #: together in one child on average. One run joins such a pair with probability 0.47 after two splits; all
-#: RUNS miss it with probability 4e-5, and pairs over the threshold less often.
+#: RUNS miss it with probability 4e-5, and pairs over the threshold less often. After MOST_SPLITS splits one run joins
+#: it with probability 0.31 only: rows that met a bucket over LARGE go through RUNS more runs among themselves, after
+#: which a pair of them is missed with probability 5e-5.
 RUNS, SPLITS, MOST_SPLITS = 16, 2, 4
 #: Buckets over LARGE are split further, up to MOST_SPLITS; what is still over SALTED meets in parts first.
 LARGE, SALTED = 256, 4096
@@ -40,10 +42,10 @@ def children(paths: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, mixed(drawn[row, coordinate] ^ mixed(value + np.uint64(0x632BE59BD9B4E019)))
 
 
-def root_paths(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and paths of all runs after SPLITS splits."""
+def root_paths(sketch: np.ndarray, first: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and paths of RUNS runs, numbered from ``first``, after SPLITS splits."""
     row = np.repeat(np.arange(len(sketch)), RUNS)
-    path = np.tile(mixed(np.arange(1, RUNS + 1, dtype=np.uint64)), len(sketch))
+    path = np.tile(mixed(np.arange(first, first + RUNS, dtype=np.uint64)), len(sketch))
     for _ in range(SPLITS):
         part, path = children(path, sketch[row])
         row = row[part]
@@ -155,13 +157,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
 def candidate_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) that span groups of texts with like sketches; texts: id, sketch. Repeats are possible."""
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                row, path = root_paths(_matrix(part.column("sketch"), np.uint32))
-                ids = part.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path.view(np.int64))], ["id", "path"])
+    def roots(first: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    row, path = root_paths(_matrix(part.column("sketch"), np.uint32), first)
+                    ids = part.column("id").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path.view(np.int64))], ["id", "path"])
+
+        return run
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +199,8 @@ def candidate_links(texts: DataFrame) -> DataFrame:
 
     codes = stored(texts.select("id", "sketch").mapInArrow(coded, "id long, code binary"))
     schema, ready = "a long, b long, path long, code binary", []
-    rows = stored(texts.select("id", "sketch").mapInArrow(roots, "id long, path long"))
+    sources = texts.select("id", "sketch")
+    rows = stored(sources.mapInArrow(roots(1), "id long, path long"))
     for split in range(SPLITS, MOST_SPLITS + 1):
         counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         shared = stored(rows.join(counts, "path"))
@@ -202,8 +208,13 @@ def candidate_links(texts: DataFrame) -> DataFrame:
         if split == MOST_SPLITS or not large.limit(1).count():
             ready.append(shared)
             break
+        if split == SPLITS:  # the further runs start where the first ones stand, and split with them
+            again = sources.join(large.select("id").distinct(), "id").select("id", "sketch")
+            more = stored(again.mapInArrow(roots(RUNS + 1), "id long, path long"))
+            shared = stored(shared.unionByName(more.join(more.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path")))
+            large = shared.where(F.col("n") > LARGE)
         ready.append(shared.where(F.col("n") <= LARGE))
-        rows = stored(large.join(texts.select("id", "sketch"), "id").select("id", "path", "sketch").mapInArrow(deeper, "id long, path long"))
+        rows = stored(large.join(sources, "id").select("id", "path", "sketch").mapInArrow(deeper, "id long, path long"))
     buckets = ready[0]
     for more in ready[1:]:
         buckets = buckets.union(more)

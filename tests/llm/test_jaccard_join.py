@@ -95,3 +95,17 @@ def test_leaders_span_a_bucket():
     links, leaders = jaccard_join.bucket_links(codes)
     assert len(links) == 599
     assert len(leaders) < 600
+
+
+def test_pairs_in_large_buckets_are_found(spark, monkeypatch):
+    """Every bucket counts as large and is split as far as it goes; pairs agree in 51 of 64 coordinates."""
+    monkeypatch.setattr(jaccard_join, "LARGE", 1)
+    rng, n = np.random.default_rng(2), 3000
+    left = rng.integers(0, 2**32, (n, 64), dtype=np.uint32)
+    right = left.copy()
+    for i in range(n):
+        right[i, rng.permutation(64)[:13]] += np.uint32(1)
+    rows = [(2 * i + k, bytearray(m[i].tobytes())) for i in range(n) for k, m in enumerate((left, right))]
+    links = jaccard_join.candidate_links(spark.createDataFrame(rows, "id long, sketch binary")).distinct().collect()
+    found = {min(r["a"], r["b"]) // 2 for r in links if abs(r["a"] - r["b"]) == 1}
+    assert n - len(found) <= 1
