@@ -49,8 +49,8 @@ def tokenizer() -> tuple[list[bytes], str]:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeats(read(spark, sf_dir, "documents"), digests=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytestream import in_chunks, joined
-from .common import stored, text_key
+from .bytestream import in_chunks, joined, word_bounds
+from .common import stored
 from .jaccard_join import by_group
 from .shingles import mixed
-from .suffixes import repeated_starts
+from .suffixes import equal_windows
 
-LENGTH = 400
+#: Bytes of the strings that count as repeated, and of those that make up a passage.
+LENGTH, PASSAGE = 400, 250
+#: A passage has more words than this.
+WORDS = 50
 #: Bytes of the strings whose least hash in a window anchors the window.
-ANCHOR = 48
+ANCHOR = 64
 #: Bytes of text that one shard sorts, on average, and that a scan holds at a time.
 SHARD, CHUNK, LONGEST = 3_000_000, 2_000_000, 8_000_000
-#: Bytes of different contents of one anchor over which its windows are counted one by one instead of sorted in a shard.
-HOT = 4 * SHARD
+#: Bytes of different contents of one anchor over which its windows are anchored anew by another hash, and how often.
+HOT, LEVELS = 4 * SHARD, 2
 
 _rng = np.random.default_rng(20240607)
 _TABLES = _rng.integers(0, 2**63, (2, 256), dtype=np.uint64)
 _BASES = [0x9FB21C651E98DF25, 0xD6E8FEB86659FD93]
 _PLACE = np.uint64((1 << 24) - 1)
+#: What tells the rows of a table of texts apart: the document, a hash of its whole text, and where the piece starts.
+ROW = ["doc", "key", "at"]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -49,21 +53,24 @@ class Rolling:
         return mixed((self.total[ends] - self.total[starts]) * self.up[ends] + (ends - starts).astype(np.uint64))
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, ...]:
     """All windows of ``length`` bytes of every text, as stretches of windows with one anchor.
 
-    The anchor of a window is its ANCHOR-byte string of least hash, the first of equal ones, so that equal windows
-    have equal anchors wherever they stand. Returns of every stretch the text, where it starts in it, its bytes (of
-    all its windows), the anchor's hash and a hash of the bytes.
+    The anchor of a window is its string of ANCHOR bytes (half a window at most) of least hash, the first of equal
+    ones, so that equal windows have equal anchors wherever they stand; every level has its own hash. Returns of every
+    stretch the text, where it starts in it, its bytes (of all its windows), the anchor's hash and a hash of the bytes.
     """
-    width = length - ANCHOR + 1
-    n = data.size - ANCHOR + 1
+    anchored = max(1, min(ANCHOR, length // 2))
+    width = length - anchored + 1
+    n = data.size - anchored + 1
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     rolling = Rolling(data, 0)
     at = np.arange(n)
-    hashes = rolling(at, at + ANCHOR)
+    hashes = rolling(at, at + anchored)
+    if level:
+        hashes = mixed(hashes + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
     packed = (hashes & ~_PLACE) | at.astype(np.uint64)
     rows = np.concatenate([packed, np.full(-n % width, np.uint64(2**64 - 1))]).reshape(-1, width)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
@@ -80,73 +87,94 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     return text, first - offsets[text], ends - first, hashes[anchor[first]], Rolling(data, 1)(first, ends)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """The stretches of all documents: key, doc_id, start, size, anchor, digest. Texts longer than LONGEST are cut
-    with an overlap that leaves every window in one part."""
+def scanned(texts: DataFrame, length: int, level: int) -> DataFrame:
+    """The stretches of all texts: their columns but the text, then start, size, anchor, digest. Texts longer than
+    LONGEST are cut with an overlap that leaves every window in one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rest = batch.drop_columns(["text"])
             texts = batch.column("text").to_pylist()
-            pieces = [(row, at) for row, t in enumerate(texts) for at in range(0, max(1, len(t) - LENGTH + 1), LONGEST)]
-            parts = [texts[row][at : at + LONGEST + LENGTH - 1] for row, at in pieces]
+            pieces = [(row, at) for row, t in enumerate(texts) for at in range(0, max(1, len(t) - length + 1), LONGEST)]
+            parts = [texts[row][at : at + LONGEST + length - 1] for row, at in pieces]
             for start, end in in_chunks(parts, CHUNK):
-                part, begin, size, anchor, digest = stretches(*joined(parts[start:end]))
+                part, begin, size, anchor, digest = stretches(*joined(parts[start:end]), length, level)
                 row = np.array([pieces[start + k][0] for k in range(end - start)], np.int64)[part]
                 shift = np.array([pieces[start + k][1] for k in range(end - start)], np.int64)[part]
-                columns = [batch.column("key").take(pa.array(row)), batch.column("doc_id").take(pa.array(row)), pa.array(begin + shift), pa.array(size)]
-                columns += [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "size", "anchor", "digest"])
+                taken = rest.take(pa.array(row))
+                columns = [*taken.columns, pa.array(begin + shift), pa.array(size), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [*rest.schema.names, "start", "size", "anchor", "digest"])
 
-    return keyed(docs).where(F.octet_length("text") >= LENGTH).mapInArrow(
-        run, "key binary, doc_id long, start long, size long, anchor long, digest long"
-    )
+    own = ", ".join(f"{n} {t}" for n, t in texts.dtypes if n != "text")
+    return texts.where(F.octet_length("text") >= length).mapInArrow(run, f"{own}, start long, size long, anchor long, digest long")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc, key (a hash of the text), at (0), the text as bytes, null counting as empty, and the other columns as row."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    row = F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("_"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.lit(0).cast("long").alias("at"), text.alias("bytes"), row.alias("row"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(text_key().alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+def whole_texts(docs: DataFrame) -> DataFrame:
+    return named(docs).select(*ROW, F.col("bytes").alias("text"))
 
 
-def cut_out(joined_docs: DataFrame) -> DataFrame:
-    """The bytes of the wanted stretches: (anchor, digest, copies, content) from (text, wanted)."""
+def cut_out(suspects: DataFrame) -> DataFrame:
+    """The bytes of the wanted stretches, with what else is wanted of them, from (text, wanted)."""
+    fields = [f.name for f in suspects.schema["wanted"].dataType.elementType.fields if f.name not in ("start", "size")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
                 text = text.as_py()
-                columns = [pa.array([w[k] for w in wanted], pa.int64()) for k in ("anchor", "digest", "copies")]
+                columns = [pa.array([w[k] for w in wanted], pa.int64()) for k in fields]
                 columns.append(pa.array([text[w["start"] : w["start"] + w["size"]] for w in wanted], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "copies", "content"])
+                yield pa.RecordBatch.from_arrays(columns, [*fields, "content"])
+
+    rows = suspects.where(F.size("wanted") > 0).select("text", "wanted")
+    return rows.mapInArrow(run, ", ".join(f"{f} long" for f in fields) + ", content binary")
+
+
+RUNS = "anchor long, digest long, begin long, end long, across boolean"
 
-    return joined_docs.mapInArrow(run, "anchor long, digest long, copies long, content binary")
 
+def flag_runs(flags: np.ndarray, length: int) -> np.ndarray:
+    """Begin and end of the bytes that windows with flags cover, for each run of flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return edges.reshape(-1, 2) + [0, length - 1]
 
-def repeated_runs(contents: DataFrame, shards: int) -> DataFrame:
-    """(anchor, digest, runs) of the contents with windows that occur elsewhere; runs: begin and end in the content."""
+
+def sorted_runs(contents: DataFrame, length: int, shards: int) -> DataFrame:
+    """RUNS of the contents with windows that occur elsewhere, by sorting the suffixes of every shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, ["shard"]):
-            content, copies = group.column("content").to_pylist(), group.column("copies").to_pylist()
-            flags = repeated_starts(content, LENGTH)
-            bounds = np.concatenate([[0], np.cumsum([len(c) + 1 for c in content])])
-            rows, runs = [], []
-            for k, (text, n) in enumerate(zip(content, copies, strict=True)):
-                if n > 1:  # the whole content is elsewhere, and with it every window
-                    found = [[0, len(text)]]
-                else:
-                    own = np.flatnonzero(np.diff(np.concatenate([[0], flags[bounds[k] : bounds[k + 1]], [0]]).astype(np.int8)))
-                    found = (own.reshape(-1, 2) + [0, LENGTH - 1]).tolist()
-                if found:
-                    rows.append(k)
-                    runs.append(found)
-            table = group.select(["anchor", "digest"]).combine_chunks().take(pa.array(rows, pa.int64()))
-            yield from table.append_column("runs", pa.array(runs, pa.list_(pa.list_(pa.int64())))).to_batches()
-
-    dealt = contents.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "anchor", "digest", "copies", "content")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "anchor long, digest long, runs array<array<long>>")
-
-
-def windows_of(contents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Every window of the contents, as 128 bits of hashes: anchor, digest, copies, begin, one, two."""
+            content = group.column("content").to_pylist()
+            copies, lo, hi = (group.column(c).to_numpy() for c in ("copies", "lo", "hi"))
+            names, out = group.select(["anchor", "digest"]).combine_chunks(), [[], [], [], []]
+            for k, (repeated, across) in enumerate(equal_windows(content, length, copies, lo, hi)):
+                wide, all_over = flag_runs(repeated, length), flag_runs(across, length)
+                known = {tuple(x) for x in all_over.tolist()}
+                for begin, end in wide.tolist():
+                    if (begin, end) not in known:
+                        for column, x in zip(out, (k, begin, end, False), strict=True):
+                            column.append(x)
+                for begin, end in all_over.tolist():
+                    for column, x in zip(out, (k, begin, end, True), strict=True):
+                        column.append(x)
+            table = names.take(pa.array(out[0], pa.int64()))
+            for name, column, kind in zip(("begin", "end", "across"), out[1:], (pa.int64(), pa.int64(), pa.bool_()), strict=True):
+                table = table.append_column(name, pa.array(column, kind))
+            yield from table.to_batches()
+
+    dealt = contents.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "anchor", "digest", "copies", "lo", "hi", "content")
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, RUNS)
+
+
+def windows_of(contents: DataFrame, length: int) -> DataFrame:
+    """Every window of the contents, as 128 bits of hashes: anchor, digest, copies, lo, hi, begin, one, two."""
+    rest = ["anchor", "digest", "copies", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,28 +185,91 @@ def windows_of(contents: DataFrame, length: int = LENGTH) -> DataFrame:
                 row = np.repeat(np.arange(n.size), n)
                 begin = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
                 at = offsets[row] + begin
-                columns = [batch.column(c).take(pa.array(row + start)) for c in ("anchor", "digest", "copies")]
+                columns = [batch.column(c).take(pa.array(row + start)) for c in rest]
                 columns += [pa.array(begin), *(pa.array(Rolling(data, k)(at, at + length).view(np.int64)) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "copies", "begin", "one", "two"])
+                yield pa.RecordBatch.from_arrays(columns, [*rest, "begin", "one", "two"])
 
-    return contents.mapInArrow(run, "anchor long, digest long, copies long, begin long, one long, two long")
+    return contents.mapInArrow(run, ", ".join(f"{c} long" for c in [*rest, "begin", "one", "two"]))
 
 
-def counted_runs(contents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """What ``repeated_runs`` gives, for anchors whose contents would overfill a shard: windows are counted, with
-    partial sums first, and the repeated ones of a content (353 at most) joined to runs."""
+def counted_runs(contents: DataFrame, length: int) -> DataFrame:
+    """RUNS of contents whose windows share all their anchors: windows are counted, with partial sums first."""
     windows = stored(windows_of(contents, length))
-    often = windows.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
-    begins = windows.join(often, ["one", "two"], "left_semi").groupBy("anchor", "digest").agg(F.sort_array(F.collect_set("begin")).alias("b"))
-    first = F.filter("b", lambda x, i: F.coalesce(F.get("b", i - 1) < x - 1, F.lit(True)))
-    last = F.filter("b", lambda x, i: F.coalesce(F.get("b", i + 1) > x + 1, F.lit(True)))
-    return begins.select("anchor", "digest", F.zip_with(first, last, lambda x, y: F.array(x, y + length)).alias("runs"))
+    often = windows.groupBy("one", "two").agg(F.sum("copies").alias("n"), (F.min("lo") != F.max("hi")).alias("across")).where("n > 1")
+    found = windows.join(often.drop("n"), ["one", "two"]).groupBy("anchor", "digest")
+    found = found.agg(*(F.sort_array(F.collect_set(F.when(c, F.col("begin")))).alias(n) for n, c in (("wide", F.lit(True)), ("all_over", F.col("across")))))
+
+    def runs(begins: str):
+        first = F.filter(begins, lambda x, i: F.coalesce(F.get(begins, i - 1) < x - 1, F.lit(True)))
+        last = F.filter(begins, lambda x, i: F.coalesce(F.get(begins, i + 1) > x + 1, F.lit(True)))
+        return F.zip_with(first, last, lambda x, y: F.struct(x.alias("begin"), (y + length).alias("end")))
+
+    both = [found.select("anchor", "digest", F.explode(runs(n)).alias("r"), F.lit(n == "all_over").alias("across")) for n in ("wide", "all_over")]
+    return both[0].union(both[1]).select("anchor", "digest", "r.begin", "r.end", "across")
+
+
+def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Spans of ``texts`` (doc, key, at, text) whose windows of ``length`` bytes start anywhere else, and suspects.
+
+    Spans are (doc, key, at, begin, end, across): runs of repeated windows, in pieces that may overlap, and, with
+    across, runs of windows that another document has too. Suspects are the texts that may have spans.
 
+    1. A scan stores the stretches of windows that share an anchor; those of anchors that occur once are dropped.
+    2. Equal stretches are counted, with partial sums first. An anchor with one content is settled by its count.
+    3. Of the others one example of each content is cut out of its text; contents meet by hash of the anchor in shards
+       of about SHARD bytes, where all suffixes are sorted. Anchors with over ``hot`` bytes of contents, such as a
+       passage with ever other neighbours, are split before: their windows are anchored anew by another hash, LEVELS
+       times; windows that share all of these anchors are counted over all tasks.
+    4. The repeated runs go back to every place of their content.
+    """
+    found = stored(scanned(texts, length, level))
+    copies = F.col("copies") if "copies" in found.columns else F.lit(1).cast("long")
+    lo, hi = (F.col("lo"), F.col("hi")) if "copies" in found.columns else (F.xxhash64("doc", "key"),) * 2
+    often = found.groupBy("anchor").agg(F.sum(copies).alias("n")).where("n > 1")
+    near = stored(found.join(often, "anchor", "left_semi"))
+    contents = near.groupBy("anchor", "digest").agg(
+        F.sum(copies).alias("copies"), F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.min(F.struct(*ROW, "start", "size")).alias("place")
+    )
+    contents = stored(contents)
+    sizes = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("place.size").alias("total"))
+    contents = stored(contents.join(sizes, "anchor").withColumn("kind", F.when(F.col("n") == 1, 0).when(F.col("total") <= hot, 1).otherwise(2)))
+    fields = ["anchor", "digest", "copies", "lo", "hi", "kind", "start", "size"]
+    wanted = contents.where("kind > 0").select("place.*", *fields[:6]).select(*ROW, F.struct(*fields).alias("w"))
+    rows = near.select(*ROW).distinct().withColumn("w", F.lit(None).cast(wanted.schema["w"].dataType)).unionByName(wanted)
+    asked = rows.groupBy(*ROW).agg(F.collect_list("w").alias("wanted")).select(*(F.col(c).alias(f"_{c}") for c in ROW), "wanted")
+    suspects = stored(texts.where(F.octet_length("text") >= length).join(asked, _same_row()).select(*texts.columns, "wanted"))
+
+    totals = {r["kind"]: r["bytes"] for r in contents.groupBy("kind").agg(F.sum("place.size").alias("bytes")).collect()}
+    runs = contents.where("kind = 0").select("anchor", "digest", F.lit(0).cast("long").alias("begin"), F.col("place.size").alias("end"), (F.col("lo") != F.col("hi")).alias("across"))
+    if 1 in totals:
+        few = cut_out(suspects.withColumn("wanted", F.filter("wanted", lambda w: w["kind"] == 1)))
+        runs = runs.unionByName(stored(sorted_runs(few, length, max(1, -(-totals[1] // SHARD)))))
+    if 2 in totals:
+        many = cut_out(suspects.withColumn("wanted", F.filter("wanted", lambda w: w["kind"] == 2)))
+        if level < LEVELS:
+            again = many.select(F.col("anchor").alias("doc"), F.col("digest").alias("key"), F.lit(0).cast("long").alias("at"), "copies", "lo", "hi", F.col("content").alias("text"))
+            split = repeated_spans(stored(again), length, hot, level + 1)[0]
+            runs = runs.unionByName(split.select(F.col("doc").alias("anchor"), F.col("key").alias("digest"), "begin", "end", "across"))
+        else:
+            runs = runs.unionByName(stored(counted_runs(many, length)))
+    places = near.select(*ROW, "start", "anchor", "digest").join(runs, ["anchor", "digest"])
+    spans = places.select(*ROW, (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"), "across")
+    return spans, suspects
+
+
+def _same_row() -> Column:
+    return F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")) & (F.col("at") == F.col("_at"))
 
-def merged(runs: list[list[int]]) -> list[tuple[int, int]]:
+
+def by_row(spans: DataFrame) -> DataFrame:
+    """The spans of every row as one array, under names that do not clash."""
+    return spans.groupBy(*(F.col(c).alias(f"_{c}") for c in ROW)).agg(F.collect_set(F.struct("begin", "end", "across")).alias("spans"))
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal intervals of begin, end pairs."""
     out: list[tuple[int, int]] = []
-    for begin, end in sorted((r[0], r[1]) for r in runs):
+    for begin, end in sorted(runs):
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -186,90 +277,120 @@ def merged(runs: list[list[int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) of (doc_id, text, spans)."""
+def n_words(text: bytes) -> int:
+    """Words that a piece of text has or cuts."""
+    return len(word_bounds(*joined([text]))[0])
+
+
+def passages(text: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+    """Maximal runs of over WORDS words that other documents have too."""
+    return [(b, e) for b, e in merged([(s["begin"], s["end"]) for s in spans if s["across"]]) if n_words(text[b:e]) > WORDS]
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    cuts = [0, *(x for span in spans for x in span), len(text)]
+    return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Of suspects with their spans: doc, key, n_passages, the text if it has longer runs, and where these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed, count, size = [], [], [], []
+            count, kept, long_runs = [], [], []
             for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                text, at, parts = text.as_py(), 0, []
-                spans = merged(spans or [])
-                for begin, end in spans:
-                    parts.append(text[at:begin])
-                    at = end
-                kept.append(b"".join([*parts, text[at:]]))
-                removed.append(sum(end - begin for begin, end in spans))
-                count.append(len(spans))
-                size.append(len(text))
-            columns = [*[c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text", "spans")]]
-            names = [n for n in batch.schema.names if n not in ("text", "spans")]
-            columns += [pa.array(x, pa.int64()) for x in (size, removed, count)] + [pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_bytes", "n_removed", "n_spans", "kept"])
-
-    own = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n not in ("text", "spans"))
-    return docs.mapInArrow(run, f"{own}, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(key, spans) of the texts with bytes to remove, by key of the text.
-
-    1. A scan stores the stretches of windows that share an anchor; equal ones are counted (partial sums first).
-    2. Of anchors with more than one stretch, one example of each content is cut out of its text.
-    3. Contents meet by hash of the anchor in shards of about SHARD bytes, where all suffixes are sorted.
-       Anchors with over ``hot`` bytes of contents, such as a passage with ever other neighbours, would make a shard
-       of any size; their windows are counted over all tasks instead.
-    4. The repeated runs go back to every place of their content; a text that occurs twice goes entirely.
-    """
-    found = stored(scanned(docs))
-    contents = found.groupBy("anchor", "digest").agg(
-        F.count("*").alias("copies"), F.min(F.struct("key", "doc_id", "start", "size")).alias("at")
-    )
-    contents = stored(contents)
-    live = contents.groupBy("anchor").agg(F.sum("copies").alias("n"), F.sum("at.size").alias("bytes")).where("n > 1")
-    live = live.select("anchor", (F.col("bytes") > hot).alias("hot"))
-    wanted = stored(contents.join(live, "anchor").select("anchor", "digest", "copies", "hot", "at.*"))
-
-    def cut(chosen: DataFrame) -> DataFrame:
-        by_text = chosen.groupBy("key", "doc_id").agg(F.collect_list(F.struct("anchor", "digest", "copies", "start", "size")).alias("wanted"))
-        whole, asked = keyed(docs).alias("d"), by_text.alias("w")
-        asked_of = whole.join(asked, (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-        return cut_out(asked_of.select("d.text", "w.wanted"))
-
-    total = {r["hot"]: r["total"] for r in wanted.groupBy("hot").agg(F.sum("size").alias("total")).collect()}
-    shards = max(1, int(-(-total.get(False, 0) // SHARD)))
-    runs = stored(repeated_runs(cut(wanted.where("NOT hot")), shards))
-    if True in total:
-        runs = runs.union(stored(counted_runs(cut(wanted.where("hot")))))
-    places = found.select("key", "anchor", "digest", "start").join(runs, ["anchor", "digest"])
-    spans = F.transform("runs", lambda r: F.array(F.col("start") + r[0], F.col("start") + r[1]))
-    return places.select("key", F.explode(spans).alias("span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Remove every byte of ``docs`` that a 400-byte string covers which also starts anywhere else.
+                text = text.as_py()
+                runs = [r for r in merged([(s["begin"], s["end"]) for s in spans]) if r[1] - r[0] >= LENGTH]
+                count.append(len(passages(text, spans)))
+                kept.append(text if runs else None)
+                long_runs.append([{"begin": b, "end": e} for b, e in runs])
+            columns = [batch.column("doc"), batch.column("key"), pa.array(count, pa.int64()), pa.array(kept, pa.binary())]
+            columns.append(pa.array(long_runs, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "n_passages", "text", "runs"])
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes left, for every row; strings
-    are judged on the input, overlaps count, and no string crosses texts. A null text counts as empty; a text under 400
-    bytes stays whole; of repeated rows or equal texts of 400 bytes or more nothing is left; an empty table gives an
-    empty result; extra columns are ignored. Two contents count as equal if 128 bits of hashes of them are.
-    """
-    spans = duplicate_spans(docs, hot)
-    found = keyed(docs).join(spans, "key", "left").select("doc_id", "text", "spans")
-    return without_spans(found)
+    return found.mapInArrow(run, "doc long, key long, n_passages long, text binary, runs array<struct<begin: long, end: long>>")
 
 
-def remove_repeats_from_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` with what ``remove_repeats`` leaves as text (broken characters at the seams go too) and n_chars set anew.
+def cut_texts(found: DataFrame, kept: str, spans_of: Callable) -> DataFrame:
+    """``found`` with n_removed, n_spans and what is left, as ``kept``, instead of its text and spans."""
+    rest = [f"`{n}` {t}" for n, t in found.dtypes if n not in ("text", "spans")]
 
-    Documents of which nothing is left are dropped; those that came without text stay as they are.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, count, left = [], [], []
+            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+                text = text.as_py()
+                gone = spans_of(text, spans or [])
+                removed.append(sum(e - b for b, e in gone))
+                count.append(len(gone))
+                left.append(without(text, gone))
+            others = batch.drop_columns(["text", "spans"])
+            columns = [*others.columns, pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*others.schema.names, "n_removed", "n_spans", kept])
+
+    return found.mapInArrow(run, ", ".join([*rest, "n_removed long", "n_spans long", f"{kept} binary"]))
+
+
+def all_runs(text: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+    return merged([(s["begin"], s["end"]) for s in spans])
+
+
+def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc, key, n_passages, n_removed, n_spans, kept (null if nothing goes) of the texts with repeated strings.
+
+    Strings of LENGTH bytes that occur again lie in runs of repeated strings of PASSAGE bytes, which are found first;
+    only such runs of LENGTH bytes or more are searched for the longer strings.
+    """
+    spans, suspects = repeated_spans(whole_texts(docs), PASSAGE, hot)
+    known = stored(judged(suspects.join(by_row(spans), _same_row()).select("doc", "key", "text", "spans")))
+    runs = known.where("text IS NOT NULL").select("doc", "key", "text", F.explode("runs").alias("r"))
+    pieces = stored(runs.select("doc", "key", F.col("r.begin").alias("at"), F.substring(F.col("text"), F.col("r.begin") + 1, F.col("r.end") - F.col("r.begin")).alias("text")))
+    longer = repeated_spans(pieces, LENGTH, hot)[0].select("doc", "key", F.lit(0).cast("long").alias("at"), (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"), "across")
+    found = known.withColumn("at", F.lit(0).cast("long")).join(by_row(longer), _same_row(), "left")
+    cut = cut_texts(found.where("spans IS NOT NULL").select("doc", "key", "n_passages", "text", "spans"), "kept", all_runs)
+    nothing = F.lit(0).cast("long")
+    whole = found.where("spans IS NULL").select("doc", "key", "n_passages", nothing.alias("n_removed"), nothing.alias("n_spans"), F.lit(None).cast("binary").alias("kept"))
+    return cut.unionByName(whole).dropDuplicates(["doc", "key"])
+
+
+def remove_repeats(docs: DataFrame, hot: int = HOT, digests: bool = False) -> DataFrame:
+    """Remove every byte of ``docs`` that a 400-byte string covers which also starts anywhere else.
+
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept, the bytes left (with ``digests`` their
+    SHA-256 as kept_sha256, which spares a shuffle of all texts), and n_passages, for every row. n_passages counts the
+    maximal runs of over 50 words, made of strings of 250 bytes that another document has too; those shorter than 400
+    bytes are counted, not removed. Strings are judged on the input, overlaps count, and no string crosses texts. A
+    null text counts as empty; a text under 250 bytes is never touched; of repeated rows or equal texts of 400 bytes
+    or more nothing is left, and rows equal in doc_id and text count as one document for passages; an empty table
+    gives an empty result; extra columns are ignored. Rows are told apart by doc_id and 64 bits of hash of the text,
+    contents of one anchor by 64 bits of hash; windows that share three anchors with too many others by 128 bits.
+    """
+    found = removals(docs, hot).withColumnRenamed("doc", "_doc").withColumnRenamed("key", "_key")
+    value = (lambda c: F.sha2(c, 256)) if digests else (lambda c: F.col(c))
+    name = "kept_sha256" if digests else "kept"
+    rows = named(docs).select("doc", "key", F.octet_length("bytes").cast("long").alias("n_bytes"), value("bytes").alias("own"))
+    own = rows.join(found.withColumn("kept", value("kept")), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return own.select(F.col("doc").alias("doc_id"), "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept", "own").alias(name), count("n_passages"))
+
+
+def remove_passages_from_texts(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``docs`` without passages that repeat across documents: the text is what is left, n_chars is set anew.
+
+    A passage is a maximal run of over 50 words made of strings of 250 bytes (about as much as so many words have at
+    least) that another document has too; broken characters at the seams go with it. Documents of which nothing is
+    left are dropped; those that came without text stay as they are, as does every text without such a passage, those
+    under 250 bytes included. Rows equal in doc_id and text count as one document. An empty table gives an empty
+    result; columns of any other name are carried through.
     """
-    spans = duplicate_spans(docs).withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans")
-    found = docs.withColumn("_text_key", text_key()).join(spans, F.col("_text_key") == F.col("_key"), "left")
-    rest = [F.col(c) for c in docs.columns if c not in ("text", "n_chars")]
-    changed = found.where("_spans IS NOT NULL").select(*rest, F.col("text").cast("binary").alias("text"), F.col("_spans").alias("spans"))
-    cut = without_spans(changed).where("n_removed < n_bytes").withColumn("text", F.try_validate_utf8(F.col("kept").cast("string")))
-    cut = cut.withColumn("text", F.coalesce("text", F.make_valid_utf8(F.col("kept").cast("string"))))
+    spans = by_row(repeated_spans(whole_texts(docs), PASSAGE, hot)[0].where("across"))
+    found = named(docs).where(F.octet_length("bytes") >= PASSAGE).join(spans, _same_row(), "left").select("row", F.col("bytes").alias("text"), "spans")
+    cut = cut_texts(found, "kept", passages).where("octet_length(kept) > 0")
+    left = F.col("kept").cast("string")
+    valid = F.when(F.col("n_removed") == 0, left).otherwise(F.coalesce(F.try_validate_utf8(left), F.make_valid_utf8(left)))
+    cut = cut.select("row.*", "n_removed", valid.alias("text"))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where("_spans IS NULL").select(*docs.columns).unionByName(cut.select(*docs.columns))
+        chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
+        cut = cut.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+    short = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) < PASSAGE)
+    return cut.select(*docs.columns).unionByName(short)

@@ -250,20 +250,28 @@ def sorted_lms(first: Induction, lms: np.ndarray, n: int, cap: int) -> np.ndarra
     return lms[sort_names(names, max(2, cap))]
 
 
-def repeated_starts(contents: list[bytes], length: int) -> np.ndarray:
-    """For all contents end to end, each with a separator, whether its ``length`` bytes also start elsewhere."""
+def equal_windows(contents: list[bytes], length: int, copies: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of every content, for each of its bytes: whether the ``length`` bytes from there start elsewhere too, and whether
+    they do so with another owner. A content stands in ``copies`` places, with owners from ``lo`` to ``hi``."""
     text = np.frombuffer(b"\0".join([c.translate(_SHIFT) for c in contents]) + b"\0", np.uint8)
-    out = np.zeros(text.size + 1, bool)
-    before = -1
-    for position, prefix in ordered_suffixes(text, length):
-        equal = prefix >= length
-        out[position[equal]] = True
-        out[np.append(before, position[:-1])[equal]] = True
-        before = int(position[-1])
     sizes = np.array([len(c) for c in contents])
-    ends = np.cumsum(sizes + 1) - 1  # where the separators are
-    left = np.repeat(ends, sizes + 1) - np.arange(text.size)
-    return out[: text.size] & (left >= length)
+    ends = np.cumsum(sizes + 1)
+    fits = np.repeat(ends - 1, sizes + 1) - np.arange(text.size) >= length  # no window crosses a separator
+    group, last = np.zeros(text.size, np.int64), -1
+    for position, prefix in ordered_suffixes(text, length):
+        position, prefix = position[fits[position]], prefix[fits[position]]  # equal ones have no other between them
+        group[position] = last + np.cumsum(prefix < length)
+        last = int(group[position[-1]]) if position.size else last
+    place = np.flatnonzero(fits)
+    group, owner = group[place], np.repeat(np.arange(sizes.size), np.maximum(sizes - length + 1, 0))
+    n = np.bincount(group, copies[owner], last + 1)
+    least, most = np.full(last + 1, np.iinfo(np.int64).max), np.full(last + 1, np.iinfo(np.int64).min)
+    np.minimum.at(least, group, lo[owner])
+    np.maximum.at(most, group, hi[owner])
+    flags = np.zeros((2, text.size), bool)
+    flags[0, place], flags[1, place] = n[group] > 1, (least != most)[group]
+    for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
+        yield flags[0, end - 1 - size : end - 1], flags[1, end - 1 - size : end - 1]
 
 
 #: Bytes go up by one, as 0 separates contents; 0xFF does not occur in UTF-8.

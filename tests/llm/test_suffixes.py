@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -14,15 +15,28 @@ from quillstream.llm import suffix_dedup, suffixes
 contents = st.lists(st.text(alphabet="ab", max_size=40).map(str.encode) | st.binary(max_size=30).map(lambda b: bytes(min(x, 244) for x in b)), min_size=1, max_size=6)
 
 
-def repeated(texts, n):
-    counts = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
-    return [f for t in texts for f in [*(i <= len(t) - n and counts[t[i : i + n]] > 1 for i in range(len(t))), False]]
+def repeated(texts, n, copies, lo, hi):
+    counts, owners = Counter(), {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - n + 1):
+            counts[t[i : i + n]] += copies[k]
+            owners.setdefault(t[i : i + n], set()).update([lo[k], hi[k]])
+    starts = lambda t, f: [i <= len(t) - n and f(t[i : i + n]) for i in range(len(t))]
+    return [(starts(t, lambda w: counts[w] > 1), starts(t, lambda w: len(owners[w]) > 1)) for t in texts]
+
+
+def held_against_loop(texts, n, seed):
+    rng = np.random.default_rng(seed)
+    copies, lo = rng.integers(1, 3, len(texts)), rng.integers(0, 3, len(texts))
+    hi = lo + (copies > 1) * rng.integers(0, 2, len(texts))
+    found = [(a.tolist(), b.tolist()) for a, b in suffixes.equal_windows(texts, n, copies, lo, hi)]
+    assert found == repeated(texts, n, copies, lo, hi)
 
 
 @settings(max_examples=150, deadline=None)
-@given(contents, st.integers(1, 8))
-def test_repeated_starts(texts, n):
-    assert suffixes.repeated_starts(texts, n).tolist() == repeated(texts, n)
+@given(contents, st.integers(1, 8), st.integers(0, 9))
+def test_equal_windows(texts, n, seed):
+    held_against_loop(texts, n, seed)
 
 
 @settings(max_examples=150, deadline=None)
@@ -42,7 +56,7 @@ def test_queues_on_disk(monkeypatch):
     monkeypatch.setattr(suffixes, "IN_MEMORY", 100)
     monkeypatch.setattr(suffixes, "RUN", 16)
     texts = [b"abracadabra" * 9, b"cadabra" * 7, b"xyz" * 20]
-    assert suffixes.repeated_starts(texts, 9).tolist() == repeated(texts, 9)
+    held_against_loop(texts, 9, 1)
 
 
 def expected(texts):
@@ -85,14 +99,43 @@ def test_long_texts_are_cut_with_overlap(edges, edge_rows, monkeypatch):
     data = b"".join(bytes([97 + (i * i) % 23]) for i in range(3000))
     whole = suffix_dedup.stretches(*suffix_dedup.joined([data]))
     assert (whole[2] - 399).sum() == len(data) - 399
+    test_matches_brute_force(edges, edge_rows, suffix_dedup.HOT)
 
 
 def test_empty_table_and_texts(nothing, edges):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
-    assert suffix_dedup.remove_repeats_from_texts(nothing).count() == 0
-    kept = suffix_dedup.remove_repeats_from_texts(edges)
+    assert suffix_dedup.remove_passages_from_texts(nothing).count() == 0
+    kept = suffix_dedup.remove_passages_from_texts(edges)
     assert kept.columns == edges.columns
     found = {r["doc_id"]: r for r in kept.collect()}
     assert 1 not in found and 2 not in found
     assert found[6]["text"] == "one two" and found[3]["text"] is None
     assert all(r["n_chars"] == len(r["text"] or "") for r in found.values())
+    passage = found[10]["text"].split()
+    assert len(passage) < 65 and len(found[11]["text"].split()) < 45
+
+
+def passages(rows, least=250, words=50):
+    """By plain loops: text and how many runs of over 50 words other documents have too, for every row."""
+    owners = {}
+    for i, t in rows:
+        for k in range(len(t) - least + 1):
+            owners.setdefault(t[k : k + least], set()).add((i, t))
+    out = []
+    for _, t in rows:
+        gone = np.zeros(len(t) + 2, bool)
+        for k in range(len(t) - least + 1):
+            if len(owners[t[k : k + least]]) > 1:
+                gone[k + 1 : k + 1 + least] = True
+        edges = np.flatnonzero(np.diff(gone.astype(int))).reshape(-1, 2)
+        out.append([(b, e) for b, e in edges.tolist() if len(re.findall(rb"[^\x20\x09-\x0D]+", t[b:e])) > words])
+    return out
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 800, 0])
+def test_passages_match_plain_loops(edges, edge_rows, hot):
+    rows = [(i, (t or "").encode()) for i, t in edge_rows]
+    wanted = passages(rows)
+    found = suffix_dedup.remove_repeats(edges, hot).select("doc_id", "n_bytes", "n_passages").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(str((i, len(t), len(w))) for (i, t), w in zip(rows, wanted, strict=True))
+    assert sum(map(len, wanted)) > 5
