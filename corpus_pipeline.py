@@ -12,7 +12,7 @@ from quillstream.llm.common import read, stored
 from quillstream.llm.jaccard_join import keep_one_of_class
 from quillstream.llm.mixing import mix_sources
 from quillstream.llm.queries import tokenizer
-from quillstream.llm.suffix_dedup import remove_repeats_from_texts
+from quillstream.llm.suffix_dedup import remove_passages_from_texts
 from quillstream.llm.toxicity import score_toxicity
 
 
@@ -28,8 +28,8 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that occur twice or more."""
-    return remove_repeats_from_texts(docs)
+    """Texts without the passages of over 50 words that other documents have too."""
+    return remove_passages_from_texts(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
