@@ -6,21 +6,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytestream import in_chunks, joined, word_bounds
 from .common import stored
-from .jaccard_join import by_group
 from .shingles import mixed
-from .suffixes import equal_windows
+from .suffixes import Contents, repeated_runs
 
 #: Bytes of the strings that count as repeated, and of those that make up a passage.
 LENGTH, PASSAGE = 400, 250
 #: A passage has more words than this.
 WORDS = 50
-#: Bytes of the strings whose least hash in a window anchors the window.
-ANCHOR = 64
+#: Bytes of the strings whose least hash in a window anchors the window, for short windows, and for long ones.
+ANCHOR, LONG_ANCHOR = 64, 200
 #: Bytes of text that one shard sorts, on average, and that a scan holds at a time.
 SHARD, CHUNK, LONGEST = 3_000_000, 2_000_000, 8_000_000
 #: Bytes of different contents of one anchor over which its windows are anchored anew by another hash, and how often.
@@ -49,29 +49,31 @@ class Rolling:
         self.total = np.zeros(data.size + 1, np.uint64)
         np.cumsum(_TABLES[which][data] * _powers(pow(base, -1, 2**64), data.size), out=self.total[1:])
 
+    def raw(self, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+        return (self.total[ends] - self.total[starts]) * self.up[ends]
+
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.total[ends] - self.total[starts]) * self.up[ends] + (ends - starts).astype(np.uint64))
+        return mixed(self.raw(starts, ends) + (ends - starts).astype(np.uint64))
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, ...]:
     """All windows of ``length`` bytes of every text, as stretches of windows with one anchor.
 
-    The anchor of a window is its string of ANCHOR bytes (half a window at most) of least hash, the first of equal
-    ones, so that equal windows have equal anchors wherever they stand; every level has its own hash. Returns of every
+    The anchor of a window is its string of ANCHOR bytes (LONG_ANCHOR where few texts are left to scan; half a window
+    at most) of least hash, the first of equal ones, so that equal windows have equal anchors wherever they stand;
+    every level has its own hash. Returns of every
     stretch the text, where it starts in it, its bytes (of all its windows), the anchor's hash and a hash of the bytes.
     """
-    anchored = max(1, min(ANCHOR, length // 2))
+    anchored = max(1, min(LONG_ANCHOR if level or length >= LENGTH else ANCHOR, length // 2))
     width = length - anchored + 1
     n = data.size - anchored + 1
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    rolling = Rolling(data, 0)
-    at = np.arange(n)
-    hashes = rolling(at, at + anchored)
+    hashes = Rolling(data, 0).raw(slice(0, n), slice(anchored, n + anchored))
     if level:
         hashes = mixed(hashes + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-    packed = (hashes & ~_PLACE) | at.astype(np.uint64)
+    packed = (hashes & ~_PLACE) | np.arange(n, dtype=np.uint64)
     rows = np.concatenate([packed, np.full(-n % width, np.uint64(2**64 - 1))]).reshape(-1, width)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -84,7 +86,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level
     last = np.append(first[1:], starts.size) - 1
     first, last = first[inside[first]], last[inside[first]]
     text, ends = owner[first], last + length
-    return text, first - offsets[text], ends - first, hashes[anchor[first]], Rolling(data, 1)(first, ends)
+    return text, first - offsets[text], ends - first, mixed(hashes[anchor[first]]), Rolling(data, 1)(first, ends)
 
 
 def scanned(texts: DataFrame, length: int, level: int) -> DataFrame:
@@ -139,34 +141,31 @@ def cut_out(suspects: DataFrame) -> DataFrame:
 RUNS = "anchor long, digest long, begin long, end long, across boolean"
 
 
-def flag_runs(flags: np.ndarray, length: int) -> np.ndarray:
-    """Begin and end of the bytes that windows with flags cover, for each run of flags."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edges.reshape(-1, 2) + [0, length - 1]
-
-
 def sorted_runs(contents: DataFrame, length: int, shards: int) -> DataFrame:
     """RUNS of the contents with windows that occur elsewhere, by sorting the suffixes of every shard."""
 
+    def settled(shard: Contents, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        numbers = (table.column(c).to_numpy() for c in ("copies", "lo", "hi"))
+        content, *columns = repeated_runs(shard, length, *numbers)
+        names = [table.column(c).combine_chunks().take(pa.array(content)) for c in ("anchor", "digest")]
+        return pa.RecordBatch.from_arrays([*names, *map(pa.array, columns)], ["anchor", "digest", "begin", "end", "across"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_group(batches, ["shard"]):
-            content = group.column("content").to_pylist()
-            copies, lo, hi = (group.column(c).to_numpy() for c in ("copies", "lo", "hi"))
-            names, out = group.select(["anchor", "digest"]).combine_chunks(), [[], [], [], []]
-            for k, (repeated, across) in enumerate(equal_windows(content, length, copies, lo, hi)):
-                wide, all_over = flag_runs(repeated, length), flag_runs(across, length)
-                known = {tuple(x) for x in all_over.tolist()}
-                for begin, end in wide.tolist():
-                    if (begin, end) not in known:
-                        for column, x in zip(out, (k, begin, end, False), strict=True):
-                            column.append(x)
-                for begin, end in all_over.tolist():
-                    for column, x in zip(out, (k, begin, end, True), strict=True):
-                        column.append(x)
-            table = names.take(pa.array(out[0], pa.int64()))
-            for name, column, kind in zip(("begin", "end", "across"), out[1:], (pa.int64(), pa.int64(), pa.bool_()), strict=True):
-                table = table.append_column(name, pa.array(column, kind))
-            yield from table.to_batches()
+        current, shard, rows = None, Contents(), []
+        for batch in batches:
+            numbers = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if rows and numbers[at] != current:
+                    yield settled(shard, rows)
+                    shard, rows = Contents(), []
+                current = numbers[at]
+                part = batch.slice(at, end - at)
+                shard.add(part.column("content").to_pylist())
+                rows.append(part.drop_columns(["shard", "content"]))
+        if rows:
+            yield settled(shard, rows)
 
     dealt = contents.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "anchor", "digest", "copies", "lo", "hi", "content")
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, RUNS)
@@ -225,19 +224,19 @@ def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0
     found = stored(scanned(texts, length, level))
     copies = F.col("copies") if "copies" in found.columns else F.lit(1).cast("long")
     lo, hi = (F.col("lo"), F.col("hi")) if "copies" in found.columns else (F.xxhash64("doc", "key"),) * 2
-    often = found.groupBy("anchor").agg(F.sum(copies).alias("n")).where("n > 1")
-    near = stored(found.join(often, "anchor", "left_semi"))
+    often = stored(found.groupBy("anchor").agg(F.sum(copies).alias("n")).where("n > 1").select("anchor"))
+    near = stored(found.join(often.hint("shuffle_hash"), "anchor", "left_semi"))
     contents = near.groupBy("anchor", "digest").agg(
         F.sum(copies).alias("copies"), F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.min(F.struct(*ROW, "start", "size")).alias("place")
     )
     contents = stored(contents)
-    sizes = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("place.size").alias("total"))
+    sizes = stored(contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("place.size").alias("total")))
     contents = stored(contents.join(sizes, "anchor").withColumn("kind", F.when(F.col("n") == 1, 0).when(F.col("total") <= hot, 1).otherwise(2)))
     fields = ["anchor", "digest", "copies", "lo", "hi", "kind", "start", "size"]
     wanted = contents.where("kind > 0").select("place.*", *fields[:6]).select(*ROW, F.struct(*fields).alias("w"))
     rows = near.select(*ROW).distinct().withColumn("w", F.lit(None).cast(wanted.schema["w"].dataType)).unionByName(wanted)
     asked = rows.groupBy(*ROW).agg(F.collect_list("w").alias("wanted")).select(*(F.col(c).alias(f"_{c}") for c in ROW), "wanted")
-    suspects = stored(texts.where(F.octet_length("text") >= length).join(asked, _same_row()).select(*texts.columns, "wanted"))
+    suspects = stored(texts.where(F.octet_length("text") >= length).join(asked.hint("shuffle_hash"), _same_row()).select(*texts.columns, "wanted"))
 
     totals = {r["kind"]: r["bytes"] for r in contents.groupBy("kind").agg(F.sum("place.size").alias("bytes")).collect()}
     runs = contents.where("kind = 0").select("anchor", "digest", F.lit(0).cast("long").alias("begin"), F.col("place.size").alias("end"), (F.col("lo") != F.col("hi")).alias("across"))
@@ -266,30 +265,41 @@ def by_row(spans: DataFrame) -> DataFrame:
     return spans.groupBy(*(F.col(c).alias(f"_{c}") for c in ROW)).agg(F.collect_set(F.struct("begin", "end", "across")).alias("spans"))
 
 
-def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal intervals of begin, end pairs."""
-    out: list[tuple[int, int]] = []
-    for begin, end in sorted(runs):
-        if out and begin <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((begin, end))
-    return out
-
-
-def n_words(text: bytes) -> int:
-    """Words that a piece of text has or cuts."""
-    return len(word_bounds(*joined([text]))[0])
-
-
-def passages(text: bytes, spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of over WORDS words that other documents have too."""
-    return [(b, e) for b, e in merged([(s["begin"], s["end"]) for s in spans if s["across"]]) if n_words(text[b:e]) > WORDS]
-
-
-def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    cuts = [0, *(x for span in spans for x in span), len(text)]
-    return b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+class Spans:
+    """The spans of a batch of texts as arrays, with the texts end to end."""
+
+    def __init__(self, texts: list[bytes], spans: pa.Array) -> None:
+        self.texts, (self.data, self.offsets) = texts, joined(texts)
+        inner = spans.flatten()
+        counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+        self.row = np.repeat(np.arange(len(texts)), counts)
+        self.begin, self.end = (self.offsets[self.row] + inner.field(k).to_numpy() for k in ("begin", "end"))
+        self.across = inner.field("across").to_numpy(zero_copy_only=False)
+
+    def merged(self, across: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, begin and end of the maximal runs that all spans (or those across documents) cover."""
+        chosen = np.flatnonzero(self.across) if across else np.arange(self.row.size)
+        chosen = chosen[np.lexsort((self.begin[chosen], self.row[chosen]))]
+        if not chosen.size:
+            return (np.zeros(0, np.int64),) * 3
+        begin, reach = self.begin[chosen], np.maximum.accumulate(self.end[chosen])
+        row = self.row[chosen]
+        first = np.flatnonzero(np.append(True, (begin[1:] > reach[:-1]) | (row[1:] != row[:-1])))
+        return row[first], begin[first], reach[np.append(first[1:] - 1, row.size - 1)]
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, begin and end of the maximal runs that other documents have too, with over WORDS words in whole or part."""
+        row, begin, end = self.merged(True)
+        starts, ends, _ = word_bounds(self.data, self.offsets)
+        many = np.searchsorted(starts, end) - np.searchsorted(ends, begin, "right") > WORDS
+        return row[many], begin[many], end[many]
+
+    def without(self, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The texts without these runs."""
+        out, at = list(self.texts), self.offsets[row]
+        for k, b, e in zip(row[::-1].tolist(), (begin - at)[::-1].tolist(), (end - at)[::-1].tolist(), strict=True):
+            out[k] = out[k][:b] + out[k][e:]
+        return out
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -297,42 +307,34 @@ def judged(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count, kept, long_runs = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                text = text.as_py()
-                runs = [r for r in merged([(s["begin"], s["end"]) for s in spans]) if r[1] - r[0] >= LENGTH]
-                count.append(len(passages(text, spans)))
-                kept.append(text if runs else None)
-                long_runs.append([{"begin": b, "end": e} for b, e in runs])
-            columns = [batch.column("doc"), batch.column("key"), pa.array(count, pa.int64()), pa.array(kept, pa.binary())]
-            columns.append(pa.array(long_runs, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "n_passages", "text", "runs"])
+            spans = Spans(batch.column("text").to_pylist(), batch.column("spans"))
+            count = np.bincount(spans.passages()[0], minlength=batch.num_rows)
+            row, begin, end = spans.merged()
+            long = end - begin >= LENGTH
+            row, begin, end = row[long], (begin - spans.offsets[row])[long], (end - spans.offsets[row])[long]
+            bounds = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            runs = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], ["begin", "end"]))
+            text = pc.if_else(pc.greater(pc.list_value_length(runs), 0), batch.column("text"), pa.scalar(None, batch.column("text").type))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(count), text, runs], ["doc", "key", "n_passages", "text", "runs"])
 
     return found.mapInArrow(run, "doc long, key long, n_passages long, text binary, runs array<struct<begin: long, end: long>>")
 
 
-def cut_texts(found: DataFrame, kept: str, spans_of: Callable) -> DataFrame:
-    """``found`` with n_removed, n_spans and what is left, as ``kept``, instead of its text and spans."""
+def cut_texts(found: DataFrame, runs_of: Callable[[Spans], tuple]) -> DataFrame:
+    """``found`` with n_removed, n_spans and kept, what is left, instead of its text and spans (null: none)."""
     rest = [f"`{n}` {t}" for n, t in found.dtypes if n not in ("text", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, count, left = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                text = text.as_py()
-                gone = spans_of(text, spans or [])
-                removed.append(sum(e - b for b, e in gone))
-                count.append(len(gone))
-                left.append(without(text, gone))
+            spans = Spans(batch.column("text").to_pylist(), batch.column("spans"))
+            row, begin, end = runs_of(spans)
             others = batch.drop_columns(["text", "spans"])
-            columns = [*others.columns, pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(left, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*others.schema.names, "n_removed", "n_spans", kept])
-
-    return found.mapInArrow(run, ", ".join([*rest, "n_removed long", "n_spans long", f"{kept} binary"]))
-
+            removed = np.bincount(row, end - begin, batch.num_rows).astype(np.int64)
+            columns = [*others.columns, pa.array(removed), pa.array(np.bincount(row, minlength=batch.num_rows))]
+            columns.append(pa.array(spans.without(row, begin, end), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [*others.schema.names, "n_removed", "n_spans", "kept"])
 
-def all_runs(text: bytes, spans: list[dict]) -> list[tuple[int, int]]:
-    return merged([(s["begin"], s["end"]) for s in spans])
+    return found.mapInArrow(run, ", ".join([*rest, "n_removed long, n_spans long, kept binary"]))
 
 
 def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -342,12 +344,12 @@ def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
     only such runs of LENGTH bytes or more are searched for the longer strings.
     """
     spans, suspects = repeated_spans(whole_texts(docs), PASSAGE, hot)
-    known = stored(judged(suspects.join(by_row(spans), _same_row()).select("doc", "key", "text", "spans")))
+    known = stored(judged(suspects.join(by_row(spans).hint("shuffle_hash"), _same_row()).select("doc", "key", "text", "spans")))
     runs = known.where("text IS NOT NULL").select("doc", "key", "text", F.explode("runs").alias("r"))
     pieces = stored(runs.select("doc", "key", F.col("r.begin").alias("at"), F.substring(F.col("text"), F.col("r.begin") + 1, F.col("r.end") - F.col("r.begin")).alias("text")))
     longer = repeated_spans(pieces, LENGTH, hot)[0].select("doc", "key", F.lit(0).cast("long").alias("at"), (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"), "across")
     found = known.withColumn("at", F.lit(0).cast("long")).join(by_row(longer), _same_row(), "left")
-    cut = cut_texts(found.where("spans IS NOT NULL").select("doc", "key", "n_passages", "text", "spans"), "kept", all_runs)
+    cut = cut_texts(found.where("spans IS NOT NULL").select("doc", "key", "n_passages", "text", "spans"), Spans.merged)
     nothing = F.lit(0).cast("long")
     whole = found.where("spans IS NULL").select("doc", "key", "n_passages", nothing.alias("n_removed"), nothing.alias("n_spans"), F.lit(None).cast("binary").alias("kept"))
     return cut.unionByName(whole).dropDuplicates(["doc", "key"])
@@ -384,8 +386,8 @@ def remove_passages_from_texts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     result; columns of any other name are carried through.
     """
     spans = by_row(repeated_spans(whole_texts(docs), PASSAGE, hot)[0].where("across"))
-    found = named(docs).where(F.octet_length("bytes") >= PASSAGE).join(spans, _same_row(), "left").select("row", F.col("bytes").alias("text"), "spans")
-    cut = cut_texts(found, "kept", passages).where("octet_length(kept) > 0")
+    found = named(docs).where(F.octet_length("bytes") >= PASSAGE).join(spans.hint("shuffle_hash"), _same_row(), "left").select("row", F.col("bytes").alias("text"), "spans")
+    cut = cut_texts(found, Spans.passages).where("octet_length(kept) > 0")
     left = F.col("kept").cast("string")
     valid = F.when(F.col("n_removed") == 0, left).otherwise(F.coalesce(F.try_validate_utf8(left), F.make_valid_utf8(left)))
     cut = cut.select("row.*", "n_removed", valid.alias("text"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import Counter
 
@@ -21,21 +22,26 @@ def repeated(texts, n, copies, lo, hi):
         for i in range(len(t) - n + 1):
             counts[t[i : i + n]] += copies[k]
             owners.setdefault(t[i : i + n], set()).update([lo[k], hi[k]])
-    starts = lambda t, f: [i <= len(t) - n and f(t[i : i + n]) for i in range(len(t))]
-    return [(starts(t, lambda w: counts[w] > 1), starts(t, lambda w: len(owners[w]) > 1)) for t in texts]
+    out = set()
+    for k, t in enumerate(texts):
+        for across, holds in ((False, lambda w: counts[w] > 1), (True, lambda w: len(owners[w]) > 1)):
+            flags = [False, *(i <= len(t) - n and holds(t[i : i + n]) for i in range(len(t))), False]
+            edges = [i for i in range(len(flags) - 1) if flags[i] != flags[i + 1]]
+            out |= {(k, b, e - 1 + n, across) for b, e in zip(edges[::2], edges[1::2], strict=True)}
+    return {r for r in out if r[3] or (*r[:3], True) not in out}
 
 
 def held_against_loop(texts, n, seed):
     rng = np.random.default_rng(seed)
     copies, lo = rng.integers(1, 3, len(texts)), rng.integers(0, 3, len(texts))
     hi = lo + (copies > 1) * rng.integers(0, 2, len(texts))
-    found = [(a.tolist(), b.tolist()) for a, b in suffixes.equal_windows(texts, n, copies, lo, hi)]
-    assert found == repeated(texts, n, copies, lo, hi)
+    found = list(zip(*(c.tolist() for c in suffixes.repeated_runs(texts, n, copies, lo, hi)), strict=True))
+    assert len(set(found)) == len(found) and set(found) == repeated(texts, n, copies, lo, hi)
 
 
 @settings(max_examples=150, deadline=None)
 @given(contents, st.integers(1, 8), st.integers(0, 9))
-def test_equal_windows(texts, n, seed):
+def test_repeated_runs(texts, n, seed):
     held_against_loop(texts, n, seed)
 
 
@@ -59,6 +65,40 @@ def test_queues_on_disk(monkeypatch):
     held_against_loop(texts, 9, 1)
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=2, max_size=70), st.integers(2, 9), st.integers(2, 8))
+def test_names_are_sorted_by_recursion(values, run, base):
+    """Every level in files, down to a few names."""
+    names = np.unique(np.array([*values, 0]), return_inverse=True)[1].astype(np.int64)
+    old = suffixes.IN_MEMORY, suffixes.RUN
+    suffixes.IN_MEMORY, suffixes.RUN = base, run
+    try:
+        found = np.array(suffixes.sort_names(names, int(names.max()) + 1, 1000)).tolist()
+    finally:
+        suffixes.IN_MEMORY, suffixes.RUN = old
+    assert found == sorted(range(names.size), key=lambda i: names[i:].tolist())
+
+
+def test_a_shard_many_times_the_memory(monkeypatch):
+    """64 times IN_MEMORY, through at least one recursion in files, with all temporary files gone at the end."""
+    rng = np.random.default_rng(6)
+    base = bytes(rng.integers(97, 110, 3000).astype(np.uint8))
+    texts = [base[k : k + 700] + bytes(rng.integers(97, 123, 300).astype(np.uint8)) for k in range(0, 2300, 36)]
+    n = sum(map(len, texts))
+    plain = suffixes.repeated_runs(list(texts), 100, np.ones(len(texts), int), np.arange(len(texts)), np.arange(len(texts)))
+    made, sorted_in_files = [], []
+    keep = suffixes.induced_order
+    monkeypatch.setattr(suffixes, "induced_order", lambda *a: sorted_in_files.append(a[0].size) or keep(*a))
+    close = suffixes.Arrays.close
+    monkeypatch.setattr(suffixes.Arrays, "close", lambda self: made.append(self.folder) or close(self))
+    monkeypatch.setattr(suffixes, "IN_MEMORY", n // 64)
+    monkeypatch.setattr(suffixes, "RUN", 512)
+    found = suffixes.repeated_runs(list(texts), 100, np.ones(len(texts), int), np.arange(len(texts)), np.arange(len(texts)))
+    assert sorted(map(tuple, np.stack(found, axis=1).tolist())) == sorted(map(tuple, np.stack(plain, axis=1).tolist()))
+    assert len(plain[0]) > 50 and sorted_in_files
+    assert not any(f is not None and os.path.exists(f.name) for f in made)
+
+
 def expected(texts):
     counts = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
     out = []
