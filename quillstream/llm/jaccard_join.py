@@ -20,11 +20,12 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: sketch coordinate with probability 1 / (similarity * COORDINATES), so that a pair at the threshold stays
 #: together in one child on average. One run joins such a pair with probability 0.47 after two splits; all
 #: RUNS miss it with probability 4e-5, and pairs over the threshold less often. After MOST_SPLITS splits one run joins
-#: it with probability 0.31 only: rows that met a bucket over LARGE go through RUNS more runs among themselves, after
+#: it with probability 0.31 only: rows left in a bucket over LARGE go through RUNS more runs among themselves, after
 #: which a pair of them is missed with probability 5e-5.
 RUNS, SPLITS, MOST_SPLITS = 16, 2, 4
-#: Buckets over LARGE are split further, up to MOST_SPLITS; what is still over SALTED meets in parts first.
-LARGE, SALTED = 256, 4096
+#: Rows of a bucket that are compared in one task. Larger buckets meet in parts of about this size; what no other row
+#: of its part stands for meets again, and is split further if it is still more.
+LARGE = 1024
 #: Share of equal sketch coordinates that makes a candidate, and that lets one row stand for another.
 CANDIDATE, ABSORBED = 0.6, 0.9
 #: Texts of a component that are compared at a time; larger components go block against block.
@@ -177,20 +178,34 @@ def candidate_links(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path.view(np.int64))], ["id", "path"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "path", "code"]
         for group in by_group(batches, ["path", "salt"]):
-            if group.num_rows < 2:
+            if group.num_rows < 2 and group.column("parts")[0].as_py() < 2:
                 continue
             ids, codes = group.column("id").to_numpy(), _matrix(group.column("code"), np.uint8)
             links, leaders = bucket_links(codes)
             a, b = [int(ids[i]) for i, _ in links], [int(ids[j]) for _, j in links]
-            path, code = [None] * len(a), [None] * len(a)
+            path = [None] * len(a)
             if group.column("parts")[0].as_py() > 1:
                 a, b = a + [int(ids[i]) for i in leaders], b + [None] * len(leaders)
                 path += [group.column("path")[0].as_py()] * len(leaders)
-                code += [codes[i].tobytes() for i in leaders]
-            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(path, pa.int64()), pa.array(code, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(path, pa.int64())], ["a", "b", "path"])
+
+    def faced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches, ["path", "low", "high"]):
+            ids, block, codes = group.column("id").to_numpy(), group.column("block").to_numpy(), _matrix(group.column("code"), np.uint8)
+            low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+            own, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            forest, a, b = Forest(ids.size), [], []
+            for start in range(0, own.size, BLOCK):
+                some = own[start : start + BLOCK]
+                for part in range(0, other.size, BLOCK):
+                    most = other[part : part + BLOCK]
+                    same = (codes[some][:, None] == codes[most][None]).mean(axis=2)
+                    for i, j in zip(*np.nonzero(same >= CANDIDATE), strict=True):
+                        if forest.join(int(some[i]), int(most[j])):
+                            a.append(int(ids[some[i]]))
+                            b.append(int(ids[most[j]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], ["a", "b", "path"])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,35 +213,53 @@ def candidate_links(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "code"])
 
     codes = stored(texts.select("id", "sketch").mapInArrow(coded, "id long, code binary"))
-    schema, ready = "a long, b long, path long, code binary", []
-    sources = texts.select("id", "sketch")
+    sources, schema = texts.select("id", "sketch"), "a long, b long, path long"
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """The rows of paths that two or more have, with how many."""
+        counts = stored(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        return stored(rows.join(counts, "path").select("path", "id", "n"))
+
+    def met(buckets: DataFrame) -> DataFrame:
+        """Links inside buckets or their parts, and the leaders of parts, as rows without b."""
+        parts = F.ceil(F.col("n") / LARGE)
+        salted = buckets.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
+        dealt = salted.join(codes, "id").select("path", "salt", "parts", "id", "code")
+        return stored(sorted_groups(dealt, ["path", "salt"], linked, schema))
+
+    def block_by_block(buckets: DataFrame) -> DataFrame:
+        """Links of buckets that stay large, each block of rows with each other: quadratic in what is left of them."""
+        blocks = F.ceil(F.col("n") / LARGE)
+        placed = buckets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(codes, "id")
+        dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+            "path", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "id", "code"
+        )
+        return stored(sorted_groups(dealt, ["path", "low", "high"], faced, schema))
+
+    found = []
     rows = stored(sources.mapInArrow(roots(1), "id long, path long"))
     for split in range(SPLITS, MOST_SPLITS + 1):
-        counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        shared = stored(rows.join(counts, "path"))
-        large = shared.where(F.col("n") > LARGE)
-        if split == MOST_SPLITS or not large.limit(1).count():
-            ready.append(shared)
+        found.append(met(shared(rows)))
+        leaders = found[-1].where("b IS NULL").select("path", F.col("a").alias("id"))
+        if not leaders.limit(1).count():
+            break
+        left = shared(leaders)
+        found.append(met(left.where(F.col("n") <= LARGE)))
+        large = left.where(F.col("n") > LARGE)
+        if not large.limit(1).count():
             break
-        if split == SPLITS:  # the further runs start where the first ones stand, and split with them
-            again = sources.join(large.select("id").distinct(), "id").select("id", "sketch")
-            more = stored(again.mapInArrow(roots(RUNS + 1), "id long, path long"))
-            shared = stored(shared.unionByName(more.join(more.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path")))
-            large = shared.where(F.col("n") > LARGE)
-        ready.append(shared.where(F.col("n") <= LARGE))
-        rows = stored(large.join(sources, "id").select("id", "path", "sketch").mapInArrow(deeper, "id long, path long"))
-    buckets = ready[0]
-    for more in ready[1:]:
-        buckets = buckets.union(more)
-    parts = F.ceil(F.col("n") / SALTED)
-    salted = buckets.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
-    first = stored(sorted_groups(salted.join(codes, "id").select("path", "salt", "parts", "id", "code"), ["path", "salt"], linked, schema))
-    links = first.where("b IS NOT NULL").select("a", "b")
-    leaders = first.where("b IS NULL")
-    if leaders.limit(1).count():
-        again = leaders.select("path", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("parts"), F.col("a").alias("id"), "code")
-        links = links.union(sorted_groups(again, ["path", "salt"], linked, schema).select("a", "b"))
-    return links
+        if split == MOST_SPLITS:
+            found.append(block_by_block(large))
+            break
+        rows = large.join(sources, "id").select("id", "path", "sketch").mapInArrow(deeper, "id long, path long")
+        if split == SPLITS:
+            again = sources.join(large.select("id").distinct(), "id", "left_semi").select("id", "sketch")
+            rows = rows.unionByName(again.mapInArrow(roots(RUNS + 1), "id long, path long"))
+        rows = stored(rows)
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+    return links.where("b IS NOT NULL").select("a", "b")
 
 
 def verified(members: DataFrame) -> DataFrame:
@@ -318,9 +351,13 @@ def join_near_texts(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_class(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of every class: the one with the least doc_id, and one of equal such rows."""
+    """``docs`` with one row of every class: the one with the least doc_id, and one of equal such rows.
+
+    Texts that are null, empty or blank are linked to nothing; a null counts as the empty text, so one row stays of
+    all of these. An empty table gives an empty result; columns of any other name are carried through.
+    """
     _, texts = classes_of_texts(docs)
-    kept = texts.where("keeper").select(F.col("key").alias("_key"), F.col("first").alias("_first"))
-    keyed = docs.withColumn("_text_key", text_key())
-    joined = keyed.join(kept, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
-    return joined.dropDuplicates(["_text_key"]).select(*docs.columns)
+    kept = texts.where("keeper").select(F.col("key").alias("kept"), "first")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key().alias("key"), F.col("doc_id").cast("long").alias("doc"))
+    joined = keyed.join(kept, (F.col("key") == F.col("kept")) & F.col("doc").eqNullSafe(F.col("first")))
+    return joined.dropDuplicates(["key"]).select("row.*")

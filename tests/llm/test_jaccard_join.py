@@ -61,10 +61,9 @@ def test_edge_rows(edges, edge_rows):
 
 
 def test_groups_of_near_copies(spark, monkeypatch):
-    """A large group, in several blocks and salted parts."""
+    """A large group, in several blocks and parts."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     monkeypatch.setattr(jaccard_join, "LARGE", 20)
-    monkeypatch.setattr(jaccard_join, "SALTED", 32)
     rng = random.Random(3)
     base = prose(rng, 120).split()
     rows = []
