@@ -87,3 +87,8 @@ def population_deviation(numbers: Column) -> Column:
     mean = sums(lambda x: x) / F.nullif(n, F.lit(0))
     square = sums(lambda x: x * x) / F.nullif(n, F.lit(0)) - mean * mean
     return F.sqrt(F.greatest(square, F.lit(0.0)))
+
+
+def split_lines(text: Column) -> Column:
+    """Lines as Python's ``splitlines`` gives them: all its line ends count, and none is added by one at the end."""
+    return F.split(F.regexp_replace(text, r"(?:\r\n|[\n\r\u000B\f\u001C-\u001E\u0085\u2028\u2029])\z", ""), r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085\u2028\u2029]")

@@ -52,23 +52,40 @@ def with_feels(chunks: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
     """Value at index round((n - 1) * p), half to even, of each group in ascending order; exact.
 
-    The group's size comes from the same window partitioning as the rank, so there is one shuffle.
+    A first pass gives every group its size and, by an approximate percentile of known error, bounds between which the
+    value must be; only rows between them are ranked, from the number of those under them.
     """
-    by_group = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).select(
-        *group, F.col(value).alias(name), F.row_number().over(by_group.orderBy(value)).alias("_rank"), F.count("*").over(by_group).alias("_n")
-    )
-    p = min(1.0, max(0.0, p))
+    p, error = min(1.0, max(0.0, p)), 0.002
+    known = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias(name))
+    ends = F.percentile_approx(name, [max(0.0, p - 2 * error), min(1.0, p + 2 * error)], int(1 / error))
+    lo = F.when(F.lit(p - 2 * error <= 0), F.col("_least")).otherwise(F.col("_e")[0])
+    hi = F.when(F.lit(p + 2 * error >= 1), F.col("_most")).otherwise(F.col("_e")[1])
+    sizes = known.groupBy(*group).agg(F.count("*").alias("_n"), F.min(name).alias("_least"), F.max(name).alias("_most"), ends.alias("_e"))
+    sizes = sizes.select(*(F.col(g).alias(f"_{g}") for g in group), "_n", lo.alias("_lo"), hi.alias("_hi"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    placed = known.join(sizes, same)
+    under = placed.groupBy(*group).agg(F.count(F.when(F.col(name) < F.col("_lo"), 1)).alias("_under"))
+    under = under.select(*(F.col(g).alias(f"_u{g}") for g in group), "_under")
+    inside = placed.where(F.col(name).between(F.col("_lo"), F.col("_hi"))).join(under, [F.col(g).eqNullSafe(F.col(f"_u{g}")) for g in group])
+    ranked = inside.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(name)) + F.col("_under"))
     return ranked.where(F.col("_rank") == F.bround((F.col("_n") - 1) * p).cast("long") + 1).select(*group, name)
 
 
 def summary_by_size(scored: DataFrame, value: str = "feels_score", top: float = 0.3) -> DataFrame:
-    """Count, least, largest, mean, median and top cutoff by pair_count, and over all (pair_count 0)."""
-    both = scored.select("pair_count", value).unionByName(scored.select(F.lit(0).alias("pair_count"), value))
-    plain = both.groupBy("pair_count").agg(
-        F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"), F.round(F.avg(value), 6).alias("mean"),
-        F.round(F.expr(f"percentile({value}, 0.5)"), 6).alias("median"),
+    """Count, least, largest, mean, median and top cutoff by pair_count, and over all (pair_count 0).
+
+    Scores have three digits, so equal ones are counted first, with partial sums; all else is read off the counts.
+    """
+    counts = scored.where(F.col(value).isNotNull()).groupBy("pair_count", F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    sizes = F.array("pair_count", F.lit(0).cast(dict(scored.dtypes)["pair_count"]))
+    both = counts.select(F.explode(sizes).alias("pair_count"), "_v", "_c").groupBy("pair_count", "_v").agg(F.sum("_c").alias("_c"))
+    by_size = Window.partitionBy("pair_count")
+    upto = F.sum("_c").over(by_size.orderBy("_v"))
+    ranked = both.withColumn("_n", F.sum("_c").over(by_size)).withColumn("_upto", upto)
+    place = F.bround((F.col("_n") - 1) * (1 - top)).cast("long") + 1
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    middle = (at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor(F.col("_n") / 2) + 1)) / 2
+    return ranked.groupBy("pair_count").agg(
+        F.sum("_c").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("largest"), F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 6).alias("mean"),
+        F.round(middle, 6).alias("median"), at(place).alias("top_cutoff"), F.sum(F.when(F.col("_upto") >= place, F.col("_c"))).alias("top_count"),
     )
-    cut = nearest_rank(both, ["pair_count"], value, 1 - top, "top_cutoff")
-    counted = both.join(cut, "pair_count").where(F.col(value) >= F.col("top_cutoff")).groupBy("pair_count").agg(F.count("*").alias("top_count"))
-    return plain.join(cut, "pair_count").join(counted, "pair_count")

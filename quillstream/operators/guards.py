@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,23 +75,129 @@ def token_bucket(calls: DataFrame, subsystem: str, time: str, order: str, per_mi
     return sequential(rows, subsystem, ["_at", order], ["_at", "_limit", "_burst"], lambda: None, step, "allowed boolean, tokens double, wait double")
 
 
+NANO = 1_000_000_000
+
+
+class Spend:
+    """Admitted amounts of the last hour and day, in billionths so that sums are exact, with running totals."""
+
+    def __init__(self) -> None:
+        self.kept = {HOUR: deque(), DAY: deque()}
+        self.total = {HOUR: 0, DAY: 0}
+
+    def forget(self, now: float) -> None:
+        for width, rows in self.kept.items():
+            while rows and rows[0][0] <= now - width:
+                self.total[width] -= rows.popleft()[1]
+
+    def over(self, amount: int, hourly: int, daily: int) -> str | None:
+        return "Hourly" if self.total[HOUR] + amount > hourly else "Daily" if self.total[DAY] + amount > daily else None
+
+    def add(self, now: float, amount: int) -> None:
+        for width, rows in self.kept.items():
+            rows.append((now, amount))
+            self.total[width] += amount
+
+
+def _billionths(amount: float | None) -> int:
+    return round((amount or 0.0) * NANO)
+
+
 def budget_admission(calls: DataFrame, stream: str, time: str, order: str, amount: str, hourly: float, daily: float) -> DataFrame:
     """(stream, order, verdict): calls in order, recorded only if neither the hour's nor the day's limit would be passed.
 
     What was admitted decides what follows, so it is a fold; the state is the admitted calls of the last day.
     """
     rows = calls.select(stream, order, (F.unix_micros(time) / 1e6).alias("_at"), F.col(amount).cast("double").alias("_amount"))
+    limits = _billionths(hourly), _billionths(daily)
+
+    def step(spend: Spend, row: tuple) -> tuple[Spend, tuple]:
+        now, cost = row[0], _billionths(row[1])
+        spend.forget(now)
+        verdict = spend.over(cost, *limits)
+        if verdict is None:
+            spend.add(now, cost)
+        return spend, (verdict or "ok",)
 
-    def step(kept: list, row: tuple) -> tuple[list, tuple]:
-        now, cost = row
-        kept = [k for k in kept if k[0] > now - DAY]
-        if sum(v for t, v in kept if t > now - HOUR) + cost > hourly:
-            return kept, ("Hourly",)
-        if sum(v for _, v in kept) + cost > daily:
-            return kept, ("Daily",)
-        return [*kept, (now, cost)], ("ok",)
+    return sequential(rows, stream, ["_at", order], ["_at", "_amount"], Spend, step, "verdict string")
 
-    return sequential(rows, stream, ["_at", order], ["_at", "_amount"], list, step, "verdict string")
+
+def limit_of(subsystem: Column, limits: dict[str, dict[str, float]]) -> tuple[Column, Column]:
+    """Full bucket and refill a second of a subsystem: its own limits, else those of ``general``, else 10 a minute.
+
+    Limits have per_minute or per_hour (10 a minute without either) and burst_allowance, which only fills the bucket.
+    """
+
+    def found(limit: dict[str, float]) -> tuple[float, float]:
+        count, seconds = (limit["per_minute"], 60.0) if "per_minute" in limit else (limit["per_hour"], 3600.0) if "per_hour" in limit else (10.0, 60.0)
+        return float(count + limit.get("burst_allowance", 0)), count / seconds
+
+    full, rate = (F.lit(x) for x in found(limits.get("general", {})))
+    for name, limit in limits.items():
+        own = found(limit)
+        full, rate = F.when(subsystem == name, own[0]).otherwise(full), F.when(subsystem == name, own[1]).otherwise(rate)
+    return full, rate
+
+
+def rate_status(tokens: DataFrame, subsystem: str, order: str, time: str, on: Column, full: Column, rate: Column) -> DataFrame:
+    """Per subsystem the tokens that its bucket has at a time, and what percentage of the full bucket that is."""
+    last = tokens.groupBy(subsystem).agg(F.max_by(F.struct(F.col("tokens").alias("t"), F.col(time).alias("at"), full.alias("full"), rate.alias("rate")), order).alias("_l"))
+    waited = (F.unix_micros(on) - F.unix_micros("_l.at")) / 1e6
+    have = F.least(F.col("_l.full"), F.col("_l.t") + waited * F.col("_l.rate"))
+    return last.select(subsystem, F.round(have, 6).alias("available"), F.round(have / F.col("_l.full") * 100, 3).alias("percent"))
+
+
+def guarded(
+    calls: DataFrame, stream: str, caller: str, time: str, order: str, amount: str, digest: str, hourly: float, daily: float, full: Column, rate: Column,
+    most: int = 3, seconds: float = 300,
+) -> DataFrame:
+    """(stream, order, allowed, errors): each call held against budget, rate limit of its caller and repeated prompts.
+
+    All that fail are named (``hourly`` or ``daily``, ``rate``, ``loop``); only an allowed call spends, takes a token
+    and is remembered as a prompt, so it is a fold over the stream's calls in order.
+    """
+    at = (F.unix_micros(time) / 1e6).alias("_at")
+    rows = calls.select(stream, order, at, F.col(amount).cast("double").alias("_amount"), F.col(caller).alias("_caller"), F.col(digest).alias("_digest"), full.alias("_full"), rate.alias("_rate"))
+    limits = _billionths(hourly), _billionths(daily)
+
+    def start() -> tuple:
+        return Spend(), {}, deque(), Counter()
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        spend, buckets, prompts, seen = state
+        now, cost, who, prompt, most_tokens, refill = row[0], _billionths(row[1]), *row[2:]
+        spend.forget(now)
+        while prompts and prompts[0][0] <= now - seconds:
+            seen[prompts.popleft()[1]] -= 1
+        tokens, before = buckets.get(who, (most_tokens, now))
+        tokens = min(most_tokens, tokens + (now - before) * refill)
+        over = spend.over(cost, *limits)
+        errors = [e for e, failed in ((over and over.lower(), over), ("rate", tokens < 1), ("loop", seen[prompt] >= most)) if failed]
+        if not errors:
+            spend.add(now, cost)
+            tokens -= 1
+            prompts.append((now, prompt))
+            seen[prompt] += 1
+        buckets[who] = (tokens, now)
+        return state, (not errors, ",".join(errors))
+
+    return sequential(rows, stream, ["_at", order], ["_at", "_amount", "_caller", "_digest", "_full", "_rate"], start, step, "allowed boolean, errors string")
+
+
+def recent(records: DataFrame, time: str, now: Column, seconds: float) -> DataFrame:
+    """Records up to a time that are younger than ``seconds`` then: what a pruned state still has."""
+    age = F.unix_micros(now) - F.unix_micros(time)
+    return records.where((age >= 0) & (age < int(seconds * 1_000_000)))
+
+
+def near_repeats(prompts: DataFrame, digest: str, most: int = 3) -> DataFrame:
+    """Digests that are one short of a loop or over it, with their counts."""
+    return prompts.groupBy(digest).agg(F.count("*").alias("n")).where(F.col("n") >= most - 1)
+
+
+def without_subsystem(records: DataFrame, subsystem: str, name: str | None = None) -> DataFrame:
+    """Records after a reset of one subsystem, or of all."""
+    return records.limit(0) if name is None else records.where(~F.col(subsystem).eqNullSafe(F.lit(name)))
 
 
 def circuit_breaker(calls: DataFrame, stream: str, order: str, failed: str) -> DataFrame:

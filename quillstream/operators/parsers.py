@@ -114,3 +114,16 @@ def migrated_labels(text: Column) -> tuple[Column, Column, Column]:
     human, assistant = r"(?m)^=== Human ===$", r"(?m)^=== Assistant ===$"
     changed = F.regexp_replace(F.regexp_replace(text, human, "=== H ==="), assistant, "=== C ===")
     return changed, F.regexp_count(text, F.lit(human)), F.regexp_count(text, F.lit(assistant))
+
+
+def parsed(files: DataFrame, path: str = "path", text: str = "text", thinking: bool = True) -> DataFrame:
+    """(path, place, speaker, content_type, content) of the segments of files of any format, by the suffix of the path.
+
+    place orders the segments of a file: the first line in texts, a hundred times the line plus the block in JSON lines.
+    """
+    known = files.select(F.col(path).alias("path"), F.col(text).alias("text"), format_of(F.col(path)).alias("_f"))
+    texts = known.where("_f <> 'jsonl'").select("path", F.when(F.col("_f") == "html", html_text(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    segments = markdown_segments(texts, "path", thinking=thinking).select("path", F.col("line_start").alias("place"), "speaker", "content_type", "content")
+    lines = known.where("_f = 'jsonl'").select("path", F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    messages = jsonl_segments(lines, ["path", "number"], thinking=thinking).select("path", (F.col("number") * 100 + F.col("block")).alias("place"), "speaker", "content_type", "content")
+    return segments.unionByName(messages)

@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sampling import uniform
 
-# Paths that never count as code, suffixes of code, places of publishable and research files.
-STATE_FILES = [
-    "session_state.md", "agent/run_narrative.md", "agent/runner_state.md", "agent/heartbeat_state.json", "agent/heartbeat.log", "agent/heartbeat_events.md",
-    "agent/interoception/state.json", "agent/companions/companion_state.json", "agent/memory_companion/companion_state.json",
-]
+# Suffixes of code.
 CODE_SUFFIXES = ["py", "ts", "js", "sh", "json", "yaml", "yml", "toml"]
-PUBLISHABLE = ["moltbook/drafts/", "shimmer-site/", "drops/inbox/"]
-PUBLISHABLE_FILES = ["vocabulary/shared.md", "vocabulary/introspection_opus-4-5-20251101.md"]
-RESEARCH = "moltbook/agent/scratch/"
+
+
+@dataclass(frozen=True)
+class Places:
+    """Where a project keeps what: state files that never count, publishable folders and files, research, notes."""
+
+    state: tuple[str, ...] = ()
+    publishable: tuple[str, ...] = ()
+    publishable_files: tuple[str, ...] = ()
+    research: str = "research/"
+    notes: str = "notes/"
+
+
 # What a command must not contain, and folders that must not change.
 DANGEROUS = ["rm -rf /", "rm -rf ~", "rm -rf", "git push --force", "git reset --hard", "DROP TABLE", "DELETE FROM", "curl", "wget"]
 PROTECTED = ["/usr", "/etc", "/boot", ".git"]
 CYCLE = 6
 
 
-def change_flags(files: DataFrame, pulse: str, path: str) -> DataFrame:
-    """Per pulse: files changed and whether code, publishable or research files are among them."""
+def change_flags(files: DataFrame, pulse: str | list[str], path: str, places: Places) -> DataFrame:
+    """Per pulse: files changed and whether code, publishable or research files or notes are among them."""
     p = F.col(path)
-    counted = ~p.isin(STATE_FILES)
+    counted = ~p.isin(list(places.state))
     code = counted & F.lower(F.element_at(F.split(p, r"\."), -1)).isin(CODE_SUFFIXES) & F.contains(p, F.lit("."))
-    publishable = counted & (p.rlike("^(" + "|".join(PUBLISHABLE) + ")") | p.isin(PUBLISHABLE_FILES))
-    return files.groupBy(pulse).agg(
-        F.count_distinct(p).alias("files_changed"), F.bool_or(code).alias("code_changed"), F.bool_or(publishable).alias("publishable"),
-        F.bool_or(counted & p.startswith(RESEARCH)).alias("research"), F.bool_or(F.contains(p, F.lit("files/notes/"))).alias("notes_written"),
+    published = reduce(or_, [p.startswith(f) for f in places.publishable], p.isin(list(places.publishable_files)))
+    return files.groupBy(*([pulse] if isinstance(pulse, str) else pulse)).agg(
+        F.count_distinct(p).alias("files_changed"), F.bool_or(code).alias("code_changed"), F.bool_or(counted & published).alias("publishable"),
+        F.bool_or(counted & p.startswith(places.research)).alias("research"), F.bool_or(F.contains(p, F.lit(places.notes))).alias("notes_written"),
     )
 
 
@@ -102,6 +113,48 @@ def text_report(best: DataFrame, group: str, families: list[str]) -> DataFrame:
     return blocks.select(group, F.array_join(F.transform("_b", lambda b: b["block"]), "\n\n").alias("report"))
 
 
+def _fired(families: list[str], line: Callable[[str, Column], Column]) -> Column:
+    """The lines of the families with a score, in order."""
+    return F.filter(F.array(*[F.when(F.col(f"h_{f}") > 0, line(f, F.col(f"h_{f}"))) for f in families]), lambda x: x.isNotNull())
+
+
+def _ordered(best: DataFrame, group: str, block: Column, between: str) -> DataFrame:
+    blocks = best.select(group, F.struct("rank", block.alias("block")).alias("_b")).groupBy(group).agg(F.sort_array(F.collect_list("_b")).alias("_b"))
+    return blocks.select(group, F.array_join(F.transform("_b", lambda b: b["block"]), between).alias("report"))
+
+
+def _one_digit(x: Column) -> Column:
+    return F.format_number(F.round(x, 1), 1)
+
+
+def markdown_report(best: DataFrame, group: str, families: list[str], title: str, most: int = 1000) -> DataFrame:
+    """Markdown of each group's ranked segments: score, speaker and lines as a table, families, the text cut at ``most``."""
+    c = F.col
+    table = F.concat(F.lit("| Property | Value |\n|----------|-------|\n| Speaker | "), c("speaker"), F.lit(" |\n| Lines | "), c("line_start").cast("string"), F.lit("-"), c("line_end").cast("string"), F.lit(" |"))
+    bonus = F.when(c("context_bonus") > 0, F.concat(F.lit("\n| Context bonus | +"), _one_digit(c("context_bonus")), F.lit(" |"))).otherwise("")
+    fired = F.array_join(_fired(families, lambda f, x: F.concat(F.lit(f"\n- `{f}` (+"), _one_digit(x), F.lit(")"))), "")
+    named = F.when(fired != "", F.concat(F.lit("\n\n**Heuristics triggered:**"), fired)).otherwise("")
+    content = F.when(F.char_length("text") > most, F.concat(F.substring("text", 1, most), F.lit("\n[...truncated...]"))).otherwise(c("text"))
+    block = F.concat(F.lit("## #"), c("rank").cast("string"), F.lit(": Score "), F.format_number(F.round("combined", 2), 2), F.lit("\n\n"), table, bonus, named, F.lit("\n\n**Content:**\n```\n"), content, F.lit("\n```\n\n---\n"))
+    return _ordered(best, group, block, "\n").withColumn("report", F.concat(F.lit(f"# {title}\n\n"), "report"))
+
+
+def consolidation_report(best: DataFrame, group: str, families: list[str]) -> DataFrame:
+    """A condensed list of each group's ranked segments for notes: speaker, score, families, first line, lines."""
+    c = F.col
+    fired = F.array_join(_fired(families, lambda f, _: F.lit(f)), ", ")
+    line = F.substring_index("text", "\n", 1)
+    first = F.when(F.char_length(line) > 100, F.concat(F.substring(line, 1, 100), F.lit("..."))).otherwise(line)
+    block = F.concat(c("rank").cast("string"), F.lit(". **["), c("speaker"), F.lit("]** (score: "), _one_digit(c("combined")), F.lit(", "), F.when(fired != "", fired).otherwise("none"), F.lit(")\n   > "), first, F.lit("\n   Lines "), c("line_start").cast("string"), F.lit("-"), c("line_end").cast("string"), F.lit("\n"))
+    return _ordered(best, group, block, "\n").withColumn("report", F.concat(F.lit("## High-Salience Moments\n\n"), "report"))
+
+
+def formatted(best: DataFrame, group: str, formatter: Callable[[Column], Column]) -> DataFrame:
+    """A report by the caller's own formatter, which makes a text of the array of a group's segments, best first."""
+    rows = best.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", *[n for n in best.columns if n not in (group, "rank")]))).alias("_s"))
+    return rows.select(group, formatter(F.col("_s")).alias("report"))
+
+
 def json_report(best: DataFrame, columns: list[str]) -> DataFrame:
     return best.select(F.to_json(F.struct(*columns)).alias("entry"))
 

@@ -91,5 +91,6 @@ def hint(text: Column, most: int = 100) -> Column:
 
 
 def sanitised(query: Column) -> Column:
-    plain = F.regexp_replace(F.lower(query), python_regex(r"[^\w\s-]", ""), F.lit(" "))
+    """A query of words only: everything but letters, digits, underscores and hyphens is a space."""
+    plain = F.regexp_replace(query, python_regex(r"[^\w\s-]", ""), F.lit(" "))
     return F.trim(F.regexp_replace(plain, r"\s+", " "))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import HEURISTICS
 from ..functions.text import guarded, python_regex, total
+from .order import values_at
 
 THRESHOLD, TO_PREVIOUS, TO_NEXT = 3.0, 0.3, 0.15
 
@@ -44,18 +47,12 @@ def with_context_bonus(df: DataFrame, document: str, order: str) -> DataFrame:
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """One row: n, min, max, mean, sample deviation and the values at floor(n * p) for p10 ... p99."""
     points = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    n = F.sum("_c").over(Window.partitionBy())
-    upto = F.sum("_c").over(Window.orderBy(value))
-    ranked = counts.select(value, "_c", n.alias("_n"), upto.alias("_upto"))
-    index = lambda p: F.when((F.lit(p) == 0.99) & (F.col("_n") < 100), F.col("_n") - 1).otherwise(F.floor(F.col("_n") * p))
-    found = [F.min(F.when(F.col("_upto") > index(p), F.col(value))).alias(name) for name, p in points.items()]
-    mean = F.sum(F.col(value) * F.col("_c")) / F.sum("_c")
-    square = F.sum(F.col(value) * F.col(value) * F.col("_c"))
-    deviation = F.sqrt(F.greatest(F.lit(0.0), (square - F.sum("_c") * mean * mean) / F.nullif(F.sum("_c") - 1, F.lit(0))))
-    return ranked.agg(
-        F.sum("_c").alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"), F.round(mean, 6).alias("mean"), F.round(deviation, 5).alias("stdev"), *found
-    )
+
+    def rank(p: float) -> Callable[[Column], Column]:
+        return lambda n: F.when((F.lit(p) == 0.99) & (n < 100), n).otherwise(F.floor(n * p) + 1)
+
+    plain = df.agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 5).alias("stdev"))
+    return plain.crossJoin(F.broadcast(values_at(df, value, {name: rank(p) for name, p in points.items()})))
 
 
 def bucket(value: Column) -> Column:

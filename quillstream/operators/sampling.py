@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import ranked
+
 DECAY = 0.85
 
 
@@ -35,25 +37,34 @@ def with_effective_score(df: DataFrame, state: DataFrame, key: str, on: Column,
 
 
 def top_share(df: DataFrame, group: str, score: str, tie: list[str], share: float, bottom: bool = False) -> DataFrame:
-    """The best (or worst) max(1, floor(n * share)) rows of every group, with their rank; one shuffle."""
-    order = F.col(score).asc() if bottom else F.col(score).desc()
-    ties = [F.col(t).desc() if bottom else F.col(t).asc() for t in tie]
-    by_group = Window.partitionBy(group)
-    ranked = df.withColumn("rank", F.row_number().over(by_group.orderBy(order, *ties))).withColumn("_n", F.count("*").over(by_group))
-    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_n")
+    """The best (or worst) max(1, floor(n * share)) rows of every group, with their rank."""
+    ties = [-F.col(t) if bottom else F.col(t) for t in tie]
+    wanted = lambda rank, n: rank <= F.greatest(F.lit(1), F.floor(n * share))
+    return ranked(df, [group], F.col(score) if bottom else -F.col(score), ties, wanted).drop("_n")
 
 
 def with_softmax(df: DataFrame, group: str, score: str, temperature: float) -> DataFrame:
-    """Add probability: softmax of the score within each group, uniform if it sums to 0."""
-    by_group = Window.partitionBy(group)
-    scaled = F.exp((F.col(score) - F.max(score).over(by_group)) / max(temperature, 0.001))
-    summed = df.withColumn("_e", scaled).withColumn("_s", F.sum("_e").over(by_group))
-    return summed.withColumn("probability", F.when(F.col("_s") > 0, F.col("_e") / F.col("_s")).otherwise(1.0 / F.count("*").over(by_group))).drop("_e", "_s")
+    """Add probability: softmax of the score within each group, uniform if it sums to 0.
+
+    The groups' largest scores and sums are aggregates with partial results, joined back.
+    """
+    named = F.col(group).alias("_g")
+    tops = df.groupBy(named).agg(F.max(score).alias("_m"), F.count("*").alias("_n"))
+    scaled = df.join(tops, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_e", F.exp((F.col(score) - F.col("_m")) / max(temperature, 0.001)))
+    sums = scaled.groupBy(F.col(group).alias("_h")).agg(F.sum("_e").alias("_s"))
+    joined = scaled.join(sums, F.col(group).eqNullSafe(F.col("_h")))
+    return joined.withColumn("probability", F.when(F.col("_s") > 0, F.col("_e") / F.col("_s")).otherwise(1.0 / F.col("_n"))).drop("_g", "_h", "_m", "_n", "_e", "_s")
+
+
+def draw(key: list[str], seed: int) -> Column:
+    """A whole number under 2^48 drawn by an MD5 hash of the key; equal for equal seeds, whatever the partitioning."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
 def uniform(key: list[str], seed: int) -> Column:
-    """A number in (0, 1) drawn by a hash of the key; equal for equal seeds, whatever the partitioning."""
-    return (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in (0, 1) drawn by ``draw``."""
+    return (draw(key, seed) + 0.5) / float(1 << 48)
 
 
 def weighted_sample(df: DataFrame, weight: str, key: list[str], k: int, seed: int) -> DataFrame:
@@ -67,12 +78,14 @@ def uniform_sample(df: DataFrame, key: list[str], k: int, seed: int) -> DataFram
 
 
 def draw_with_replacement(df: DataFrame, probability: str, order: list[str], k: int, seed: int) -> DataFrame:
-    """``k`` draws by cumulative probability; the table of draws is tiny and meets the intervals in a range join."""
-    spark = df.sparkSession
-    upto = F.sum(probability).over(Window.orderBy(*order))
-    placed = df.withColumn("_to", upto).withColumn("_from", upto - F.col(probability))
-    draws = spark.range(k).select(F.col("id").alias("draw"), uniform(["id"], seed).alias("_u"))
-    return placed.join(F.broadcast(draws), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).drop("_u", "_from", "_to")
+    """``k`` draws, each by the given chances: (draw, order columns), the least -ln(u) / probability of all rows.
+
+    Draws are independent races, so partial minima meet in one row a draw; nothing is sorted or numbered.
+    """
+    key = F.struct(*order)
+    races = [F.min_by(key, F.struct(-F.ln(uniform(order, seed * 1000 + i)) / F.col(probability), key)).alias(f"_{i}") for i in range(k)]
+    won = df.where(F.col(probability) > 0).agg(*races)
+    return won.select(F.posexplode(F.array(*[f"_{i}" for i in range(k)])).alias("draw", "_w")).where("_w IS NOT NULL").select("draw", "_w.*")
 
 
 def decayed_weights(chosen: DataFrame, key: str) -> DataFrame:

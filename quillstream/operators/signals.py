@@ -46,22 +46,23 @@ def with_affect(df: DataFrame, lexicon: DataFrame, key: str, text: str = "text")
     valence = F.when(F.col("negated"), -F.col("valence")).otherwise(F.col("valence"))
     means = tokens.join(lexicon, "word").groupBy(key).agg(F.avg(valence).alias("_v"), F.avg("arousal").alias("_r"))
     t, low = F.col(text), F.col("_low")
-    df = df.join(means, key, "left").withColumn("_low", F.lower(text)).withColumn("_lengths", F.transform(sentences(t), lambda s: F.size(words(s))))
+    df = df.withColumn("_low", F.lower(text)).withColumn("_lengths", F.transform(sentences(t), lambda s: F.size(words(s))))
     resisting = F.least(0.02 * occurrences(low, L.AFFECT_RESISTANCE), F.lit(0.08))
     allowing = F.least(0.02 * (occurrences(low, L.AFFECT_PERMISSIONS) + occurrences(low, L.LIFTS)), F.lit(0.08))
-    valence = F.coalesce("_v", F.lit(0.0)) - resisting + allowing
     n = F.greatest(F.lit(1), F.size("_lengths"))
     varied = F.when(F.size("_lengths") >= 2, F.least(population_deviation(F.col("_lengths")) / 200, F.lit(0.05))).otherwise(0.0)
     exclaimed = F.least(F.regexp_count(t, F.lit("!")) / n * 0.03, F.lit(0.06))
     asked = F.least(F.regexp_count(t, F.lit(r"\?")) / n * 0.015, F.lit(0.03))
     mixed = (F.size("_lengths") >= 3) & F.exists("_lengths", lambda x: x < 5) & F.exists("_lengths", lambda x: x > 15)
-    arousal = F.coalesce((F.col("_r") + 1) / 2, F.lit(0.5)) + varied + exclaimed + asked + F.when(mixed, 0.03).otherwise(0.0)
-    blank = stripped(t) == ""
+    # all that needs the text comes before the join, so that the text does not go through it where nobody asks for it
+    df = df.withColumns({"_dv": allowing - resisting, "_da": varied + exclaimed + asked + F.when(mixed, 0.03).otherwise(0.0), "_blank": stripped(t) == ""}).drop("_lengths", "_low")
     clamp = lambda x, low: F.greatest(F.lit(low), F.least(F.lit(1.0), x))
+    valence, arousal = F.coalesce("_v", F.lit(0.0)) + F.col("_dv"), F.coalesce((F.col("_r") + 1) / 2, F.lit(0.5)) + F.col("_da")
     return (
-        df.withColumn("affect_valence", F.when(blank, 0.0).otherwise(_round(clamp(valence, -1.0))))
-        .withColumn("affect_arousal", F.when(blank, 0.0).otherwise(_round(clamp(arousal, 0.0))))
-        .drop("_v", "_r", "_lengths", "_low")
+        df.join(means, key, "left")
+        .withColumn("affect_valence", F.when(F.col("_blank"), 0.0).otherwise(_round(clamp(valence, -1.0))))
+        .withColumn("affect_arousal", F.when(F.col("_blank"), 0.0).otherwise(_round(clamp(arousal, 0.0))))
+        .drop("_v", "_r", "_dv", "_da", "_blank")
     )
 
 

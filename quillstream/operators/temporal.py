@@ -82,7 +82,7 @@ def feeling_runs(df: DataFrame, stream: str, order: str, label: str) -> DataFram
     return counted.withColumn("previous", F.array_join(F.collect_list(label).over(w.rowsBetween(-9, 0)), ",")).drop("_same", "_repeats")
 
 
-def last_observed(df: DataFrame, stream: str, order: str, kind: str) -> Column:
+def last_observed(stream: str, order: str, kind: str) -> Column:
     """The last type seen before each row of a stream."""
     return F.last(kind, ignorenulls=True).over(Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
 
@@ -111,7 +111,7 @@ def baseline_scores(df: DataFrame, stream: str, order: str, kind: str, signals:
         mean = (SEED_COUNT * m0 + total) / count
         m2 = SEED_COUNT * s0 * s0 + square + SEED_COUNT * m0 * m0 - count * mean * mean
         deviation = F.sqrt(F.greatest(F.lit(0.0), m2) / count)
-        z = F.when(deviation < 0.001, F.when(F.abs(x - mean) > 0.01, 10.0).otherwise(0.0)).otherwise(F.round((x - mean) / deviation, 2))
+        z = F.when(deviation < 0.001, F.when(F.abs(x - mean) > 0.01, 10.0).otherwise(0.0)).otherwise(F.round(F.round((x - mean) / deviation, 9), 2))
         df = df.withColumn(f"z_{name}", z)
     return df.drop("_n")
 

@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, ledger, memory, parse, reporting, salience, signals
+from . import chunks, companions, exchange, injection, ledger, memory, pairs, parse, reporting, salience, signals, upkeep
 
-MODULES: list[ModuleType] = [chunks, salience, signals, ledger, memory, parse, reporting]
+MODULES: list[ModuleType] = [chunks, pairs, salience, signals, injection, ledger, companions, memory, upkeep, parse, exchange, reporting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -132,12 +132,8 @@ parts AS (SELECT conv_id, pair_count, chunk_index, source_date, text,
 feels AS (SELECT *, round((nonterminal + meta + hedging + affect + variance + permission + resistance + liminal_meta) * weight, 3) AS feels_score FROM parts)"""
 
 
-def oracles() -> dict[str, str]:
-    base, scored_sql = duck.CHUNKS, feels_sql()
-    names = ["nonterminal", "meta", "hedging", "affect", "variance", "permission", "resistance", "liminal_meta"]
-    stacked = " UNION ALL ".join(f"SELECT pair_count, '{n}' AS component, round({n}, 3) AS value FROM feels WHERE round({n}, 3) <> 0" for n in names)
-    stacked += " UNION ALL SELECT pair_count, 'pair_weight', weight FROM feels WHERE weight <> 1"
-    dressed = "'=== Human ===' || chr(10) || '<thinking>' || chr(10) || 'hidden' || chr(10) || '</thinking>' || chr(10) || text || '   ' || repeat(chr(10), 5) || '[attachment: a.png]' || chr(10) || 'Kept Line.  ' || chr(10) || '=== Assistant ===' || chr(10) || '<thinking>x</thinking>' || chr(10) || 'End. ' || chr(10) || chr(10)"
+def tags_sql() -> tuple[str, str]:
+    """The raw tags with their canonical names as ``known``, and the tags by priority as a list."""
     names_sql = "CASE x " + " ".join(f"WHEN {duck.lit(a)} THEN {duck.lit(b)}" for a, b in {**{t: t for t in PRIORITY}, **ALIASES}.items()) + " END"
     plain = "regexp_replace(regexp_replace(regexp_replace(lower(p), '^[-*\\s]+', ''), '\\s+', ' ', 'g'), '^[ .;:]+|[ .;:]+$', '', 'g')"
     listed = duck.array(PRIORITY)
@@ -145,6 +141,16 @@ def oracles() -> dict[str, str]:
 split AS (SELECT *, list_filter(list_transform(regexp_split_to_array(raw, '[,\\n]'), lambda p: {duck.stripped('p')}), lambda p: p <> '') AS parts FROM raw),
 named AS (SELECT *, list_transform(list_transform(parts, lambda p: {plain}), lambda x: {names_sql}) AS names FROM split),
 known AS (SELECT *, list_filter(names, lambda x, i: x IS NOT NULL AND list_position(names, x) = i) AS known FROM named)"""
+    return raw, listed
+
+
+def oracles() -> dict[str, str]:
+    base, scored_sql = duck.CHUNKS, feels_sql()
+    names = ["nonterminal", "meta", "hedging", "affect", "variance", "permission", "resistance", "liminal_meta"]
+    stacked = " UNION ALL ".join(f"SELECT pair_count, '{n}' AS component, round({n}, 3) AS value FROM feels WHERE round({n}, 3) <> 0" for n in names)
+    stacked += " UNION ALL SELECT pair_count, 'pair_weight', weight FROM feels WHERE weight <> 1"
+    dressed = "'=== Human ===' || chr(10) || '<thinking>' || chr(10) || 'hidden' || chr(10) || '</thinking>' || chr(10) || text || '   ' || repeat(chr(10), 5) || '[attachment: a.png]' || chr(10) || 'Kept Line.  ' || chr(10) || '=== Assistant ===' || chr(10) || '<thinking>x</thinking>' || chr(10) || 'End. ' || chr(10) || chr(10)"
+    raw, listed = tags_sql()
     clean = f"""lines AS (SELECT doc_id, unnest(string_split({dressed}, chr(10))) AS line, generate_subscripts(string_split({dressed}, chr(10)), 1) AS i FROM notes),
 state AS (SELECT *, contains(line, '<thinking>') AND NOT contains(line, '</thinking>') AS opens, contains(line, '</thinking>') AS closes FROM lines),
 inside AS (SELECT *, coalesce(last_value(CASE WHEN opens THEN 1 WHEN closes THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS within FROM state),
@@ -163,6 +169,7 @@ FROM b JOIN c USING (pair_count) GROUP BY b.pair_count""",
         "nearest_rank": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value AS cutoff FROM r WHERE rn = round_even((n - 1) * 0.7::DOUBLE, 0)::BIGINT + 1",
         "clean_text": f"WITH {duck.NOTES}, {clean} SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '^\\n+', ''), '\\n+$', ''), '\\n{{4,}}', repeat(chr(10), 3), 'g')) AS digest FROM kept",
         "label_detect": f"WITH {duck.NOTES} SELECT doc_id, array_to_string(regexp_extract_all({dressed}, '(?m)^===\\s*(.+?)\\s*===$', 1)[1:2], '|') AS labels FROM notes",
+        "clip_sentences": f"WITH {duck.NOTES} SELECT doc_id, md5(array_to_string(string_split(regexp_replace({duck.stripped('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' ')) AS digest FROM notes",
         "mask_names": f"WITH {duck.NOTES} SELECT doc_id, md5(array_to_string(list_transform(string_split({dressed.replace('|| text ||', "|| regexp_replace(text, '[^ -~' || chr(10) || ']', '', 'g') ||")}, chr(10)), lambda x: CASE WHEN starts_with(x, '===') THEN x ELSE regexp_replace(x, '\\b[A-Z][a-z]+\\b', '[x]', 'g') END), chr(10))) AS digest FROM notes",
         "tag_normalize": f"""WITH {raw} SELECT doc_id, coalesce(array_to_string(known, '|'), '') AS known, coalesce(array_to_string(list_filter(parts, lambda p, i: names[i] IS NULL), '|'), '') AS unknown,
 coalesce(array_to_string(list_transform(list_sort(list_transform(known, lambda x: list_position({listed}, x)))[1:2], lambda i: ({listed})[i]), '|'), '') AS main, CASE WHEN pair_count <= 1 THEN 'micro' WHEN pair_count <= 3 THEN 'meso' ELSE 'macro' END AS scale FROM known""",

@@ -56,10 +56,15 @@ def steps(count: str, *levels: tuple[float, float]) -> str:
     return "(CASE " + " ".join(f"WHEN ({count}) >= {least} THEN {score}" for least, score in levels) + " ELSE 0 END)"
 
 
-def r3(value: str) -> str:
-    """Three digits, halves away from zero, once the noise of sums is off."""
+def r3(value: str, digits: int = 3) -> str:
+    """Three digits (or others), halves away from zero, once the noise of sums is off."""
     x = f"round(({value})::DOUBLE, 9)"
-    return f"(sign({x}) * floor(abs({x}) * 1000 + 0.500000001) / 1000)"
+    return f"(sign({x}) * floor(abs({x}) * {10**digits} + 0.500000001) / {10**digits})"
+
+
+def draw(key: str, seed: int | str) -> str:
+    """A whole number under 2^48 drawn from a key (text) and a seed."""
+    return f"('0x' || substr(md5({key} || '|' || {seed}), 1, 12))::BIGINT"
 
 
 CHUNKS = f"""{TALKS},

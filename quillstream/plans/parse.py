@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import parsers
-from ..sources.tables import table
+from ..sources.tables import shared, table
 from ..streaming import windows
 from . import duck, ledger
 
@@ -18,8 +16,7 @@ PIECES = ["=== Human ===", "hello", "<thinking>", "quiet", "</thinking>", "**Cla
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with speaker lines, chosen by the number of the document, before and after the lines of the text."""
     pick = lambda k: F.element_at(F.array(*[F.lit(p) for p in PIECES]), (F.pmod(F.col("doc_id") * k + F.lit(k * k), F.lit(len(PIECES))) + 1).cast("int"))
-    body = F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n")
-    parts = [pick(1), pick(2), body, pick(4), pick(7), F.lit("mid"), pick(8), pick(11), F.lit("end"), pick(13)]
+    parts = [pick(1), pick(2), F.col("text"), pick(4), pick(7), F.lit("mid"), pick(8), pick(11), F.lit("end"), pick(13)]
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("text"))
 
 
@@ -28,6 +25,22 @@ def q_md_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_start", "line_end", "speaker", "content_type", F.md5("content").alias("digest"))
 
 
+def q_md_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parsers.markdown_segments(_markdown(spark, sf_dir), "doc_id", thinking=False)
+    return found.select("doc_id", "line_start", "speaker", F.md5("content").alias("digest"))
+
+
+def q_all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every format in one table: the suffix decides how each is read."""
+    kind = F.pmod("conv_id", F.lit(4))
+    quoted = lambda c: F.substring(F.to_json(F.struct(c.alias("x"))), 6, 1 << 30)
+    turn = F.when(kind == 1, F.concat(F.lit('{"role":"'), "role", F.lit('","content":'), quoted(F.col("text")))).when(kind == 2, F.concat(F.lit("<p>=== Human ===</p><p>\n</p><b>"), F.regexp_replace("text", "\n", "<br>"), F.lit("</b>"))).otherwise(F.concat(F.lit("=== Human ===\n"), "text"))
+    suffix = F.element_at(F.array(F.lit("md"), F.lit("JSONL"), F.lit("html"), F.lit("unknown")), (kind + 1).cast("int"))
+    first = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    files = first.select(F.concat(F.lit("dir/f"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit("."), suffix).alias("path"), turn.alias("text"))
+    return parsers.parsed(files).select("path", "place", "speaker", "content_type", F.md5(F.regexp_replace("content", r"\s+", " ")).alias("digest"))
+
+
 def q_jsonl_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, role = F.col("text"), F.col("role")
     block = lambda kind, name, value: F.to_json(F.struct(F.lit(kind).alias("type"), value.alias(name)))
@@ -55,10 +68,6 @@ def q_label_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(changed).alias("digest"), human.cast("long").alias("humans"), assistant.cast("long").alias("assistants"))
 
 
-def shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstream_")
-
-
 def q_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.drained(windows.tumbling(windows.event_stream(spark, sf_dir), "1 hour"), shared(spark), "complete")
 
@@ -72,14 +81,19 @@ def q_stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", windows.ROCKSDB)
-    return windows.drained(windows.decayed_peaks(windows.event_stream(spark, sf_dir)), shared(spark), "append")
+    """The state store that the processor needs is set for this query alone."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, windows.ROCKSDB)
+    try:
+        return windows.drained(windows.decayed_peaks(windows.event_stream(spark, sf_dir)), shared(spark), "append")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def oracles() -> dict[str, str]:
     pick = lambda k: f"({duck.array(PIECES)})[((doc_id * {k} + {k * k}) % {len(PIECES)} + 1)::BIGINT]"
-    body = "array_to_string(string_split(text, chr(10))[1:3], chr(10))"
-    parts = [pick(1), pick(2), body, pick(4), pick(7), "'mid'", pick(8), pick(11), "'end'", pick(13)]
+    parts = [pick(1), pick(2), "text", pick(4), pick(7), "'mid'", pick(8), pick(11), "'end'", pick(13)]
     human, claude = parsers.INLINE_HUMAN, parsers.INLINE_ASSISTANT
     md = f"""t AS (SELECT doc_id, {' || chr(10) || '.join(parts)} AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS i FROM t),
@@ -97,11 +111,27 @@ f AS (SELECT doc_id, line_start, line_end, speaker, CASE WHEN opens THEN 'thinki
 u AS (SELECT * FROM f UNION ALL SELECT doc_id, 0, len(string_split(text, chr(10))) - 1, 'unknown', 'text', text FROM t WHERE doc_id NOT IN (SELECT doc_id FROM f))"""
     role = "CASE role WHEN 'user' THEN 'human' ELSE role END"
     again = ledger.oracles()
+    raw = "(?s)<style>.*?</style>", "(?s)<script>.*?</script>"
+    inner = lambda t: f"regexp_extract(html, '(?s)<{t}>(.*?)</{t}>', 1)"
+    plain = lambda x: f"replace(replace(replace(replace({x}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    cut = f"regexp_replace(regexp_replace(regexp_replace(html, {duck.lit(raw[0])}, chr(3) || chr(1) || chr(3), 'g'), {duck.lit(raw[1])}, chr(3) || chr(2) || chr(3), 'g'), '(?s)(<!--.*?-->|<[!/?a-zA-Z][^>]*>)+', chr(3), 'g')"
+    nodes = f"list_transform(string_split({cut}, chr(3)), lambda x: CASE x WHEN chr(1) THEN {inner('style')} WHEN chr(2) THEN {inner('script')} ELSE {plain('x')} END)"
+    told = lambda xs: f"md5(coalesce(array_to_string(list_filter({xs}, lambda x: x <> ''), ' '), ''))"
+    peak = lambda last: duck.r3(f"greatest(coalesce(value, 0), {last} * 0.85)")
+    flat = lambda c: f"md5(regexp_replace({c}, '\\s+', ' ', 'g'))"
     return {
         "md_segments": f"WITH {md} SELECT doc_id, line_start::INT AS line_start, line_end::INT AS line_end, speaker, content_type, md5(content) AS digest FROM u",
         "jsonl_segments": f"""SELECT conv_id, turn, 0 AS block, {role} AS speaker, 'thinking' AS content_type, md5('hm') AS digest FROM conversations WHERE turn % 4 = 0
 UNION ALL SELECT conv_id, turn, 1, {role}, 'text', md5(text) FROM conversations WHERE turn % 4 = 0 UNION ALL SELECT conv_id, turn, 0, 'assistant', 'text', md5(text) FROM conversations WHERE turn % 4 IN (1, 2)""",
         "label_migration": "SELECT doc_id, md5('=== H ===' || chr(10) || text || chr(10) || '=== C ===' || chr(10) || '=== Human === no' || chr(10) || '=== H ===') AS digest, 2::BIGINT AS humans, 1::BIGINT AS assistants FROM documents",
+        "md_spoken": f"WITH {md} SELECT doc_id, line_start::INT AS line_start, speaker, md5(content) AS digest FROM u WHERE content_type <> 'thinking'",
+        "all_formats": f"""WITH f AS (SELECT *, conv_id % 4 AS k, 'dir/f' || conv_id || '_' || turn || '.' AS p FROM conversations WHERE role <> 'system')
+SELECT p || CASE k WHEN 0 THEN 'md' ELSE 'unknown' END AS path, 1::BIGINT AS place, 'human' AS speaker, 'text' AS content_type, {flat(duck.stripped('text'))} AS digest FROM f WHERE k IN (0, 3) AND {duck.stripped('text')} <> ''
+UNION ALL SELECT p || 'JSONL', 0, CASE role WHEN 'user' THEN 'human' ELSE role END, 'text', {flat('text')} FROM f WHERE k = 1
+UNION ALL SELECT p || 'html', 1, 'human', 'text', {flat(duck.stripped("array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ')"))} FROM f WHERE k = 2""",
+        "html_text": f"WITH n AS (SELECT page_id, {nodes} AS xs, list_filter(string_split({cut}, chr(3)), lambda x: x NOT IN (chr(1), chr(2))) AS ys FROM pages) SELECT page_id, {told('xs')} AS digest, {told(f'list_transform(ys, lambda x: {plain(chr(120))})')} AS without_script FROM n",
+        "stream_decay": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, i, {peak('0')}::DOUBLE AS peak FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, {peak('f.peak').replace('value', 'e.value')}::DOUBLE FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT user_id, event_id, peak FROM f""",
         "stream_tumbling": again["tumbling_windows"],
         "stream_sliding": again["sliding_windows"],
         "stream_session": again["session_windows"],

@@ -9,15 +9,17 @@ from ..operators import reports
 from ..sources.tables import pick, table
 from . import duck, ledger, salience
 
-PATHS = ["agent/main.py", "session_state.md", "moltbook/drafts/a.md", "agent/heartbeat_state.json", "moltbook/agent/scratch/x.txt", "files/notes/n.md", "conf/a.YAML", "readme", "vocabulary/shared.md"]
+PATHS = ["src/main.py", "state/session.md", "drafts/a.md", "state/beat.json", "research/x.txt", "files/notes/n.md", "conf/a.YAML", "readme", "vocabulary/shared.md"]
+PLACES = reports.Places(("state/session.md", "state/beat.json"), ("drafts/", "site/"), ("vocabulary/shared.md",), "research/", "files/notes/")
 COMMANDS = ["ls -la", "sudo rm -rf /tmp", "drop table x", "WGET http://a", "git push", "git reset --hard HEAD", "echo ok"]
 TARGETS = ["/usr/lib/a", "/usrlocal/a", "work/.git/config", ".git", "/etc", "home/a.txt"]
 EVENTS = {"click": "considering", "purchase": "done", "signup": "fresh"}
 
 
 def q_change_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "events").select("user_id", pick(PATHS, F.col("event_id") + F.col("user_id")).alias("path")).where("event_id % 40 = 7 AND (user_id % 4 <> 0 OR path LIKE '%.md')")
-    return reports.change_flags(files, "user_id", "path")
+    """Files of every event, a user's day being a pulse."""
+    files = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), pick(PATHS, F.col("event_id") + F.col("user_id")).alias("path"))
+    return reports.change_flags(files, ["user_id", "day"], "path", PLACES)
 
 
 def q_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,29 @@ def q_salience_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", F.length("report").alias("chars"), F.md5("report").alias("digest"))
 
 
+def best_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best turns of each conversation, with lines as if each turn had three."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("combined"), "turn"))
+    best = salience.with_context(spark, sf_dir).withColumn("rank", place).where("rank <= 3").withColumn("speaker", F.col("role"))
+    return best.withColumn("line_start", F.col("turn") * 3).withColumn("line_end", F.col("turn") * 3 + 2)
+
+
+def q_markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.markdown_report(best_segments(spark, sf_dir), "conv_id", [n for n, _, _ in salience.FAMILIES], "Saliency", 400)
+    return found.select("conv_id", F.md5("report").alias("digest"))
+
+
+def q_consolidation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.consolidation_report(best_segments(spark, sf_dir), "conv_id", [n for n, _, _ in salience.FAMILIES])
+    return found.select("conv_id", F.md5("report").alias("digest"))
+
+
+def q_custom_formatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formatter of a user: speakers and turns, best first."""
+    best = best_segments(spark, sf_dir).select("conv_id", "rank", "speaker", "turn")
+    return reports.formatted(best, "conv_id", lambda s: F.array_join(F.transform(s, lambda x: F.concat(x["speaker"], F.lit("@"), x["turn"].cast("string"))), " > "))
+
+
 def q_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases of a user as pulses, errors as dialogs, matched as in dialog_match but by user."""
     from ..operators import relate
@@ -80,23 +105,27 @@ def q_spend_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracles() -> dict[str, str]:
     choose = lambda values, index: f"({duck.array(values)})[(({index}) % {len(values)} + 1)::BIGINT]"
-    state = duck.array(reports.STATE_FILES)
-    places = "|".join(reports.PUBLISHABLE)
     danger = "CASE " + " ".join(f"WHEN contains(lower(c), {duck.lit(d.lower())}) THEN {duck.lit(d)}" for d in reports.DANGEROUS) + " END"
     to_state = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{s}'" for e, s in EVENTS.items()) + " END"
     seg = f"{duck.TALKS}, {salience.salience_sql('talks', 'conv_id, turn, role, text')}"
     fam = ", ".join(f"CASE WHEN h_{n} > 0 THEN '      - {n} (+' || format('{{:.1f}}', floor(h_{n} * 10 + 0.500000001) / 10) || ')' END" for n, _, _ in salience.FAMILIES)
-    return {
-        "change_flags": f"""WITH f AS (SELECT user_id, event_id, {choose(PATHS, 'event_id + user_id')} AS p FROM events), g AS (SELECT *, NOT list_contains({state}, p) AS k FROM f WHERE event_id % 40 = 7 AND (user_id % 4 <> 0 OR p LIKE '%.md'))
-SELECT user_id, count(DISTINCT p) AS files_changed, bool_or(k AND regexp_matches(lower(p), '\\.({'|'.join(reports.CODE_SUFFIXES)})$')) AS code_changed, bool_or(k AND (regexp_matches(p, '^({places})') OR list_contains({duck.array(reports.PUBLISHABLE_FILES)}, p))) AS publishable, bool_or(k AND starts_with(p, '{reports.RESEARCH}')) AS research, bool_or(contains(p, 'files/notes/')) AS notes_written FROM g GROUP BY user_id""",
+    ranked = f"""{seg}, strong AS (SELECT *, CASE WHEN salience > 3 THEN salience ELSE 0 END AS s FROM seg),
+ctx AS (SELECT *, round(0.3 * coalesce(lead(s) OVER w, 0) + 0.15 * coalesce(lag(s) OVER w, 0), 6)::DOUBLE AS bonus FROM strong WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, round(salience + bonus, 6) AS combined, row_number() OVER (PARTITION BY conv_id ORDER BY round(salience + bonus, 6) DESC, turn) AS rank FROM ctx)"""
+    digit = lambda x: f"format('{{:.1f}}', floor({x} * 10 + 0.500000001) / 10)"
+    fired = lambda line: ", ".join(f"CASE WHEN h_{n} > 0 THEN {line(n)} END" for n, _, _ in salience.FAMILIES)
+    marked = fired(lambda n: f"chr(10) || '- `{n}` (+' || {digit(f'h_{n}')} || ')'")
+    named = fired(lambda n: f"'{n}'")
+    first = "string_split(text, chr(10))[1]"
+    found = {
+        "change_flags": f"""WITH f AS (SELECT user_id, ts::DATE AS day, {choose(PATHS, 'event_id + user_id')} AS p FROM events), g AS (SELECT *, NOT list_contains({duck.array(list(PLACES.state))}, p) AS k FROM f)
+SELECT user_id, day, count(DISTINCT p) AS files_changed, bool_or(k AND regexp_matches(lower(p), '\\.({'|'.join(reports.CODE_SUFFIXES)})$')) AS code_changed, bool_or(k AND (regexp_matches(p, '^({'|'.join(PLACES.publishable)})') OR list_contains({duck.array(list(PLACES.publishable_files))}, p))) AS publishable, bool_or(k AND starts_with(p, '{PLACES.research}')) AS research, bool_or(contains(p, '{PLACES.notes}')) AS notes_written FROM g GROUP BY user_id, day""",
         "safety": f"WITH r AS (SELECT event_id, {choose(COMMANDS, 'event_id')} AS c, {choose(TARGETS, 'event_id')} AS p FROM events) SELECT event_id, {danger} AS pattern, regexp_matches(p, '^/(usr|etc|boot)(/|$)') OR regexp_matches(p, '(^|/)\\.git/') OR p = '.git' AS protected FROM r",
         "inbox_states": f"WITH s AS (SELECT user_id, event_id, {to_state} AS s FROM events) SELECT user_id, coalesce(arg_max(s, event_id) FILTER (s IS NOT NULL), 'new') AS state, count(s) AS changes FROM s GROUP BY user_id",
         "cycle_position": "WITH n AS (SELECT *, event_type = 'view' AS wish, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), e AS (SELECT *, coalesce(sum(wish::INT) OVER (PARTITION BY user_id, n // 6 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT event_id, (n % 6 + 1)::INT AS position, wish AND before = 0 AS allowed FROM e",
         "template_fill": "SELECT c_custkey, 'Dear ' || c_name || ', ' || c_nationkey || ' items of ' || lower(c_mktsegment) || '. ' || c_name || '!' AS filled FROM customer",
         "mode_projection": "SELECT * FROM (SELECT n_nationkey AS key, n_name AS path, CASE WHEN n_nationkey * 2 % 3 = 0 THEN 'pointer' WHEN (n_nationkey + 2) % 3 = 1 THEN 'template' END AS kind FROM nation) WHERE kind IS NOT NULL",
-        "salience_report": f"""WITH {seg}, strong AS (SELECT *, CASE WHEN salience > 3 THEN salience ELSE 0 END AS s FROM seg),
-ctx AS (SELECT *, round(0.3 * coalesce(lead(s) OVER w, 0) + 0.15 * coalesce(lag(s) OVER w, 0), 6)::DOUBLE AS bonus FROM strong WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-r AS (SELECT *, round(salience + bonus, 6) AS combined, row_number() OVER (PARTITION BY conv_id ORDER BY round(salience + bonus, 6) DESC, turn) AS rank FROM ctx),
+        "salience_report": f"""WITH {ranked},
 b AS (SELECT conv_id, rank, '#' || rank || ' -- Score: ' || format('{{:.2f}}', floor(combined * 100 + 0.500000001) / 100) || CASE WHEN bonus > 0 THEN ' (incl. +' || format('{{:.1f}}', floor(bonus * 10 + 0.500000001) / 10) || ' context)' ELSE '' END || chr(10) || '    Speaker: ' || role || chr(10) || coalesce(array_to_string(list_filter([{fam}], lambda x: x IS NOT NULL), chr(10)), '') || chr(10) || '    Content: ' || replace(substr(text, 1, 300), chr(10), ' ') || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS block FROM r WHERE rank <= 3),
 g AS (SELECT conv_id, array_to_string(list(block ORDER BY rank), chr(10) || chr(10)) AS report FROM b GROUP BY conv_id) SELECT conv_id, length(report)::INT AS chars, md5(report) AS digest FROM g""",
         "run_report": """WITH l AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'), p AS (SELECT user_id, event_id AS pulse, ts FROM events WHERE event_type = 'purchase'),
@@ -108,3 +137,15 @@ x AS (SELECT r.user_id, concat_ws(chr(10), '# Run ' || r.user_id || chr(10) || '
 SELECT user_id, md5(report) AS digest, length(report)::INT AS chars FROM x""",
         "spend_by_model": f"WITH {ledger.oracles()['rolling_spend'].split('WITH ')[1].split(', s AS')[0]} SELECT event_type, round(sum(cost), 6) AS cost, count(*) AS calls FROM l GROUP BY event_type",
     }
+    found["markdown_report"] = f"""WITH {ranked}, n AS (SELECT *, array_to_string(list_filter([{marked}], lambda x: x IS NOT NULL), '') AS fired FROM r WHERE rank <= 3),
+b AS (SELECT conv_id, rank, '## #' || rank || ': Score ' || format('{{:.2f}}', floor(combined * 100 + 0.500000001) / 100) || chr(10) || chr(10) || '| Property | Value |' || chr(10) || '|----------|-------|' || chr(10) || '| Speaker | ' || role || ' |' || chr(10) || '| Lines | ' || (turn * 3) || '-' || (turn * 3 + 2) || ' |' || CASE WHEN bonus > 0 THEN chr(10) || '| Context bonus | +' || {digit('bonus')} || ' |' ELSE '' END
+|| CASE WHEN coalesce(fired, '') <> '' THEN chr(10) || chr(10) || '**Heuristics triggered:**' || fired ELSE '' END || chr(10) || chr(10) || '**Content:**' || chr(10) || '```' || chr(10) || CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || chr(10) || '[...truncated...]' ELSE text END || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) AS block FROM n)
+SELECT conv_id, md5('# Saliency' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY rank)) AS digest FROM b GROUP BY conv_id"""
+    found["consolidation_report"] = f"""WITH {ranked}, n AS (SELECT *, array_to_string(list_filter([{named}], lambda x: x IS NOT NULL), ', ') AS fired FROM r WHERE rank <= 3),
+b AS (SELECT conv_id, rank, rank || '. **[' || role || ']** (score: ' || {digit('combined')} || ', ' || CASE WHEN coalesce(fired, '') <> '' THEN fired ELSE 'none' END || ')' || chr(10) || '   > ' || CASE WHEN length({first}) > 100 THEN substr({first}, 1, 100) || '...' ELSE {first} END || chr(10) || '   Lines ' || (turn * 3) || '-' || (turn * 3 + 2) || chr(10) AS block FROM n)
+SELECT conv_id, md5('## High-Salience Moments' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY rank)) AS digest FROM b GROUP BY conv_id"""
+    found["custom_formatter"] = f"WITH {ranked} SELECT conv_id, string_agg(role || '@' || turn, ' > ' ORDER BY rank) AS report FROM r WHERE rank <= 3 GROUP BY conv_id"
+    uniform = lambda seed: f"((('0x' || substr(md5(event_id || '|' || {seed}), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656)"
+    found["texture_profile"] = f"""WITH d AS (SELECT event_id, CASE WHEN {uniform(5)} < 0.6 THEN 'meso' WHEN {uniform(5)} < 0.85 THEN 'micro' ELSE 'macro' END AS drawn FROM events),
+c AS (SELECT *, CASE WHEN drawn = 'macro' THEN 1 WHEN {uniform(6)} < 0.5 THEN 1 WHEN {uniform(6)} < 0.85 THEN 2 ELSE 3 END AS count FROM d) SELECT event_id, count::INT AS count, CASE WHEN drawn = 'meso' AND count > 1 AND {uniform(7)} < 0.5 THEN 'micro' ELSE drawn END AS scale FROM c"""
+    return found

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hits
 from ..operators import saliency, sampling
-from ..sources.tables import table, talks
+from ..sources.tables import cut, table, talks
 from . import chunks, duck
 
 FAMILIES = saliency.heuristics("alex")
@@ -47,7 +47,7 @@ def q_salience_by_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_salience_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saliency.distribution(segments(spark, sf_dir), "salience")
+    return saliency.distribution(cut(segments(spark, sf_dir).select("salience")), "salience")
 
 
 def q_heuristic_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +96,8 @@ def q_effective_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str, bottom: bool = False) -> DataFrame:
-    rounded = effective(spark, sf_dir).withColumn("effective", F.round("effective", 6))
-    return sampling.top_share(rounded, "pair_count", "effective", ["conv_id", "chunk_index"], 0.1 if bottom else 0.3, bottom)
+    rounded = effective(spark, sf_dir).select("conv_id", "pair_count", "chunk_index", F.round("effective", 6).alias("effective"))
+    return sampling.top_share(cut(rounded), "pair_count", "effective", ["conv_id", "chunk_index"], 0.1 if bottom else 0.3, bottom)
 
 
 def q_top_percentile_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +109,12 @@ def q_bottom_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_softmax_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = sampling.with_softmax(pool(spark, sf_dir), "pair_count", "effective", 1.5)
+    weighted = sampling.with_softmax(cut(pool(spark, sf_dir)), "pair_count", "effective", 1.5)
     return weighted.select("pair_count", "conv_id", "chunk_index", F.round("probability", 6).alias("probability"))
 
 
 def q_weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = sampling.with_softmax(pool(spark, sf_dir), "pair_count", "effective", 1.5)
+    weighted = sampling.with_softmax(cut(pool(spark, sf_dir)), "pair_count", "effective", 1.5)
     return sampling.weighted_sample(weighted, "probability", ["conv_id", "pair_count", "chunk_index"], 5, 11).select("conv_id", "pair_count", "chunk_index")
 
 
@@ -128,16 +128,17 @@ def q_negated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).groupBy("role").agg(F.sum(hits(low, ["not", "no", "never"])).alias("hits"), F.count("*").alias("turns"))
 
 
+def found_sql(p: str) -> str:
+    """1 where the text has the pattern, else 0."""
+    if "(?!" in p:  # the engine's expressions have no lookahead: matched somewhere with no '?' after it
+        head = p.split("(?!")[0]
+        return f"({duck.found('lower(text)', head + '[^?' + chr(92) + 'n]*(' + chr(92) + 'n|$)', 'is').replace('(?is)', '(?i)')})::INT"
+    return f"{duck.found('lower(text)', p)}::INT"
+
+
 def salience_sql(source: str, columns: str) -> str:
     def family(weight: float, patterns: list[str]) -> str:
-        found = []
-        for p in patterns:
-            if "(?!" in p:  # the engine's expressions have no lookahead: matched somewhere with no '?' after it
-                head = p.split("(?!")[0]
-                found.append(f"({duck.found('lower(text)', head + '[^?' + chr(92) + 'n]*(' + chr(92) + 'n|$)', 'is').replace('(?is)', '(?i)')})::INT")
-            else:
-                found.append(f"{duck.found('lower(text)', p)}::INT")
-        m = " + ".join(found)
+        m = " + ".join(found_sql(p) for p in patterns)
         return f"(CASE WHEN ({m}) > 0 THEN {weight} * (1 + 0.5 * (({m}) - 1)) ELSE 0 END)::DOUBLE"
 
     each = ", ".join(f"{family(w, ps)} AS h_{n}" for n, w, ps in FAMILIES)
@@ -160,6 +161,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY pair_count ORDER BY effective
     sweep = ", ".join(f"({f}::DOUBLE, {c}::DOUBLE)" for f, c in SWEEP)
     index = lambda p: f"CASE WHEN {p} = 0.99 AND n < 100 THEN n - 1 ELSE floor(n * {p}::DOUBLE)::BIGINT END"
     points = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    keyed = "conv_id || '|' || pair_count || '|' || chunk_index"
     stacked = " UNION ALL ".join(f"SELECT '{k[2:]}' AS family, count(*) FILTER ({k} > 0) AS n, count(*) AS all_n FROM fam" for k in KEYS)
     return {
         "salience_score": f"WITH {seg} SELECT conv_id, turn, salience FROM seg",
@@ -175,5 +177,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY pair_count ORDER BY effective
         "top_percentile_pool": f"WITH {eff}, {pools} SELECT pair_count, rank, conv_id, chunk_index, effective FROM top WHERE rank <= greatest(1, floor(n * 0.3::DOUBLE))",
         "bottom_pool": f"WITH {eff}, {pools} SELECT pair_count, low AS rank, conv_id, chunk_index, effective FROM top WHERE low <= greatest(1, floor(n * 0.1::DOUBLE))",
         "softmax_weights": f"WITH {eff}, {pools}, p AS (SELECT *, exp((effective - max(effective) OVER g) / 1.5) AS e FROM top WHERE rank <= greatest(1, floor(n * 0.3::DOUBLE)) WINDOW g AS (PARTITION BY pair_count)) SELECT pair_count, conv_id, chunk_index, round(e / sum(e) OVER (PARTITION BY pair_count), 6) AS probability FROM p",
+        "weighted_sample": f"WITH {eff}, {pools}, p AS (SELECT *, exp((effective - max(effective) OVER g) / 1.5) AS e FROM top WHERE rank <= greatest(1, floor(n * 0.3::DOUBLE)) WINDOW g AS (PARTITION BY pair_count)), q AS (SELECT *, e / sum(e) OVER (PARTITION BY pair_count) AS w FROM p) SELECT conv_id, pair_count, chunk_index FROM q ORDER BY -ln(({duck.draw(keyed, 11)} + 0.5::DOUBLE) / 281474976710656) / w, conv_id, pair_count, chunk_index LIMIT 5",
+        "uniform_sample": f"WITH {duck.CHUNKS} SELECT conv_id, pair_count::INT AS pair_count, chunk_index FROM chunks ORDER BY {duck.draw(keyed, 11)}, conv_id, pair_count, chunk_index LIMIT 8",
         "negated_hits": f"WITH {duck.TALKS} SELECT role, sum({duck.hits('lower(text)', ['not', 'no', 'never'])})::BIGINT AS hits, count(*) AS turns FROM talks GROUP BY role",
     }

@@ -38,7 +38,7 @@ def q_output_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def felt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = signals.with_affect(signals.with_behaviours(typed(notes(spark, sf_dir))), lexicon(spark), "doc_id")
+    full = signals.with_affect(signals.with_behaviours(typed(notes(spark, sf_dir))), lexicon(spark), "doc_id").drop("text")
     scores = {b: F.col(f"behavioral_{b}") for b in B}
     return full.withColumn("f", classify.feeling(F.col("affect_valence"), F.col("affect_arousal"), F.col("observed"), scores))
 
@@ -54,7 +54,7 @@ def q_feeling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_predicted_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = typed(notes(spark, sf_dir)).withColumn("last_type", temporal.last_observed(typed(notes(spark, sf_dir)), "lang", "doc_id", "observed"))
+    df = typed(notes(spark, sf_dir)).withColumn("last_type", temporal.last_observed("source", "doc_id", "observed"))
     m = lambda n, k: F.pmod(F.col("doc_id"), F.lit(n)) == k
     expected = classify.expected_type(
         F.when(m(3, 0), F.col("text")), F.when(m(3, 1), F.col("text")), F.when(m(2, 1), F.col("text")), m(23, 5), m(7, 2), F.pmod(F.col("doc_id"), F.lit(8)) + 1, F.col("last_type")
@@ -63,31 +63,31 @@ def q_predicted_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linguistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.with_linguistic(notes(spark, sf_dir)).select("doc_id", "lang", "meta_commentary", *Z)
+    return signals.with_linguistic(notes(spark, sf_dir)).select("doc_id", "source", "meta_commentary", *Z)
 
 
 def q_decayed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.decayed_peaks(linguistic(spark, sf_dir), "lang", "doc_id", {"meta_commentary": 0.0, "hedging_ratio": 0.5, "question_density": 0.0})
+    return temporal.decayed_peaks(linguistic(spark, sf_dir), "source", "doc_id", {"meta_commentary": 0.0, "hedging_ratio": 0.5, "question_density": 0.0})
 
 
 def q_decayed_peaks_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = temporal.decayed_peaks_closed(linguistic(spark, sf_dir), "lang", "doc_id", "question_density")
-    return found.select("doc_id", F.round("peak", 6).alias("peak"))
+    found = temporal.decayed_peaks_closed(linguistic(spark, sf_dir), "source", "doc_id", "question_density")
+    return found.select("doc_id", F.round(F.round("peak", 9), 6).alias("peak"))
 
 
 def q_elevation_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.elevation(linguistic(spark, sf_dir), "lang", "doc_id", "hedging_ratio").select("doc_id", "elevated", F.col("streak").cast("long"))
+    return temporal.elevation(linguistic(spark, sf_dir), "source", "doc_id", "hedging_ratio").select("doc_id", "elevated", F.col("streak").cast("long"))
 
 
 def q_baseline_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = typed(signals.with_linguistic(notes(spark, sf_dir)))
-    found = temporal.baseline_scores(df, "lang", "doc_id", "observed", Z)
+    found = temporal.baseline_scores(df, "source", "doc_id", "observed", Z)
     return found.select("doc_id", "observed", *[f"z_{z}" for z in Z])
 
 
 def q_feeling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = felt(spark, sf_dir).withColumn("label", F.col("f.type"))
-    return temporal.feeling_runs(df, "lang", "doc_id", "label").select("doc_id", "label", F.col("in_state").cast("long"), "previous")
+    return temporal.feeling_runs(df, "source", "doc_id", "label").select("doc_id", "label", F.col("in_state").cast("long"), "previous")
 
 
 def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def linguistic_sql() -> str:
     return f"""{duck.NOTES}, lc AS (SELECT *, {n} AS n, {duck.matches('text', L.HEDGE_PATTERNS)} AS h, {duck.matches('text', L.ASSERT_PATTERNS)} AS a,
   {duck.matches('text', L.META_PATTERNS)} AS m, {duck.matches('text', L.CORRECTION_PATTERNS)} AS c,
   regexp_replace(regexp_replace(text, '"[^"]*"', '', 'g'), '(^|[^\\w])''[^'']*''($|[^\\w])', '\\1\\2', 'g') AS unquoted FROM notes),
-ling AS (SELECT doc_id, lang, text, {duck.r3('least(1.0, m / n)')} AS meta_commentary, {duck.r3('coalesce(h / nullif(h + a, 0), 0.5)')} AS hedging_ratio, c::DOUBLE AS self_correction,
+ling AS (SELECT doc_id, source, text, {duck.r3('least(1.0, m / n)')} AS meta_commentary, {duck.r3('coalesce(h / nullif(h + a, 0), 0.5)')} AS hedging_ratio, c::DOUBLE AS self_correction,
   {duck.r3("least(1.0, (length(unquoted) - length(replace(unquoted, '?', ''))) / n)")} AS question_density FROM lc)"""
 
 
@@ -177,7 +177,18 @@ def feeling_sql() -> str:
     ]
     label = "CASE " + " ".join(f"WHEN {c} THEN {x}" for c, x, _ in cases) + " ELSE 'neutral' END"
     sure = "CASE " + " ".join(f"WHEN {c} THEN {y}" for c, _, y in cases) + " ELSE 0.5 END"
-    return f"{duck.NOTES}, {type_sql('notes')}, {behaviour_sql('typed')}, {affect_sql('beh')}, {steps}, felt AS (SELECT doc_id, lang, affect_valence, affect_arousal, {label} AS label, {duck.r3(sure)} AS sure FROM n7)"
+    return f"{duck.NOTES}, {type_sql('notes')}, {behaviour_sql('typed')}, {affect_sql('beh')}, {steps}, felt AS (SELECT doc_id, source, affect_valence, affect_arousal, {label} AS label, {duck.r3(sure)} AS sure FROM n7)"
+
+
+def baseline_sql(key: str) -> str:
+    """zs: signals of notes with their deviations from the running baseline of stream and type."""
+    seeds = ", ".join(f"('{t}', '{s}', {rows[temporal.SIGNALS.index(s)][0]}::DOUBLE, {rows[temporal.SIGNALS.index(s)][1]}::DOUBLE)" for t, rows in temporal.SEEDS.items() for s in Z)
+    stacked = " UNION ALL ".join(f"SELECT doc_id, {key}, observed, '{z}' AS s, {z} AS x FROM typed" for z in Z)
+    return f"""{linguistic_sql()}, {type_sql('ling')}, seed(observed, s, m0, s0) AS (VALUES {seeds}), x AS ({stacked}),
+r AS (SELECT x.*, m0, s0, count(*) OVER w AS n, coalesce(sum(x) OVER w, 0) AS t, coalesce(sum(x * x) OVER w, 0) AS q FROM x JOIN seed USING (observed, s) WINDOW w AS (PARTITION BY {key}, observed, s ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, (5 * m0 + t) / (5 + n) AS m FROM r), d AS (SELECT *, sqrt(greatest(0, 5 * s0 * s0 + q + 5 * m0 * m0 - (5 + n) * m * m) / (5 + n)) AS sd FROM b),
+z AS (SELECT doc_id, observed, s, x, CASE WHEN sd < 0.001 THEN CASE WHEN abs(x - m) > 0.01 THEN 10 ELSE 0 END ELSE {duck.r3("(x - m) / sd", 2)} END AS z FROM d),
+zs AS (SELECT doc_id, observed, {', '.join(f"max(x) FILTER (s = '{c}') AS {c}, max(z) FILTER (s = '{c}') AS z_{c}" for c in Z)} FROM z GROUP BY doc_id, observed)"""
 
 
 def oracles() -> dict[str, str]:
@@ -186,8 +197,6 @@ def oracles() -> dict[str, str]:
     ctx, tex = "lower(coalesce(con, ''))", "lower(coalesce(tex, ''))"
     pick = lambda c, i, p, s, d: f"CASE greatest({', '.join(x for x in (i, p, s, d) if x)}) WHEN {i} THEN 'infrastructure' WHEN {p} THEN 'philosophical' WHEN {s} THEN 'consolidation' ELSE 'companion' END"
     afford = "CASE label " + " ".join(f"WHEN '{n}' THEN {duck.lit(', '.join(x).replace('_', ' '))}" for n, x in k.AFFORDANCES.items()) + " END"
-    seeds = ", ".join(f"('{t}', '{s}', {rows[temporal.SIGNALS.index(s)][0]}::DOUBLE, {rows[temporal.SIGNALS.index(s)][1]}::DOUBLE)" for t, rows in temporal.SEEDS.items() for s in Z)
-    zs = " UNION ALL ".join(f"SELECT doc_id, lang, observed, '{z}' AS s, {z} AS x FROM typed" for z in Z)
     steps = [("meta_commentary", 0.0), ("hedging_ratio", 0.5), ("question_density", 0.0)]
     first = ", ".join(f"round(greatest({s}, {v}::DOUBLE * 0.85), 3) AS d_{s}" for s, v in steps)
     then = ", ".join(f"round(greatest(o.{s}, f.d_{s} * 0.85), 3)" for s, _ in steps)
@@ -203,24 +212,20 @@ def oracles() -> dict[str, str]:
         "signals_behavioral": f"WITH {duck.NOTES}, {behaviour_sql('notes')} SELECT doc_id, {', '.join(f'behavioral_{b}' for b in B)} FROM beh",
         "output_type": f"WITH {duck.NOTES}, {type_sql('notes')} SELECT doc_id, observed, confidence FROM typed",
         "feeling": f"WITH {feeling_sql()} SELECT doc_id, label AS feeling, sure AS confidence, round(round((abs(affect_valence) + affect_arousal) / 2, 9), 3) AS intensity, {afford} AS affordances FROM felt",
-        "feeling_runs": f"""WITH {feeling_sql()}, c AS (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY lang, label ORDER BY doc_id) AS island, array_to_string(list(label) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ',') AS previous FROM felt WINDOW w AS (PARTITION BY lang ORDER BY doc_id))
-SELECT doc_id, label, row_number() OVER (PARTITION BY lang, label, island ORDER BY doc_id) AS in_state, previous FROM c""",
-        "predicted_type": f"""WITH {duck.NOTES}, {type_sql('notes')}, p AS (SELECT *, last_value(observed IGNORE NULLS) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_type, CASE WHEN doc_id % 3 = 0 THEN text END AS ins, CASE WHEN doc_id % 3 = 1 THEN text END AS tex, CASE WHEN doc_id % 2 = 1 THEN text END AS con, doc_id % 8 + 1 AS pulse FROM typed),
+        "feeling_runs": f"""WITH {feeling_sql()}, c AS (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY source, label ORDER BY doc_id) AS island, array_to_string(list(label) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ',') AS previous FROM felt WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+SELECT doc_id, label, row_number() OVER (PARTITION BY source, label, island ORDER BY doc_id) AS in_state, previous FROM c""",
+        "predicted_type": f"""WITH {duck.NOTES}, {type_sql('notes')}, p AS (SELECT *, last_value(observed IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_type, CASE WHEN doc_id % 3 = 0 THEN text END AS ins, CASE WHEN doc_id % 3 = 1 THEN text END AS tex, CASE WHEN doc_id % 2 = 1 THEN text END AS con, doc_id % 8 + 1 AS pulse FROM typed),
 s AS (SELECT *, {duck.hits(low, k.INFRASTRUCTURE)} AS i1, {duck.hits(low, k.PHILOSOPHICAL)} AS p1, {duck.hits(low, k.CONSOLIDATION)} AS c1, {duck.hits(ctx, k.INFRASTRUCTURE)} AS i2, {duck.hits(ctx, k.PHILOSOPHICAL)} + {duck.hits(ctx, k.GALLERY)} AS p2, {duck.hits(ctx, k.CONSOLIDATION)} AS c2, {duck.hits(ctx, k.COMPANION)} AS d2, {duck.hits(tex, k.PHILOSOPHICAL[:8])} AS hint FROM p),
 g AS (SELECT *, greatest(i1, p1, c1) AS t1, greatest(i2, p2, c2, d2) AS t2 FROM s)
 SELECT doc_id, CASE WHEN doc_id % 23 = 5 THEN 'companion' WHEN doc_id % 7 = 2 AND pulse = 1 THEN 'consolidation' WHEN pulse >= 5 AND t2 >= 2 THEN {pick('', 'i2', 'p2', 'c2', 'd2')} WHEN t1 >= 1 THEN {pick('', 'i1', 'p1', 'c1', None)} WHEN pulse BETWEEN 2 AND 4 AND t2 >= 2 THEN {pick('', 'i2', 'p2', 'c2', 'd2')} WHEN hint >= 3 THEN 'philosophical' ELSE coalesce(last_type, 'exploratory') END AS expected,
 (CASE WHEN doc_id % 23 = 5 THEN 0.9 WHEN doc_id % 7 = 2 AND pulse = 1 THEN 0.6 WHEN pulse >= 5 AND t2 >= 2 THEN CASE WHEN t2 >= 5 THEN 0.6 ELSE 0.3 END WHEN t1 >= 1 THEN CASE WHEN t1 >= 2 THEN 0.6 ELSE 0.3 END WHEN pulse BETWEEN 2 AND 4 AND t2 >= 2 THEN CASE WHEN t2 >= 5 THEN 0.6 ELSE 0.3 END ELSE 0.3 END)::DOUBLE AS confidence FROM g""",
-        "decayed_signals": f"""WITH RECURSIVE {ling}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM ling),
-f AS (SELECT lang, doc_id, i, {first} FROM o WHERE i = 1 UNION ALL SELECT o.lang, o.doc_id, o.i, {then} FROM f JOIN o ON o.lang = f.lang AND o.i = f.i + 1) SELECT * EXCLUDE (i) FROM f""",
-        "decayed_peaks_closed": f"WITH {ling}, o AS (SELECT doc_id, lang, question_density AS x, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS t FROM ling) SELECT doc_id, round(greatest(0, max(x * (1 / 0.85::DOUBLE) ** t) OVER (PARTITION BY lang ORDER BY doc_id) * 0.85::DOUBLE ** t), 6) AS peak FROM o",
-        "elevation_streaks": f"""WITH {ling}, h AS (SELECT *, count(*) OVER w AS n, quantile_cont(hedging_ratio, 0.5) OVER w AS m, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM ling WINDOW w AS (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)),
+        "decayed_signals": f"""WITH RECURSIVE {ling}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM ling),
+f AS (SELECT source, doc_id, i, {first} FROM o WHERE i = 1 UNION ALL SELECT o.source, o.doc_id, o.i, {then} FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1) SELECT * EXCLUDE (i) FROM f""",
+        "decayed_peaks_closed": f"WITH {ling}, o AS (SELECT doc_id, source, question_density AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS t FROM ling) SELECT doc_id, {duck.r3('greatest(0, max(x * (1 / 0.85::DOUBLE) ** t) OVER (PARTITION BY source ORDER BY doc_id) * 0.85::DOUBLE ** t)', 6)} AS peak FROM o",
+        "elevation_streaks": f"""WITH {ling}, h AS (SELECT *, count(*) OVER w AS n, quantile_cont(hedging_ratio, 0.5) OVER w AS m, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM ling WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)),
 e AS (SELECT *, coalesce(n >= 3 AND CASE WHEN m = 0 THEN hedging_ratio > 0.1 ELSE hedging_ratio > 1.5 * m END, false) AS elevated FROM h)
-SELECT doc_id, elevated, i - coalesce(max(CASE WHEN NOT elevated THEN i END) OVER (PARTITION BY lang ORDER BY doc_id), 0) AS streak FROM e""",
-        "baseline_zscores": f"""WITH {ling}, {type_sql('ling')}, seed(observed, s, m0, s0) AS (VALUES {seeds}), x AS ({zs}),
-r AS (SELECT x.*, m0, s0, count(*) OVER w AS n, coalesce(sum(x) OVER w, 0) AS t, coalesce(sum(x * x) OVER w, 0) AS q FROM x JOIN seed USING (observed, s) WINDOW w AS (PARTITION BY lang, observed, s ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-b AS (SELECT *, (5 * m0 + t) / (5 + n) AS m FROM r), d AS (SELECT *, sqrt(greatest(0, 5 * s0 * s0 + q + 5 * m0 * m0 - (5 + n) * m * m) / (5 + n)) AS sd FROM b),
-z AS (SELECT doc_id, observed, s, CASE WHEN sd < 0.001 THEN CASE WHEN abs(x - m) > 0.01 THEN 10 ELSE 0 END ELSE round((x - m) / sd, 2) END AS z FROM d)
-SELECT doc_id, observed, {', '.join(f"max(z) FILTER (s = '{c}') AS z_{c}" for c in Z)} FROM z GROUP BY doc_id, observed""",
+SELECT doc_id, elevated, i - coalesce(max(CASE WHEN NOT elevated THEN i END) OVER (PARTITION BY source ORDER BY doc_id), 0) AS streak FROM e""",
+        "baseline_zscores": f"WITH {baseline_sql('source')} SELECT doc_id, observed, {', '.join(f'z_{c}' for c in Z)} FROM zs",
         "drives": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 f AS (SELECT user_id, event_id, i, {', '.join(f'{clamp(x)}::DOUBLE AS {d}' for d, x in drive.items())} FROM e WHERE i = 1
 UNION ALL SELECT e.user_id, e.event_id, e.i, {', '.join(clamp(f'f.{d} + {x}') + '::DOUBLE' for d, x in drive.items())} FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)

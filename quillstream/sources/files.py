@@ -83,3 +83,10 @@ def with_errors_aside(df: DataFrame, error: str, good: str, bad: str) -> None:
 def audit(calls: DataFrame, level: str) -> DataFrame:
     """Audit records to keep: none, errors_only or all."""
     return calls.where({"none": "false", "errors_only": "NOT success", "all": "true"}[level])
+
+
+def rebuild(chunks: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
+    """Replace all chunks under a path by these, or with ``dry_run`` leave it as it is; returns how many of each size."""
+    if not dry_run:
+        chunks.write.mode("overwrite").partitionBy("pair_count").json(path)
+    return chunks.groupBy("pair_count").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; in local mode a temporary one if none is set."""
+    sc, found = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not sc.getCheckpointDir() and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="quillstream_"))
+    return (found or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows checkpointed in the shared folder, for plans that read an expensive input more than once."""
+    shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer input splits than cores, dealt out to all of them, for work that costs more than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
@@ -60,12 +83,12 @@ def woven(text: Column, index: Column) -> Column:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with woven texts."""
-    return table(spark, sf_dir, "documents").withColumn("text", woven(F.col("text"), F.col("doc_id")))
+    return spread(table(spark, sf_dir, "documents")).withColumn("text", woven(F.col("text"), F.col("doc_id")))
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations with woven texts and, in every third conversation, turn 1 left out, so that roles repeat."""
-    df = table(spark, sf_dir, "conversations").where("NOT (conv_id % 3 = 0 AND turn = 1)")
+    df = spread(table(spark, sf_dir, "conversations")).where("NOT (conv_id % 3 = 0 AND turn = 1)")
     return df.withColumn("text", woven(F.col("text"), F.col("conv_id") * 31 + F.col("turn")))
 
 

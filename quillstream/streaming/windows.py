@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.folds import half_up
+
 LATE = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,15 +48,15 @@ class DecayedPeak(StatefulProcessor):
         self.peak = handle.getValueState("peak", "peak double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values("event_id")
+        """Rows of one key and batch, in order of arrival of its parts; each part is sorted and handed on by itself."""
         last = self.peak.get()[0] if self.peak.exists() else 0.0
-        out = []
-        for value in found["value"].fillna(0.0):
-            scaled = max(value, last * self.DECAY)
-            last = float(int(scaled * 1000 + 0.5)) / 1000 if scaled >= 0 else round(scaled, 3)
-            out.append(last)
-        self.peak.update((last,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": found["event_id"], "peak": out})
+        for part in rows:
+            found, out = part.sort_values("event_id"), []
+            for value in found["value"].fillna(0.0):
+                last = half_up(round(max(value, last * self.DECAY), 9))
+                out.append(last)
+            self.peak.update((last,))
+            yield pd.DataFrame({"user_id": key[0], "event_id": found["event_id"], "peak": out})
 
     def close(self) -> None:
         pass
