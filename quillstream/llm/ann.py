@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -10,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 
-#: Distinct vectors of a shard, and queries that one task searches a shard for.
+#: Distinct vectors of a shard, and queries that are searched for at a time.
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 #: Links of a node above the base layer (twice as many in it), and the beams of building and searching.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 128
@@ -180,7 +181,8 @@ def nearest(vectors: DataFrame, modulus: int = MODULUS, k: int = NEAREST) -> Dat
     vec_id. Rows without id, vector or norm, or with a null or non-finite component take no part; repeated rows
     count once; vectors only meet those of their own length; an empty table gives an empty result. Equal vectors
     are one node, with the k + 1 smallest ids, which are all that can be among k nearest. Every shard holds
-    SHARD_ROWS distinct vectors or fewer, on average, and answers every query; recall depends on SEARCH_BEAM.
+    SHARD_ROWS distinct vectors or fewer, on average, and answers every query; recall depends on SEARCH_BEAM. A shard's
+    graph goes to one task, which its queries stream through.
     """
     rows = usable(vectors).dropDuplicates(["vec_id", "embedding"])
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
@@ -202,35 +204,45 @@ def nearest(vectors: DataFrame, modulus: int = MODULUS, k: int = NEAREST) -> Dat
 
     graphs = stored(keyed.groupBy("shard").applyInArrow(build, "shard string, graph binary"))
     queries = stored(rows.where(F.pmod("vec_id", F.lit(modulus)) == 0))
-    blocks = max(1, ceil(queries.count() / QUERY_ROWS))
-    numbers = F.array(*[F.lit(i) for i in range(shards)])
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("_s", F.explode(numbers))
-    asked = asked.select("vec_id", "embedding", "block", F.concat_ws(":", F.size("embedding"), "_s").alias("shard"))
-    dealt = graphs.withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
-
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        with np.load(io.BytesIO(left.column("graph")[0].as_py())) as file:
-            original, ids = file["original"], file["ids"]
-            graph = [file[name] for name in sorted(file.files) if name.startswith("g")]
-        points = lifted(original)
-        asked = np.array(right.column("embedding").to_pylist(), np.float64)
-        found = search_graph(points, graph, np.pad(asked, ((0, 0), (0, 1))).astype(np.float32), SEARCH_BEAM)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for query, vector, nodes in zip(right.column("vec_id").to_pylist(), asked, found, strict=True):
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    asked = queries.withColumn("_s", numbers).select(F.concat_ws(":", F.size("embedding"), "_s").alias("shard"), "vec_id", "embedding")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard, its graph before its queries, which are answered as they stream by."""
+        current, loaded = None, None
+        for batch in batches:
+            names, graph, number = (batch.column(c) for c in ("shard", "graph", "vec_id"))
+            marks = list(zip(names.to_pylist(), graph.is_valid().to_pylist(), strict=True))
+            cuts = [k for k in range(len(marks)) if not k or marks[k] != marks[k - 1]]
+            for at, end in zip(cuts, [*cuts[1:], len(marks)], strict=True):
+                if marks[at][1]:
+                    current = marks[at][0]
+                    with np.load(io.BytesIO(graph[at].as_py())) as file:
+                        layers = [file[name] for name in sorted(file.files) if name.startswith("g")]
+                        loaded = file["original"], file["ids"], lifted(file["original"]), layers
+                elif marks[at][0] == current:
+                    for start in range(at, end, QUERY_ROWS):
+                        part = batch.slice(start, min(end, start + QUERY_ROWS) - start)
+                        vectors = np.array(part.column("embedding").to_pylist(), np.float64)
+                        yield answered(part.column("vec_id").to_numpy(), vectors, *loaded)
+
+    def answered(numbers: np.ndarray, vectors: np.ndarray, original: np.ndarray, ids: np.ndarray, points: np.ndarray, graph: list) -> pa.RecordBatch:
+        found = search_graph(points, graph, np.pad(vectors, ((0, 0), (0, 1))).astype(np.float32), SEARCH_BEAM)
+        out = []
+        for query, vector, nodes in zip(numbers.tolist(), vectors, found, strict=True):
             nodes = nodes[nodes >= 0]
-            members = ids[nodes]
-            score = np.repeat(original[nodes] @ vector, ids.shape[1])
-            member = members.ravel()
+            score, member = np.repeat(original[nodes] @ vector, ids.shape[1]), ids[nodes].ravel()
             real = (member >= 0) & (member != query)
             member, score = member[real], score[real]
             best = np.lexsort((member, -score))[:k]
             out.append((np.full(best.size, query), member[best], score[best]))
-        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
-
-    pairs = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-    hits = pairs.applyInArrow(search, "query_id long, vec_id long, score double")
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    none = F.lit(None)
+    both = graphs.select("shard", "graph", none.cast("long").alias("vec_id"), none.cast(rows.schema["embedding"].dataType).alias("embedding"))
+    both = both.unionByName(asked.withColumn("graph", none.cast("binary")))
+    tasks = max(partitions(vectors.sparkSession), shards)
+    dealt = both.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("graph").isNull(), "vec_id")
+    hits = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

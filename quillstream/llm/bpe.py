@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,8 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces over this many bytes leave the matrices for a heap of pairs, which follows the same rule.
-LONGEST_ROW = 256
+#: Bytes up to which pieces of like length share a matrix; a longer piece is a matrix of its own, of rows this wide.
+WIDTH = 256
 #: Texts are split this many characters at a time, and encoded pieces kept up to this number in a worker.
 CHUNK_CHARS, CACHED_PIECES = 1_500_000, 250_000
 NO_RANK = np.int32(2**31 - 1)
@@ -109,32 +108,42 @@ class Vocabulary:
         return done
 
     def encode_long(self, piece: bytes) -> np.ndarray:
-        """The same rule for one long piece, with the pairs in a heap by (rank, position)."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda i: self.pairs.get((ids[i] << 32) | ids[after[i]]) if after[i] < n else None
-        heap = [(r, i) for i in range(n - 1) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank(i) != r:
-                continue
-            gone = after[i]
-            ids[i], ids[gone], after[i] = r, -1, after[gone]
+        """The same rule for one long piece, laid out in rows of WIDTH: the row with the leftmost least rank merges its
+        pair each round, the least rank of every row being kept. A merged id stays at the place of its left part; the
+        places of right parts are empty, which ``after`` and ``before`` skip, and go at the end."""
+        n = len(piece)
+        height = -(-n // WIDTH)
+        ids = np.full(height * WIDTH, -1, np.int32)
+        ids[:n] = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = np.full(height * WIDTH, NO_RANK, np.int32)
+        ranks[: n - 1] = self.merged(ids[: n - 1], ids[1:n])
+        rows = ranks.reshape(height, WIDTH)
+        least, after, before = rows.min(axis=1), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank_of = lambda i: self.pairs.get((int(ids[i]) << 32) | int(ids[after[i]]), NO_RANK) if after[i] < n else NO_RANK
+        while True:
+            row = int(least.argmin())
+            best = least[row]
+            if best == NO_RANK:
+                return ids[ids >= 0]
+            i = row * WIDTH + int(rows[row].argmin())
+            gone = int(after[i])
+            ids[i], ids[gone], ranks[gone], after[i] = best, -1, NO_RANK, after[gone]
             if after[i] < n:
                 before[after[i]] = i
-            for j in (i, before[i]):
-                if j >= 0 and (x := rank(j)) is not None:
-                    heapq.heappush(heap, (x, j))
-        return np.array([x for x in ids if x >= 0], np.int32)
+            changed = {row, gone // WIDTH}
+            ranks[i] = rank_of(i)
+            if before[i] >= 0:
+                ranks[before[i]] = rank_of(before[i])
+                changed.add(int(before[i]) // WIDTH)
+            for k in changed:
+                least[k] = rows[k].min()
 
     def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of every piece; the pieces meet in matrices of like lengths."""
         out: list = [np.zeros(0, np.int32)] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
-            if len(piece) > LONGEST_ROW:
+            if len(piece) > WIDTH:
                 out[i] = self.encode_long(piece)
             elif piece:
                 buckets.setdefault(len(piece) if len(piece) <= 16 else -(-len(piece) // 16) * 16, []).append(i)
@@ -173,9 +182,11 @@ class Encoder:
         if len(self.known) + len(new) > CACHED_PIECES:
             self.known = {}
             new = list({p for pieces in split for p in pieces})
+        long = {}
         for piece, ids in zip(new, self.vocabulary.encode([p.encode() for p in new]), strict=True):
-            self.known[piece] = (",".join(map(str, ids.tolist())), ids.tobytes())
-        known = self.known
+            keep = self.known if len(piece) <= WIDTH else long
+            keep[piece] = (",".join(map(str, ids.tolist())), ids.tobytes())
+        known = self.known if not long else {**self.known, **long}
         for pieces in split:
             found = [known[p] for p in pieces]
             yield ",".join([x[0] for x in found]), np.frombuffer(b"".join([x[1] for x in found]), np.int32)
@@ -187,7 +198,8 @@ def encode_documents(docs: DataFrame, tokens: list[bytes], pattern: str, with_id
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded
     bytes) and, if asked for, ids. Null and empty texts have no tokens; repeated rows give repeated results; an
     empty table gives an empty result; extra columns are ignored. No shuffle: the vocabulary, of a fixed size,
-    is broadcast, and a worker holds the pieces of CHUNK_CHARS characters and CACHED_PIECES encoded ones.
+    is broadcast, and a worker holds the pieces of CHUNK_CHARS characters (of a longer text all of them) and
+    CACHED_PIECES encoded ones, each of WIDTH bytes or fewer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(tokens))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -14,10 +14,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; in local mode a temporary one if unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstream_"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -59,7 +61,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in environment.get("PYTHONPATH", "").split(":"):
         environment["PYTHONPATH"] = ":".join(filter(None, [environment.get("PYTHONPATH"), root]))
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table == "documents" and df.rdd.getNumPartitions() < cores:  # a small table of few splits is dealt out to all cores
+        df = df.repartition(cores)
+    return df
 
 
 def fold(column: str, mod: int) -> Column:

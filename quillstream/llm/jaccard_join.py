@@ -25,7 +25,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 RUNS, SPLITS, MOST_SPLITS = 16, 2, 4
 #: Rows of a bucket that are compared in one task. Larger buckets meet in parts of about this size; what no other row
 #: of its part stands for meets again, and is split further if it is still more.
-LARGE = 1024
+LARGE = 512
 #: Share of equal sketch coordinates that makes a candidate, and that lets one row stand for another.
 CANDIDATE, ABSORBED = 0.6, 0.9
 #: Texts of a component that are compared at a time; larger components go block against block.

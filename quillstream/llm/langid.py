@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ EPOCHS, BATCH, LEARNING = 8, 64, 0.02
 ROWS, CHUNK = 1024, 2_000_000
 PAD = 0x20
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 HELD_OUT, FOLDS = 2, 4
 
 

@@ -20,6 +20,8 @@ BINS = 2048
 EPOCHS, RATE, DECAY = 120, 40.0, 1e-4
 #: Bytes that a task turns into histograms at a time.
 CHUNK = 2_000_000
+#: Shares of a full step, and multiples of a plain one, that are tried in one pass.
+LENGTHS, MULTIPLES = (1.0, 0.5, 0.2), (1.0, 3.0, 10.0, 40.0)
 #: Labels up to which the sample has its full rows a label, and rows a label with more of them.
 MANY_LABELS, LEAST_PER_LABEL = 64, 25
 
@@ -127,48 +129,71 @@ def smoothed_targets(totals: list[float], temperature: float, headroom: float) -
     return [w * scale for w in weights]
 
 
-def rate_column(steps: list[list[float]], least: float) -> Column:
-    """The rate after all steps: each moves it along the posterior and projects it back to ``least`` or more."""
+def dot(vector: Column) -> Column:
+    """Product of the posterior with a vector."""
+    return F.aggregate(F.zip_with("posterior", vector, lambda p, v: p * v), F.lit(0.0), lambda s, v: s + v)
+
+
+def vector(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def moved(rate: Column, move: Column, gap: Column, least: float) -> Column:
+    """One projected step: documents at the bound that the gap pushes against it stay, the others move and are held."""
+    free = (rate > least) | (dot(gap) > 0)
+    return F.when(free, F.greatest(F.lit(float(least)), rate + dot(move))).otherwise(rate)
+
+
+def rate_column(steps: list[tuple[list[float], list[float]]], least: float) -> Column:
+    """The rate after all steps (move and gap), from 1."""
     if not steps:
         return F.lit(1.0)
-    moves = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
-    dot = lambda y: F.aggregate(F.zip_with("posterior", y, lambda p, v: p * v), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(moves, F.lit(1.0), lambda r, y: F.greatest(F.lit(float(least)), r + dot(y)))
+    moves = F.array(*[F.struct(vector(move).alias("move"), vector(gap).alias("gap")) for move, gap in steps])
+    return F.aggregate(moves, F.lit(1.0), lambda r, s: moved(r, s["move"], s["gap"], least))
 
 
 def fit_rates(
     members: DataFrame, domains: int, weights: list[float] | None, least: float, temperature: float = 0.7,
-    headroom: float = 1.02, iterations: int = 12, tolerance: float = 1e-6,
-) -> tuple[list[list[float]], list[float], list[float]]:
+    headroom: float = 1.02, iterations: int = 40, tolerance: float = 1e-6,
+) -> tuple[list[tuple[list[float], list[float]]], list[float], list[float]]:
     """Projected gradient on the squared gap between expected and target domain totals.
 
     The variables are one rate a document, held as a column; a pass sums rate * tokens * posterior by domain, one
-    row of partial sums a task. Steps are scaled by the documents' tokens and by the domains' Gram matrix, also
-    one pass, which makes an unconstrained step exact. Returns the steps, the targets and the last totals.
+    row of partial sums a task. The gradient is scaled by the documents' tokens and by the Gram matrix of the
+    documents that are free to move, so that a step without a bound in its way is exact; of several lengths of that
+    step, and of the plain one, which always lessens the gap, the best is taken. A fixed point is a least squares solution: no free document can lessen the gap, and those at
+    the bound could only by going under it. Returns the steps, the targets and the last totals.
     """
     p = [F.col("posterior")[d] for d in range(domains)]
-    first = members.agg(
-        *[F.sum(F.col("n_tokens") * p[d]).alias(f"t{d}") for d in range(domains)],
-        *[F.sum(F.col("n_tokens") * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(domains) for e in range(d, domains)],
-    ).first()
-    totals = [first[f"t{d}"] or 0.0 for d in range(domains)]
-    gram = np.array([[first[f"g{min(d, e)}_{max(d, e)}"] or 0.0 for e in range(domains)] for d in range(domains)])
+    pairs = [(d, e) for d in range(domains) for e in range(d, domains)]
+    first = members.agg(*[F.sum(F.col("n_tokens") * p[d]).alias(f"t{d}") for d in range(domains)]).first()
+    totals = np.array([first[f"t{d}"] or 0.0 for d in range(domains)])
     if weights is None:
-        targets = smoothed_targets(totals, temperature, headroom)
+        targets = smoothed_targets(totals.tolist(), temperature, headroom)
     else:
         scale = headroom * max((t / w for t, w in zip(totals, weights, strict=True) if w > 0), default=0.0)
         targets = [w * scale for w in weights]
-    inverse = np.linalg.pinv(gram + 1e-9 * max(np.trace(gram), 1.0) * np.eye(domains))
-    steps: list[list[float]] = []
+    steps: list[tuple[list[float], list[float]]] = []
     for _ in range(iterations):
-        gap = np.array(targets) - np.array(totals)
+        gap = np.array(targets) - totals
         if np.abs(gap).max() <= tolerance * max(sum(targets), 1.0):
             break
-        steps.append((inverse @ gap).tolist())
-        rate = rate_column(steps, least)
-        row = members.agg(*[F.sum(rate * F.col("n_tokens") * p[d]).alias(f"t{d}") for d in range(domains)]).first()
-        totals = [row[f"t{d}"] or 0.0 for d in range(domains)]
-    return steps, targets, totals
+        rated = members.select("n_tokens", "posterior", rate_column(steps, least).alias("rate"))
+        free = (F.col("rate") > least) | (dot(vector(gap.tolist())) > 0)
+        row = rated.where(free).agg(*[F.sum(F.col("n_tokens") * p[d] * p[e]).alias(f"g{d}_{e}") for d, e in pairs]).first()
+        gram = np.array([[row[f"g{min(d, e)}_{max(d, e)}"] or 0.0 for e in range(domains)] for d in range(domains)])
+        full, plain = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap, gap / max(np.trace(gram), 1e-9)
+        trials = [full * share for share in LENGTHS] + [plain * times for times in MULTIPLES]
+        after = [moved(F.col("rate"), vector(t.tolist()), vector(gap.tolist()), least) for t in trials]
+        tried = rated.select("n_tokens", "posterior", *[a.alias(f"r{k}") for k, a in enumerate(after)])
+        row = tried.agg(*[F.sum(F.col(f"r{k}") * F.col("n_tokens") * p[d]).alias(f"t{k}_{d}") for k in range(len(trials)) for d in range(domains)]).first()
+        reached = [np.array([row[f"t{k}_{d}"] or 0.0 for d in range(domains)]) for k in range(len(trials))]
+        best = min(range(len(trials)), key=lambda k: float(((np.array(targets) - reached[k]) ** 2).sum()))
+        if ((np.array(targets) - reached[best]) ** 2).sum() >= (gap**2).sum() * (1 - 1e-9):
+            break
+        steps.append((trials[best].tolist(), gap.tolist()))
+        totals = reached[best]
+    return steps, targets, totals.tolist()
 
 
 def mix_sources(

@@ -59,12 +59,13 @@ def with_counts(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     split = docs.select("doc_id", text.alias("_text"), words.alias("_words"), lines.alias("_lines"))
-    # a window's 64-bit hash stands for it; only texts with a repeated hash are sorted further
+    split = split.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    # a window's 64-bit hash over the hashes of its words stands for it; only texts with a repeated one are sorted further
     windows = F.when(
-        F.size("_words") >= WINDOW,
+        F.size("_hashes") >= WINDOW,
         F.transform(
-            F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)),
-            lambda i: F.xxhash64(F.slice(F.col("_words"), i, F.lit(WINDOW))),
+            F.sequence(F.lit(0), F.size("_hashes") - WINDOW),
+            lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)]),
         ),
     )
     counted = split.select(

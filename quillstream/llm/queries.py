@@ -85,13 +85,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near_texts(read(spark, sf_dir, "documents"))
 
 
-def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minutes = F.pmod(F.col("page_id") * FETCH_STEP, F.lit(YEAR_MINUTES))
-    captures = read(spark, sf_dir, "pages").select(
-        "page_id", "url", F.timestamp_micros((F.lit(1704067200) + minutes * 60) * 1000000).alias("fetched_at")
-    )
-    entries = spark.createDataFrame(URL_LIST, "kind string, entry string, action string, at string")
-    return filter_urls(captures, entries.withColumn("at", F.to_timestamp("at")))
+def op10_url_filters(spark: SparkSession, sf_dir: str, entries: DataFrame | None = None, captures: DataFrame | None = None) -> DataFrame:
+    """The list (kind, entry, action, at) and the captures (page_id, url, fetched_at) are tables of the deployment; without
+    them the literal list above and pages, whose fetch times follow from their numbers."""
+    if captures is None:
+        minutes = F.pmod(F.col("page_id") * FETCH_STEP, F.lit(YEAR_MINUTES))
+        fetched = F.timestamp_micros((F.lit(1704067200) + minutes * 60) * 1000000)
+        captures = read(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    if entries is None:
+        entries = spark.createDataFrame(URL_LIST, "kind string, entry string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    return filter_urls(captures, entries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -390,9 +390,10 @@ def remove_passages_from_texts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     cut = cut_texts(found, Spans.passages).where("octet_length(kept) > 0")
     left = F.col("kept").cast("string")
     valid = F.when(F.col("n_removed") == 0, left).otherwise(F.coalesce(F.try_validate_utf8(left), F.make_valid_utf8(left)))
-    cut = cut.select("row.*", "n_removed", valid.alias("text"))
+    found = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": valid}
     if "n_chars" in docs.columns:
-        chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
-        cut = cut.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+        chars = F.when(F.col("n_removed") == 0, found["n_chars"]).otherwise(F.char_length(valid))
+        found["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    cut = cut.select(*(found[c].alias(c) for c in docs.columns))
     short = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) < PASSAGE)
-    return cut.select(*docs.columns).unionByName(short)
+    return cut.unionByName(short)

@@ -36,6 +36,8 @@ PATTERNS = (
 WORD = re.compile(r"\w+")
 FOLDS, HELD_OUT = 5, 0
 FOLD_WEIGHT, ROUNDS, EPOCHS = 0.95, 25, 400
+#: Pseudo-counts of every pair of votes.
+SMOOTHED = 0.05
 
 
 @dataclass
@@ -111,26 +113,67 @@ def mine_stems(sample: DataFrame) -> tuple[str, ...]:
     return tuple(chosen)
 
 
+def weighted_pairs(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Joint probabilities of every two voters, [voter, voter, vote, vote], among rows of these weights; smoothed."""
+    total = weight.sum()
+    both = (x * weight[:, None]).T @ x
+    one = np.diag(both)
+    counts = np.stack([np.stack([total - one[:, None] - one[None] + both, one[None] - both], -1), np.stack([one[:, None] - both, both], -1)], -2)
+    out = (np.maximum(counts, 0) + SMOOTHED) / (total + 4 * SMOOTHED)
+    for j in range(len(one)):  # a voter with itself
+        on = (one[j] + 2 * SMOOTHED) / (total + 4 * SMOOTHED)
+        out[j, j] = [[1 - on, 0], [0, on]]
+    return out
+
+
+def dependency_tree(tables: list[np.ndarray], shares: tuple[float, float]) -> list[tuple[int, int]]:
+    """(voter, parent) from the root (parent -1) down: the tree of most mutual information given the class."""
+    m = len(tables[0])
+    information = np.zeros((m, m))
+    for table, share in zip(tables, shares, strict=True):
+        first, second = table.sum(axis=3)[..., :, None], table.sum(axis=2)[..., None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            information += share * np.nan_to_num(table * np.log(table / (first * second)), posinf=0, neginf=0).sum(axis=(2, 3))
+    np.fill_diagonal(information, -np.inf)
+    tree, best, parent, waiting = [(0, -1)], information[0].copy(), np.zeros(m, int), np.ones(m, bool)
+    waiting[0] = False
+    while waiting.any():
+        j = int(np.where(waiting, best, -np.inf).argmax())
+        tree.append((j, int(parent[j])))
+        waiting[j] = False
+        nearer = waiting & (information[j] > best)
+        best[nearer], parent[nearer] = information[j][nearer], j
+    return tree
+
+
+def tree_evidence(x: np.ndarray, tables: list[np.ndarray], tree: list[tuple[int, int]]) -> np.ndarray:
+    """Log likelihood ratio of class 1 over 0 of every row: each voter given its parent's vote."""
+    score, votes_of = np.zeros(len(x)), x.astype(int)
+    for j, parent in tree:
+        ratio = np.zeros((2, 2))
+        for sign, table in zip((1, -1), tables, strict=True):
+            joint = table[j, j].sum(axis=1)[:, None] * np.array([[1.0, 1.0]]) if parent < 0 else table[j, parent]
+            ratio += sign * np.log(joint / joint.sum(axis=0, keepdims=True))
+        score += ratio[votes_of[:, j], votes_of[:, parent] if parent >= 0 else 0]
+    return score
+
+
 def label_model(matrix: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Posterior of class 1 for every row of votes, by EM; the given label is one more voter of a set accuracy.
 
-    Every voter has a rate of firing in each class, estimated. Correlations of voters within the classes are
-    estimated from the residuals; a voter's evidence is divided by its sum of positive correlations, so that
-    voters that say the same thing count about once.
+    In each class a voter fires with a probability that depends on the vote of one other voter, its parent. These
+    probabilities, which hold the accuracies and the correlations of the voters, and the tree of parents are
+    estimated anew in every round; voters that say the same thing count about once, as the second adds nothing given
+    the first.
     """
     x = matrix.astype(np.float64)
     given = np.where(labels == 1, FOLD_WEIGHT, 1 - FOLD_WEIGHT)
     posterior = given.copy()
     for _ in range(ROUNDS):
-        rates = [np.clip((w @ x + 0.5 * s) / (w.sum() + 1.0), 1e-4, 1 - 1e-4) for w, s in ((posterior, 0.2), (1 - posterior, 0.002))]
-        on, off = rates
-        residual = x - posterior[:, None] * on - (1 - posterior)[:, None] * off
-        scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-        correlation = np.clip((residual.T @ residual) / len(x) / np.outer(scale, scale), 0, 1)
-        discount = 1.0 / np.maximum(1.0, correlation.sum(axis=1))
-        fired, silent = np.log(on / off) * discount, np.log((1 - on) / (1 - off)) * discount
-        share = np.clip(posterior.mean(), 0.01, 0.99)
-        score = np.log(share / (1 - share)) + np.log(given / (1 - given)) + x @ fired + (1 - x) @ silent
+        share = float(np.clip(posterior.mean(), 0.01, 0.99))
+        tables = [weighted_pairs(x, posterior), weighted_pairs(x, 1 - posterior)]
+        evidence = tree_evidence(x, tables, dependency_tree(tables, (share, 1 - share)))
+        score = np.log(share / (1 - share)) + np.log(given / (1 - given)) + evidence
         posterior = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return posterior
 
@@ -169,7 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: bool = False) -> Da
     """Score every whole text; ``keep`` carries all columns of ``docs`` along.
 
     Labels are learned from rows outside the held-out fold (crc32 of doc_id mod 5 = 0) with a label of 0 or 1 and a
-    text; of rows with one id and text one is used. Returns doc_id, held_out, score and predicted. A null text
+    text. Returns doc_id, held_out, score and predicted. A null text
     counts as empty, which no voter marks; without usable labels every score is 0. Repeated rows get equal scores;
     an empty table gives an empty result; a document with several labels counts as toxic if one says so.
     """

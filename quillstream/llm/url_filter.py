@@ -9,8 +9,6 @@ from .common import stored
 
 #: Largest list, in interval rows, that is sent whole to every executor; longer ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
-#: Copies of each list row in the shuffled form, so that one host's captures meet in as many tasks.
-SALTS = 16
 
 
 def url_host(url: Column) -> Column:
@@ -74,25 +72,23 @@ def filter_urls(captures: DataFrame, entries: DataFrame, broadcast_rows: int = B
 
     Returns page_id, url, fetched_at, blocked, n_active (entries that match and are valid then) and, of the
     entry that came into force last (ties: smaller kind, then entry), kind, entry, valid_from and valid_to.
-    A null or hostless url and a null fetch time match nothing and are kept, as are repeated rows, one result
-    each. The list is broadcast while its counted size is within ``broadcast_rows``; beyond that both sides
-    are shuffled on (kind, entry, salt), so no host's captures meet in one task.
+    The list is one row an entry with its intervals in order of time; the as-of join meets each key of a capture with
+    that row and picks the last interval that began by the fetch time, which must not have ended. A null or hostless
+    url and a null fetch time match nothing and are kept, as are repeated rows, one result each; an empty list blocks
+    nothing. The list is broadcast while its counted intervals are within ``broadcast_rows``; beyond that both sides
+    are shuffled by key, and the captures of a hot key are split by adaptive execution, as both sides are plain scans.
     """
-    intervals = validity(entries)
+    intervals = stored(validity(entries))
+    spans = intervals.groupBy("kind", "entry").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to"))).alias("spans"))
     rows = stored(captures.select("page_id", "url", "fetched_at").withColumn("_row", F.monotonically_increasing_id()))
     keyed = rows.select("_row", "fetched_at", F.explode(F.array_distinct(url_keys(F.col("url")))).alias("k"))
     keyed = keyed.select("_row", "fetched_at", "k.kind", "k.entry")
-    if intervals.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        hits = keyed.join(F.broadcast(intervals), ["kind", "entry"])
-    else:
-        salted = intervals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = keyed.withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(
-            salted, ["kind", "entry", "_salt"]
-        )
-    active = hits.where("valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)")
-    last = F.struct(
-        (-F.unix_micros("valid_from")).alias("order"), "kind", "entry", "valid_from", "valid_to"
-    )
+    short = intervals.limit(broadcast_rows + 1).count() <= broadcast_rows
+    hits = keyed.join(F.broadcast(spans) if short else stored(spans).hint("shuffle_hash"), ["kind", "entry"])
+    begun = F.filter("spans", lambda s: s["valid_from"] <= F.col("fetched_at"))
+    asof = hits.select("_row", "fetched_at", "kind", "entry", F.get(begun, F.size(begun) - 1).alias("s")).select("_row", "fetched_at", "kind", "entry", "s.*")
+    active = asof.where("valid_from IS NOT NULL AND (valid_to IS NULL OR fetched_at < valid_to)")
+    last = F.struct((-F.unix_micros("valid_from")).alias("order"), "kind", "entry", "valid_from", "valid_to")
     verdicts = active.groupBy("_row").agg(F.count("*").alias("n_active"), F.min(last).alias("hit"))
     return rows.join(verdicts, "_row", "left").select(
         "page_id",

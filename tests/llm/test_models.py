@@ -36,6 +36,14 @@ def test_long_pieces_follow_the_same_rule(piece):
     assert ENCODER.vocabulary.encode([piece.encode()])[0].tolist() == TIKTOKEN.encode_ordinary(piece)
 
 
+@pytest.mark.parametrize("piece", ["ab" * 5000, "x" * 10_001, "thequickbrown" * 800, "".join(chr(97 + (i * i + i // 7) % 26) for i in range(10_000))])
+def test_a_piece_of_10000_bytes(piece):
+    assert ENCODER.vocabulary.encode([piece.encode(), b"the"])[0].tolist() == TIKTOKEN.encode_ordinary(piece)
+    (joined, ids), again = list(ENCODER.texts([f"of {piece} of", "the"]))
+    assert ids.tolist() == TIKTOKEN.encode_ordinary(f"of {piece} of") and again[1].tolist() == TIKTOKEN.encode_ordinary("the")
+    assert piece not in ENCODER.known
+
+
 def test_bpe_rows(edges, edge_rows, nothing):
     got = bpe.encode_documents(edges, *tokenizer(), with_ids=True).collect()
     wanted = []
@@ -129,6 +137,90 @@ def test_label_model_discounts_copies_of_a_voter():
     assert ((posterior > 0.5) == y).mean() > 0.95
 
 
+def plain_evidence(matrix, weights, tree):
+    """Log likelihood ratios by loops over rows, from the counts of votes given the parent's vote."""
+    out = np.zeros(len(matrix))
+    for j, parent in tree:
+        for row in range(len(matrix)):
+            for sign, w in zip((1, -1), weights, strict=True):
+                alike = np.array([parent < 0 or m[parent] == matrix[row][parent] for m in matrix])
+                counts = [sum(w[k] for k in range(len(matrix)) if alike[k] and matrix[k][j] == v) for v in (0, 1)]
+                extra = toxicity.SMOOTHED * (2 if parent < 0 else 1)
+                out[row] += sign * np.log((counts[matrix[row][j]] + extra) / (sum(counts) + 2 * extra))
+    return out
+
+
+def test_label_model_equals_plain_loops():
+    rng = np.random.default_rng(4)
+    labels = (rng.random(60) < 0.4).astype(int)
+    base = (labels & (rng.random(60) < 0.8)).astype(np.int8)
+    matrix = np.stack([base, base ^ (rng.random(60) < 0.1), (rng.random(60) < 0.3).astype(np.int8), base & (rng.random(60) < 0.5)], axis=1).astype(np.int8)
+    given = np.where(labels == 1, toxicity.FOLD_WEIGHT, 1 - toxicity.FOLD_WEIGHT)
+    posterior = given.copy()
+    for _ in range(toxicity.ROUNDS):
+        share = float(np.clip(posterior.mean(), 0.01, 0.99))
+        weights = [posterior, 1 - posterior]
+        tree = toxicity.dependency_tree([toxicity.weighted_pairs(matrix.astype(float), w) for w in weights], (share, 1 - share))
+        assert sorted(j for j, _ in tree) == [0, 1, 2, 3]
+        score = np.log(share / (1 - share)) + np.log(given / (1 - given)) + plain_evidence(matrix, weights, tree)
+        posterior = 1 / (1 + np.exp(-score))
+    assert toxicity.label_model(matrix, labels) == pytest.approx(posterior, abs=1e-9)
+
+
+def test_toxicity_ties(spark, edges):
+    """Rows that are equal but for their id score alike."""
+    labels = spark.createDataFrame([(1, 1), (12, 0), (16, 0), (2, 1)], "doc_id long, toxic int")
+    scores = {}
+    for r in toxicity.score_toxicity(edges.drop("score"), labels, keep=True).collect():
+        scores.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(v) == 1 for v in scores.values())
+
+
+def plain_rates(x, target, least, steps=20000):
+    """Nonnegative least squares by plain projected gradient: the gap that is left."""
+    rates = np.ones(len(x))
+    size = 1 / np.linalg.norm(x @ x.T, 2)
+    for _ in range(steps):
+        rates = np.maximum(least, rates - size * (x @ (rates @ x - target)))
+    return rates, float(((rates @ x - target) ** 2).sum())
+
+
+@pytest.mark.parametrize("target, least", [([900.0, 400.0, 700.0], 0.0), ([100.0, 100.0, 100.0], 0.0), ([500.0, 1.0, 1.0], 0.5)])
+def test_rates_are_a_least_squares_solution(spark, target, least):
+    rng = np.random.default_rng(3)
+    tokens, p = rng.integers(5, 60, 40), rng.dirichlet([0.4] * 3, 40)
+    members = spark.createDataFrame([(i, int(t), q.tolist()) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, posterior array<double>")
+    scale = max((tokens[:, None] * p).sum(axis=0) / target)
+    steps, targets, _ = mixing.fit_rates(members, 3, target, least, headroom=1 / scale)
+    assert targets == pytest.approx(target)
+    found = members.select(mixing.rate_column(steps, least).alias("r"), "doc_id").orderBy("doc_id").collect()
+    rates = np.array([r["r"] for r in found])
+    x = tokens[:, None] * p
+    gap = float(((rates @ x - np.array(target)) ** 2).sum())
+    assert rates.min() >= least
+    assert gap <= plain_rates(x, np.array(target), least)[1] + 1e-3 * sum(t * t for t in target)
+
+
+def test_network_equals_a_plain_convolution():
+    rng = np.random.default_rng(5)
+    net = langid.Network(("a", "b", "c"), {w: rng.normal(0, 1, (w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS}, {w: rng.normal(0, 1, langid.FILTERS).astype(np.float32) for w in langid.WIDTHS}, rng.normal(0, 1, (langid.FILTERS * 3, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    windows = rng.integers(0, 256, (4, langid.WINDOW)).astype(np.uint8)
+    for window, got in zip(windows, net.probabilities(windows, net.pairs()), strict=True):
+        pooled = []
+        for w in langid.WIDTHS:
+            sums = [sum(net.tables[w][j][window[at + j]].astype(float) for j in range(w)) + net.biases[w] for at in range(langid.WINDOW - w + 1)]
+            pooled.append(np.maximum(np.max(sums, axis=0), 0))
+        scores = np.concatenate(pooled) @ net.out + net.out_bias
+        wanted = np.exp(scores - scores.max())
+        assert got == pytest.approx(wanted / wanted.sum(), abs=1e-4)
+
+
+def test_numbers_and_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² 12 ⅷ_"), (2, "é"), (4, "the cat is on the mat and it was"), (5, "der hund ist auf der matte und")], "doc_id long, text string").withColumn("lang", F.when(F.col("doc_id") == 5, "de").otherwise("en"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert got[1] == "und" and got[2] != "und"
+
+
 def test_rates_reach_targets(spark, nothing):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rated = mixing.mix_sources(docs, weights={"en": 1.0, "de": 1.0, "fr": 1.0, "es": 1.0})

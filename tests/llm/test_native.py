@@ -57,6 +57,22 @@ def test_urls_as_of_fetch(spark, limit):
     assert url_filter.filter_urls(captures.limit(0), entries, limit).count() == 0
 
 
+def test_very_long_urls_and_lists(spark):
+    """A hot key, a path of many steps and an entry with many dates, by the list's long form."""
+    at = lambda c: F.timestamp_seconds(c)
+    entries = spark.range(400).select(F.lit("domain").alias("kind"), F.lit("hot.example").alias("entry"), F.when(F.col("id") % 2 == 0, "add").otherwise("remove").alias("action"), at(F.col("id") * 10).alias("at"))
+    url = F.concat(F.lit("http://www.hot.example/"), F.repeat(F.lit("ab/"), F.when(F.col("id") == 0, 3000).otherwise(1)))
+    captures = spark.range(500).select(F.col("id").alias("page_id"), url.alias("url"), at(F.col("id") * 7 + 1).alias("fetched_at"))
+    found = url_filter.filter_urls(captures, entries, 0).collect()
+    assert {r["page_id"]: r["blocked"] for r in found} == {i: (i * 7 + 1) // 10 % 2 == 0 and i * 7 + 1 < 3990 for i in range(500)}
+
+
+def test_very_long_text_in_a_shard(spark):
+    docs = spark.range(9).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 3, F.repeat(F.lit("é"), 400_000)).otherwise("x").alias("text"))
+    rows = {r["doc_id"]: r for r in sharding.shard_documents(docs).collect()}
+    assert rows[3]["size"] == 800_001 and rows[3]["text_crc32"] == zlib.crc32(("é" * 400_000).encode())
+
+
 def brute(vectors, k):
     out = {}
     for i, x in vectors:

@@ -67,3 +67,18 @@ def test_encoding_is_of_what_was_left(stages):
 
 def test_run_is_the_stages(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).agg(F.count("*"), F.sum("n_tokens")).first() == stages[5].agg(F.count("*"), F.sum("n_tokens")).first()
+
+
+def test_stages_carry_edge_rows_and_any_column(spark, edges, nothing, sf):
+    """Null, empty, blank, very long and repeated rows, and columns named as the stages name their own."""
+    names = ["_key", "_id", "_crc", "_own_crc", "_copy", "row", "key", "doc", "kept", "first", "copies", "rated", "spans", "n_removed", "at", "n_spans", "crc", "copy", "_doc", "_at"]
+    for docs, rows in ((edges.drop("key", "id", "score", "size", "path"), edges.count()), (nothing.drop("key", "id", "score", "size", "path"), 0)):
+        for name in names:
+            docs = docs.withColumn(name, F.lit(1))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stored(stage(spark, docs, sf))
+            assert left.columns == docs.columns
+            assert left.count() <= 2 * rows
+            docs = left
+        assert {1, 3, 6} & {r["doc_id"] for r in docs.collect()} == ({1, 3, 6} if rows else set())
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
