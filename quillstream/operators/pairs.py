@@ -78,6 +78,14 @@ def tag_once(records: DataFrame) -> DataFrame:
     return records.select(*rest, back("tags_primary", primary_tags(F.col("tags"))), back("scale", scale(F.col("pair_count"))), tagged.alias("skipped"))
 
 
+def bookkeeping(records: DataFrame, group: list[str], skipped: str, error: str) -> DataFrame:
+    """What a tagger's run did, by group: records seen, skipped, done and failed."""
+    failed = F.col(error).isNotNull()
+    return records.groupBy(*group).agg(
+        F.count("*").alias("seen"), F.count(F.when(F.col(skipped), 1)).alias("skipped"), F.count(F.when(~F.col(skipped) & ~failed, 1)).alias("done"), F.count(F.when(~F.col(skipped) & failed, 1)).alias("failed"),
+    )
+
+
 def candidates(records: DataFrame, least: float, scales: list[str]) -> DataFrame:
     """Records with a feels score (missing: 0) of at least ``least`` and, if any are named, one of the scales."""
     enough = records.where(F.coalesce("feels_score", F.lit(0.0)) >= least)

@@ -45,6 +45,11 @@ def change_flags(files: DataFrame, pulse: str | list[str], path: str, places: Pl
     )
 
 
+def all_changed(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
+    """Files that changed, each once, whether they are tracked or not."""
+    return tracked.unionByName(untracked).distinct()
+
+
 def dangerous_part(command: Column) -> Column:
     """The first listed pattern that a command contains, without regard to case; null if none."""
     low = F.lower(command)
@@ -94,6 +99,11 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def loaded_prompt(static: Column, template: Column, values: dict[str, Column]) -> Column:
+    """A prompt from its template, filled, or, where there is none, the static text."""
+    return F.coalesce(filled(template, values), static)
+
+
 def by_mode(registry: DataFrame, kinds: DataFrame, mode: str) -> DataFrame:
     """Entries of a context registry that a mode includes, with their kind."""
     return registry.join(kinds.where((F.col("mode") == mode) & F.col("kind").isNotNull()), "key").drop("mode")

@@ -19,6 +19,11 @@ def heuristics(name: str = "user") -> list[tuple[str, float, list[str]]]:
     return [(family, weight, [p.replace("{name}", name.lower()) for p in patterns]) for family, weight, patterns in HEURISTICS]
 
 
+def heuristic(name: str, user: str = "user") -> tuple[str, float, list[str]]:
+    """One pattern family by its name; raises KeyError for an unknown one."""
+    return {family: (family, weight, patterns) for family, weight, patterns in heuristics(user)}[name]
+
+
 def family_scores(text: Column, families: list[tuple[str, float, list[str]]], linear: bool = True) -> dict[str, Column]:
     """Score of each family in a lower-case text: weight * (1 + (m - 1) / 2) for m patterns found, or weight * m if not ``linear``."""
     low, out = text, {}

@@ -61,3 +61,8 @@ def filtered_by_tags(df: DataFrame, tags: str, keep: list[str], drop: list[str])
     """Rows without a tag of ``drop`` and with one of ``keep``."""
     array = lambda xs: F.array(*[F.lit(x) for x in xs])
     return df.where(~F.arrays_overlap(tags, array(drop)) & F.arrays_overlap(tags, array(keep)))
+
+
+def tag_list(raw: str | None) -> list[str]:
+    """Tags of a comma-separated option, trimmed, without empty ones."""
+    return [t.strip() for t in (raw or "").split(",") if t.strip()]

@@ -87,6 +87,16 @@ def last_observed(stream: str, order: str, kind: str) -> Column:
     return F.last(kind, ignorenulls=True).over(Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
 
 
+def with_baseline(df: DataFrame, baselines: DataFrame, kind: str, signal: str, fallback: str = "exploratory") -> DataFrame:
+    """Add mean, std and count of a table of baselines (type, signal, mean, std, count) for each row's type and signal;
+    an unknown type reads those of ``fallback``."""
+    named = baselines.select(F.col("type").alias("_t"), F.col("signal").alias("_s"), F.struct("mean", "std", "count").alias("_b"))
+    own = df.join(named, (F.col(kind) == F.col("_t")) & (F.col(signal) == F.col("_s")), "left").drop("_t", "_s")
+    spare = named.where(F.col("_t") == fallback).select(F.col("_s").alias("_r"), F.col("_b").alias("_d"))
+    both = own.join(spare, F.col(signal) == F.col("_r"), "left").withColumn("_b", F.coalesce("_b", "_d"))
+    return both.select(*df.columns, "_b.*")
+
+
 def baseline_scores(df: DataFrame, stream: str, order: str, kind: str, signals: list[str] = SIGNALS) -> DataFrame:
     """Add z_<signal>: deviation from the running baseline of the row's type, before the row itself updates it.
 

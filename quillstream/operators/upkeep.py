@@ -30,6 +30,11 @@ def section_dates(text: Column, title: str) -> Column:
     return F.sort_array(F.filter(F.transform(found, lambda d: F.try_to_date(d, "yyyy-MM-dd")), lambda d: d.isNotNull()))
 
 
+def name_age(name: Column, on: Column) -> Column:
+    """Days since the date a file name begins with; 0 where it begins with none."""
+    return F.coalesce(F.datediff(on, F.try_to_date(F.substring(name, 1, 10), "yyyy-MM-dd")), F.lit(0))
+
+
 def days_since(time: Column, on: Column) -> Column:
     """Whole days since a time; NEVER if there was none."""
     whole = F.floor((F.unix_micros(on) - F.unix_micros(time)) / (86_400 * 1_000_000)).cast("int")

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..jobs import Job, Registry, loaded
 from ..operators.tags import scale
 from ..sources import files
 from ..sources.tables import LEXICON, shared, table
+from ..streaming import windows
 from . import chunks, duck
 
 LINE = "conv_id long, chunk_index int, text string, missing string"
@@ -64,8 +66,41 @@ def q_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", files.conversation_name(text).alias("name"), files.folder_date(path).alias("date"), scale(F.pmod("conv_id", F.lit(6)) + 1).alias("scale"))
 
 
+def q_label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speaker headers shortened over all files: a dry run's counts, and what was written then."""
+    text = F.concat(F.lit("=== Human ===\n"), "text", F.lit("\n=== Assistant ===\n=== Human ==="))
+    tree = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), text.alias("text"))
+    path = scratch(spark)
+    planned = files.migrated_tree(tree)
+    files.migrated_tree(tree, path)
+    written = spark.read.parquet(path).select("path", F.regexp_count("text", F.lit("(?m)^=== [HC] ===$")).alias("written"))
+    return planned.join(written, "path").select("path", F.col("humans").cast("long"), F.col("assistants").cast("long"), F.col("written").cast("long"))
+
+
+def q_stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigger files of signups, among them lines that are no JSON, read as a stream and archived."""
+    inbox, archive = scratch(spark), scratch(spark)
+    events = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    line = F.when(F.pmod("event_id", F.lit(7)) == 0, F.concat(F.lit("{bad "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct("event_id", "user_id")))
+    events.select(line.alias("value")).write.text(inbox)
+    stream = files.trigger_files(spark, inbox, archive, "event_id long, user_id long")
+    return windows.drained(stream.select("event.event_id", "event.user_id", "bad"), shared(spark), "append")
+
+
+def q_job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three jobs of a registry, run by priority: one written, one planned, one that fails."""
+    registry = Registry().add(Job("count", lambda s: table(s, sf_dir, "nation").agg(F.count("*").alias("n")), scratch(spark), 20)).add(loaded("none", f"{__name__}:oracles"))
+    registry.add(Job("plan", lambda s: table(s, sf_dir, "region"), priority=10))
+    for name in registry.names():
+        registry.run(spark, name, dry_run=name == "plan")
+    return registry.records(spark)
+
+
 def oracles() -> dict[str, str]:
     return {
+        "label_tree": "SELECT 'd' || doc_id AS path, 2::BIGINT AS humans, 1::BIGINT AS assistants, 3::BIGINT AS written FROM documents",
+        "stream_triggers": "SELECT CASE WHEN event_id % 7 > 0 THEN event_id END AS event_id, CASE WHEN event_id % 7 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 7 = 0 THEN '{bad ' || event_id END AS bad FROM events WHERE event_type = 'signup'",
+        "job_runs": "SELECT * FROM (VALUES ('plan', 'planned', true, NULL), ('count', 'completed', false, NULL), ('none', 'failed', false, 'TypeError')) v(job, status, dry_run, error)",
         "chunk_lines": f"""WITH {duck.CHUNKS}, a AS (SELECT pair_count, text FROM chunks UNION ALL SELECT pair_count, text FROM chunks WHERE conv_id % 2 = 0)
 SELECT pair_count::INT AS pair_count, count(*) AS lines, 0::BIGINT AS missing, sum(length(text))::BIGINT AS chars, CASE WHEN pair_count > 1 THEN (SELECT count(*) FROM chunks c WHERE c.pair_count = a.pair_count) END AS planned FROM a GROUP BY pair_count""",
         "lexicon_file": f"WITH {duck.WORDS} SELECT word, valence, arousal FROM lexicon",

@@ -100,6 +100,16 @@ def q_salience_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).select("conv_id", "turn", F.round(sum(scores.values(), F.lit(0.0)), 6).alias("salience"))
 
 
+def q_heuristic_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    family = saliency.heuristic("emotional_texture", "alex")
+    return talks(spark, sf_dir).select("conv_id", "turn", F.round(saliency.family_scores(F.lower("text"), [family])[family[0]], 6).alias("score"))
+
+
+def q_tag_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks.raw_tags(spark, sf_dir).select("pair_count", (F.pmod("doc_id", F.lit(3)) == 0).alias("skipped"), F.when(F.pmod("doc_id", F.lit(11)) == 4, "timeout").alias("error"))
+    return pairs.bookkeeping(rows, ["pair_count"], "skipped", "error")
+
+
 def oracles() -> dict[str, str]:
     draw = duck.draw
     ends = "regexp_replace({}, '\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g')".format("text")
@@ -128,5 +138,7 @@ CASE WHEN doc_id % 5 = 0 THEN 'own' WHEN tagged THEN CASE WHEN pair_count <= 1 T
 SELECT draw, arg_min(c_custkey, (t, c_custkey)) AS c_custkey FROM d GROUP BY draw""",
         "chunk_ids": f"WITH {duck.CHUNKS} SELECT conv_id, pair_count::INT AS pair_count, chunk_index, sha1('conv_' || conv_id || '|' || pair_count || '|' || chunk_index) AS chunk_id FROM chunks",
         "overlap_config": f"WITH {duck.CHUNKS}, m AS (SELECT conv_id, count(*) AS n FROM pairs GROUP BY conv_id), s(pair_count) AS (VALUES (1), (2), (3)) SELECT pair_count::INT AS pair_count, sum(n - pair_count + 1)::BIGINT AS n FROM m, s WHERE n >= pair_count GROUP BY pair_count",
+        "heuristic_by_name": f"WITH {duck.TALKS}, {salience.salience_sql('talks', 'conv_id, turn')} SELECT conv_id, turn, round(h_emotional_texture, 6) AS score FROM seg",
+        "tag_counters": "SELECT (doc_id % 6 + 1)::INT AS pair_count, count(*) AS seen, count(*) FILTER (doc_id % 3 = 0) AS skipped, count(*) FILTER (doc_id % 3 > 0 AND doc_id % 11 <> 4) AS done, count(*) FILTER (doc_id % 3 > 0 AND doc_id % 11 = 4) AS failed FROM documents GROUP BY 1",
         "salience_draft": f"WITH {duck.TALKS} SELECT conv_id, turn, round(({draft})::DOUBLE, 6) AS salience FROM talks",
     }

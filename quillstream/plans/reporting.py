@@ -22,6 +22,17 @@ def q_change_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.change_flags(files, ["user_id", "day"], "path", PLACES)
 
 
+def q_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "events").select("user_id", "event_type", pick(PATHS, F.col("event_id")).alias("path"))
+    kinds = [paths.where(F.col("event_type") == kind).select("user_id", "path") for kind in ("click", "error")]
+    return reports.all_changed(*kinds)
+
+
+def q_prompt_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = F.when(F.pmod("c_custkey", F.lit(3)) > 0, F.concat(F.lit("For {{WHO}} of "), F.lower("c_mktsegment")))
+    return table(spark, sf_dir, "customer").select("c_custkey", reports.loaded_prompt(F.lit("static text"), template, {"WHO": F.col("c_name")}).alias("prompt"))
+
+
 def q_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", pick(COMMANDS, F.col("event_id")).alias("c"), pick(TARGETS, F.col("event_id")).alias("p"))
     return rows.select("event_id", reports.dangerous_part(F.col("c")).alias("pattern"), reports.protected(F.col("p")).alias("protected"))
@@ -120,6 +131,8 @@ r AS (SELECT *, round(salience + bonus, 6) AS combined, row_number() OVER (PARTI
     found = {
         "change_flags": f"""WITH f AS (SELECT user_id, ts::DATE AS day, {choose(PATHS, 'event_id + user_id')} AS p FROM events), g AS (SELECT *, NOT list_contains({duck.array(list(PLACES.state))}, p) AS k FROM f)
 SELECT user_id, day, count(DISTINCT p) AS files_changed, bool_or(k AND regexp_matches(lower(p), '\\.({'|'.join(reports.CODE_SUFFIXES)})$')) AS code_changed, bool_or(k AND (regexp_matches(p, '^({'|'.join(PLACES.publishable)})') OR list_contains({duck.array(list(PLACES.publishable_files))}, p))) AS publishable, bool_or(k AND starts_with(p, '{PLACES.research}')) AS research, bool_or(contains(p, '{PLACES.notes}')) AS notes_written FROM g GROUP BY user_id, day""",
+        "changed_files": f"SELECT DISTINCT user_id, {choose(PATHS, 'event_id')} AS path FROM events WHERE event_type IN ('click', 'error')",
+        "prompt_loading": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'For ' || c_name || ' of ' || lower(c_mktsegment) ELSE 'static text' END AS prompt FROM customer",
         "safety": f"WITH r AS (SELECT event_id, {choose(COMMANDS, 'event_id')} AS c, {choose(TARGETS, 'event_id')} AS p FROM events) SELECT event_id, {danger} AS pattern, regexp_matches(p, '^/(usr|etc|boot)(/|$)') OR regexp_matches(p, '(^|/)\\.git/') OR p = '.git' AS protected FROM r",
         "inbox_states": f"WITH s AS (SELECT user_id, event_id, {to_state} AS s FROM events) SELECT user_id, coalesce(arg_max(s, event_id) FILTER (s IS NOT NULL), 'new') AS state, count(s) AS changes FROM s GROUP BY user_id",
         "cycle_position": "WITH n AS (SELECT *, event_type = 'view' AS wish, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), e AS (SELECT *, coalesce(sum(wish::INT) OVER (PARTITION BY user_id, n // 6 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT event_id, (n % 6 + 1)::INT AS position, wish AND before = 0 AS allowed FROM e",

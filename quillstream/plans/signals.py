@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..operators import classify, signals, temporal
-from ..sources.tables import lexicon, notes, table
+from ..sources.tables import lexicon, notes, pick, table
 from . import duck
 
 Z = ["hedging_ratio", "self_correction", "question_density"]
@@ -85,6 +85,14 @@ def q_baseline_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "observed", *[f"z_{z}" for z in Z])
 
 
+def q_baseline_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines by type and signal; a type that the table does not know reads the exploratory ones."""
+    seeds = [(kind, name, *row, temporal.SEED_COUNT) for kind, rows in temporal.SEEDS.items() for name, row in zip(temporal.SIGNALS, rows, strict=True)]
+    known = spark.createDataFrame(seeds, "type string, signal string, mean double, std double, count int")
+    rows = table(spark, sf_dir, "events").select("event_id", pick(["companion", "consolidation", "unheard"], F.col("event_id")).alias("kind"), pick(["hedging_ratio", "question_density", "none"], F.floor(F.col("event_id") / 3)).alias("signal"))
+    return temporal.with_baseline(rows, known, "kind", "signal")
+
+
 def q_feeling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = felt(spark, sf_dir).withColumn("label", F.col("f.type"))
     return temporal.feeling_runs(df, "source", "doc_id", "label").select("doc_id", "label", F.col("in_state").cast("long"), "previous")
@@ -206,7 +214,10 @@ def oracles() -> dict[str, str]:
         "publishing": "CASE WHEN event_type = 'signup' THEN -0.35 WHEN event_type = 'click' THEN 0.05 ELSE 0.1 END",
         "experimenting": "CASE WHEN event_type = 'error' THEN -0.3 WHEN event_type = 'purchase' THEN -0.12 WHEN value > 50 THEN 0.08 ELSE -0.03 END",
     }
+    known = ", ".join(f"('{kind}', '{name}', {m}::DOUBLE, {d}::DOUBLE)" for kind, rows in temporal.SEEDS.items() for name, (m, d) in zip(temporal.SIGNALS, rows, strict=True))
     return {
+        "baseline_lookup": f"""WITH b(type, signal, mean, std) AS (VALUES {known}), e AS (SELECT event_id, (['companion', 'consolidation', 'unheard'])[(event_id % 3 + 1)::BIGINT] AS kind, (['hedging_ratio', 'question_density', 'none'])[((event_id // 3) % 3 + 1)::BIGINT] AS signal FROM events)
+SELECT event_id, kind, e.signal, mean, std, CASE WHEN mean IS NOT NULL THEN 5 END::INT AS count FROM e LEFT JOIN b ON b.signal = e.signal AND b.type = CASE WHEN kind = 'unheard' THEN 'exploratory' ELSE kind END""",
         "signals_linguistic": f"WITH {ling} SELECT doc_id, meta_commentary, hedging_ratio, self_correction, question_density FROM ling",
         "signals_affect": f"WITH {duck.NOTES}, {affect_sql('notes')} SELECT doc_id, affect_valence, affect_arousal FROM aff",
         "signals_behavioral": f"WITH {duck.NOTES}, {behaviour_sql('notes')} SELECT doc_id, {', '.join(f'behavioral_{b}' for b in B)} FROM beh",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import upkeep
+from ..sources.files import note_hash
 from ..sources.tables import pick, table
 from . import duck, memory
 
@@ -58,7 +59,13 @@ def q_proposal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_latest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("name"))
-    return upkeep.latest(files, ["user_id"], "ts", "name", 3).select("user_id", "name", F.col("place").cast("int"))
+    best = upkeep.latest(files, ["user_id"], "ts", "name", 3)
+    return best.select("user_id", "name", F.col("place").cast("int"), note_hash(F.col("name").cast("string"), F.col("ts")).alias("hash"))
+
+
+def q_name_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.pmod("event_id", F.lit(9)) > 0, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("_note.md"))).otherwise("2024-02-31_x.md")
+    return table(spark, sf_dir, "events").select("event_id", upkeep.name_age(name, F.lit("2024-02-01").cast("date")).alias("days"))
 
 
 def q_trigger_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +130,8 @@ concat_ws('; ', CASE WHEN days >= 999 THEN 'days_since_applied: never applied' W
 SELECT source, scan_reasons <> '' AS scan, scan_reasons, proposal_reasons <> '' AS proposal, proposal_reasons FROM r""",
         "proposal_gate": """WITH s AS (SELECT user_id, count(*) FILTER (event_type = 'error') > 1 AS proposal, max(ts) FILTER (event_type = 'signup') AS last FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN coalesce((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last)) // 86400000000 < 5, false) THEN 'skipped' WHEN proposal THEN 'run' ELSE 'not due' END AS decision FROM s""",
-        "latest_files": "WITH r AS (SELECT user_id, event_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::INT AS place FROM events) SELECT * FROM r WHERE place <= 3",
+        "latest_files": "WITH r AS (SELECT user_id, event_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::INT AS place, event_id || ':' || (epoch_us(ts) // 1000000) AS hash FROM events) SELECT * FROM r WHERE place <= 3",
+        "name_ages": "SELECT event_id, CASE WHEN event_id % 9 > 0 THEN date_diff('day', ts::DATE, DATE '2024-02-01') ELSE 0 END::INT AS days FROM events",
         "trigger_marks": f"""WITH k AS (SELECT user_id, ts, event_id, CASE event_type {when} END AS kind FROM events)
 SELECT user_id, max(ts) FILTER (kind IN ('scan', 'applied')) AS last_scan, count(*) FILTER (kind IN ('scan', 'applied')) AS scan_count, max(ts) FILTER (kind = 'proposal') AS last_proposal, count(*) FILTER (kind = 'proposal') AS proposal_count,
 max(ts) FILTER (kind = 'applied') AS last_applied, count(*) FILTER (kind = 'applied') AS applied_count, coalesce(string_agg(kind || ':' || event_id, ',' ORDER BY ts, kind || ':' || event_id) FILTER (kind <> 'scan'), '') AS history FROM k WHERE kind IS NOT NULL GROUP BY user_id""",

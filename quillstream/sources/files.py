@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.parsers import migrated_labels
+
 
 def transcripts(spark: SparkSession, root: str, name: str = "conversation.md") -> DataFrame:
     """(path, modified, size, text) of all files of a name under a folder, each read whole."""
@@ -90,3 +92,28 @@ def rebuild(chunks: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
     if not dry_run:
         chunks.write.mode("overwrite").partitionBy("pair_count").json(path)
     return chunks.groupBy("pair_count").agg(F.count("*").alias("n"))
+
+
+def note_hash(name: Column, modified: Column) -> Column:
+    """Name and whole second of the last change, by which a note counts as seen."""
+    return F.concat_ws(":", name, F.floor(F.unix_micros(modified) / 1_000_000).cast("string"))
+
+
+def migrated_tree(transcripts: DataFrame, path: str | None = None) -> DataFrame:
+    """Per file how many speaker headers are shortened; with a path the new texts are written there (else a dry run)."""
+    text, human, assistant = migrated_labels(F.col("text"))
+    changed = transcripts.select("path", text.alias("text"), human.alias("humans"), assistant.alias("assistants"))
+    if path is not None:
+        changed.select("path", "text").write.mode("overwrite").parquet(path)
+    return changed.select("path", "humans", "assistants")
+
+
+def trigger_files(spark: SparkSession, folder: str, archive: str, schema: str, per_batch: int = 100) -> DataFrame:
+    """A stream of the JSON lines of files that appear in a folder, and are archived once read.
+
+    ``event`` is null where a line is not JSON; such lines keep their text in ``bad``, to be put aside.
+    """
+    lines = spark.readStream.option("cleanSource", "archive").option("sourceArchiveDir", archive).option("maxFilesPerTrigger", per_batch).text(folder)
+    event = F.from_json("value", schema)
+    valid = F.try_parse_json("value").isNotNull()
+    return lines.select(F.when(valid, event).alias("event"), F.when(~valid, F.col("value")).alias("bad"))
