@@ -23,9 +23,11 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: it with probability 0.31 only: rows left in a bucket over LARGE go through RUNS more runs among themselves, after
 #: which a pair of them is missed with probability 5e-5.
 RUNS, SPLITS, MOST_SPLITS = 16, 2, 4
+#: Runs whose links are followed to groups first; the other runs only report links between different groups.
+FIRST_RUNS = 4
 #: Rows of a bucket that are compared in one task. Larger buckets meet in parts of about this size; what no other row
 #: of its part stands for meets again, and is split further if it is still more.
-LARGE = 512
+LARGE = 1024
 #: Share of equal sketch coordinates that makes a candidate, and that lets one row stand for another.
 CANDIDATE, ABSORBED = 0.6, 0.9
 #: Texts of a component that are compared at a time; larger components go block against block.
@@ -43,10 +45,10 @@ def children(paths: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, mixed(drawn[row, coordinate] ^ mixed(value + np.uint64(0x632BE59BD9B4E019)))
 
 
-def root_paths(sketch: np.ndarray, first: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and paths of RUNS runs, numbered from ``first``, after SPLITS splits."""
-    row = np.repeat(np.arange(len(sketch)), RUNS)
-    path = np.tile(mixed(np.arange(first, first + RUNS, dtype=np.uint64)), len(sketch))
+def root_paths(sketch: np.ndarray, first: int = 1, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and paths of some runs, numbered from ``first``, after SPLITS splits."""
+    row = np.repeat(np.arange(len(sketch)), runs)
+    path = np.tile(mixed(np.arange(first, first + runs, dtype=np.uint64)), len(sketch))
     for _ in range(SPLITS):
         part, path = children(path, sketch[row])
         row = row[part]
@@ -56,8 +58,10 @@ def root_paths(sketch: np.ndarray, first: int = 1) -> tuple[np.ndarray, np.ndarr
 class Forest:
     """Union-find over positions, for the links inside one bucket."""
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, groups: np.ndarray | None = None) -> None:
         self.up = list(range(n))
+        if groups is not None:  # positions of one group are linked from the start
+            self.up = np.unique(groups, return_index=True)[1][np.unique(groups, return_inverse=True)[1]].tolist()
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -71,9 +75,10 @@ class Forest:
         return i != j
 
 
-def bucket_links(codes: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that span the candidates of one bucket, and its leaders, for which absorbed rows need not stand."""
-    forest, links, leaders = Forest(len(codes)), [], np.zeros(0, np.int64)
+def bucket_links(codes: np.ndarray, groups: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that span the candidates of one bucket (known groups count as linked), and its leaders, for which absorbed
+    rows need not stand."""
+    forest, links, leaders = Forest(len(codes), groups), [], np.zeros(0, np.int64)
 
     def link(i: int, j: int) -> None:
         if forest.join(i, j):
@@ -156,14 +161,26 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
 
 
 def candidate_links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) that span groups of texts with like sketches; texts: id, sketch. Repeats are possible."""
+    """Links (a, b) that span groups of texts with like sketches; texts: id, sketch. Repeats are possible.
 
-    def roots(first: int) -> Callable:
+    The first runs already join most of a group; the others only report what joins different groups, so that a text
+    with many near copies is not reported once more by every run.
+    """
+    groups = connected(links_of_runs(texts, 1, FIRST_RUNS, texts.select("id", F.col("id").alias("group"))))
+    known = texts.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
+    more = links_of_runs(texts, FIRST_RUNS + 1, RUNS - FIRST_RUNS, known)
+    return groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+
+
+def links_of_runs(texts: DataFrame, first_run: int, runs: int, groups: DataFrame) -> DataFrame:
+    """Links (a, b) of some runs that join different groups of the texts (id, group)."""
+
+    def roots(first: int, runs: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
-                    row, path = root_paths(_matrix(part.column("sketch"), np.uint32), first)
+                    row, path = root_paths(_matrix(part.column("sketch"), np.uint32), first, runs)
                     ids = part.column("id").to_numpy()
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path.view(np.int64))], ["id", "path"])
 
@@ -182,7 +199,7 @@ def candidate_links(texts: DataFrame) -> DataFrame:
             if group.num_rows < 2 and group.column("parts")[0].as_py() < 2:
                 continue
             ids, codes = group.column("id").to_numpy(), _matrix(group.column("code"), np.uint8)
-            links, leaders = bucket_links(codes)
+            links, leaders = bucket_links(codes, group.column("group").to_numpy())
             a, b = [int(ids[i]) for i, _ in links], [int(ids[j]) for _, j in links]
             path = [None] * len(a)
             if group.column("parts")[0].as_py() > 1:
@@ -195,7 +212,7 @@ def candidate_links(texts: DataFrame) -> DataFrame:
             ids, block, codes = group.column("id").to_numpy(), group.column("block").to_numpy(), _matrix(group.column("code"), np.uint8)
             low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
             own, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            forest, a, b = Forest(ids.size), [], []
+            forest, a, b = Forest(ids.size, group.column("group").to_numpy()), [], []
             for start in range(0, own.size, BLOCK):
                 some = own[start : start + BLOCK]
                 for part in range(0, other.size, BLOCK):
@@ -212,7 +229,7 @@ def candidate_links(texts: DataFrame) -> DataFrame:
             low = _matrix(batch.column("sketch"), np.uint32).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "code"])
 
-    codes = stored(texts.select("id", "sketch").mapInArrow(coded, "id long, code binary"))
+    codes = stored(texts.select("id", "sketch").mapInArrow(coded, "id long, code binary").join(groups, "id"))
     sources, schema = texts.select("id", "sketch"), "a long, b long, path long"
 
     def shared(rows: DataFrame) -> DataFrame:
@@ -224,7 +241,7 @@ def candidate_links(texts: DataFrame) -> DataFrame:
         """Links inside buckets or their parts, and the leaders of parts, as rows without b."""
         parts = F.ceil(F.col("n") / LARGE)
         salted = buckets.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
-        dealt = salted.join(codes, "id").select("path", "salt", "parts", "id", "code")
+        dealt = salted.join(codes, "id").select("path", "salt", "parts", "id", "code", "group")
         return stored(sorted_groups(dealt, ["path", "salt"], linked, schema))
 
     def block_by_block(buckets: DataFrame) -> DataFrame:
@@ -232,12 +249,12 @@ def candidate_links(texts: DataFrame) -> DataFrame:
         blocks = F.ceil(F.col("n") / LARGE)
         placed = buckets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(codes, "id")
         dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-            "path", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "id", "code"
+            "path", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "id", "code", "group"
         )
         return stored(sorted_groups(dealt, ["path", "low", "high"], faced, schema))
 
     found = []
-    rows = stored(sources.mapInArrow(roots(1), "id long, path long"))
+    rows = stored(sources.mapInArrow(roots(first_run, runs), "id long, path long"))
     for split in range(SPLITS, MOST_SPLITS + 1):
         found.append(met(shared(rows)))
         leaders = found[-1].where("b IS NULL").select("path", F.col("a").alias("id"))
@@ -254,7 +271,7 @@ def candidate_links(texts: DataFrame) -> DataFrame:
         rows = large.join(sources, "id").select("id", "path", "sketch").mapInArrow(deeper, "id long, path long")
         if split == SPLITS:
             again = sources.join(large.select("id").distinct(), "id", "left_semi").select("id", "sketch")
-            rows = rows.unionByName(again.mapInArrow(roots(RUNS + 1), "id long, path long"))
+            rows = rows.unionByName(again.mapInArrow(roots(RUNS + first_run, runs), "id long, path long"))
         rows = stored(rows)
     links = found[0]
     for more in found[1:]:
