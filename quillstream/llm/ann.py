@@ -16,7 +16,7 @@ from .common import partitions, stored
 #: Distinct vectors of a shard, and queries that are searched for at a time.
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 #: Links of a node above the base layer (twice as many in it), and the beams of building and searching.
-LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 128
+LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 256
 #: Beam members opened in one step, rows that are inserted or searched together, and rows linked by brute force first.
 OPENED, TOGETHER, FIRST = 4, 256, 128
 MODULUS, NEAREST = 20, 20
