@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import encode_documents, load_ranks
+from .codes import coded
 from .common import read
 from .jaccard_join import join_near_texts
 from .langid import identify
@@ -97,6 +98,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str, entries: DataFrame | None
     return filter_urls(captures, entries)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 

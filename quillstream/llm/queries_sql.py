@@ -105,6 +105,27 @@ cls AS (SELECT reach.id, min(first) AS class_id FROM reach JOIN n ON n.id = othe
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, copies FROM d JOIN n USING (t) JOIN cls USING (id) LEFT JOIN deg USING (id)"""
 
 
+def codes_sql(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Whole numbers by part, all distances, and a pair of CTEs a round."""
+    dist = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT"
+    ctes = [
+        f"k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"q AS (SELECT unnest(range(0, {parts})) AS part)",
+        f"p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM k, q)",
+        f"b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM p WHERE r <= {entries})",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(f"d{n} AS (SELECT p.r, part, b.entry, p.x, {dist} AS d FROM p JOIN b{n} AS b USING (part))")
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, part ORDER BY d, entry) AS place FROM d{n}) WHERE place = 1)")
+        if n < rounds:
+            ctes.append(f"u{n} AS (SELECT part, entry, unnest(range(0, len(x))) AS i, unnest(x) AS c FROM a{n})")
+            ctes.append(f"m{n} AS (SELECT part, entry, list(c ORDER BY i) AS x FROM (SELECT part, entry, i, floor(sum(c)::DOUBLE / count(*))::BIGINT AS c FROM u{n} GROUP BY ALL) GROUP BY ALL)")
+            ctes.append(f"b{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{n}.x, b{n}.x) AS x FROM b{n} LEFT JOIN m{n} USING (part, entry))")
+    ctes.append(f"c AS (SELECT r, string_agg(lpad(format('{{:x}}', entry), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)")
+    ctes.append(f"s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), s"
+
+
 def oracles() -> dict[str, str]:
     from .queries import FETCH_STEP, URL_LIST, YEAR_MINUTES
 
@@ -112,5 +133,6 @@ def oracles() -> dict[str, str]:
         "op2_quality_rules": quality_sql(),
         "op6_sharding": sharding_sql(),
         "op9_jaccard_join": JACCARD,
+        "op13_vector_codes": codes_sql(),
         "op10_url_filters": url_sql(URL_LIST, FETCH_STEP, YEAR_MINUTES),
     }
