@@ -11,6 +11,7 @@ from .ann import nearest
 from .bpe import encode_documents, load_ranks
 from .codes import coded
 from .common import read
+from .conversations import repaired
 from .jaccard_join import join_near_texts
 from .langid import identify
 from .mixing import mix_sources
@@ -98,6 +99,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str, entries: DataFrame | None
     return filter_urls(captures, entries)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(read(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(read(spark, sf_dir, "embeddings"))
 

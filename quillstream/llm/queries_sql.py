@@ -126,6 +126,59 @@ def codes_sql(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int
     return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), s"
 
 
+def crc_ctes(source: str, text: str) -> str:
+    """CTEs ending in crcs(r, crc): crc32 of the UTF-8 bytes of a column of a relation with row numbers r."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    values = ", ".join(f"({i}, {v}::UBIGINT)" for i, v in enumerate(table))
+    return f"""tab(k, v) AS (VALUES {values}), lookup AS (SELECT list(v ORDER BY k) AS l FROM tab),
+hexes AS (SELECT r, unnest(range(1, octet_length(encode({text})) + 1)) AS i, unnest(string_split(trim(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g')), ' ')) AS h FROM {source} WHERE {text} <> ''),
+lists AS (SELECT r, list(('0x' || h)::UBIGINT ORDER BY i) AS bs FROM hexes GROUP BY r),
+crcs AS (SELECT r, xor(list_reduce(list_concat([4294967295::UBIGINT], bs), lambda c, v: xor(l[((xor(c, v) & 255) + 1)::BIGINT], c >> 8)), 4294967295::UBIGINT)::BIGINT AS crc FROM lists, lookup)"""
+
+
+def repair_sql() -> str:
+    """Damage, faults, then one step of recursion a row: the best label of each of the four states.
+
+    A label is the cost in nine digits, the audit, a separator that sorts before letters and the repaired text, so the
+    least string is the cheapest edit with the least audit.
+    """
+
+    def add(label: str, cost: str, edit: str, line: str = "''") -> str:
+        cut = f"instr({label}, chr(31))"
+        kept = f"substr({label}, {cut} + 1)"
+        more = f"{kept} || CASE WHEN {line} = '' THEN '' WHEN {kept} = '' THEN {line} ELSE chr(10) || {line} END" if line != "''" else kept
+        return f"lpad((substr({label}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({label}, 10, {cut} - 10) || '{edit}' || chr(31) || {more}"
+
+    user, assistant = "('user:' || text)", "('assistant:' || text)"
+    keep = lambda q, i: f"CASE WHEN free AND initial = '{i}' THEN {add(f'l{q}', 't', 'K', "(role || ':' || text)")} END"
+    rename = lambda q, line: f"CASE WHEN free THEN {add(f'l{q}', '(3 + t)', 'R', line)} END"
+    drop = lambda q: add(f"l{q}", "4", "D")
+    moved = f"""SELECT conv, pos, {drop(0)} AS m0, least({drop(1)}, {keep(0, 's')}) AS m1,
+least({drop(2)}, {', '.join(keep(q, 'u') for q in (0, 1, 3))}, {', '.join(rename(q, user) for q in (0, 1, 3))}) AS m2,
+least({drop(3)}, {keep(2, 'a')}, {rename(2, assistant)}) AS m3
+FROM (SELECT s.conv, n.pos, l0, l1, l2, l3, role, text, left(role, 1) AS initial, fault NOT IN ('blank', 'duplicate') AS free, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS t FROM s JOIN f AS n ON n.conv = s.conv AND n.pos = s.pos + 1)"""
+    inserts = lambda q, line: add(f"m{q}", "3", "I", line)
+    one = f"SELECT conv, pos, m0, m1, least(m2, {', '.join(inserts(q, "'user:'") for q in (0, 1, 3))}) AS m2, m3 FROM ({moved})"
+    two = f"SELECT conv, pos, m0, m1, m2, least(m3, {inserts(2, "'assistant:'")}) AS m3 FROM ({one})"
+    space = "\\x20\\x09-\\x0D"
+    begin = ["'000000000' || chr(31)", "NULL::VARCHAR", "'000000003I' || chr(31) || 'user:'", "'000000006II' || chr(31) || 'user:' || chr(10) || 'assistant:'"]
+    return f"""WITH RECURSIVE src AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS mark, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations),
+{crc_ctes("src", "mark")},
+g AS (SELECT r, conv, turn, crc % 20 AS k, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role, CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM src JOIN crcs USING (r)),
+h AS (SELECT conv, turn, role, text, unnest(range(0, CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM g WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS pos, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) || left(role, 1) AS pair FROM h),
+f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{space}]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+s AS (SELECT DISTINCT conv, 0::BIGINT AS pos, {', '.join(f'{x} AS l{q}' for q, x in enumerate(begin))} FROM src UNION ALL SELECT conv, pos, m0, m1, m2, m3 FROM ({two})),
+e AS (SELECT conv, max(pos) AS n FROM s GROUP BY conv), b AS (SELECT conv, least(l0, l3) AS l FROM s JOIN e USING (conv) WHERE pos = n),
+c AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv)
+SELECT nullif(conv, ' ')::BIGINT AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+substr(l, 1, 9)::BIGINT AS cost, substr(l, 10, instr(l, chr(31)) - 10) AS audit, sha256(substr(l, instr(l, chr(31)) + 1)) AS repaired_sha256 FROM b LEFT JOIN c USING (conv)"""
+
+
 def oracles() -> dict[str, str]:
     from .queries import FETCH_STEP, URL_LIST, YEAR_MINUTES
 
@@ -133,6 +186,7 @@ def oracles() -> dict[str, str]:
         "op2_quality_rules": quality_sql(),
         "op6_sharding": sharding_sql(),
         "op9_jaccard_join": JACCARD,
+        "op12_conversation_repair": repair_sql(),
         "op13_vector_codes": codes_sql(),
         "op10_url_filters": url_sql(URL_LIST, FETCH_STEP, YEAR_MINUTES),
     }
