@@ -15,6 +15,7 @@ from .conversations import repaired
 from .jaccard_join import join_near_texts
 from .langid import identify
 from .mixing import mix_sources
+from .pii import personal_data
 from .quality import filter_quality
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
@@ -99,6 +100,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str, entries: DataFrame | None
     return filter_urls(captures, entries)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(read(spark, sf_dir, "conversations"))
 
