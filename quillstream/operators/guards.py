@@ -50,9 +50,16 @@ def prompt_hash(text: Column) -> Column:
 
 
 def repeated_prompts(prompts: DataFrame, digest: str, time: str, most: int = 3, seconds: float = 300) -> DataFrame:
-    """Add earlier (same prompts in the time before, by anyone) and blocked (as many as ``most``)."""
-    earlier = F.count("*").over(seconds_before(digest, time, seconds, itself=False))
-    return prompts.withColumn("earlier", earlier).withColumn("blocked", F.col("earlier") >= most)
+    """Add earlier (same prompts in the time before, by anyone) and blocked (as many as ``most``).
+
+    Prompts lie in buckets of that time and are copied to the next one, so a bucket holds all that its own look back
+    to; the rows of a frequent prompt are dealt out by its buckets.
+    """
+    bucket = F.floor(F.unix_micros(time) / int(seconds * 1_000_000))
+    copies = prompts.withColumn("_copy", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_bucket", bucket + F.col("_copy").cast("long"))
+    w = Window.partitionBy(digest, "_bucket").orderBy(F.unix_micros(time)).rangeBetween(-int(seconds * 1_000_000) + 1, -1)
+    counted = copies.withColumn("earlier", F.count("*").over(w)).where("NOT _copy").drop("_copy", "_bucket")
+    return counted.withColumn("blocked", F.col("earlier") >= most)
 
 
 def token_bucket(calls: DataFrame, subsystem: str, time: str, order: str, per_minute: Column, burst: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def interval_match(logs: DataFrame, sessions: DataFrame, keys: list[str], log: str, session: str, log_time: str, session_time: str, seconds: int) -> DataFrame:
     """Each log with the first session (by ``session``) whose time is under ``seconds`` away; inner.
@@ -42,10 +44,11 @@ def sync(listing: DataFrame, state: DataFrame, key: str, now: Column) -> DataFra
     return both.select(key, F.coalesce("status", F.lit("fresh")).alias("status"), F.coalesce("discovered", now).alias("discovered"), now.alias("last_seen"))
 
 
-def packed(items: DataFrame, group: str, order: list[Column], tokens: str, limit: int, reserve: int = 1000) -> DataFrame:
+def packed(items: DataFrame, group: str, order: list[Column], tokens: str, limit: int, reserve: int = 1000, segments: int | None = None) -> DataFrame:
     """The items of each group, in order, up to the first that would pass the limit less a reserve."""
-    upto = F.sum(tokens).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("used", upto).where(F.col("used") < limit - reserve)
+    rows = scan.segmented(items, group, order, segments)
+    upto = scan.running_sums(rows, [group], order, {"used": F.col(tokens)})
+    return upto.where(F.col("used") < limit - reserve).drop(scan.SEGMENT)
 
 
 def triggers(facts: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:

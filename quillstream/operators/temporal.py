@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import half_up, sequential
+from . import scan
+from .folds import half_up
 
 DECAY, HISTORY, ELEVATED, LEAST_HISTORY = 0.85, 50, 1.5, 3
 # Seed baselines as type -> signal -> (mean, std), each of weight 5.
@@ -22,10 +23,11 @@ SEEDS = {
 }
 
 
-def decayed_peaks(df: DataFrame, stream: str, order: str, values: dict[str, float]) -> DataFrame:
+def decayed_peaks(df: DataFrame, stream: str, order: str, values: dict[str, float], segments: int | None = None) -> DataFrame:
     """d_<signal> of every row: max of the value and 0.85 of the last one, rounded to 3 at every step, from a start each.
 
-    The rounding feeds back, so it is a fold over each stream in order.
+    The rounding feeds back, but steps compose: rounding is monotone, so after k steps a peak s is the larger of
+    what the rows gave by themselves and s decayed and rounded k times, which soon stays as it is.
     """
     names = list(values)
 
@@ -33,58 +35,83 @@ def decayed_peaks(df: DataFrame, stream: str, order: str, values: dict[str, floa
         now = [half_up(max(float(x) if x is not None else 0.0, last * DECAY)) for x, last in zip(row, state, strict=True)]
         return now, tuple(now)
 
+    def extend(form: list, row: tuple) -> list:
+        steps, own = form
+        return [steps + 1, step(own, row)[0] if steps else [half_up(float(x or 0.0)) for x in row]]
+
+    def enter(state: list[float], form: list) -> list[float]:
+        steps, own = form
+        out = []
+        for last, least in zip(state, own, strict=True):
+            for _ in range(steps):
+                then = half_up(last * DECAY)
+                if then == last:
+                    break
+                last = then
+            out.append(max(last, least))
+        return out
+
     schema = ", ".join(f"`d_{v}` double" for v in names)
-    return sequential(df, stream, [order], names, lambda: [float(values[v]) for v in names], step, schema)
+    rows = scan.segmented(df.select(*dict.fromkeys([stream, order, *names])), stream, [order], segments)
+    return scan.composed(rows, stream, order, names, [float(values[v]) for v in names], step, [0, []], extend, enter, schema)
 
 
-def decayed_peaks_closed(df: DataFrame, stream: str, order: str, value: str, decay: float = DECAY) -> DataFrame:
+def decayed_peaks_closed(df: DataFrame, stream: str, order: str, value: str, decay: float = DECAY, segments: int | None = None) -> DataFrame:
     """Add peak: the unrounded decayed peak in closed form, for streams of any length.
 
     Inside a block of steps it is a running maximum of value / decay^t, with t from the start of the block. The blocks are
     so short that the factor stays under 1e142. The end of the earlier block that leads at a row, the one with the largest
-    ln(peak) - t * ln(decay), is carried forward by its distance.
+    ln(peak) - t * ln(decay), is carried forward by its distance: first the blocks of a segment, then whole segments.
     """
     length = int(325 / max(-math.log(decay), 1e-6))
-    w = Window.partitionBy(stream).orderBy(order)
-    placed = df.withColumn("_t", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_t") / length))
+    fall = F.ln(F.lit(decay))
+    lead = lambda t, p: F.struct((F.ln(p) - t * fall).alias("k"), t.alias("t"), p.alias("p"))
+    w = scan.inside([stream], [order])
+    rows = scan.segmented(df, stream, [order], segments)
+    placed = rows.withColumn("_t", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_t") / length))
     placed = placed.withColumn("_r", F.col("_t") - F.col("_b") * length).withColumn("_x", F.col(value) * F.pow(F.lit(1 / decay), F.col("_r")))
-    inside = F.max("_x").over(Window.partitionBy(stream, "_b").orderBy(order)) * F.pow(F.lit(decay), F.col("_r"))
-    ended = (F.col("_r") == length - 1) & (F.col("_p") > 0)
-    end = F.when(ended, F.struct((F.ln("_p") - F.col("_t") * F.ln(F.lit(decay))).alias("k"), F.col("_t").alias("t"), F.col("_p").alias("p")))
-    led = placed.withColumn("_p", inside).withColumn("_e", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    carried = F.col("_e.p") * F.pow(F.lit(decay), F.col("_t") - F.col("_e.t"))
-    return led.withColumn("peak", F.greatest(F.lit(0.0), "_p", carried)).drop("_t", "_b", "_r", "_x", "_p", "_e")
-
-
-def elevation(df: DataFrame, stream: str, order: str, value: str, count_signal: bool = False) -> DataFrame:
+    block = F.max("_x").over(Window.partitionBy(scan.SEGMENT, stream, "_b").orderBy(order)) * F.pow(F.lit(decay), F.col("_r"))
+    end = F.when((F.col("_r") == length - 1) & (F.col("_p") > 0), lead(F.col("_t"), F.col("_p")))
+    led = placed.withColumn("_p", block).withColumn("_e", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    own = led.withColumn("_p", F.greatest("_p", F.col("_e.p") * F.pow(F.lit(decay), F.col("_t") - F.col("_e.t"))))
+    last = F.col("_start") + F.col("n") - 1
+    found = scan.carried(
+        own, [stream], {"n": F.count("*"), "p": F.max_by("_p", "_t")},
+        lambda _, before: {"_start": F.coalesce(F.sum("n").over(before), F.lit(0)), "_best": F.max(F.when(F.col("p") > 0, lead(last, F.col("p")))).over(before)},
+    )
+    carried = F.col("_best.p") * F.pow(F.lit(decay), F.col("_start") + F.col("_t") - F.col("_best.t"))
+    return found.select(*df.columns, F.greatest(F.lit(0.0), "_p", carried).alias("peak"))
+
+
+def elevation(df: DataFrame, stream: str, order: str, value: str, count_signal: bool = False, segments: int | None = None) -> DataFrame:
     """Add elevated and streak: over 1.5 medians of up to 50 values before (3 at least), and for how many in a row."""
-    w = Window.partitionBy(stream).orderBy(order)
-    past = w.rowsBetween(-HISTORY, -1)
-    marked = df.withColumn("_n", F.count(value).over(past)).withColumn("_m", F.expr(f"percentile({value}, 0.5)").over(past))
+    rows = scan.with_history(scan.segmented(df, stream, [order], segments), [stream], [order], [value], HISTORY)
+    past = scan.inside([stream], [order]).rowsBetween(-HISTORY, -1)
+    marked = rows.withColumn("_n", F.count(value).over(past)).withColumn("_m", F.expr(f"percentile({value}, 0.5)").over(past)).where("NOT _copy")
     quiet = F.col(value) >= 3 if count_signal else F.col(value) > 0.1
     up = (F.col("_n") >= LEAST_HISTORY) & F.when(F.col("_m") == 0, quiet).otherwise(F.col(value) > ELEVATED * F.col("_m"))
-    return run_length(marked.withColumn("elevated", F.coalesce(up, F.lit(False))), stream, order, "elevated", "streak").drop("_n", "_m")
+    found = marked.withColumn("elevated", F.coalesce(up, F.lit(False))).select(*df.columns, scan.SEGMENT, "elevated")
+    return scan.run_length(found, [stream], [order], "elevated", "streak").drop(scan.SEGMENT)
 
 
-def run_length(df: DataFrame, stream: str, order: str, flag: str, name: str) -> DataFrame:
+def run_length(df: DataFrame, stream: str, order: str, flag: str, name: str, segments: int | None = None) -> DataFrame:
     """Number of rows with the flag set in a row up to each row (0 where it is not set)."""
-    w = Window.partitionBy(stream).orderBy(order)
-    place = F.row_number().over(w)
-    last = F.max(F.when(~F.col(flag), F.col("_place"))).over(w)
-    return df.withColumn("_place", place).withColumn(name, F.col("_place") - F.coalesce(last, F.lit(0))).drop("_place")
+    return scan.run_length(scan.segmented(df, stream, [order], segments), [stream], [order], flag, name).drop(scan.SEGMENT)
 
 
-def feeling_runs(df: DataFrame, stream: str, order: str, label: str) -> DataFrame:
+def feeling_runs(df: DataFrame, stream: str, order: str, label: str, segments: int | None = None) -> DataFrame:
     """Add in_state (pulses with this label in a row) and previous (the last ten labels, oldest first)."""
-    w = Window.partitionBy(stream).orderBy(order)
-    changed = df.withColumn("_same", F.coalesce(F.lag(label).over(w) == F.col(label), F.lit(False)))
-    counted = run_length(changed, stream, order, "_same", "_repeats").withColumn("in_state", F.col("_repeats") + 1)
-    return counted.withColumn("previous", F.array_join(F.collect_list(label).over(w.rowsBetween(-9, 0)), ",")).drop("_same", "_repeats")
+    w = scan.inside([stream], [order])
+    rows = scan.with_history(scan.segmented(df, stream, [order], segments), [stream], [order], [label], 9)
+    same = F.coalesce(F.lag(label).over(w) == F.col(label), F.lit(False))
+    seen = rows.withColumn("_same", same).withColumn("previous", F.array_join(F.collect_list(label).over(w.rowsBetween(-9, 0)), ",")).where("NOT _copy").drop("_copy")
+    counted = scan.run_length(seen, [stream], [order], "_same", "in_state")
+    return counted.select(*df.columns, (F.col("in_state") + 1).alias("in_state"), "previous")
 
 
-def last_observed(stream: str, order: str, kind: str) -> Column:
-    """The last type seen before each row of a stream."""
-    return F.last(kind, ignorenulls=True).over(Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+def with_last_observed(df: DataFrame, stream: str, order: str, kind: str, name: str, segments: int | None = None) -> DataFrame:
+    """Add the last type seen before each row of a stream."""
+    return scan.last_before(scan.segmented(df, stream, [order], segments), [stream], [order], kind, name).drop(scan.SEGMENT)
 
 
 def with_baseline(df: DataFrame, baselines: DataFrame, kind: str, signal: str, fallback: str = "exploratory") -> DataFrame:
@@ -97,13 +124,13 @@ def with_baseline(df: DataFrame, baselines: DataFrame, kind: str, signal: str, f
     return both.select(*df.columns, "_b.*")
 
 
-def baseline_scores(df: DataFrame, stream: str, order: str, kind: str, signals: list[str] = SIGNALS) -> DataFrame:
+def baseline_scores(df: DataFrame, stream: str, order: str, kind: str, signals: list[str] = SIGNALS, segments: int | None = None) -> DataFrame:
     """Add z_<signal>: deviation from the running baseline of the row's type, before the row itself updates it.
 
     Baselines start from the seeds with a weight of 5 and merge all earlier values of stream and type, in closed form
-    from running sums: no state is carried from row to row. An unknown type starts as exploratory.
+    from sums of their distances from the seed's mean and of the squares, which add up over segments. An unknown
+    type starts as exploratory.
     """
-    past = Window.partitionBy(stream, kind).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
     def seed(place: int, which: int) -> Column:
         out = F.lit(SEEDS["exploratory"][place][which])
@@ -111,43 +138,50 @@ def baseline_scores(df: DataFrame, stream: str, order: str, kind: str, signals:
             out = F.when(F.col(kind) == name, rows[place][which]).otherwise(out)
         return out
 
-    df = df.withColumn("_n", F.count("*").over(past))
+    sums, first = {"_n": F.lit(1)}, {}
     for name in signals:
-        place = SIGNALS.index(name)
-        x = F.col(name).cast("double")
-        m0, s0 = seed(place, 0), seed(place, 1)
-        total, square = F.coalesce(F.sum(x).over(past), F.lit(0.0)), F.coalesce(F.sum(x * x).over(past), F.lit(0.0))
-        count = SEED_COUNT + F.col("_n")
-        mean = (SEED_COUNT * m0 + total) / count
-        m2 = SEED_COUNT * s0 * s0 + square + SEED_COUNT * m0 * m0 - count * mean * mean
-        deviation = F.sqrt(F.greatest(F.lit(0.0), m2) / count)
-        z = F.when(deviation < 0.001, F.when(F.abs(x - mean) > 0.01, 10.0).otherwise(0.0)).otherwise(F.round(F.round((x - mean) / deviation, 9), 2))
-        df = df.withColumn(f"z_{name}", z)
-    return df.drop("_n")
-
-
-def drives(events: DataFrame, stream: str, order: str) -> DataFrame:
+        first[name] = [seed(SIGNALS.index(name), which) for which in (0, 1)]
+        off = F.col(name).cast("double") - first[name][0]
+        sums |= {f"_t_{name}": off, f"_q_{name}": off * off}
+    found = scan.running_sums(scan.segmented(df, stream, [order], segments), [stream, kind], [order], sums, itself=False)
+    count, scores = SEED_COUNT + F.col("_n"), []
+    for name in signals:
+        mean = F.col(f"_t_{name}") / count  # from the seed's
+        squares = F.lit(float(SEED_COUNT)) * first[name][1] * first[name][1] + F.col(f"_q_{name}") - count * mean * mean
+        deviation = F.sqrt(F.greatest(F.lit(0.0), squares) / count)
+        gap = F.col(name).cast("double") - first[name][0] - mean
+        z = F.when(deviation < 0.001, F.when(F.abs(gap) > 0.01, 10.0).otherwise(0.0)).otherwise(F.round(F.round(gap / deviation, 9), 2))
+        scores.append(z.alias(f"z_{name}"))
+    return found.select(*df.columns, *scores)
+
+
+def drives(events: DataFrame, stream: str, order: str, segments: int | None = None) -> DataFrame:
     """Levels of three drives after every pulse: (stream, order, building, publishing, experimenting, turns).
 
     Pulses have code_changed, notes_written, publishable, research, reflective (booleans). Levels rise and decay by
-    fixed rates within 0 and 1, rounded to 3 at every step, in a fold over each stream's pulses in order.
+    fixed rates within 0 and 1, in thousandths, so nothing is left to round. Steps compose: each adds and clamps, and so
+    do any number of them together (add, least, most).
     """
     fields = ["code_changed", "notes_written", "publishable", "research", "reflective"]
 
-    def clamp(x: float) -> float:
-        return half_up(max(0.0, min(1.0, x)))
-
-    def step(levels: tuple, row: tuple) -> tuple[tuple, tuple]:
+    def moves(row: tuple) -> tuple[int, int, int]:
         code, notes, publishable, research, reflective = row
-        building, publishing, experimenting = levels
-        levels = (
-            clamp(building + (-0.4 if code else 0.15)),
-            clamp(publishing + (-0.35 if publishable else 0.05 if notes else 0.1)),
-            clamp(experimenting + (-0.3 if research else -0.12 if code else 0.08 if reflective else -0.03)),
-        )
-        return levels, levels
-
-    folded = sequential(events, stream, [order], fields, lambda: (0.0, 0.0, 0.0), step, "building double, publishing double, experimenting double")
+        return -400 if code else 150, -350 if publishable else 50 if notes else 100, -300 if research else -120 if code else 80 if reflective else -30
+
+    clamp = lambda x, low, high: max(low, min(high, x))
+
+    def step(levels: list[int], row: tuple) -> tuple[list[int], tuple]:
+        now = [clamp(x + move, 0, 1000) for x, move in zip(levels, moves(row), strict=True)]
+        return now, tuple(x / 1000 for x in now)
+
+    def extend(form: list, row: tuple) -> list:
+        return [[add + m, clamp(low + m, 0, 1000), clamp(high + m, 0, 1000)] for (add, low, high), m in zip(form, moves(row), strict=True)]
+
+    def enter(levels: list[int], form: list) -> list[int]:
+        return [clamp(x + add, low, high) for x, (add, low, high) in zip(levels, form, strict=True)]
+
+    rows = scan.segmented(events.select(*dict.fromkeys([stream, order, *fields])), stream, [order], segments)
+    folded = scan.composed(rows, stream, order, fields, [0, 0, 0], step, [[0, 0, 1000]] * 3, extend, enter, "building double, publishing double, experimenting double")
     return folded.withColumn("turns", turn_budget(F.col("building")))
 
 

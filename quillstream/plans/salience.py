@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hits
 from ..operators import saliency, sampling
-from ..sources.tables import cut, table, talks
+from ..sources.tables import stored, table, talks
 from . import chunks, duck
 
 FAMILIES = saliency.heuristics("alex")
@@ -47,7 +47,7 @@ def q_salience_by_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_salience_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saliency.distribution(cut(segments(spark, sf_dir).select("salience")), "salience")
+    return saliency.distribution(stored(segments(spark, sf_dir).select("salience")), "salience")
 
 
 def q_heuristic_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def q_effective_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool(spark: SparkSession, sf_dir: str, bottom: bool = False) -> DataFrame:
     rounded = effective(spark, sf_dir).select("conv_id", "pair_count", "chunk_index", F.round("effective", 6).alias("effective"))
-    return sampling.top_share(cut(rounded), "pair_count", "effective", ["conv_id", "chunk_index"], 0.1 if bottom else 0.3, bottom)
+    return sampling.top_share(stored(rounded), "pair_count", "effective", ["conv_id", "chunk_index"], 0.1 if bottom else 0.3, bottom)
 
 
 def q_top_percentile_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +109,12 @@ def q_bottom_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_softmax_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = sampling.with_softmax(cut(pool(spark, sf_dir)), "pair_count", "effective", 1.5)
+    weighted = sampling.with_softmax(stored(pool(spark, sf_dir)), "pair_count", "effective", 1.5)
     return weighted.select("pair_count", "conv_id", "chunk_index", F.round("probability", 6).alias("probability"))
 
 
 def q_weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = sampling.with_softmax(cut(pool(spark, sf_dir)), "pair_count", "effective", 1.5)
+    weighted = sampling.with_softmax(stored(pool(spark, sf_dir)), "pair_count", "effective", 1.5)
     return sampling.weighted_sample(weighted, "probability", ["conv_id", "pair_count", "chunk_index"], 5, 11).select("conv_id", "pair_count", "chunk_index")
 
 

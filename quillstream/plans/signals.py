@@ -54,7 +54,9 @@ def q_feeling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_predicted_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = typed(notes(spark, sf_dir)).withColumn("last_type", temporal.last_observed("source", "doc_id", "observed"))
+    kinds = typed(notes(spark, sf_dir)).select("doc_id", "source", "observed")
+    last = temporal.with_last_observed(kinds, "source", "doc_id", "observed", "last_type").select("doc_id", "last_type")
+    df = notes(spark, sf_dir).join(last, "doc_id")
     m = lambda n, k: F.pmod(F.col("doc_id"), F.lit(n)) == k
     expected = classify.expected_type(
         F.when(m(3, 0), F.col("text")), F.when(m(3, 1), F.col("text")), F.when(m(2, 1), F.col("text")), m(23, 5), m(7, 2), F.pmod(F.col("doc_id"), F.lit(8)) + 1, F.col("last_type")
@@ -71,16 +73,16 @@ def q_decayed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_decayed_peaks_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = temporal.decayed_peaks_closed(linguistic(spark, sf_dir), "source", "doc_id", "question_density")
+    found = temporal.decayed_peaks_closed(linguistic(spark, sf_dir).select("doc_id", "source", "question_density"), "source", "doc_id", "question_density")
     return found.select("doc_id", F.round(F.round("peak", 9), 6).alias("peak"))
 
 
 def q_elevation_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.elevation(linguistic(spark, sf_dir), "source", "doc_id", "hedging_ratio").select("doc_id", "elevated", F.col("streak").cast("long"))
+    return temporal.elevation(linguistic(spark, sf_dir).select("doc_id", "source", "hedging_ratio"), "source", "doc_id", "hedging_ratio").select("doc_id", "elevated", F.col("streak").cast("long"))
 
 
 def q_baseline_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = typed(signals.with_linguistic(notes(spark, sf_dir)))
+    df = typed(signals.with_linguistic(notes(spark, sf_dir))).select("doc_id", "source", "observed", *Z)
     found = temporal.baseline_scores(df, "source", "doc_id", "observed", Z)
     return found.select("doc_id", "observed", *[f"z_{z}" for z in Z])
 
@@ -94,7 +96,7 @@ def q_baseline_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_feeling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = felt(spark, sf_dir).withColumn("label", F.col("f.type"))
+    df = felt(spark, sf_dir).select("doc_id", "source", F.col("f.type").alias("label"))
     return temporal.feeling_runs(df, "source", "doc_id", "label").select("doc_id", "label", F.col("in_state").cast("long"), "previous")
 
 

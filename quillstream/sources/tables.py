@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,10 +62,38 @@ def shared(spark: SparkSession) -> str:
     return (found or sc.getCheckpointDir()).rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed in the shared folder, for plans that read an expensive input more than once."""
-    shared(df.sparkSession)
-    return df.checkpoint()
+_written: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; ``sweep`` deletes what is written there."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read back, for plans that read an expensive input more than once.
+
+    A lost executor costs nothing that was stored, and readers prune columns.
+    """
+    path = scratch(df.sparkSession, "stored")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep() -> None:
+    """Delete what this process wrote in the shared folder (also run at exit); results that still read it become invalid."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is already gone at exit
+            return
+
+
+atexit.register(sweep)
 
 
 def spread(df: DataFrame) -> DataFrame:
