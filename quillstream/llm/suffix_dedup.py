@@ -17,8 +17,9 @@ from .suffixes import Contents, repeated_runs
 
 #: Bytes of the strings that count as repeated, and of those that make up a passage.
 LENGTH, PASSAGE = 400, 250
-#: A passage has more words than this.
+#: A passage has more words than this, so at least so many bytes.
 WORDS = 50
+SHORTEST = 2 * WORDS + 1
 #: Bytes of the strings whose least hash in a window anchors the window, for short windows, and for long ones.
 ANCHOR, LONG_ANCHOR = 64, 200
 #: Bytes of text that one shard sorts, on average, and that a scan holds at a time.
@@ -89,9 +90,35 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level
     return text, first - offsets[text], ends - first, mixed(hashes[anchor[first]]), Rolling(data, 1)(first, ends)
 
 
-def scanned(texts: DataFrame, length: int, level: int) -> DataFrame:
+def word_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
+    """All windows of WORDS + 1 words that have fewer than ``size`` bytes: text, start, bytes and two hashes of the bytes.
+
+    Long texts are cut with an overlap of ``size`` bytes and one more at either end, by which words are told from
+    parts of words; a window belongs to the part in which it starts.
+    """
+    cut = [(k, at) for k, t in enumerate(texts) for at in range(0, max(1, len(t)), LONGEST)]
+    parts = [texts[k][max(0, at - 1) : at + LONGEST + size] for k, at in cut]
+    data, offsets = joined(parts)
+    starts, ends, _ = word_bounds(data, offsets)
+    first, last = starts[: max(0, starts.size - WORDS)], ends[WORDS:]
+    owner = np.searchsorted(offsets, first, "right") - 1
+    short = np.flatnonzero((last - first < size) & (last <= offsets[owner + 1]))
+    owner, first, last = owner[short], first[short], last[short]
+    text, at = (np.array(x, np.int64)[owner] for x in zip(*cut, strict=True)) if cut else (owner, owner)
+    begin = first - offsets[owner] + np.maximum(at - 1, 0)
+    mine = (begin >= at) & (begin < at + LONGEST)
+    owner, first, last, text, begin = (x[mine] for x in (owner, first, last, text, begin))
+    used, place = np.unique(owner, return_inverse=True)  # only parts with such windows are hashed
+    rows, bounds = joined([parts[k] for k in used.tolist()])
+    a = first - offsets[owner] + bounds[place]
+    hashes = [Rolling(rows, k)(a, a + last - first) if a.size else np.zeros(0, np.uint64) for k in (0, 1)]
+    return text, begin, last - first, *hashes
+
+
+def scanned(texts: DataFrame, length: int, level: int, words: bool = False) -> DataFrame:
     """The stretches of all texts: their columns but the text, then start, size, anchor, digest. Texts longer than
-    LONGEST are cut with an overlap that leaves every window in one part."""
+    LONGEST are cut with an overlap that leaves every window in one part. With ``words`` each window of WORDS + 1 words
+    that is too short for a window of ``length`` bytes is a stretch of its own, anchored by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +133,13 @@ def scanned(texts: DataFrame, length: int, level: int) -> DataFrame:
                 taken = rest.take(pa.array(row))
                 columns = [*taken.columns, pa.array(begin + shift), pa.array(size), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, [*rest.schema.names, "start", "size", "anchor", "digest"])
+            for start, end in in_chunks(texts, CHUNK) if words else ():
+                text, begin, size, anchor, digest = word_windows(texts[start:end], length)
+                columns = [*rest.take(pa.array(start + text)).columns, pa.array(begin), pa.array(size), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [*rest.schema.names, "start", "size", "anchor", "digest"])
 
     own = ", ".join(f"{n} {t}" for n, t in texts.dtypes if n != "text")
-    return texts.where(F.octet_length("text") >= length).mapInArrow(run, f"{own}, start long, size long, anchor long, digest long")
+    return texts.where(F.octet_length("text") >= (SHORTEST if words else length)).mapInArrow(run, f"{own}, start long, size long, anchor long, digest long")
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -207,9 +238,11 @@ def counted_runs(contents: DataFrame, length: int) -> DataFrame:
     return both[0].union(both[1]).select("anchor", "digest", "r.begin", "r.end", "across")
 
 
-def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0, words: bool = False) -> tuple[DataFrame, DataFrame]:
     """Spans of ``texts`` (doc, key, at, text) whose windows of ``length`` bytes start anywhere else, and suspects.
 
+    With ``words`` also spans of WORDS + 1 words in fewer bytes that start anywhere else.
+
     Spans are (doc, key, at, begin, end, across): runs of repeated windows, in pieces that may overlap, and, with
     across, runs of windows that another document has too. Suspects are the texts that may have spans.
 
@@ -221,7 +254,7 @@ def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0
        times; windows that share all of these anchors are counted over all tasks.
     4. The repeated runs go back to every place of their content.
     """
-    found = stored(scanned(texts, length, level))
+    found = stored(scanned(texts, length, level, words))
     copies = F.col("copies") if "copies" in found.columns else F.lit(1).cast("long")
     lo, hi = (F.col("lo"), F.col("hi")) if "copies" in found.columns else (F.xxhash64("doc", "key"),) * 2
     often = stored(found.groupBy("anchor").agg(F.sum(copies).alias("n")).where("n > 1").select("anchor"))
@@ -236,7 +269,7 @@ def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0
     wanted = contents.where("kind > 0").select("place.*", *fields[:6]).select(*ROW, F.struct(*fields).alias("w"))
     rows = near.select(*ROW).distinct().withColumn("w", F.lit(None).cast(wanted.schema["w"].dataType)).unionByName(wanted)
     asked = rows.groupBy(*ROW).agg(F.collect_list("w").alias("wanted")).select(*(F.col(c).alias(f"_{c}") for c in ROW), "wanted")
-    suspects = stored(texts.where(F.octet_length("text") >= length).join(asked.hint("shuffle_hash"), _same_row()).select(*texts.columns, "wanted"))
+    suspects = stored(texts.where(F.octet_length("text") >= (SHORTEST if words else length)).join(asked.hint("shuffle_hash"), _same_row()).select(*texts.columns, "wanted"))
 
     totals = {r["kind"]: r["bytes"] for r in contents.groupBy("kind").agg(F.sum("place.size").alias("bytes")).collect()}
     runs = contents.where("kind = 0").select("anchor", "digest", F.lit(0).cast("long").alias("begin"), F.col("place.size").alias("end"), (F.col("lo") != F.col("hi")).alias("across"))
@@ -343,7 +376,7 @@ def removals(docs: DataFrame, hot: int = HOT) -> DataFrame:
     Strings of LENGTH bytes that occur again lie in runs of repeated strings of PASSAGE bytes, which are found first;
     only such runs of LENGTH bytes or more are searched for the longer strings.
     """
-    spans, suspects = repeated_spans(whole_texts(docs), PASSAGE, hot)
+    spans, suspects = repeated_spans(whole_texts(docs), PASSAGE, hot, words=True)
     known = stored(judged(suspects.join(by_row(spans).hint("shuffle_hash"), _same_row()).select("doc", "key", "text", "spans")))
     runs = known.where("text IS NOT NULL").select("doc", "key", "text", F.explode("runs").alias("r"))
     pieces = stored(runs.select("doc", "key", F.col("r.begin").alias("at"), F.substring(F.col("text"), F.col("r.begin") + 1, F.col("r.end") - F.col("r.begin")).alias("text")))
@@ -360,9 +393,9 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, digests: bool = False) -> Da
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept, the bytes left (with ``digests`` their
     SHA-256 as kept_sha256, which spares a shuffle of all texts), and n_passages, for every row. n_passages counts the
-    maximal runs of over 50 words, made of strings of 250 bytes that another document has too; those shorter than 400
-    bytes are counted, not removed. Strings are judged on the input, overlaps count, and no string crosses texts. A
-    null text counts as empty; a text under 250 bytes is never touched; of repeated rows or equal texts of 400 bytes
+    maximal runs of over 50 words, made of strings of 250 bytes, or of 51 words in fewer bytes, that another document
+    has too; those shorter than 400 bytes are counted, not removed. Strings are judged on the input, overlaps count,
+    and no string crosses texts. A null text counts as empty; a text under 400 bytes is never touched; of repeated rows or equal texts of 400 bytes
     or more nothing is left, and rows equal in doc_id and text count as one document for passages; an empty table
     gives an empty result; extra columns are ignored. Rows are told apart by doc_id and 64 bits of hash of the text,
     contents of one anchor by 64 bits of hash; windows that share three anchors with too many others by 128 bits.
@@ -379,14 +412,14 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, digests: bool = False) -> Da
 def remove_passages_from_texts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``docs`` without passages that repeat across documents: the text is what is left, n_chars is set anew.
 
-    A passage is a maximal run of over 50 words made of strings of 250 bytes (about as much as so many words have at
-    least) that another document has too; broken characters at the seams go with it. Documents of which nothing is
-    left are dropped; those that came without text stay as they are, as does every text without such a passage, those
-    under 250 bytes included. Rows equal in doc_id and text count as one document. An empty table gives an empty
+    A passage is a maximal run of over 50 words that another document has too, byte by byte, made of strings of 250
+    bytes or, where 51 words have fewer, of 51 words; broken characters at the seams go with it. Documents of which
+    nothing is left are dropped; those that came without text stay as they are, as does every text without such a
+    passage, those of up to 50 words included. Rows equal in doc_id and text count as one document. An empty table gives an empty
     result; columns of any other name are carried through.
     """
-    spans = by_row(repeated_spans(whole_texts(docs), PASSAGE, hot)[0].where("across"))
-    found = named(docs).where(F.octet_length("bytes") >= PASSAGE).join(spans.hint("shuffle_hash"), _same_row(), "left").select("row", F.col("bytes").alias("text"), "spans")
+    spans = by_row(repeated_spans(whole_texts(docs), PASSAGE, hot, words=True)[0].where("across"))
+    found = named(docs).where(F.octet_length("bytes") >= SHORTEST).join(spans.hint("shuffle_hash"), _same_row(), "left").select("row", F.col("bytes").alias("text"), "spans")
     cut = cut_texts(found, Spans.passages).where("octet_length(kept) > 0")
     left = F.col("kept").cast("string")
     valid = F.when(F.col("n_removed") == 0, left).otherwise(F.coalesce(F.try_validate_utf8(left), F.make_valid_utf8(left)))
@@ -395,5 +428,5 @@ def remove_passages_from_texts(docs: DataFrame, hot: int = HOT) -> DataFrame:
         chars = F.when(F.col("n_removed") == 0, found["n_chars"]).otherwise(F.char_length(valid))
         found["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
     cut = cut.select(*(found[c].alias(c) for c in docs.columns))
-    short = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) < PASSAGE)
+    short = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) < SHORTEST)
     return cut.unionByName(short)

@@ -156,22 +156,66 @@ def test_empty_table_and_texts(nothing, edges):
 
 
 def passages(rows, least=250, words=50):
-    """By plain loops: text and how many runs of over 50 words other documents have too, for every row."""
+    """By plain loops: the runs of over 50 words that other documents have too, for every row."""
+
+    def strings(t):
+        yield from ((k, k + least) for k in range(len(t) - least + 1))
+        found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        yield from ((a, b) for (a, _), (_, b) in zip(found, found[words:]) if b - a < least)
+
     owners = {}
     for i, t in rows:
-        for k in range(len(t) - least + 1):
-            owners.setdefault(t[k : k + least], set()).add((i, t))
+        for a, b in strings(t):
+            owners.setdefault(t[a:b], set()).add((i, t))
     out = []
     for _, t in rows:
         gone = np.zeros(len(t) + 2, bool)
-        for k in range(len(t) - least + 1):
-            if len(owners[t[k : k + least]]) > 1:
-                gone[k + 1 : k + 1 + least] = True
+        for a, b in strings(t):
+            if len(owners[t[a:b]]) > 1:
+                gone[a + 1 : b + 1] = True
         edges = np.flatnonzero(np.diff(gone.astype(int))).reshape(-1, 2)
         out.append([(b, e) for b, e in edges.tolist() if len(re.findall(rb"[^\x20\x09-\x0D]+", t[b:e])) > words])
     return out
 
 
+@pytest.mark.parametrize("longest", [suffix_dedup.LONGEST, 400, 251])
+def test_windows_of_short_words(monkeypatch, longest):
+    monkeypatch.setattr(suffix_dedup, "LONGEST", longest)
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab \né"), int(n))) for n in (0, 3, 90, 500, 3000, 1200, 2600)] + ["a " * 51, "a " * 50, "x" * 400, " b" * 700]
+    texts = [t.encode() for t in texts]
+    text, begin, size, one, two = suffix_dedup.word_windows(texts, 250)
+    wanted = set()
+    for k, t in enumerate(texts):
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        wanted |= {(k, a, b - a) for (a, _), (_, b) in zip(words, words[50:]) if b - a < 250}
+    found = list(zip(text.tolist(), begin.tolist(), size.tolist(), strict=True))
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 1000
+    same = {}
+    for (k, a, n), h in zip(found, zip(one.tolist(), two.tolist(), strict=True), strict=True):
+        assert same.setdefault(texts[k][a : a + n], h) == h
+    assert len(set(same.values())) == len(same)
+
+
+def test_passages_of_short_words_go(spark):
+    """Passages of 51 and of 55 words in 152 and 164 bytes are found; one of 50 words is not a passage."""
+    rng = np.random.default_rng(10)
+    words = lambda n, least=2, most=2: " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(least, most + 1)))) for _ in range(n))
+    shared = {n: words(n) for n in (50, 51, 55)}
+    texts, number = [], 0
+    for n, passage in shared.items():
+        for _ in range(2):
+            texts.append((number, f"{words(30, 6, 9)}X {passage} Y{words(30, 6, 9)}"))
+            number += 1
+    texts += [(6, shared[55]), (7, shared[51] + "."), (8, "aa " * 30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    counts = {r["doc_id"]: r["n_passages"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert counts == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0, 8: 0}
+    left = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_passages_from_texts(docs).collect()}
+    assert left[0] == texts[0][1] and left[8] == texts[8][1] and 6 not in left and left[7] == texts[7][1]
+    assert all(shared[n] not in left[i] and "X" in left[i] and "Y" in left[i] for i, n in ((2, 51), (3, 51), (4, 55), (5, 55)))
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 800, 0])
 def test_passages_match_plain_loops(edges, edge_rows, hot):
     rows = [(i, (t or "").encode()) for i, t in edge_rows]
