@@ -15,8 +15,8 @@ from .common import partitions, stored
 
 #: Distinct vectors of a shard, and queries that are searched for at a time.
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
-#: Links of a node above the base layer (twice as many in it), and the beams of building and searching.
-LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 256
+#: Links of a node above the base layer (twice as many in it), and the beams of building, of searching, and of both above it.
+LINKS, BUILD_BEAM, SEARCH_BEAM, UPPER_BEAM = 16, 64, 256, 48
 #: Beam members opened in one step, rows that are inserted or searched together, and rows linked by brute force first.
 OPENED, TOGETHER, FIRST = 4, 256, 128
 MODULUS, NEAREST = 20, 20
@@ -36,14 +36,18 @@ def best_first(sims: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, ...]:
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1: none) and similarities of the ``beam`` best nodes found for each query, best first.
 
-    All queries walk in lockstep: a step opens the best unopened members of every beam that can still gain.
+    ``entry`` has the nodes to start from, a row a query (-1: none). All queries walk in lockstep: a step opens the best unopened members of every beam that can still gain.
     """
     n = len(queries)
     seen = np.zeros((n, len(points)), bool)
     ids, sims = np.full((n, beam), -1, np.int64), np.full((n, beam), -np.inf, np.float32)
     opened = np.ones((n, beam), bool)
-    ids[:, 0], sims[:, 0], opened[:, 0] = entry, np.einsum("qd,qd->q", points[entry], queries), False
-    seen[np.arange(n), entry] = True
+    entry = entry[:, :beam]
+    given = entry >= 0
+    ids[:, : entry.shape[1]] = entry
+    sims[:, : entry.shape[1]] = np.where(given, np.einsum("qed,qd->qe", points[np.maximum(entry, 0)], queries), -np.inf)
+    opened[:, : entry.shape[1]] = ~given
+    seen[np.nonzero(given)[0], entry[given]] = True
     active = np.arange(n)
     while active.size:
         waiting = np.where(opened[active], -np.inf, sims[active])
@@ -131,11 +135,11 @@ def build_graph(points: np.ndarray, seed: int = 8) -> list[np.ndarray]:
     while done < n:
         size = FIRST if done == 0 else min(TOGETHER, done)
         new = order[done : done + size]
-        at = np.full(new.size, entry)
+        at = np.full((new.size, 1), entry)
         for k in range(tops - 1, -1, -1):
             if done:
-                ids, sims = beam_search(points, layers[k], points[new], at, BUILD_BEAM if k == 0 else 8)
-                at = np.where(ids[:, 0] >= 0, ids[:, 0], at)
+                ids, sims = beam_search(points, layers[k], points[new], at, BUILD_BEAM if k == 0 else UPPER_BEAM)
+                at = ids
             members = new[level[new] >= k]
             if not members.size:
                 continue
@@ -153,14 +157,17 @@ def build_graph(points: np.ndarray, seed: int = 8) -> list[np.ndarray]:
 
 
 def search_graph(points: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, beam: int) -> np.ndarray:
-    """Ids (-1: none) of the best nodes found for each query."""
+    """Ids (-1: none) of the best nodes found for each query.
+
+    Each layer starts from all that the beam of the layer above has found, so that a query whose nearest node up there
+    lies in another cluster than its neighbours still reaches them.
+    """
     out = []
     for start in range(0, len(queries), TOGETHER):
         part = queries[start : start + TOGETHER]
-        at = np.full(len(part), int(graph[-1][0]))
+        at = np.full((len(part), 1), int(graph[-1][0]))
         for k in range(len(graph) - 2, 0, -1):
-            ids, _ = beam_search(points, graph[k], part, at, 8)
-            at = np.where(ids[:, 0] >= 0, ids[:, 0], at)
+            at, _ = beam_search(points, graph[k], part, at, UPPER_BEAM)
         out.append(beam_search(points, graph[0], part, at, beam)[0])
     return np.concatenate(out) if out else np.zeros((0, beam), np.int64)
 

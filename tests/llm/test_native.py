@@ -98,6 +98,21 @@ def test_neighbours_recall_and_order(spark, monkeypatch):
     assert all(r["score"] == pytest.approx(float(by_id[r["query_id"]] @ by_id[r["vec_id"]]), abs=1e-12) for r in rows)
 
 
+def test_recall_of_a_full_shard():
+    """16,384 vectors in 64 tight clusters, of uneven norms: every query finds most of its neighbours, none is lost."""
+    rng = np.random.default_rng(8)
+    n, size = ann.SHARD_ROWS, 64
+    vectors = rng.normal(size=(64, size))[rng.integers(0, 64, n)] + 0.1 * rng.normal(size=(n, size))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True) * rng.uniform(0.5, 2, (n, 1))).astype(np.float32)
+    points, asked = ann.lifted(vectors), np.arange(0, n, 20)
+    found = ann.search_graph(points, ann.build_graph(points), np.pad(vectors[asked], ((0, 0), (0, 1))), ann.SEARCH_BEAM)
+    near = vectors[asked].astype(float) @ vectors.astype(float).T
+    near[np.arange(asked.size), asked] = -np.inf
+    wanted = np.argsort(-near, axis=1)[:, :20]
+    recall = [len(set(f.tolist()) & set(w.tolist())) / 20 for f, w in zip(found, wanted, strict=True)]
+    assert np.mean(recall) >= 0.95 and min(recall) > 0.5
+
+
 def test_neighbour_edges(spark):
     rows = [(i, [1.0, 0.5]) for i in range(60)] + [(100, [0.0, 0.0]), (101, None), (102, [float("nan"), 1.0]), (103, [1.0, None]), (120, [2.0, 0.0]), (None, [1.0, 1.0]), (140, [1.0, 2.0, 3.0]), (0, [1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
