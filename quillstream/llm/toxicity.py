@@ -63,7 +63,7 @@ def votes(texts: list[str], stems: tuple[str, ...]) -> np.ndarray:
     model = ToxicModel(tuple(dict.fromkeys([*stems, *" ".join(LEXICON.values()).split()])), np.zeros(0), 0)
     finder, patterns = model.compiled()
     order = {s: i for i, s in enumerate(stems)}
-    lexicons = [set(words.split()) for words in LEXICON.values()]
+    lexicons = [words.split() for words in LEXICON.values()]
     starts = [(s, i) for s, i in order.items()]
     out = np.zeros((len(texts), count_voters(stems)), np.int8)
     for row, text in enumerate(texts):
@@ -71,8 +71,8 @@ def votes(texts: list[str], stems: tuple[str, ...]) -> np.ndarray:
             for stem, i in starts:  # a longer stem also has its beginnings
                 if hit.startswith(stem):
                     out[row, i] = 1
-            for k, words in enumerate(lexicons):
-                if hit in words:
+            for k, words in enumerate(lexicons):  # the hit may be a longer mined stem than the lexicon's word
+                if any(hit.startswith(w) for w in words):
                     out[row, len(stems) + k] = 1
         for k, pattern in enumerate(patterns):
             out[row, len(stems) + len(LEXICON) + k] = bool(pattern.search(text))
@@ -212,7 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: bool = False) -> Da
     """Score every whole text; ``keep`` carries all columns of ``docs`` along.
 
     Labels are learned from rows outside the held-out fold (crc32 of doc_id mod 5 = 0) with a label of 0 or 1 and a
-    text. Returns doc_id, held_out, score and predicted. A null text
+    text; of rows with one doc_id the least text stands for all. Returns doc_id, held_out, score and predicted. A null text
     counts as empty, which no voter marks; without usable labels every score is 0. Repeated rows get equal scores;
     an empty table gives an empty result; a document with several labels counts as toxic if one says so.
     """
@@ -221,7 +221,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: bool = False) -> Da
     slim = docs.select("doc_id", "text").where("text IS NOT NULL")
     drawn = sample_labelled(usable.select(F.col("_labelled").alias("doc_id"), F.lit("").alias("text"), "toxic"), "toxic", SAMPLE_PER_CLASS, 7)
     chosen = drawn.select(F.col("doc_id").alias("_labelled"), "toxic")
-    model = fit(slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "toxic"))
+    known = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled")).groupBy("doc_id")
+    model = fit(known.agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
@@ -119,6 +120,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert counts.get((0, 1), 0) < 0.02 * counts[(0, 0)]
 
 
+def test_votes_against_plain_loops():
+    """A voter of a word beginning fires if a word begins with it, however long the stem that another voter has."""
+    texts = ["un idiote ici", "Idiots!", "the scummy one", "an idio", "you are really stupid", "w**d imbécile", "AAAA BBBB CCCC DDDD EEEE x!!", "", "preidiot"]
+    for stems in ((), ("idiote", "idio", "scum"), ("stupide", "imb")):
+        got = toxicity.votes(texts, stems)
+        for row, text in enumerate(texts):
+            words = re.findall(r"\w+", text.lower())
+            wanted = [any(w.startswith(s) for w in words) for s in stems]
+            wanted += [any(w.startswith(s) for w in words for s in listed.split()) for listed in toxicity.LEXICON.values()]
+            wanted += [bool(re.search(p, text)) for _, p, _ in toxicity.PATTERNS]
+            assert got[row].tolist() == list(map(int, wanted)), (text, stems)
+
+
+def test_repeated_ids_give_one_labelled_row(spark):
+    rows = [(i % 7, f"word{i} good text") for i in range(60)] + [(i % 7 + 10, f"idiot {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 10)) for i in [*range(7), *range(10, 17)]], "doc_id long, toxic int")
+    first, again = (sorted(map(tuple, toxicity.score_toxicity(docs.repartition(n), labels).collect())) for n in (2, 5))
+    assert len(first) == 120 and [r[:2] for r in first] == [r[:2] for r in again]
+    assert [r[2] for r in first] == pytest.approx([r[2] for r in again])
+
+
 def test_toxicity_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(1, 0), (1, 1), (12, 0), (None, 1), (16, None)], "doc_id long, toxic int")
     rows = toxicity.score_toxicity(edges, labels).collect()
