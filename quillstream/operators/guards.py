@@ -154,6 +154,53 @@ def rate_status(tokens: DataFrame, subsystem: str, order: str, time: str, on: Co
     return last.select(subsystem, F.round(have, 6).alias("available"), F.round(have / F.col("_l.full") * 100, 3).alias("percent"))
 
 
+class Guard:
+    """Budget, rate limits of callers and repeated prompts of one stream; what it lets through it remembers."""
+
+    def __init__(self, hourly: float, daily: float, most: int, seconds: float) -> None:
+        self.limits, self.most, self.seconds = (_billionths(hourly), _billionths(daily)), most, seconds
+        self.spend, self.buckets, self.prompts, self.seen = Spend(), {}, deque(), Counter()
+
+    def forget(self, now: float) -> None:
+        """Drop what can no longer matter: spending of over a day, prompts out of sight, buckets that are full again."""
+        self.spend.forget(now)
+        while self.prompts and self.prompts[0][0] <= now - self.seconds:
+            gone = self.prompts.popleft()[1]
+            self.seen[gone] -= 1
+            if not self.seen[gone]:
+                del self.seen[gone]
+        self.buckets = {who: b for who, b in self.buckets.items() if b[0] + (now - b[1]) * b[3] < b[2]}
+
+    def decide(self, now: float, amount: float | None, who: str, prompt: str, full: float, rate: float) -> list[str]:
+        """What is against a call; without anything it spends, takes a token and is remembered."""
+        cost = _billionths(amount)
+        self.spend.forget(now)
+        while self.prompts and self.prompts[0][0] <= now - self.seconds:
+            self.seen[self.prompts.popleft()[1]] -= 1
+        tokens, before, *_ = self.buckets.get(who, (full, now))
+        tokens = min(full, tokens + (now - before) * rate)
+        over = self.spend.over(cost, *self.limits)
+        errors = [e for e, failed in ((over and over.lower(), over), ("rate", tokens < 1), ("loop", self.seen[prompt] >= self.most)) if failed]
+        if not errors:
+            self.spend.add(now, cost)
+            tokens -= 1
+            self.prompts.append((now, prompt))
+            self.seen[prompt] += 1
+        self.buckets[who] = (tokens, now, full, rate)
+        return errors
+
+    def load(self, spent: list[tuple[float, int]], buckets: dict[str, tuple], prompts: list[tuple[float, str]]) -> None:
+        for at, amount in spent:
+            self.spend.add(at, amount)
+        self.buckets, self.prompts, self.seen = dict(buckets), deque(prompts), Counter(p for _, p in prompts)
+
+    def dump(self) -> tuple[list[tuple[float, int]], dict[str, tuple], list[tuple[float, str]]]:
+        return list(self.spend.kept[DAY]), self.buckets, list(self.prompts)
+
+    def empty(self) -> bool:
+        return not (self.spend.kept[DAY] or self.buckets or self.prompts)
+
+
 def guarded(
     calls: DataFrame, stream: str, caller: str, time: str, order: str, amount: str, digest: str, hourly: float, daily: float, full: Column, rate: Column,
     most: int = 3, seconds: float = 300,
@@ -161,34 +208,18 @@ def guarded(
     """(stream, order, allowed, errors): each call held against budget, rate limit of its caller and repeated prompts.
 
     All that fail are named (``hourly`` or ``daily``, ``rate``, ``loop``); only an allowed call spends, takes a token
-    and is remembered as a prompt, so it is a fold over the stream's calls in order.
+    and is remembered as a prompt, so it is a fold over the stream's calls in order. ``streaming.guards`` decides the
+    same calls as they come.
     """
     at = (F.unix_micros(time) / 1e6).alias("_at")
     rows = calls.select(stream, order, at, F.col(amount).cast("double").alias("_amount"), F.col(caller).alias("_caller"), F.col(digest).alias("_digest"), full.alias("_full"), rate.alias("_rate"))
-    limits = _billionths(hourly), _billionths(daily)
-
-    def start() -> tuple:
-        return Spend(), {}, deque(), Counter()
 
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        spend, buckets, prompts, seen = state
-        now, cost, who, prompt, most_tokens, refill = row[0], _billionths(row[1]), *row[2:]
-        spend.forget(now)
-        while prompts and prompts[0][0] <= now - seconds:
-            seen[prompts.popleft()[1]] -= 1
-        tokens, before = buckets.get(who, (most_tokens, now))
-        tokens = min(most_tokens, tokens + (now - before) * refill)
-        over = spend.over(cost, *limits)
-        errors = [e for e, failed in ((over and over.lower(), over), ("rate", tokens < 1), ("loop", seen[prompt] >= most)) if failed]
-        if not errors:
-            spend.add(now, cost)
-            tokens -= 1
-            prompts.append((now, prompt))
-            seen[prompt] += 1
-        buckets[who] = (tokens, now)
-        return state, (not errors, ",".join(errors))
+    def step(guard: Guard, row: tuple) -> tuple[Guard, tuple]:
+        errors = guard.decide(*row)
+        return guard, (not errors, ",".join(errors))
 
-    return sequential(rows, stream, ["_at", order], ["_at", "_amount", "_caller", "_digest", "_full", "_rate"], start, step, "allowed boolean, errors string")
+    columns = ["_at", "_amount", "_caller", "_digest", "_full", "_rate"]
+    return sequential(rows, stream, ["_at", order], columns, lambda: Guard(hourly, daily, most, seconds), step, "allowed boolean, errors string")
 
 
 def recent(records: DataFrame, time: str, now: Column, seconds: float) -> DataFrame:
