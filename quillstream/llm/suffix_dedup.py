@@ -91,10 +91,11 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level
 
 
 def word_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
-    """All windows of WORDS + 1 words that have fewer than ``size`` bytes: text, start, bytes and two hashes of the bytes.
+    """Windows of WORDS + 1 words that have fewer than ``size`` bytes: text, start, bytes and two hashes of the window.
 
-    Long texts are cut with an overlap of ``size`` bytes and one more at either end, by which words are told from
-    parts of words; a window belongs to the part in which it starts.
+    Equal windows of one text that meet, as where few words repeat over and over, are one stretch from the first to the
+    end of the last. Long texts are cut with an overlap of ``size`` bytes and one more at either end, by which words are
+    told from parts of words; a window belongs to the part in which it starts.
     """
     cut = [(k, at) for k, t in enumerate(texts) for at in range(0, max(1, len(t)), LONGEST)]
     parts = [texts[k][max(0, at - 1) : at + LONGEST + size] for k, at in cut]
@@ -112,7 +113,14 @@ def word_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
     rows, bounds = joined([parts[k] for k in used.tolist()])
     a = first - offsets[owner] + bounds[place]
     hashes = [Rolling(rows, k)(a, a + last - first) if a.size else np.zeros(0, np.uint64) for k in (0, 1)]
-    return text, begin, last - first, *hashes
+    order = np.lexsort((begin, *hashes, text))
+    text, begin, bytes_, one, two = (x[order] for x in (text, begin, last - first, *hashes))
+    if not text.size:
+        return text, begin, bytes_, one, two
+    same = (text[1:] == text[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    new = np.flatnonzero(np.append(True, ~same | (begin[1:] > begin[:-1] + bytes_[:-1])))
+    until = np.append(new[1:] - 1, text.size - 1)
+    return text[new], begin[new], begin[until] + bytes_[until] - begin[new], one[new], two[new]
 
 
 def scanned(texts: DataFrame, length: int, level: int, words: bool = False) -> DataFrame:
@@ -252,7 +260,7 @@ def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0
        of about SHARD bytes, where all suffixes are sorted. Anchors with over ``hot`` bytes of contents, such as a
        passage with ever other neighbours, are split before: their windows are anchored anew by another hash, LEVELS
        times; windows that share all of these anchors are counted over all tasks.
-    4. The repeated runs go back to every place of their content.
+    4. The repeated runs go back to every place of their content; a run without an end is the whole stretch.
     """
     found = stored(scanned(texts, length, level, words))
     copies = F.col("copies") if "copies" in found.columns else F.lit(1).cast("long")
@@ -272,7 +280,7 @@ def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0
     suspects = stored(texts.where(F.octet_length("text") >= (SHORTEST if words else length)).join(asked.hint("shuffle_hash"), _same_row()).select(*texts.columns, "wanted"))
 
     totals = {r["kind"]: r["bytes"] for r in contents.groupBy("kind").agg(F.sum("place.size").alias("bytes")).collect()}
-    runs = contents.where("kind = 0").select("anchor", "digest", F.lit(0).cast("long").alias("begin"), F.col("place.size").alias("end"), (F.col("lo") != F.col("hi")).alias("across"))
+    runs = contents.where("kind = 0").select("anchor", "digest", F.lit(0).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"), (F.col("lo") != F.col("hi")).alias("across"))
     if 1 in totals:
         few = cut_out(suspects.withColumn("wanted", F.filter("wanted", lambda w: w["kind"] == 1)))
         runs = runs.unionByName(stored(sorted_runs(few, length, max(1, -(-totals[1] // SHARD)))))
@@ -284,8 +292,8 @@ def repeated_spans(texts: DataFrame, length: int, hot: int = HOT, level: int = 0
             runs = runs.unionByName(split.select(F.col("doc").alias("anchor"), F.col("key").alias("digest"), "begin", "end", "across"))
         else:
             runs = runs.unionByName(stored(counted_runs(many, length)))
-    places = near.select(*ROW, "start", "anchor", "digest").join(runs, ["anchor", "digest"])
-    spans = places.select(*ROW, (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"), "across")
+    places = near.select(*ROW, "start", "size", "anchor", "digest").join(runs, ["anchor", "digest"])
+    spans = places.select(*ROW, (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.coalesce("end", "size")).alias("end"), "across")
     return spans, suspects
 
 

@@ -185,16 +185,29 @@ def test_windows_of_short_words(monkeypatch, longest):
     texts = ["".join(rng.choice(list("ab \né"), int(n))) for n in (0, 3, 90, 500, 3000, 1200, 2600)] + ["a " * 51, "a " * 50, "x" * 400, " b" * 700]
     texts = [t.encode() for t in texts]
     text, begin, size, one, two = suffix_dedup.word_windows(texts, 250)
-    wanted = set()
+    found = list(zip(text.tolist(), begin.tolist(), size.tolist(), zip(one.tolist(), two.tolist(), strict=True), strict=True))
+    assert len(found) == len(set(found))
+    hashes, total = {}, 0
     for k, t in enumerate(texts):
-        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
-        wanted |= {(k, a, b - a) for (a, _), (_, b) in zip(words, words[50:]) if b - a < 250}
-    found = list(zip(text.tolist(), begin.tolist(), size.tolist(), strict=True))
-    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 1000
-    same = {}
-    for (k, a, n), h in zip(found, zip(one.tolist(), two.tolist(), strict=True), strict=True):
-        assert same.setdefault(texts[k][a : a + n], h) == h
-    assert len(set(same.values())) == len(same)
+        words, places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)], {}
+        for (a, _), (_, b) in zip(words, words[50:]):
+            if b - a < 250:
+                places.setdefault(t[a:b], []).append(a)
+        wanted = set()
+        for window, starts in places.items():  # equal windows that meet are one stretch
+            first = last = starts[0]
+            for a in starts[1:] + [len(t) + 1000]:
+                if a > last + len(window):
+                    wanted.add((first, last + len(window) - first, window))
+                    first = a
+                last = a
+        mine = {(a, n): h for i, a, n, h in found if i == k}
+        total += len(wanted)
+        assert sorted((a, n) for i, a, n, _ in found if i == k) == sorted((a, n) for a, n, _ in wanted)
+        for a, n, window in wanted:
+            if n == len(window):
+                assert hashes.setdefault(window, mine[a, n]) == mine[a, n]
+    assert len(set(hashes.values())) == len(hashes) and total > 500
 
 
 def test_passages_of_short_words_go(spark):
