@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, companions, exchange, injection, ledger, memory, pairs, parse, reporting, salience, signals, upkeep
+from . import chunks, companions, exchange, injection, ledger, memory, pairs, parse, reporting, salience, signals, streams, upkeep
 
-MODULES: list[ModuleType] = [chunks, pairs, salience, signals, injection, ledger, companions, memory, upkeep, parse, exchange, reporting]
+MODULES: list[ModuleType] = [chunks, pairs, salience, signals, injection, ledger, companions, memory, upkeep, parse, exchange, reporting, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

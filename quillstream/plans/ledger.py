@@ -63,9 +63,12 @@ def q_rate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.rate_status(timed, "subsystem", "event_id", "ts", F.lit("2024-01-31 00:00:00").cast("timestamp"), limit(0) + 1.0, limit(0) / 60)
 
 
+GUARD_COLUMNS = ("user_id", "caller", "ts", "event_id", "cost", "digest")
+
+
 def q_guarded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = ledger(spark, sf_dir).withColumn("caller", F.lit("any")).withColumn("digest", F.col("event_type"))
-    return guards.guarded(calls, "user_id", "caller", "ts", "event_id", "cost", "digest", HOURLY, 0.05, F.lit(3.0), F.lit(1 / 86400), 2, 200000)
+    return guards.guarded(calls, *GUARD_COLUMNS, HOURLY, 0.05, F.lit(3.0), F.lit(1 / 86400), 2, 200000)
 
 
 def q_hash_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +93,7 @@ def q_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.col("failures").cast("long"), "cooldown", "open")
 
 
-def _dialogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def dialogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf_dir, "events")
     logs = events.where("event_type = 'error'").select("event_id", "ts")
     sessions = events.where("event_type = 'purchase'").select(F.col("event_id").alias("session_id"), F.col("ts").alias("session_ts"))
@@ -98,11 +101,11 @@ def _dialogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def q_dialog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relate.interval_match(*_dialogs(spark, sf_dir), [], "event_id", "session_id", "ts", "session_ts", 600)
+    return relate.interval_match(*dialogs(spark, sf_dir), [], "event_id", "session_id", "ts", "session_ts", 600)
 
 
 def q_dialog_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs, _ = _dialogs(spark, sf_dir)
+    logs, _ = dialogs(spark, sf_dir)
     return relate.unmatched(logs, q_dialog_match(spark, sf_dir), "event_id").select("event_id")
 
 
