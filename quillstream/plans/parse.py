@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import parsers
-from ..sources.tables import shared, table
+from ..sources import transcripts
+from ..sources.tables import scratch, shared, table
 from ..streaming import windows
 from . import duck, ledger
 
@@ -30,15 +31,30 @@ def q_md_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_start", "speaker", F.md5("content").alias("digest"))
 
 
-def q_all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of every format in one table: the suffix decides how each is read."""
+def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text) of one file a turn, of every format."""
     kind = F.pmod("conv_id", F.lit(4))
     quoted = lambda c: F.substring(F.to_json(F.struct(c.alias("x"))), 6, 1 << 30)
     turn = F.when(kind == 1, F.concat(F.lit('{"role":"'), "role", F.lit('","content":'), quoted(F.col("text")))).when(kind == 2, F.concat(F.lit("<p>=== Human ===</p><p>\n</p><b>"), F.regexp_replace("text", "\n", "<br>"), F.lit("</b>"))).otherwise(F.concat(F.lit("=== Human ===\n"), "text"))
     suffix = F.element_at(F.array(F.lit("md"), F.lit("JSONL"), F.lit("html"), F.lit("unknown")), (kind + 1).cast("int"))
     first = table(spark, sf_dir, "conversations").where("role <> 'system'")
-    files = first.select(F.concat(F.lit("dir/f"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit("."), suffix).alias("path"), turn.alias("text"))
-    return parsers.parsed(files).select("path", "place", "speaker", "content_type", F.md5(F.regexp_replace("content", r"\s+", " ")).alias("digest"))
+    return first.select(F.concat(F.lit("dir/f"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit("."), suffix).alias("path"), turn.alias("text"))
+
+
+def digests(segments: DataFrame) -> DataFrame:
+    return segments.select("path", "place", "speaker", "content_type", F.md5(F.regexp_replace("content", r"\s+", " ")).alias("digest"))
+
+
+def q_all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every format in one table: the suffix decides how each is read."""
+    return digests(parsers.parsed(formats(spark, sf_dir)))
+
+
+def q_transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files written one by one into folders and read through the data source."""
+    root = scratch(spark, "transcripts")
+    transcripts.written(formats(spark, sf_dir), root)
+    return digests(transcripts.segments(transcripts.registered(spark).read.format(transcripts.NAME).load(root)))
 
 
 def q_jsonl_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +135,7 @@ u AS (SELECT * FROM f UNION ALL SELECT doc_id, 0, len(string_split(text, chr(10)
     told = lambda xs: f"md5(coalesce(array_to_string(list_filter({xs}, lambda x: x <> ''), ' '), ''))"
     peak = lambda last: duck.r3(f"greatest(coalesce(value, 0), {last} * 0.85)")
     flat = lambda c: f"md5(regexp_replace({c}, '\\s+', ' ', 'g'))"
-    return {
+    found = {
         "md_segments": f"WITH {md} SELECT doc_id, line_start::INT AS line_start, line_end::INT AS line_end, speaker, content_type, md5(content) AS digest FROM u",
         "jsonl_segments": f"""SELECT conv_id, turn, 0 AS block, {role} AS speaker, 'thinking' AS content_type, md5('hm') AS digest FROM conversations WHERE turn % 4 = 0
 UNION ALL SELECT conv_id, turn, 1, {role}, 'text', md5(text) FROM conversations WHERE turn % 4 = 0 UNION ALL SELECT conv_id, turn, 0, 'assistant', 'text', md5(text) FROM conversations WHERE turn % 4 IN (1, 2)""",
@@ -136,3 +152,5 @@ f AS (SELECT user_id, event_id, i, {peak('0')}::DOUBLE AS peak FROM e WHERE i =
         "stream_sliding": again["sliding_windows"],
         "stream_session": again["session_windows"],
     }
+    found["transcript_files"] = found["all_formats"]
+    return found
