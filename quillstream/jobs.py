@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-RECORD = "job string, status string, dry_run boolean, error string"
+RECORD = "job string, status string, dry_run boolean, error string, rows long"
 
 
 @dataclass(frozen=True)
@@ -30,10 +30,10 @@ def loaded(name: str, place: str) -> Job:
 
 @dataclass
 class Registry:
-    """Jobs by name; ``records`` has one row a run: completed, planned (a dry run) or failed, with the error."""
+    """Jobs by name; ``records`` has one row a run: completed, planned (a dry run) or failed, with the error and the rows written."""
 
     jobs: dict[str, Job] = field(default_factory=dict)
-    kept: list[tuple[str, str, bool, str | None]] = field(default_factory=list)
+    kept: list[tuple[str, str, bool, str | None, int | None]] = field(default_factory=list)
 
     def add(self, job: Job) -> Registry:
         self.jobs[job.name] = job
@@ -46,16 +46,17 @@ class Registry:
 
     def run(self, spark: SparkSession, name: str, dry_run: bool = False) -> DataFrame | None:
         """The job's table, written if it has a path; a dry run only analyses the plan. A failure is recorded."""
-        job, error, made = self.jobs[name], None, None
+        job, error, made, rows = self.jobs[name], None, None, None
         try:
             made = job.make(spark)
             if dry_run:
                 made.schema
             elif job.path:
                 made.write.mode("overwrite").parquet(job.path)
+                rows = spark.read.schema(made.schema).parquet(job.path).count()
         except Exception as raised:  # any job may fail in any way; the others go on
             error = type(raised).__name__
-        self.kept.append((name, "failed" if error else "planned" if dry_run else "completed", dry_run, error))
+        self.kept.append((name, "failed" if error else "planned" if dry_run else "completed", dry_run, error, rows))
         return made
 
     def records(self, spark: SparkSession) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parsers
 from ..sources import transcripts
-from ..sources.tables import scratch, shared, table
+from ..sources.tables import scratch, table
 from ..streaming import windows
 from . import duck, ledger
 
@@ -85,15 +85,15 @@ def q_label_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.drained(windows.tumbling(windows.event_stream(spark, sf_dir), "1 hour"), shared(spark), "complete")
+    return windows.drained(windows.tumbling(windows.event_stream(spark, sf_dir), "1 hour"), scratch(spark, "stream"), "complete")
 
 
 def q_stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.drained(windows.sliding(windows.event_stream(spark, sf_dir), "1 hour", "30 minutes"), shared(spark), "complete")
+    return windows.drained(windows.sliding(windows.event_stream(spark, sf_dir), "1 hour", "30 minutes"), scratch(spark, "stream"), "complete")
 
 
 def q_stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.drained(windows.sessions(windows.event_stream(spark, sf_dir), "2 hours"), shared(spark), "complete")
+    return windows.drained(windows.sessions(windows.event_stream(spark, sf_dir), "2 hours"), scratch(spark, "stream"), "complete")
 
 
 def q_stream_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def q_stream_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(key, None)
     spark.conf.set(key, windows.ROCKSDB)
     try:
-        return windows.drained(windows.decayed_peaks(windows.event_stream(spark, sf_dir)), shared(spark), "append")
+        return windows.drained(windows.decayed_peaks(windows.event_stream(spark, sf_dir)), scratch(spark, "stream"), "append")
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 

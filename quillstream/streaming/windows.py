@@ -9,9 +9,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.folds import half_up
+from ..sources.commits import Store
 
 LATE = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -66,23 +68,23 @@ def decayed_peaks(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", "value").groupBy("user_id").transformWithStateInPandas(DecayedPeak(), "user_id long, event_id long, peak double", "Append", "None")
 
 
-def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Run a stream over all input there is and return its output as a table.
+def committed(stream: DataFrame, folder: str, mode: str) -> StreamingQuery:
+    """Start a stream over all input there is; each micro-batch is a commit of the table ``rows`` under ``folder``.
 
-    Each micro-batch is written under its number, so that a batch that runs twice replaces itself; in complete mode
-    the last batch stands for all. ``folder`` must be shared by all executors.
+    A batch that runs twice, also after the driver was restarted, is committed once; in complete mode the last batch
+    stands for all. ``folder`` must be shared by all executors; a later run with the same one goes on where it stopped.
     """
-    spark = stream.sparkSession
-    base = f"{folder}/stream-{uuid.uuid4().hex}"
-    batches: list[int] = []
+    store = Store(stream.sparkSession, f"{folder}/out")
 
     def write(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        batches.append(number)
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    if not batches:
-        return spark.createDataFrame([], stream.schema)
-    wanted = batches[-1:] if mode == "complete" else sorted(set(batches))
-    return spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={n}" for n in wanted])
+        store.commit("stream", number, {"rows": df}, replace=mode == "complete")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    return writer.foreachBatch(write).start()
+
+
+def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Run a stream over all input there is and return its output as a table."""
+    place = f"{folder}/stream-{uuid.uuid4().hex}"
+    committed(stream, place, mode).awaitTermination()
+    return Store(stream.sparkSession, f"{place}/out").read("rows", stream.schema)
