@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import companions, reports
+from ..operators import asof, companions, reports
 from ..sources import files
 from ..sources.tables import pick, table
 from . import duck
@@ -92,6 +92,17 @@ def q_logs_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.in_range(logs, "name", "2024-01-10 00:00:00", "2024-01-12 12:00:00").select("event_id", "at")
 
 
+FEELINGS = ["curious", "frustrated", "content", "bored"]
+
+
+def q_latest_feeling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click or view with its user's latest feeling at the time, from the other events, if it is under two days old."""
+    events = table(spark, sf_dir, "events")
+    felt = events.where("event_type NOT IN ('click', 'view')").select("user_id", "event_id", "ts", pick(FEELINGS, F.col("event_id")).alias("feeling"), F.col("ts").alias("felt_at"))
+    messages = events.where("event_type IN ('click', 'view')").select("user_id", "event_id", "ts")
+    return asof.latest_before(messages, felt, "user_id", "ts", "ts", ["feeling", "felt_at"], 2 * 86400, "event_id")
+
+
 def oracles() -> dict[str, str]:
     nl = "chr(10)"
     draw = duck.draw
@@ -102,6 +113,9 @@ def oracles() -> dict[str, str]:
     note = f"CASE WHEN doc_id % 4 = 3 THEN text ELSE ({duck.array(NOTES)})[(doc_id % {len(NOTES)} + 1)::BIGINT] END"
     markers = f"'[Tool: Read a]' || {nl} || {nl} || {nl} || {nl} || 'then [Tool: x][broken' || {nl} || text || {nl} || {nl} || {nl} || '[Tool: Write]'"
     return {
+        "latest_feeling": f"""WITH f AS (SELECT user_id, ts, arg_max(event_id, event_id) AS felt FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY user_id, ts),
+m AS (SELECT e.user_id, e.event_id, e.ts, felt, f.ts AS felt_ts FROM (SELECT * FROM events WHERE event_type IN ('click', 'view')) e ASOF LEFT JOIN f ON e.user_id = f.user_id AND e.ts >= f.ts)
+SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - epoch_us(felt_ts) < 172800000000 THEN ({duck.array(FEELINGS)})[(felt % {len(FEELINGS)} + 1)::BIGINT] END AS feeling, CASE WHEN epoch_us(ts) - epoch_us(felt_ts) < 172800000000 THEN felt_ts END AS felt_at FROM m""",
         "companion_availability": f"""WITH {base}, c AS (SELECT *, max(CASE WHEN failed THEN pulse END) {past} AS last, coalesce(max(CASE WHEN NOT failed THEN pulse END) {past}, 0) AS good FROM p),
 f AS (SELECT a.event_id, a.pulse, a.last, (SELECT count(*) FROM p b WHERE b.user_id = a.user_id AND b.failed AND b.pulse < a.pulse AND b.pulse > a.good)::INT AS failures FROM c a)
 SELECT event_id, pulse::INT AS pulse, failures, failures < 2 OR pulse - last >= {wait} AS available FROM f""",

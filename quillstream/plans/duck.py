@@ -19,7 +19,7 @@ def woven(text: str, index: str) -> str:
 
 
 NOTES = f"notes AS (SELECT doc_id, lang, source, {woven('text', 'doc_id')} AS text FROM documents)"
-TALKS = f"talks AS (SELECT conv_id, turn, role, {woven('text', 'conv_id * 31 + turn')} AS text FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 1))"
+TALKS = f"talks AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN 'user' ELSE role END AS role, {woven('text', 'conv_id * 31 + turn')} AS text FROM conversations)"
 WORDS = "lexicon(word, valence, arousal) AS (VALUES " + ", ".join(f"({lit(w)}, {v}::DOUBLE, {a}::DOUBLE)" for w, v, a in LEXICON) + ")"
 
 

@@ -117,8 +117,9 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations with woven texts and, in every third conversation, turn 1 left out, so that roles repeat."""
-    df = spread(table(spark, sf_dir, "conversations")).where("NOT (conv_id % 3 = 0 AND turn = 1)")
+    """conversations with woven texts and, in every third conversation, turn 1 said by the user too, so that roles repeat."""
+    role = F.when((F.pmod("conv_id", F.lit(3)) == 0) & (F.col("turn") == 1), "user").otherwise(F.col("role"))
+    df = spread(table(spark, sf_dir, "conversations")).withColumn("role", role)
     return df.withColumn("text", woven(F.col("text"), F.col("conv_id") * 31 + F.col("turn")))
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.operators import relate, scan, temporal
+from quillstream.operators import asof, relate, scan, temporal
 from quillstream.operators.folds import half_up
 
 LABELS = ["calm", "bored", None, "calm", "calm"]
@@ -165,3 +165,26 @@ def test_empty(spark, df):
     assert temporal.feeling_runs(nothing, "s", "i", "label").count() == 0
     assert temporal.decayed_peaks(nothing, "s", "i", {"x": 0.0}).count() == 0
     assert temporal.decayed_peaks_closed(nothing, "s", "i", "x").count() == 0
+
+
+@pytest.mark.parametrize("segments", [1, 30])
+def test_as_of_join(spark, segments):
+    """A hot key, equal times, ties, missing keys and times; every row stays once."""
+    rng = random.Random(7)
+    keys = ["hot"] * 8 + ["a", "b", None, "none"]
+    rows = [(rng.choice(keys), i, None if i % 40 == 7 else rng.randrange(3000)) for i in range(500)]
+    facts = [(rng.choice(keys[:-1]), None if i % 50 == 9 else rng.randrange(3000), i % 7, f"v{i}") for i in range(300)] + [("a", 5, 100, None)]
+    at = lambda c: F.timestamp_seconds(c)
+    left = spark.createDataFrame(rows, "k string, i int, s int").withColumn("t", at("s")).withColumn("_t", F.lit("clash"))
+    right = spark.createDataFrame(facts, "k string, s int, n int, v string").withColumn("u", at("s"))
+    found = asof.latest_before(left, right, "k", "t", "u", ["v"], 600, "n", segments)
+    assert found.columns == [*left.columns, "v"]
+    got = {r["i"]: r["v"] for r in found.collect()}
+    assert len(got) == found.count() == 500
+    for k, i, s in rows:
+        past = [f for f in facts if f[0] == k and f[1] is not None and s is not None and f[1] <= s]
+        last = [f for f in past if f[:2] == max(past, key=lambda f: f[1])[:2]]
+        best = {f[3] for f in last if f[2] == max(x[2] for x in last) and s - f[1] < 600} or {None}
+        assert got[i] in best
+    assert asof.latest_before(left, right.limit(0), "k", "t", "u", ["v"]).where("v IS NOT NULL").count() == 0
+    assert asof.latest_before(left.limit(0), right, "k", "t", "u", ["v"]).count() == 0
