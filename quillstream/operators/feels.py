@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import hits, population_deviation, words
+from .order import counted
 
 # The tags that change the score, and the caps of two of its parts.
 CLOSED, META, AFFECT = "resolution / closure", "meta-commentary", "affectively loaded / emotional"
@@ -50,25 +51,11 @@ def with_feels(chunks: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
-    """Value at index round((n - 1) * p), half to even, of each group in ascending order; exact.
-
-    A first pass gives every group its size and, by an approximate percentile of known error, bounds between which the
-    value must be; only rows between them are ranked, from the number of those under them.
-    """
-    p, error = min(1.0, max(0.0, p)), 0.002
-    known = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias(name))
-    ends = F.percentile_approx(name, [max(0.0, p - 2 * error), min(1.0, p + 2 * error)], int(1 / error))
-    lo = F.when(F.lit(p - 2 * error <= 0), F.col("_least")).otherwise(F.col("_e")[0])
-    hi = F.when(F.lit(p + 2 * error >= 1), F.col("_most")).otherwise(F.col("_e")[1])
-    sizes = known.groupBy(*group).agg(F.count("*").alias("_n"), F.min(name).alias("_least"), F.max(name).alias("_most"), ends.alias("_e"))
-    sizes = sizes.select(*(F.col(g).alias(f"_{g}") for g in group), "_n", lo.alias("_lo"), hi.alias("_hi"))
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-    placed = known.join(sizes, same)
-    under = placed.groupBy(*group).agg(F.count(F.when(F.col(name) < F.col("_lo"), 1)).alias("_under"))
-    under = under.select(*(F.col(g).alias(f"_u{g}") for g in group), "_under")
-    inside = placed.where(F.col(name).between(F.col("_lo"), F.col("_hi"))).join(under, [F.col(g).eqNullSafe(F.col(f"_u{g}")) for g in group])
-    ranked = inside.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(name)) + F.col("_under"))
-    return ranked.where(F.col("_rank") == F.bround((F.col("_n") - 1) * p).cast("long") + 1).select(*group, name)
+    """Value at index round((n - 1) * p), half to even, of each group in ascending order; exact, read off the counts of values."""
+    p = min(1.0, max(0.0, p))
+    rank = F.bround((F.col("_n") - 1) * p).cast("long") + 1
+    counts = counted(df.select(*group, F.col(value).alias(name)), group, name)
+    return counts.where((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)).select(*group, name)
 
 
 def summary_by_size(scored: DataFrame, value: str = "feels_score", top: float = 0.3) -> DataFrame:

@@ -1,60 +1,54 @@
 """Exact ranks and order statistics without sorting a group in one task.
 
-Rows are put in bins between approximate percentiles of their group; counts of bins, of which there are few, give the
-ranks before each bin, and rows are ranked inside their bins. The input is read three times: callers cut the lineage of
-an expensive one first.
+Rows are dealt out by ranges of group, value and ties, so that a large group, and within it a value that many rows share, lies
+in many tasks; ranks inside a range and the rows before it give the rank (see ``scan``). Order statistics are read off
+counts by value, added up before they are shuffled, so equal values cost one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins of a group, and the accuracy of the percentiles between them.
-BINS, ACCURACY = 64, 2000
-
-
-def binned(df: DataFrame, group: list[str], key: Column, ties: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """``df`` with _key, _ties and _bin, and per group and bin: _before (rows in lower bins), _c and _n (of the group)."""
-    keyed = df.withColumn("_key", key).withColumn("_ties", F.struct(*ties) if ties else F.lit(0)).where("_key IS NOT NULL")
-    cuts = F.percentile_approx("_key", [i / BINS for i in range(1, BINS)], ACCURACY)
-    edges = keyed.groupBy(*group).agg(cuts.alias("_edges")).select(*(F.col(g).alias(f"_e{g}") for g in group), "_edges")
-    same = [F.col(g).eqNullSafe(F.col(f"_e{g}")) for g in group]
-    placed = keyed.join(edges, same) if group else keyed.crossJoin(F.broadcast(edges))
-    placed = placed.withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("_key")))).drop("_edges", *(f"_e{g}" for g in group))
-    counts = placed.groupBy(*group, "_bin").agg(F.count("*").alias("_c"))
-    whole = Window.partitionBy(*(group or [F.lit(0)]))
-    before = F.coalesce(F.sum("_c").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = counts.select(*(F.col(g).alias(f"_c{g}") for g in group), F.col("_bin").alias("_b"), "_c", before.alias("_before"), F.sum("_c").over(whole).alias("_n"))
-    return placed, sizes
-
-
-def _in_bin(group: list[str]) -> list[Column]:
-    return [*(F.col(g).eqNullSafe(F.col(f"_c{g}")) for g in group), F.col("_bin") == F.col("_b")]
+from . import scan
 
 
 def ranked(df: DataFrame, group: list[str], key: Column, ties: list[Column], keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """``df`` with rank (from 1, by key and ties, ascending) and _n, the size of the group.
+    """``df`` with rank (from 1, by key and ties, ascending) and _n, the size of the group; rows without a key go.
 
-    ``keep(rank, n)`` says which ranks are wanted; bins without any are left out before rows are sorted.
+    ``keep(rank, n)`` says which ranks are wanted, all up to one of them or all from one on; ranges without any are left
+    out before rows are ranked.
     """
-    placed, sizes = binned(df, group, key, ties)
+    order = ["_key", "_ties"]
+    keyed = df.withColumn("_key", key).withColumn("_ties", F.struct(*ties) if ties else F.lit(0)).where("_key IS NOT NULL")
+    rows = scan.segmented(keyed, group, order)
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    placed = scan.carried(
+        rows, group, {"c": F.count("*")},
+        lambda _, before: {"_before": F.coalesce(F.sum("c").over(before), F.lit(0)), "_n": F.sum("c").over(whole), "_c": F.col("c")},
+    )
     if keep is not None:
-        sizes = sizes.where(keep(F.col("_before") + 1, F.col("_n")))
-    inside = Window.partitionBy(*group, "_bin").orderBy("_key", "_ties")
-    found = placed.join(sizes, _in_bin(group)).withColumn("rank", (F.row_number().over(inside) + F.col("_before")).cast("int"))
+        placed = placed.where(keep(F.col("_before") + 1, F.col("_n")) | keep(F.col("_before") + F.col("_c"), F.col("_n")))
+    found = placed.withColumn("rank", (F.row_number().over(scan.inside(group, order)) + F.col("_before")).cast("int"))
     found = found if keep is None else found.where(keep(F.col("rank"), F.col("_n")))
-    return found.drop("_key", "_ties", "_bin", "_b", "_before", "_c", *(f"_c{g}" for g in group))
+    return found.select(*df.columns, "rank", "_n")
+
+
+def counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The different values of each group with _c (rows), _upto (rows up to and with it) and _n (rows of the group)."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    rows = scan.running_sums(scan.segmented(counts, group, [value]), group, [value], {"_upto": F.col("_c")})
+    sizes = rows.groupBy(*[F.col(g).alias(f"_g{g}") for g in group]).agg(F.sum("_c").alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{g}")) for g in group], F.lit(True))
+    joined = rows.join(sizes, same) if group else rows.crossJoin(F.broadcast(sizes))
+    return joined.select(*group, value, "_c", "_upto", "_n")
 
 
 def values_at(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """One row with the values at some ranks (from 1, as functions of the number of values), by name."""
-    placed, sizes = binned(df.select(value), [], F.col(value), [])
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("at")) for name, rank in ranks.items()])
-    inside = (F.col("w.at") > F.col("_before")) & (F.col("w.at") <= F.col("_before") + F.col("_c"))
-    asked = sizes.withColumn("w", F.explode(wanted)).where(inside).groupBy("_b", "_before").agg(F.collect_list("w").alias("ws"))
-    rows = placed.join(asked, F.col("_bin") == F.col("_b")).withColumn("_rank", F.row_number().over(Window.partitionBy("_bin").orderBy("_key")) + F.col("_before"))
-    found = rows.select("_key", "_rank", F.explode("ws").alias("w")).where(F.col("_rank") == F.col("w.at"))
-    return found.agg(*[F.max(F.when(F.col("w.name") == name, F.col("_key"))).alias(name) for name in ranks])
+    counts = counted(df.select(value), [], value)
+    here = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
+    return counts.agg(*[F.max(F.when(here(rank(F.col("_n")).cast("long")), F.col(value))).alias(name) for name, rank in ranks.items()])

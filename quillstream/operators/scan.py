@@ -24,14 +24,14 @@ from ..sources.tables import stored
 SEGMENT = "_segment"
 
 
-def segmented(df: DataFrame, stream: str, order: list[str | Column], segments: int | None = None) -> DataFrame:
-    """The rows with the number of their segment; segments of a stream are numbered in order.
+def segmented(df: DataFrame, stream: str | list[str], order: list[str | Column], segments: int | None = None) -> DataFrame:
+    """The rows with the number of their segment; segments of a stream (one or more columns, or none) are numbered in order.
 
     The rows are stored twice: before ranges are sampled from them, and with the segments, which later readers must
     agree on. Callers select the columns that they need first.
     """
     count = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df).repartitionByRange(count, stream, *order)
+    dealt = stored(df).repartitionByRange(count, *([stream] if isinstance(stream, str) else stream), *order)
     return stored(dealt.withColumn(SEGMENT, F.spark_partition_id().cast("long")))
 
 
@@ -47,7 +47,7 @@ def carried(rows: DataFrame, stream: list[str], summary: dict[str, Column], carr
     before. Its columns may build on each other in order; those whose names begin with ``_`` are joined to the rows.
     """
     parts = rows.groupBy(SEGMENT, *stream).agg(*[c.alias(n) for n, c in summary.items()])
-    before = Window.partitionBy(*stream).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(stream or [F.lit(0)])).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     made = carry(parts, before)
     for name, column in made.items():
         parts = parts.withColumn(name, column)

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.operators import asof, relate, scan, temporal
+from quillstream.operators import asof, order, relate, scan, temporal
 from quillstream.operators.folds import half_up
 
 LABELS = ["calm", "bored", None, "calm", "calm"]
@@ -188,3 +188,15 @@ def test_as_of_join(spark, segments):
         assert got[i] in best
     assert asof.latest_before(left, right.limit(0), "k", "t", "u", ["v"]).where("v IS NOT NULL").count() == 0
     assert asof.latest_before(left.limit(0), right, "k", "t", "u", ["v"]).count() == 0
+
+
+def test_a_value_of_many_rows_is_ranked_in_many_tasks(spark):
+    """A third of the rows share one value; its ranks follow the ties, and ranges stay even."""
+    df = spark.range(60_000).select((F.col("id") % 7).alias("g"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") % 1000).cast("double").alias("v"), F.col("id").alias("i"))
+    found = order.ranked(df, ["g"], F.col("v"), [F.col("i")])
+    assert found.where("v = 0").groupBy("g").agg((F.max("rank") == F.count("*")).alias("ok")).where("NOT ok").count() == 0
+    by_rank = [r["i"] for r in found.where("g = 3 AND v = 0").orderBy("rank").collect()]
+    assert by_rank == sorted(by_rank) and len(by_rank) > 2500
+    keyed = df.withColumn("_k", F.col("v"))
+    sizes = [r["count"] for r in scan.segmented(keyed, ["g"], ["_k", "i"], 12).groupBy(scan.SEGMENT).count().collect()]
+    assert max(sizes) < 2 * 60_000 / 12
