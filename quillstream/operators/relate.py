@@ -26,10 +26,10 @@ def unmatched(logs: DataFrame, matched: DataFrame, key: str) -> DataFrame:
 
 
 def unreferenced(notes: DataFrame, document: DataFrame, path: str = "path", date: str = "date") -> DataFrame:
-    """Notes that a document names neither by file, by stem nor by date; the document is one row with ``text``."""
+    """Notes that a document names neither by file, by stem nor by date; the document's rows have ``text``, all of which count."""
     stem = F.regexp_replace(F.col(path), r"\.md$", "")
     named = F.contains(F.lower("_text"), F.lower(stem)) | F.contains(F.lower("_text"), F.lower(path)) | F.coalesce(F.contains("_text", date), F.lit(False))
-    return notes.join(F.broadcast(document.select(F.col("text").alias("_text")).limit(1)), named, "left_anti")
+    return notes.join(document.select(F.col("text").alias("_text")), named, "left_anti")
 
 
 def new_rows(rows: DataFrame, seen: DataFrame, digest: str) -> DataFrame:

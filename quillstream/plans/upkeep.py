@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import upkeep
+from ..operators import relate, upkeep
 from ..sources.files import note_hash
 from ..sources.tables import pick, table
 from . import duck, memory
@@ -81,13 +81,25 @@ def q_state_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "s.*")
 
 
+#: Tokens of the notes that one text may take in, and what is kept in reserve; a note counts one more than its tokens.
+CONTEXT, RESERVE = 32000, 1000
+
+
+def taken(files: DataFrame) -> DataFrame:
+    """The first notes of each source that fit into a context."""
+    return relate.packed(files.withColumn("_cost", F.col("tokens") + 1), "source", [F.col("doc_id")], "_cost", CONTEXT, RESERVE).drop("_cost", "used")
+
+
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source the notes with their age, and an archived text."""
+    """Per source the notes that fit, with their age, how many there are in all, and an archived text."""
     days = F.pmod("doc_id", F.lit(3)).cast("int")
-    files = memory.files(spark, sf_dir).withColumn("body", F.concat(F.lit("### "), "path", F.lit(" "), upkeep.age_label(days), F.lit("\n\n"), "first_line"))
+    files = memory.files(spark, sf_dir)
+    body = F.concat(F.lit("### "), "path", F.lit(" "), upkeep.age_label(days), F.lit("\n\n"), "first_line")
+    sizes = files.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
     texts = table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("text", "doc_id").alias("archived"))
-    grouped = files.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "body"))).alias("_b"), F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
-    return grouped.withColumn("notes", F.array_join(F.transform("_b", lambda b: b["body"]), "\n\n")).join(texts, "source")
+    grouped = taken(files).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", body.alias("body")))).alias("_b"))
+    both = sizes.join(texts, "source").join(grouped, "source", "left")
+    return both.withColumn("notes", F.array_join(F.transform("_b", lambda b: b["body"]), "\n\n"))
 
 
 def q_context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +109,7 @@ def q_context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = upkeep.note_lines(memory.files(spark, sf_dir), "source", "doc_id")
+    found = upkeep.note_lines(taken(memory.files(spark, sf_dir)), "source", "doc_id")
     return found.select("source", F.md5("notes").alias("digest"))
 
 
@@ -116,8 +128,9 @@ def oracles() -> dict[str, str]:
     when = " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in KINDS.items())
     get = lambda f: f"CASE WHEN json_valid(s) THEN json_extract_string(s, '$.{f}') END"
     size = lambda f: f"coalesce(CASE WHEN json_valid(s) THEN json_array_length(s, '$.{f}') END, 0)::INT"
-    bodies = f"""{files}, b AS (SELECT source, doc_id, tokens, '### ' || path || CASE WHEN doc_id % 3 > 0 THEN ' (' || (doc_id % 3) || ' days old)' ELSE ' (today)' END || {nl} || {nl} || first_line AS body FROM files),
-a AS (SELECT source, arg_min(text, doc_id) AS archived FROM documents GROUP BY source), g AS (SELECT source, count(*) AS n, sum(tokens)::BIGINT AS tokens, list(body ORDER BY doc_id) AS bs FROM b GROUP BY source)"""
+    fits = f"fits AS (SELECT * FROM (SELECT *, sum(tokens + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM files) WHERE used < {CONTEXT - RESERVE})"
+    bodies = f"""{files}, {fits}, b AS (SELECT source, doc_id, '### ' || path || CASE WHEN doc_id % 3 > 0 THEN ' (' || (doc_id % 3) || ' days old)' ELSE ' (today)' END || {nl} || {nl} || first_line AS body FROM fits),
+a AS (SELECT source, arg_min(text, doc_id) AS archived FROM documents GROUP BY source), g AS (SELECT source, n, tokens, bs FROM (SELECT source, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM files GROUP BY source) LEFT JOIN (SELECT source, list(body ORDER BY doc_id) AS bs FROM b GROUP BY source) USING (source))"""
     rule = f"{nl} || {nl} || '---' || {nl} || {nl}"
     return {
         "section_dates": f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN {entry} ELSE '' END AS s FROM documents),
@@ -137,9 +150,9 @@ SELECT user_id, max(ts) FILTER (kind IN ('scan', 'applied')) AS last_scan, count
 max(ts) FILTER (kind = 'applied') AS last_applied, count(*) FILTER (kind = 'applied') AS applied_count, coalesce(string_agg(kind || ':' || event_id, ',' ORDER BY ts, kind || ':' || event_id) FILTER (kind <> 'scan'), '') AS history FROM k WHERE kind IS NOT NULL GROUP BY user_id""",
         "state_migration": f"""WITH t AS (SELECT event_id, {choose(STATES, 'event_id')} AS s FROM events) SELECT event_id, {get('last_scan')} AS last_scan, coalesce({get('last_proposal')}, {get('last_consolidation')}) AS last_proposal, {get('last_applied')} AS last_applied,
 coalesce(({get('scan_count')})::BIGINT, 0) AS scan_count, coalesce(({get('proposal_count')})::BIGINT, ({get('consolidation_count')})::BIGINT, 0) AS proposal_count, coalesce(({get('applied_count')})::BIGINT, 0) AS applied_count, {size('history')} AS history, {size('processed_note_hashes')} AS processed_note_hashes FROM t""",
-        "context_assembly": f"""WITH {bodies}, c AS (SELECT source, concat_ws({rule}, CASE WHEN n > 18 THEN '## Current document' || {nl} || {nl} || 'about ' || source END, '## Recent notes' || {nl} || {nl} || array_to_string(bs, {nl} || {nl}),
+        "context_assembly": f"""WITH {bodies}, c AS (SELECT source, concat_ws({rule}, CASE WHEN n > 18 THEN '## Current document' || {nl} || {nl} || 'about ' || source END, '## Recent notes' || {nl} || {nl} || coalesce(array_to_string(bs, {nl} || {nl}), '(No notes found)'),
 '## Recently archived (for reference)' || {nl} || {nl} || CASE WHEN length(archived) > 500 THEN substr(archived, 1, 500) || {nl} || {nl} || '[... truncated ...]' ELSE archived END) AS context FROM g JOIN a USING (source)) SELECT source, md5(context) AS digest, length(context)::INT AS chars FROM c""",
-        "note_lines": f"WITH {files}, l AS (SELECT source, doc_id, '- **' || path || '** (' || coalesce(date, 'unknown') || ', ' || lines || ' lines)' || {nl} || '  First line: ' || substr(first_line, 1, 80) || '...' AS v FROM files) SELECT source, md5(string_agg(v, {nl} ORDER BY doc_id)) AS digest FROM l GROUP BY source",
-        "proposal_text": f"""WITH {bodies} SELECT source, md5(concat_ws({rule}, '# Proposal' || {nl} || {nl} || 'Notes reviewed: ' || n || {nl} || 'Total context tokens (estimated): ' || tokens, '## INTEGRATE' || {nl} || {nl} || array_to_string(bs[1:2], {nl} || {nl}),
-'## ARCHIVE' || {nl} || {nl} || CASE WHEN n > 19 THEN bs[1] ELSE '(Nothing flagged)' END, '## STALE' || {nl} || {nl} || '(Nothing flagged)')) AS digest FROM g""",
+        "note_lines": f"WITH {files}, {fits}, l AS (SELECT source, doc_id, '- **' || path || '** (' || coalesce(date, 'unknown') || ', ' || lines || ' lines)' || {nl} || '  First line: ' || substr(first_line, 1, 80) || '...' AS v FROM fits) SELECT source, md5(string_agg(v, {nl} ORDER BY doc_id)) AS digest FROM l GROUP BY source",
+        "proposal_text": f"""WITH {bodies} SELECT source, md5(concat_ws({rule}, '# Proposal' || {nl} || {nl} || 'Notes reviewed: ' || n || {nl} || 'Total context tokens (estimated): ' || tokens, '## INTEGRATE' || {nl} || {nl} || coalesce(array_to_string(bs[1:2], {nl} || {nl}), '(Nothing flagged)'),
+'## ARCHIVE' || {nl} || {nl} || CASE WHEN n > 19 AND bs IS NOT NULL THEN bs[1] ELSE '(Nothing flagged)' END, '## STALE' || {nl} || {nl} || '(Nothing flagged)')) AS digest FROM g""",
     }
