@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import parsers
+from ..operators import parsers, udtf
 from ..sources import transcripts
 from ..sources.tables import scratch, table
 from ..streaming import windows
@@ -31,6 +31,13 @@ def q_md_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_start", "speaker", F.md5("content").alias("digest"))
 
 
+def q_udtf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the same texts by the table function, called from SQL."""
+    lines = _markdown(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    found = udtf.registered(spark).sql("SELECT * FROM segments(TABLE({lines}) PARTITION BY doc_id ORDER BY number)", lines=lines)
+    return found.select("doc_id", "line_start", "line_end", "speaker", "content_type", F.md5("content").alias("digest"))
+
+
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text) of one file a turn, of every format."""
     kind = F.pmod("conv_id", F.lit(4))
@@ -152,5 +159,5 @@ f AS (SELECT user_id, event_id, i, {peak('0')}::DOUBLE AS peak FROM e WHERE i =
         "stream_sliding": again["sliding_windows"],
         "stream_session": again["session_windows"],
     }
-    found["transcript_files"] = found["all_formats"]
+    found["transcript_files"], found["udtf_segments"] = found["all_formats"], found["md_segments"]
     return found
