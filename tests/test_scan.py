@@ -34,7 +34,7 @@ def streams(rows):
     return out
 
 
-@pytest.mark.parametrize("segments", [1, 3, 40])
+@pytest.mark.parametrize("segments", [3, 40])
 class TestAgainstLoops:
     def test_segments_follow_the_order(self, df, rows, segments):
         found = scan.segmented(df, "s", ["i"], segments).collect()
