@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,66 +130,88 @@ def smoothed_targets(totals: list[float], temperature: float, headroom: float) -
     return [w * scale for w in weights]
 
 
-def dot(vector: Column) -> Column:
-    """Product of the posterior with a vector."""
-    return F.aggregate(F.zip_with("posterior", vector, lambda p, v: p * v), F.lit(0.0), lambda s, v: s + v)
+Steps = list[tuple[list[float], list[float]]]  # move and gap of each
 
 
-def vector(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def moved(rate: np.ndarray, posterior: np.ndarray, move: np.ndarray, gap: np.ndarray, least: float) -> np.ndarray:
+    """One projected step: documents at the bound that the gap pushes against it stay, the others move and are held."""
+    free = (rate > least) | (posterior @ gap > 0)
+    return np.where(free, np.maximum(least, rate + posterior @ move), rate)
 
 
-def moved(rate: Column, move: Column, gap: Column, least: float) -> Column:
-    """One projected step: documents at the bound that the gap pushes against it stay, the others move and are held."""
-    free = (rate > least) | (dot(gap) > 0)
-    return F.when(free, F.greatest(F.lit(float(least)), rate + dot(move))).otherwise(rate)
+def rates(posterior: np.ndarray, steps: Steps, least: float) -> np.ndarray:
+    """The rates of documents after all steps, from 1."""
+    out = np.ones(len(posterior))
+    for move, gap in steps:
+        out = moved(out, posterior, np.array(move), np.array(gap), least)
+    return out
+
+
+def matrices(batch: pa.RecordBatch, domains: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and posteriors of the documents of a batch."""
+    flat = batch.column("posterior").flatten().to_numpy(zero_copy_only=False)
+    return batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64), flat.reshape(batch.num_rows, domains)
+
 
+def summed(members: DataFrame, shape: tuple[int, ...], domains: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all documents of an array of ``shape``, which ``part`` gives for the tokens and posteriors of some.
+
+    A task adds up its own documents and hands on the numbers of one array, whatever the number of documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                total += part(*matrices(batch, domains))
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(total.reshape(-1)[place])], ["place", "value"])
 
-def rate_column(steps: list[tuple[list[float], list[float]]], least: float) -> Column:
-    """The rate after all steps (move and gap), from 1."""
-    if not steps:
-        return F.lit(1.0)
-    moves = F.array(*[F.struct(vector(move).alias("move"), vector(gap).alias("gap")) for move, gap in steps])
-    return F.aggregate(moves, F.lit(1.0), lambda r, s: moved(r, s["move"], s["gap"], least))
+    rows = members.select("n_tokens", "posterior").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(shape)
+    for r in rows:
+        out.reshape(-1)[r["place"]] = r["value"]
+    return out
 
 
 def fit_rates(
     members: DataFrame, domains: int, weights: list[float] | None, least: float, temperature: float = 0.7,
     headroom: float = 1.02, iterations: int = 40, tolerance: float = 1e-6,
-) -> tuple[list[tuple[list[float], list[float]]], list[float], list[float]]:
+) -> tuple[Steps, list[float], list[float]]:
     """Projected gradient on the squared gap between expected and target domain totals.
 
-    The variables are one rate a document, held as a column; a pass sums rate * tokens * posterior by domain, one
-    row of partial sums a task. The gradient is scaled by the documents' tokens and by the Gram matrix of the
-    documents that are free to move, so that a step without a bound in its way is exact; of several lengths of that
-    step, and of the plain one, which always lessens the gap, the best is taken. A fixed point is a least squares solution: no free document can lessen the gap, and those at
-    the bound could only by going under it. Returns the steps, the targets and the last totals.
+    The variables are one rate a document, which follows from its posterior and the steps so far; a pass sums
+    rate * tokens * posterior by domain, one array a task. The gradient is scaled by the documents' tokens and by the
+    Gram matrix of the documents that are free to move, so that a step without a bound in its way is exact; of several
+    lengths of that step, and of the plain one, which always lessens the gap, the best is taken. A fixed point is a least
+    squares solution: no free document can lessen the gap, and those at the bound could only by going under it. Returns
+    the steps, the targets and the last totals.
     """
-    p = [F.col("posterior")[d] for d in range(domains)]
-    pairs = [(d, e) for d in range(domains) for e in range(d, domains)]
-    first = members.agg(*[F.sum(F.col("n_tokens") * p[d]).alias(f"t{d}") for d in range(domains)]).first()
-    totals = np.array([first[f"t{d}"] or 0.0 for d in range(domains)])
+    totals = summed(members, (domains,), domains, lambda tokens, p: tokens @ p)
     if weights is None:
         targets = smoothed_targets(totals.tolist(), temperature, headroom)
     else:
         scale = headroom * max((t / w for t, w in zip(totals, weights, strict=True) if w > 0), default=0.0)
         targets = [w * scale for w in weights]
-    steps: list[tuple[list[float], list[float]]] = []
+    steps: Steps = []
+
+    def gram_of(tokens: np.ndarray, p: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        free = (rates(p, steps, least) > least) | (p @ gap > 0)
+        return (p[free] * tokens[free, None]).T @ p[free]
+
+    def tried(tokens: np.ndarray, p: np.ndarray, trials: list[np.ndarray], gap: np.ndarray) -> np.ndarray:
+        now = rates(p, steps, least)
+        return np.stack([(moved(now, p, t, gap, least) * tokens) @ p for t in trials])
+
     for _ in range(iterations):
         gap = np.array(targets) - totals
         if np.abs(gap).max() <= tolerance * max(sum(targets), 1.0):
             break
-        rated = members.select("n_tokens", "posterior", rate_column(steps, least).alias("rate"))
-        free = (F.col("rate") > least) | (dot(vector(gap.tolist())) > 0)
-        row = rated.where(free).agg(*[F.sum(F.col("n_tokens") * p[d] * p[e]).alias(f"g{d}_{e}") for d, e in pairs]).first()
-        gram = np.array([[row[f"g{min(d, e)}_{max(d, e)}"] or 0.0 for e in range(domains)] for d in range(domains)])
+        gram = summed(members, (domains, domains), domains, partial(gram_of, gap=gap))
         full, plain = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap, gap / max(np.trace(gram), 1e-9)
         trials = [full * share for share in LENGTHS] + [plain * times for times in MULTIPLES]
-        after = [moved(F.col("rate"), vector(t.tolist()), vector(gap.tolist()), least) for t in trials]
-        tried = rated.select("n_tokens", "posterior", *[a.alias(f"r{k}") for k, a in enumerate(after)])
-        row = tried.agg(*[F.sum(F.col(f"r{k}") * F.col("n_tokens") * p[d]).alias(f"t{k}_{d}") for k in range(len(trials)) for d in range(domains)]).first()
-        reached = [np.array([row[f"t{k}_{d}"] or 0.0 for d in range(domains)]) for k in range(len(trials))]
-        best = min(range(len(trials)), key=lambda k: float(((np.array(targets) - reached[k]) ** 2).sum()))
+        reached = summed(members, (len(trials), domains), domains, partial(tried, trials=trials, gap=gap))
+        best = int(((np.array(targets) - reached) ** 2).sum(axis=1).argmin())
         if ((np.array(targets) - reached[best]) ** 2).sum() >= (gap**2).sum() * (1 - 1e-9):
             break
         steps.append((trials[best].tolist(), gap.tolist()))
@@ -196,6 +219,19 @@ def fit_rates(
     return steps, targets, totals.tolist()
 
 
+def with_rates(members: DataFrame, domains: int, steps: Steps, least: float) -> DataFrame:
+    """Add the rate of every document, the place of its likeliest domain and that domain's posterior."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, p = matrices(batch, domains)
+            columns = [*batch.columns[:3], pa.array(rates(p, steps, least)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p.max(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "crc", "n_tokens", "rate", "place", "posterior"])
+
+    rows = members.select("doc_id", "crc", "n_tokens", "posterior")
+    return rows.mapInArrow(run, "doc_id long, crc long, n_tokens long, rate double, place int, posterior double")
+
+
 def mix_sources(
     docs: DataFrame, label: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0, seed: int = 17
 ) -> DataFrame:
@@ -211,15 +247,16 @@ def mix_sources(
     members = stored(with_posteriors(docs, model))
     wanted = None if weights is None else [float(weights.get(d, 0.0)) for d in model.domains]
     steps, _, _ = fit_rates(members, len(model.domains), wanted, least)
-    names = F.array(*[F.lit(d) for d in model.domains])
+    domains = dict(enumerate(model.domains))
+    names = F.element_at(F.create_map(*[F.lit(x) for pair in domains.items() for x in pair]), F.col("place"))
     drawn = F.pmod(F.xxhash64("doc_id", "crc", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    rated = members.withColumn("rate", rate_column(steps, least))
+    rated = with_rates(members, len(domains), steps, least)
     return rated.select(
         "doc_id",
         "crc",
         "n_tokens",
-        names[F.array_position("posterior", F.array_max("posterior")).cast("int") - 1].alias("domain"),
-        F.round(F.array_max("posterior"), 6).alias("posterior"),
+        names.alias("domain"),
+        F.round("posterior", 6).alias("posterior"),
         F.round("rate", 6).alias("rate"),
         (F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"),
     )

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstream.llm import bpe, langid, mixing, quality, toxicity
+from quillstream.llm.common import stored
 from quillstream.llm.queries import tokenizer
 
 DATA = "/root/testdata/sf0.01"
@@ -216,7 +217,7 @@ def test_rates_are_a_least_squares_solution(spark, target, least):
     scale = max((tokens[:, None] * p).sum(axis=0) / target)
     steps, targets, _ = mixing.fit_rates(members, 3, target, least, headroom=1 / scale)
     assert targets == pytest.approx(target)
-    found = members.select(mixing.rate_column(steps, least).alias("r"), "doc_id").orderBy("doc_id").collect()
+    found = mixing.with_rates(members.withColumn("crc", F.lit(0).cast("long")), 3, steps, least).select(F.col("rate").alias("r"), "doc_id").orderBy("doc_id").collect()
     rates = np.array([r["r"] for r in found])
     x = tokens[:, None] * p
     gap = float(((rates @ x - np.array(target)) ** 2).sum())
@@ -257,6 +258,24 @@ def test_rates_reach_targets(spark, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_two_hundred_labels_end_to_end(spark):
+    """As many domains as labels; the Gram matrix is summed in tasks, and expected totals meet the targets."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(400)]
+    rows = [(k * 10 + j, " ".join(rng.choice(words[2 * k : 2 * k + 2], 20 + k % 7)), f"l{k:03d}") for k in range(200) for j in range(4 + k % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = mixing.fit_domains(docs, "lang")
+    assert len(model.domains) == 200
+    members = stored(mixing.with_posteriors(docs, model))
+    steps, targets, totals = mixing.fit_rates(members, 200, None, 1.0)
+    before = mixing.summed(members, (200,), 200, lambda tokens, p: tokens @ p)
+    assert ((np.array(targets) - totals) ** 2).sum() < 0.2 * ((np.array(targets) - before) ** 2).sum()
+    rated = mixing.with_rates(members, 200, steps, 1.0).select("doc_id", "rate").join(members, "doc_id").collect()
+    assert sum(r["rate"] * r["n_tokens"] * np.array(r["posterior"]) for r in rated) == pytest.approx(np.array(totals), rel=1e-6, abs=1e-3)
+    made = mixing.mix_sources(docs).collect()
+    assert len(made) == len(rows) and len({r["domain"] for r in made}) > 150
+
+
 def test_mixing_edges(edges):
     rows = mixing.mix_sources(edges).collect()
     assert len(rows) == edges.count()
