@@ -1,4 +1,4 @@
-"""Byte-level BPE: padded id matrices merged one pair a row and round, and the way back to bytes."""
+"""Byte-level BPE: padded id matrices in which each row merges its least pair every round, and the way back to bytes."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes up to which pieces of like length share a matrix; a longer piece is a matrix of its own, of rows this wide.
-WIDTH = 256
-#: Texts are split this many characters at a time, and encoded pieces kept up to this number in a worker.
-CHUNK_CHARS, CACHED_PIECES = 1_500_000, 250_000
+#: Cells of a matrix of pieces of like length; a longer piece is a matrix of its own.
+CELLS = 400_000
+#: Texts are split this many characters at a time, and encoded pieces of up to so many characters kept, up to this number, in a worker.
+CHUNK_CHARS, CACHED_CHARS, CACHED_PIECES = 1_500_000, 256, 250_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -38,7 +38,7 @@ class Vocabulary:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[(left << 32) | right] = rank
-        self.pairs, self.byte_ids = pairs, np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.bits = max(10, (4 * len(pairs) + 1).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NO_RANK, np.int32)
@@ -71,84 +71,80 @@ class Vocabulary:
             todo, at = todo[more], (at[more] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def next_ranks(self, ids: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at these places of the matrix."""
+        right = np.where(at + 1 < ids.shape[1], ids[row, np.minimum(at + 1, ids.shape[1] - 1)], np.int32(-1))
+        return self.merged(ids[row, at], right)
+
+    def merge(self, ids: np.ndarray, ranks: np.ndarray, best: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge the marked pairs, of rank ``best`` in each row, and close the gaps; and the least rank that is new."""
+        n, width = ids.shape
+        keep = ids >= 0
+        keep[:, 1:] &= ~mark[:, :-1]
+        place = np.cumsum(keep, axis=1) - 1
+        row, at = np.nonzero(keep)
+        used = int(place[:, -1].max(initial=0)) + 1
+        out, new = np.full((n, used), -1, np.int32), np.full((n, used), NO_RANK, np.int32)
+        out[row, place[row, at]] = np.where(mark[row, at], best[row], ids[row, at])
+        new[row, place[row, at]] = ranks[row, at]
+        row, at = np.nonzero(mark)
+        at = place[row, at]
+        ahead = at > 0
+        both, begin = np.concatenate([row, row[ahead]]), np.concatenate([at, at[ahead] - 1])
+        new[both, begin] = self.next_ranks(out, both, begin)
+        least = np.full(n, NO_RANK, np.int32)
+        np.minimum.at(least, both, new[both, begin])
+        return out, new, least
+
     def encode_matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of a similar length: each round, every row merges its leftmost pair of least rank."""
+        """Ids of pieces of a similar length: each round, every row merges its pair of least rank, leftmost first.
+
+        All places of that pair are merged at once, as one after the other would be, unless a merge brings forth a pair of
+        lower rank, which would have to come before the others; then the row merges the leftmost place only. So a long
+        piece takes no more rounds than it has different merges, and any length goes the same way.
+        """
         lengths = np.array([len(p) for p in pieces])
         width = int(lengths.max())
         flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
-        columns = np.arange(width)
-        ids = np.where(columns < lengths[:, None], self.byte_ids[flat], np.int32(-1)).astype(np.int32)
+        ids = np.where(np.arange(width) < lengths[:, None], self.byte_ids[flat], np.int32(-1)).astype(np.int32)
         ranks = np.full((len(pieces), width), NO_RANK, np.int32)
         ranks[:, :-1] = self.merged(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width - 1)
         rows, done = np.arange(len(pieces)), [None] * len(pieces)
-        while rows.size:
-            at = ranks.argmin(axis=1)
-            every = np.arange(rows.size)
-            best = ranks[every, at]
-            over = best == NO_RANK
-            if over.any():  # finished rows leave the matrix
-                for row, line in zip(rows[over], ids[over], strict=True):
-                    done[row] = line[line >= 0]
-                rows, ids, ranks, at, best = rows[~over], ids[~over], ranks[~over], at[~over], best[~over]
-                if not rows.size:
-                    break
-                used = int((ids >= 0).sum(axis=1).max())
-                ids, ranks, every = ids[:, :used], ranks[:, :used], np.arange(rows.size)
-            ids[every, at] = best
-            width = ids.shape[1]
-            shift = np.arange(width)[None, :] + (np.arange(width)[None, :] > at[:, None])
-            inside = shift < width
-            shift[~inside] = width - 1
-            ids = np.where(inside, np.take_along_axis(ids, shift, 1), np.int32(-1))
-            ranks = np.where(inside, np.take_along_axis(ranks, shift, 1), NO_RANK)
-            right = np.where(at + 1 < width, ids[every, np.minimum(at + 1, width - 1)], -1)
-            ranks[every, at] = self.merged(ids[every, at], right)
-            before = at > 0
-            ranks[every[before], at[before] - 1] = self.merged(ids[every[before], at[before] - 1], ids[every[before], at[before]])
-        return done
-
-    def encode_long(self, piece: bytes) -> np.ndarray:
-        """The same rule for one long piece, laid out in rows of WIDTH: the row with the leftmost least rank merges its
-        pair each round, the least rank of every row being kept. A merged id stays at the place of its left part; the
-        places of right parts are empty, which ``after`` and ``before`` skip, and go at the end."""
-        n = len(piece)
-        height = -(-n // WIDTH)
-        ids = np.full(height * WIDTH, -1, np.int32)
-        ids[:n] = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        ranks = np.full(height * WIDTH, NO_RANK, np.int32)
-        ranks[: n - 1] = self.merged(ids[: n - 1], ids[1:n])
-        rows = ranks.reshape(height, WIDTH)
-        least, after, before = rows.min(axis=1), np.arange(1, n + 1), np.arange(-1, n - 1)
-        rank_of = lambda i: self.pairs.get((int(ids[i]) << 32) | int(ids[after[i]]), NO_RANK) if after[i] < n else NO_RANK
         while True:
-            row = int(least.argmin())
-            best = least[row]
-            if best == NO_RANK:
-                return ids[ids >= 0]
-            i = row * WIDTH + int(rows[row].argmin())
-            gone = int(after[i])
-            ids[i], ids[gone], ranks[gone], after[i] = best, -1, NO_RANK, after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            changed = {row, gone // WIDTH}
-            ranks[i] = rank_of(i)
-            if before[i] >= 0:
-                ranks[before[i]] = rank_of(before[i])
-                changed.add(int(before[i]) // WIDTH)
-            for k in changed:
-                least[k] = rows[k].min()
+            best = ranks.min(axis=1)
+            over = best == NO_RANK
+            for row, line in zip(rows[over], ids[over], strict=True):  # finished rows leave the matrix
+                done[row] = line[line >= 0]
+            rows, ids, ranks, best = rows[~over], ids[~over], ranks[~over], best[~over]
+            if not rows.size:
+                return done
+            first = ranks.argmin(axis=1)
+            mark = ranks == best[:, None]
+            if mark.sum() > rows.size:
+                mark = alternating(mark)
+                row, at = np.nonzero(mark)
+                after = at + 2 < ids.shape[1]  # a merged pair before one that is not merged yet
+                row, at = row[after], at[after]
+                lower = np.zeros(rows.size, bool)
+                lower[row[self.merged(best[row], ids[row, at + 2]) < best[row]]] = True
+                made = self.merge(ids, ranks, best, mark)
+                lower |= made[2] < best
+                if lower.any():
+                    mark[lower] = np.arange(ids.shape[1]) == first[lower, None]
+                    made = self.merge(ids, ranks, best, mark)
+            else:
+                made = self.merge(ids, ranks, best, mark)
+            ids, ranks, _ = made
 
     def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of every piece; the pieces meet in matrices of like lengths."""
         out: list = [np.zeros(0, np.int32)] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
-            if len(piece) > WIDTH:
-                out[i] = self.encode_long(piece)
-            elif piece:
+            if piece:
                 buckets.setdefault(len(piece) if len(piece) <= 16 else -(-len(piece) // 16) * 16, []).append(i)
         for width, members in buckets.items():
-            step = max(64, 400_000 // width)
+            step = max(1, min(CELLS // width, len(members)))
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 for i, ids in zip(part, self.encode_matrix([pieces[j] for j in part]), strict=True):
@@ -163,6 +159,13 @@ class Vocabulary:
         return self.data[np.arange(lengths.sum()) + np.repeat(self.starts[ids] - first, lengths)].tobytes()
 
 
+def alternating(mark: np.ndarray) -> np.ndarray:
+    """Of marks next to each other in a row the first, third and so on: merges from the left that don't overlap."""
+    columns = np.arange(mark.shape[1])
+    begun = np.maximum.accumulate(np.where(mark & ~np.pad(mark[:, :-1], ((0, 0), (1, 0))), columns, -1), axis=1)
+    return mark & ((columns - begun) % 2 == 0)
+
+
 @lru_cache(maxsize=2)
 def _vocabulary(tokens: tuple[bytes, ...]) -> Vocabulary:
     return Vocabulary(list(tokens))
@@ -184,7 +187,7 @@ class Encoder:
             new = list({p for pieces in split for p in pieces})
         long = {}
         for piece, ids in zip(new, self.vocabulary.encode([p.encode() for p in new]), strict=True):
-            keep = self.known if len(piece) <= WIDTH else long
+            keep = self.known if len(piece) <= CACHED_CHARS else long
             keep[piece] = (",".join(map(str, ids.tolist())), ids.tobytes())
         known = self.known if not long else {**self.known, **long}
         for pieces in split:
@@ -199,7 +202,7 @@ def encode_documents(docs: DataFrame, tokens: list[bytes], pattern: str, with_id
     bytes) and, if asked for, ids. Null and empty texts have no tokens; repeated rows give repeated results; an
     empty table gives an empty result; extra columns are ignored. No shuffle: the vocabulary, of a fixed size,
     is broadcast, and a worker holds the pieces of CHUNK_CHARS characters (of a longer text all of them) and
-    CACHED_PIECES encoded ones, each of WIDTH bytes or fewer.
+    CACHED_PIECES encoded ones, each of CACHED_CHARS or fewer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(tokens))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

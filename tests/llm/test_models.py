@@ -38,6 +38,27 @@ def test_long_pieces_follow_the_same_rule(piece):
     assert ENCODER.vocabulary.encode([piece.encode()])[0].tolist() == TIKTOKEN.encode_ordinary(piece)
 
 
+def one_by_one(vocabulary: list[bytes], piece: bytes) -> list[int]:
+    """The rule as it is stated: the leftmost pair of least rank is merged, again and again."""
+    ranks, parts = {t: i for i, t in enumerate(vocabulary)}, [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=2, max_size=5), max_size=12, unique=True), st.lists(st.text(alphabet="abc", max_size=40), min_size=1, max_size=5))
+def test_any_vocabulary_whatever_its_order(words, pieces):
+    """Ranks that no training would give, where a merge may bring forth a pair of lower rank."""
+    vocabulary = [bytes([b]) for b in range(256)] + [w.encode() for w in words]
+    encoder = bpe.Vocabulary(vocabulary)
+    for piece, ids in zip(pieces, encoder.encode([p.encode() for p in pieces]), strict=True):
+        assert ids.tolist() == one_by_one(vocabulary, piece.encode())
+
+
 @pytest.mark.parametrize("piece", ["ab" * 5000, "x" * 10_001, "thequickbrown" * 800, "".join(chr(97 + (i * i + i // 7) % 26) for i in range(10_000))])
 def test_a_piece_of_10000_bytes(piece):
     assert ENCODER.vocabulary.encode([piece.encode(), b"the"])[0].tolist() == TIKTOKEN.encode_ordinary(piece)
