@@ -108,3 +108,31 @@ def test_pairs_in_large_buckets_are_found(spark, monkeypatch):
     links = jaccard_join.candidate_links(spark.createDataFrame(rows, "id long, sketch binary")).distinct().collect()
     found = {min(r["a"], r["b"]) // 2 for r in links if abs(r["a"] - r["b"]) == 1}
     assert n - len(found) <= 1
+
+
+def test_links_behind_a_leader_in_large_buckets(spark):
+    """Threes of texts, all with one passage: the second is linked to the third, but a leader stands for it that is not."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    shared, rows, threes = [word() for _ in range(90)], [], []
+
+    def changed(words, n):
+        out = list(words)
+        for _ in range(n):
+            out[rng.randrange(90, len(out))] = word()
+        return out
+
+    def alike(a, b):
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    while len(threes) < 500:
+        leader = shared + [word() for _ in range(110)]
+        near = changed(leader, 1)
+        far = changed(near, rng.choice([3, 4]))
+        if alike(near, far) >= 0.8 > alike(leader, far):
+            threes.append(range(len(rows), len(rows) + 3))
+            rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((leader, near, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["class_id"] for r in jaccard_join.join_near_texts(docs).collect()}
+    assert len(rows) > jaccard_join.LARGE and all(found[i] == three[0] for three in threes for i in three)
