@@ -85,7 +85,7 @@ def pointers(results: DataFrame, query: str, key: str, least: Column, most: int
 
 def hint(text: Column, most: int = 100) -> Column:
     """The first useful line of ten characters or more, cut at a word."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (F.length(x) >= 10) & ~x.startswith("#") & ~x.startswith("---"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 10) & ~x.startswith("#") & ~x.startswith("---"))
     line = F.get(lines, F.lit(0))
     return F.when(F.length(line) <= most, line).otherwise(F.regexp_replace(F.substring(line, 1, most), r"\s+\S*$", "")).alias("hint")
 

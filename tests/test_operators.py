@@ -220,3 +220,9 @@ def test_file_sources(spark, tmp_path):
     assert files.discover(found, found.withColumn("size", F.col("size") + 1), reprocess=True).count() == 1
     names = spark.createDataFrame([("2024-05-01_120000_ab",), ("2024-05-01_120001_cd",), ("bad",)], "name string")
     assert files.in_range(names, "name", "2024-05-01 12:00:00", "2024-05-01 12:00:00").count() == 1
+
+
+def test_hint_strips_spaces_only(spark):
+    """The number of a line is no set of characters to strip: the first line may begin with 0, the second with 1."""
+    assert one(spark, retrieval.hint(F.lit("  0997523947200 a line  "))) == "0997523947200 a line"
+    assert one(spark, retrieval.hint(F.lit("short\n 1234567890 of 111"))) == "1234567890 of 111"
