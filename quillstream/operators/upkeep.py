@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .relate import triggers
 
@@ -112,13 +118,46 @@ def assembled(document: Column, notes: Column, archived: Column) -> Column:
     return F.concat_ws("\n\n---\n\n", part("Current document", document), part("Recent notes", listed), part("Recently archived (for reference)", archived))
 
 
+def note_line() -> Column:
+    """A line of a note (path, date, lines, first_line) for a scan; its first line is cut at 80."""
+    return F.concat(F.lit("- **"), "path", F.lit("** ("), F.coalesce("date", F.lit("unknown")), F.lit(", "), F.col("lines").cast("string"), F.lit(" lines)\n  First line: "), F.substring("first_line", 1, 80), F.lit("..."))
+
+
 def note_lines(notes: DataFrame, group: str, order: str) -> DataFrame:
-    """One text a group: a line each note (path, date, lines, first_line) for a scan; its first line is cut at 80."""
-    head = F.concat(F.lit("- **"), "path", F.lit("** ("), F.coalesce("date", F.lit("unknown")), F.lit(", "), F.col("lines").cast("string"), F.lit(" lines)\n  First line: "), F.substring("first_line", 1, 80), F.lit("..."))
-    lines = notes.select(group, F.struct(F.col(order).alias("k"), head.alias("v")).alias("_n")).groupBy(group).agg(F.sort_array(F.collect_list("_n")).alias("_n"))
+    """One text a group: a line each note."""
+    lines = notes.select(group, F.struct(F.col(order).alias("k"), note_line().alias("v")).alias("_n")).groupBy(group).agg(F.sort_array(F.collect_list("_n")).alias("_n"))
     return lines.select(group, F.array_join(F.transform("_n", lambda n: n["v"]), "\n").alias("notes"))
 
 
+def digests(pieces: DataFrame, group: str, order: list[str], text: str, between: str) -> DataFrame:
+    """(group, digest, chars): MD5 and length of each group's texts (null ones left out) put together in order.
+
+    ``between`` names what stands before a text, unless it is the first of its group. Rows stream through sorted
+    tasks, so no group's text is held; as a hash is taken in order, a group is hashed in one task.
+    """
+    kinds = f"`{group}` {dict(pieces.dtypes)[group]}, digest string, chars long"
+    schema = to_arrow_schema(_parse_datatype_string(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, last, md5, chars = False, None, None, 0
+        shut = lambda: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((last, md5.hexdigest(), chars), schema, strict=True)], schema=schema)
+        for batch in batches:
+            for key, body, rule in zip(*[batch.column(c).to_pylist() for c in (group, text, between)], strict=True):
+                fresh = not begun or key != last
+                if fresh:
+                    if begun:
+                        yield shut()
+                    begun, last, md5, chars = True, key, hashlib.md5(), 0
+                piece = body if fresh else rule + body
+                md5.update(piece.encode())
+                chars += len(piece)
+        if begun:
+            yield shut()
+
+    lean = pieces.where(F.col(text).isNotNull()).select(*dict.fromkeys([group, *order, text, between]))
+    return lean.repartition(F.col(group)).sortWithinPartitions(group, *order).mapInArrow(run, kinds)
+
+
 def proposal_text(title: str, reviewed: Column, tokens: Column, sections: dict[str, Column]) -> Column:
     """Text of a proposal: what was reviewed, then each section's items, or that nothing was flagged."""
     blocks = [F.concat(F.lit(f"## {name}\n\n"), F.coalesce(F.nullif(F.array_join(items, "\n\n"), F.lit("")), F.lit("(Nothing flagged)"))) for name, items in sections.items()]

@@ -90,27 +90,42 @@ def taken(files: DataFrame) -> DataFrame:
     return relate.packed(files.withColumn("_cost", F.col("tokens") + 1), "source", [F.col("doc_id")], "_cost", CONTEXT, RESERVE).drop("_cost", "used")
 
 
+def bodied(files: DataFrame) -> DataFrame:
+    """Note files with what a text says of each: name, age and first line."""
+    body = F.concat(F.lit("### "), "path", F.lit(" "), upkeep.age_label(F.pmod("doc_id", F.lit(3)).cast("int")), F.lit("\n\n"), "first_line")
+    return files.withColumn("body", body)
+
+
+def totals(files: DataFrame) -> DataFrame:
+    return files.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source the notes that fit, with their age, how many there are in all, and an archived text."""
-    days = F.pmod("doc_id", F.lit(3)).cast("int")
+    """Per source the notes that fit, with their age, and how many there are in all."""
     files = memory.files(spark, sf_dir)
-    body = F.concat(F.lit("### "), "path", F.lit(" "), upkeep.age_label(days), F.lit("\n\n"), "first_line")
-    sizes = files.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
-    texts = table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("text", "doc_id").alias("archived"))
-    grouped = taken(files).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", body.alias("body")))).alias("_b"))
-    both = sizes.join(texts, "source").join(grouped, "source", "left")
-    return both.withColumn("notes", F.array_join(F.transform("_b", lambda b: b["body"]), "\n\n"))
+    grouped = bodied(taken(files)).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "body"))).alias("_b"))
+    return totals(files).join(grouped, "source", "left")
 
 
 def q_context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    document = F.when(F.col("n") > 18, F.concat(F.lit("about "), "source"))
-    found = listed(spark, sf_dir).withColumn("context", upkeep.assembled(document, F.col("notes"), upkeep.shortened(F.col("archived"))))
-    return found.select("source", F.md5("context").alias("digest"), F.char_length("context").alias("chars"))
+    """Digest of each source's context with all its notes, whose pieces stream past the hash in order."""
+    files, rule, none = bodied(memory.files(spark, sf_dir)), "\n\n---\n\n", F.lit(None).cast("long")
+    texts = table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("text", "doc_id").alias("archived"), F.count("*").alias("n"), F.count("text").alias("told")).where("source IS NOT NULL")
+    document, archived = F.concat(F.lit("about "), "source"), upkeep.shortened(F.col("archived"))
+    frame = lambda place, between, text: F.struct(F.lit(place).alias("place"), F.lit(between).alias("between"), text.alias("text"))
+    frames = F.array(
+        frame(0, "", F.when(F.col("n") > 18, F.concat(F.lit("## Current document\n\n"), document))), frame(1, rule, F.lit("## Recent notes")),
+        frame(2, "\n\n", F.when(F.col("told") == 0, "(No notes found)")), frame(3, rule, F.when(archived != "", F.concat(F.lit("## Recently archived (for reference)\n\n"), archived))),
+    )
+    ends = texts.select("source", F.explode(frames).alias("_f")).select("source", "_f.*", none.alias("doc_id"))
+    pieces = files.where("source IS NOT NULL").select("source", F.lit(2).alias("place"), F.lit("\n\n").alias("between"), F.col("body").alias("text"), "doc_id")
+    found = upkeep.digests(ends.unionByName(pieces), "source", ["place", "doc_id"], "text", "between")
+    return found.select("source", "digest", F.col("chars").cast("int"))
 
 
 def q_note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = upkeep.note_lines(taken(memory.files(spark, sf_dir)), "source", "doc_id")
-    return found.select("source", F.md5("notes").alias("digest"))
+    lines = memory.files(spark, sf_dir).select("source", "doc_id", upkeep.note_line().alias("line"), F.lit("\n").alias("between"))
+    return upkeep.digests(lines, "source", ["doc_id"], "line", "between").select("source", "digest")
 
 
 def q_proposal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +144,9 @@ def oracles() -> dict[str, str]:
     get = lambda f: f"CASE WHEN json_valid(s) THEN json_extract_string(s, '$.{f}') END"
     size = lambda f: f"coalesce(CASE WHEN json_valid(s) THEN json_array_length(s, '$.{f}') END, 0)::INT"
     fits = f"fits AS (SELECT * FROM (SELECT *, sum(tokens + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM files) WHERE used < {CONTEXT - RESERVE})"
-    bodies = f"""{files}, {fits}, b AS (SELECT source, doc_id, '### ' || path || CASE WHEN doc_id % 3 > 0 THEN ' (' || (doc_id % 3) || ' days old)' ELSE ' (today)' END || {nl} || {nl} || first_line AS body FROM fits),
-a AS (SELECT source, arg_min(text, doc_id) AS archived FROM documents GROUP BY source), g AS (SELECT source, n, tokens, bs FROM (SELECT source, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM files GROUP BY source) LEFT JOIN (SELECT source, list(body ORDER BY doc_id) AS bs FROM b GROUP BY source) USING (source))"""
+    bodied = lambda rows: f"""b AS (SELECT source, doc_id, '### ' || path || CASE WHEN doc_id % 3 > 0 THEN ' (' || (doc_id % 3) || ' days old)' ELSE ' (today)' END || {nl} || {nl} || first_line AS body FROM {rows}),
+a AS (SELECT source, arg_min(text, doc_id) AS archived FROM documents GROUP BY source), g AS (SELECT source, n, tokens, bs FROM (SELECT source, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM files GROUP BY source) LEFT JOIN (SELECT source, list(body ORDER BY doc_id) AS bs FROM b GROUP BY source) USING (source))"""
+    bodies = f"{files}, {fits}, {bodied('fits')}"
     rule = f"{nl} || {nl} || '---' || {nl} || {nl}"
     return {
         "section_dates": f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN {entry} ELSE '' END AS s FROM documents),
@@ -150,9 +166,9 @@ SELECT user_id, max(ts) FILTER (kind IN ('scan', 'applied')) AS last_scan, count
 max(ts) FILTER (kind = 'applied') AS last_applied, count(*) FILTER (kind = 'applied') AS applied_count, coalesce(string_agg(kind || ':' || event_id, ',' ORDER BY ts, kind || ':' || event_id) FILTER (kind <> 'scan'), '') AS history FROM k WHERE kind IS NOT NULL GROUP BY user_id""",
         "state_migration": f"""WITH t AS (SELECT event_id, {choose(STATES, 'event_id')} AS s FROM events) SELECT event_id, {get('last_scan')} AS last_scan, coalesce({get('last_proposal')}, {get('last_consolidation')}) AS last_proposal, {get('last_applied')} AS last_applied,
 coalesce(({get('scan_count')})::BIGINT, 0) AS scan_count, coalesce(({get('proposal_count')})::BIGINT, ({get('consolidation_count')})::BIGINT, 0) AS proposal_count, coalesce(({get('applied_count')})::BIGINT, 0) AS applied_count, {size('history')} AS history, {size('processed_note_hashes')} AS processed_note_hashes FROM t""",
-        "context_assembly": f"""WITH {bodies}, c AS (SELECT source, concat_ws({rule}, CASE WHEN n > 18 THEN '## Current document' || {nl} || {nl} || 'about ' || source END, '## Recent notes' || {nl} || {nl} || coalesce(array_to_string(bs, {nl} || {nl}), '(No notes found)'),
+        "context_assembly": f"""WITH {files}, {bodied('files')}, c AS (SELECT source, concat_ws({rule}, CASE WHEN n > 18 THEN '## Current document' || {nl} || {nl} || 'about ' || source END, '## Recent notes' || {nl} || {nl} || coalesce(array_to_string(bs, {nl} || {nl}), '(No notes found)'),
 '## Recently archived (for reference)' || {nl} || {nl} || CASE WHEN length(archived) > 500 THEN substr(archived, 1, 500) || {nl} || {nl} || '[... truncated ...]' ELSE archived END) AS context FROM g JOIN a USING (source)) SELECT source, md5(context) AS digest, length(context)::INT AS chars FROM c""",
-        "note_lines": f"WITH {files}, {fits}, l AS (SELECT source, doc_id, '- **' || path || '** (' || coalesce(date, 'unknown') || ', ' || lines || ' lines)' || {nl} || '  First line: ' || substr(first_line, 1, 80) || '...' AS v FROM fits) SELECT source, md5(string_agg(v, {nl} ORDER BY doc_id)) AS digest FROM l GROUP BY source",
+        "note_lines": f"WITH {files}, l AS (SELECT source, doc_id, '- **' || path || '** (' || coalesce(date, 'unknown') || ', ' || lines || ' lines)' || {nl} || '  First line: ' || substr(first_line, 1, 80) || '...' AS v FROM files) SELECT source, md5(string_agg(v, {nl} ORDER BY doc_id)) AS digest FROM l GROUP BY source",
         "proposal_text": f"""WITH {bodies} SELECT source, md5(concat_ws({rule}, '# Proposal' || {nl} || {nl} || 'Notes reviewed: ' || n || {nl} || 'Total context tokens (estimated): ' || tokens, '## INTEGRATE' || {nl} || {nl} || coalesce(array_to_string(bs[1:2], {nl} || {nl}), '(Nothing flagged)'),
 '## ARCHIVE' || {nl} || {nl} || CASE WHEN n > 19 AND bs IS NOT NULL THEN bs[1] ELSE '(Nothing flagged)' END, '## STALE' || {nl} || {nl} || '(Nothing flagged)')) AS digest FROM g""",
     }

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from quillstream import Job, Registry, formatted, heuristic
 from quillstream.functions.text import split_lines
 from quillstream.operators import companions, feels, guards, injection, order, pairs, temporal, upkeep
+from quillstream.plans import memory
+from quillstream.plans import upkeep as plans
 
 
 def one(spark, column):
@@ -118,3 +121,25 @@ def test_registry_and_names(spark):
         heuristic("unheard")
     best = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "g int, rank int, t string")
     assert formatted(best, "g", lambda s: F.array_join(F.transform(s, lambda x: x["t"]), "")).first()["report"] == "ab"
+
+
+def test_context_and_lines_take_in_all_notes(spark, sf):
+    """Every note of a source stands in its texts, also beyond what fits into one context."""
+    found = memory.files(spark, sf).orderBy("source", "doc_id").collect()
+    lines, bodies = {}, {}
+    for r in found:
+        lines.setdefault(r["source"], []).append(f"- **{r['path']}** ({r['date'] or 'unknown'}, {r['lines']} lines)\n  First line: {r['first_line'][:80]}...")
+        age = f"({r['doc_id'] % 3} days old)" if r["doc_id"] % 3 else "(today)"
+        bodies.setdefault(r["source"], []).append(f"### {r['path']} {age}\n\n{r['first_line']}")
+    wanted = {s: hashlib.md5("\n".join(v).encode()).hexdigest() for s, v in lines.items()}
+    assert {r["source"]: r["digest"] for r in plans.q_note_lines(spark, sf).collect()} == wanted
+    least = {s: sum(len(b) for b in v) for s, v in bodies.items()}
+    got = {r["source"]: r["chars"] for r in plans.q_context_assembly(spark, sf).collect()}
+    assert got.keys() == least.keys() and all(got[s] > n for s, n in least.items())
+
+
+def test_digests_of_pieces(spark):
+    rows = [(None, 1, "a", ", "), ("x", 2, "ö", ", "), ("x", 1, "b", "-"), ("x", 3, None, ", "), ("y", 1, None, ", ")]
+    df = spark.createDataFrame(rows, "g string, k int, t string, b string").repartition(3)
+    got = {r["g"]: (r["digest"], r["chars"]) for r in upkeep.digests(df, "g", ["k"], "t", "b").collect()}
+    assert got == {None: (hashlib.md5(b"a").hexdigest(), 1), "x": (hashlib.md5("b, ö".encode()).hexdigest(), 4)}
