@@ -30,8 +30,8 @@ def with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame
 def arriving(rows: DataFrame, time: str, number: str) -> DataFrame:
     """The rows as a stream of late files."""
     folder = scratch(rows.sparkSession, "replay")
-    replay.arrivals(rows, time, folder, FILES, STEP, F.pmod(F.xxhash64(number), F.lit(DELAY)))
-    return replay.replayed(rows, folder)
+    files = replay.arrivals(rows, time, folder, FILES, STEP, F.pmod(F.xxhash64(number), F.lit(DELAY)))
+    return replay.replayed(rows, folder, files)
 
 
 def q_stream_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:

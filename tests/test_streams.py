@@ -96,3 +96,14 @@ def test_interval_join_of_streams(spark, tmp_path):
     matched = {r["log"]: r["s"] for r in relate.interval_match(logs, sessions, [], "log", "s", "t", "u", 600).collect()}
     assert got == {r["log"]: matched.get(r["log"]) for r in logs.collect()}
     assert got[901] == -5 and None in got.values() and len(matched) > 50
+
+
+def test_a_batch_of_calls_sets_few_timers(spark, tmp_path):
+    """Timers and state follow the groups of streams, not the calls: at most one of a batch, one of the rest and one to clear."""
+    rows = calls(spark)
+    replay.arrivals(rows, "ts", str(tmp_path / "in"), 6, 2 * 86400, F.pmod("i", F.lit(3)))
+    stream = guard_streams.guarded_stream(replay.replayed(rows, str(tmp_path / "in")), *arguments(), late="5 days")
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).format("noop").trigger(availableNow=True).start()
+    query.awaitTermination()
+    timers = [o["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert timers and max(timers) <= 3 * 6
