@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import python_regex
+from ..sources.tables import stored
 
 K1, B = 1.2, 0.75
 # Weight lost a pulse, below which a query is forgotten, and from which one is suppressed.
@@ -30,18 +31,19 @@ def bm25(queries: DataFrame, docs: DataFrame, query: str, key: str, k: int) -> D
     """(query, key, score, rank): the ``k`` best texts of each query by BM25.
 
     Only the postings of the queries' tokens are joined, and frequencies are counted on them; corpus size and mean
-    length are one row.
+    length are one row. The postings are stored once. They lie by text before they meet the queries, whose tokens are
+    broadcast, so that a text's scores are added up where they arise and only each task's best go on.
     """
     index = inverted_index(docs, key)
     wanted = queries.select(query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     sizes = docs.select(F.size(tokens(F.col("text"))).alias("n"))
     totals = sizes.agg(F.count("*").alias("_docs"), F.avg("n").alias("_mean"))
-    hits = index.join(wanted.select("token").distinct(), "token", "left_semi")
+    hits = stored(index.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = hits.join(df, "token").crossJoin(F.broadcast(totals))
+    weighted = hits.repartition(F.col(key)).join(F.broadcast(df), "token").crossJoin(F.broadcast(totals))
     idf = F.ln(1 + (F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("_mean")))
-    scores = weighted.withColumn("part", part).join(wanted, "token").groupBy(query, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    scores = weighted.withColumn("part", part).select(key, "token", "part").join(F.broadcast(wanted), "token").groupBy(query, key).agg(F.round(F.sum("part"), 6).alias("score"))
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key)))
     return ranked.where(F.col("rank") <= k)
 

@@ -226,3 +226,12 @@ def test_hint_strips_spaces_only(spark):
     """The number of a line is no set of characters to strip: the first line may begin with 0, the second with 1."""
     assert one(spark, retrieval.hint(F.lit("  0997523947200 a line  "))) == "0997523947200 a line"
     assert one(spark, retrieval.hint(F.lit("short\n 1234567890 of 111"))) == "1234567890 of 111"
+
+
+def test_bm25_adds_scores_up_where_a_text_lies(spark):
+    """No shuffle of (query, text) pairs, which are many times the postings."""
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen"), (3, "hen")], "k int, text string")
+    asked = spark.createDataFrame([(7, "red"), (8, "a hen")], "q int, text string")
+    found = retrieval.bm25(asked, docs, "q", "k", 2)
+    assert not re.search(r"hashpartitioning\(q#\w+, k#", found._jdf.queryExecution().executedPlan().toString())
+    assert [(r["q"], r["k"], r["rank"]) for r in found.orderBy("q", "rank").collect()] == [(7, 2, 1), (7, 1, 2), (8, 3, 1), (8, 2, 2)]
