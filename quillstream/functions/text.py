@@ -1,15 +1,19 @@
-"""Column expressions over texts: token hits, pattern counts, sentences. All stay inside the JVM."""
+"""Column expressions over texts: token hits, pattern counts, sentences. All but ``Searched`` stay inside the JVM."""
 
 from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import add
+from operator import add, or_
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+SENTENCE_END = r"(?dU)[.!?]+(?:\s|$)"
+
+
 def python_regex(pattern: str, flags: str = "i") -> Column:
     """A pattern written for Python's ``re``, with Java flags that give it the same classes and line ends."""
     return F.lit(f"(?dU{flags}){pattern}")
@@ -19,9 +23,35 @@ def total(parts: list[Column]) -> Column:
     return reduce(add, parts) if parts else F.lit(0)
 
 
-def hits(lowered: Column, tokens: list[str]) -> Column:
+class Searched:
+    """A lower-case text in which many literals are looked for at once.
+
+    ``has`` refers to a column ``name`` of flags, one a literal; ``flags``, taken once all expressions are written, gives
+    that column. Python's search for a literal is many times as fast as the JVM's, so texts go there once, in Arrow batches.
+    """
+
+    def __init__(self, name: str) -> None:
+        self.name, self.places = name, {}
+
+    def has(self, literal: str) -> Column:
+        return F.get(F.col(self.name), F.lit(self.places.setdefault(literal, len(self.places))))
+
+    def flags(self, lowered: Column) -> Column:
+        literals = list(self.places)
+
+        def search(texts: pa.Array) -> pa.Array:
+            return pa.array([None if t is None else [literal in t for literal in literals] for t in (x.as_py() for x in texts)], pa.list_(pa.bool_()))
+
+        return F.arrow_udf(search, "array<boolean>")(lowered)
+
+
+def has(lowered: Column | Searched, literal: str) -> Column:
+    return lowered.has(literal) if isinstance(lowered, Searched) else F.contains(lowered, F.lit(literal))
+
+
+def hits(lowered: Column | Searched, tokens: list[str]) -> Column:
     """Number of tokens that occur in a lower-case text, as substrings."""
-    return total([F.contains(lowered, F.lit(t)).cast("int") for t in tokens])
+    return total([has(lowered, t).cast("int") for t in tokens])
 
 
 def occurrences(lowered: Column, tokens: list[str]) -> Column:
@@ -34,7 +64,7 @@ def needed_literal(pattern: str) -> str:
 
     Groups, classes, wildcards and optional characters are left out, so that what remains must occur as it stands.
     """
-    plain = re.sub(r"\\[bBsSdDwW]", "\0", pattern)
+    plain = re.sub(r"\\[bBsSdDwWnrtfAzZ]", "\0", pattern)
     while re.search(r"\([^()]*\)", plain):
         plain = re.sub(r"\([^()]*\)(?:[?*+]|\{[^}]*\})?", "\0", plain)
     plain = re.sub(r"\\(.)", lambda m: chr(0xE000 + ord(m[1])), plain)
@@ -46,13 +76,30 @@ def needed_literal(pattern: str) -> str:
     return max(("".join(chr(ord(c) - 0xE000) if 0xE000 <= ord(c) < 0xE080 else c for c in p) for p in parts), key=len).lower()
 
 
-def guarded(lowered: Column, pattern: str, found: Column) -> Column:
-    """``found`` where the text has the pattern's literal, else 0: a plain search is far cheaper than a pattern's."""
-    literal = needed_literal(pattern)
-    return F.when(F.contains(lowered, F.lit(literal)), found).otherwise(0) if len(literal) > 1 else found
+def needed_literals(pattern: str) -> list[str]:
+    """Texts one of which everything a pattern matches contains: its longest literal, else what it begins with and the plain choices of its first group.
+
+    A group that is there twice or more is there at least once, so what it begins with is needed too.
+    """
+    literal, char = needed_literal(pattern), r"[^()|\\\[\].?*+{}^$]"
+    if len(literal) > 1 or literal and not literal.isalnum():
+        return [literal]
+    if "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return []
+    first = re.match(rf"(?:\\b)?({char}*)\(({char}+(?:\|{char}+)*)\)(?![?*{{])", pattern)
+    if first:
+        return [(first[1] + choice).lower() for choice in first[2].split("|")]
+    again = re.match(rf"\(({char}{{2,}})(?![?*{{|]).*\)\{{[1-9]\d*,\}}\Z", pattern)
+    return [again[1].lower()] if again and "|" not in re.sub(r"\([^()]*\)", "", pattern[1:].rsplit(")", 1)[0]) else []
 
 
-def matches(text: Column, patterns: list[str], flags: str = "i", lowered: Column | None = None) -> Column:
+def guarded(lowered: Column | Searched, pattern: str, found: Column) -> Column:
+    """``found`` where the text has a literal that the pattern needs, else 0: a plain search is far cheaper than a pattern's."""
+    literals = needed_literals(pattern)
+    return F.when(reduce(or_, [has(lowered, x) for x in literals]), found).otherwise(0) if literals else found
+
+
+def matches(text: Column, patterns: list[str], flags: str = "i", lowered: Column | Searched | None = None) -> Column:
     """Number of matches of all patterns; ``lowered`` is the lower-case text, if there is a column of it."""
     low = F.lower(text) if lowered is None else lowered
     return total([guarded(low, p, F.regexp_count(text, python_regex(p, flags))) for p in patterns])
@@ -62,6 +109,11 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, python_regex(r"^\s+|\s+\z", ""), F.lit(""))
 
 
+def word_counts(text: Column) -> Column:
+    """Number of words of each sentence."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_count(s, F.lit(r"(?U)\S+"))), lambda n: n > 0)
+
+
 def words(text: Column) -> Column:
     """The pieces between white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -69,7 +121,7 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Non-blank pieces between sentence ends (one or more of .!? and a space or the end)."""
-    return F.filter(F.transform(F.split(text, r"(?dU)[.!?]+(?:\s|$)"), stripped), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), stripped), lambda s: s != "")
 
 
 def steps(count: Column, *levels: tuple[float, float]) -> Column:

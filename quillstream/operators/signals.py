@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import hits, matches, occurrences, population_deviation, python_regex, sentences, steps, stripped, words
+from ..functions.text import Searched, guarded, hits, matches, occurrences, population_deviation, python_regex, sentences, steps, stripped, word_counts, words
 
 BEHAVIOURS = ["frustration", "boredom", "curiosity", "anxiety", "joy", "warmth", "arousal"]
 
@@ -46,7 +46,7 @@ def with_affect(df: DataFrame, lexicon: DataFrame, key: str, text: str = "text")
     valence = F.when(F.col("negated"), -F.col("valence")).otherwise(F.col("valence"))
     means = tokens.join(lexicon, "word").groupBy(key).agg(F.avg(valence).alias("_v"), F.avg("arousal").alias("_r"))
     t, low = F.col(text), F.col("_low")
-    df = df.withColumn("_low", F.lower(text)).withColumn("_lengths", F.transform(sentences(t), lambda s: F.size(words(s))))
+    df = df.withColumn("_low", F.lower(text)).withColumn("_lengths", word_counts(t))
     resisting = F.least(0.02 * occurrences(low, L.AFFECT_RESISTANCE), F.lit(0.08))
     allowing = F.least(0.02 * (occurrences(low, L.AFFECT_PERMISSIONS) + occurrences(low, L.LIFTS)), F.lit(0.08))
     n = F.greatest(F.lit(1), F.size("_lengths"))
@@ -68,26 +68,26 @@ def with_affect(df: DataFrame, lexicon: DataFrame, key: str, text: str = "text")
 
 def with_behaviours(df: DataFrame, text: str = "text") -> DataFrame:
     """Add behavioral_frustration, _boredom, _curiosity, _anxiety, _joy, _warmth and _arousal, each 0 to 1."""
-    df = df.withColumn("_low", F.lower(text))
-    t, low = F.col(text), F.col("_low")
-    actions = F.regexp_extract_all(t, python_regex(r"\*[a-z][a-z\s]{0,20}\*"), F.lit(0))
+    t, low, counts = F.col(text), Searched("_has"), {}
+
+    def once(count: Column) -> Column:
+        """The count as a column of its own, as conditions evaluate what they hold at every mention."""
+        counts[name := f"_c{len(counts)}"] = count
+        return F.col(name)
+
+    actions = once(F.regexp_extract_all(t, python_regex(r"\*[a-z][a-z\s]{0,20}\*"), F.lit(0)))
     annoyed = F.filter(actions, lambda a: F.lower(a).rlike("|".join(L.FRUSTRATION_ACTIONS)))
-    loud = F.regexp_count(t, python_regex(r"\b(?:" + "|".join(L.EMOTIONAL_CAPS) + r")\b", ""))
-    caps = F.regexp_count(t, python_regex(r"\b[A-Z]{2,}\b", "")) - F.regexp_count(t, python_regex(r"\b(?:" + "|".join(L.ACRONYMS) + r")\b", ""))
-    df = (
-        df.withColumn("_lengths", F.transform(sentences(t), lambda s: F.size(words(s))))
-        .withColumn("_sorted", F.sort_array(F.regexp_extract_all(low, python_regex(r"\b[a-z]{4,}\b", ""), F.lit(0))))
-        .withColumn("_words", F.size(words(t)))
-        .withColumn("_pieces", F.greatest(F.lit(1), F.size(F.split(t, "[.!?]+"))))
-        .withColumn("_strip", stripped(t))
-        .withColumn("_ask", F.regexp_count(t, F.lit(r"\?")))
-    )
-    n = F.size("_lengths")
-    terse = F.coalesce(_round(F.size(F.filter("_lengths", lambda x: x <= 3)) / F.nullif(n, F.lit(0))), F.lit(0.0))
-    variance = F.exists("_lengths", lambda x: x <= 3) & F.exists("_lengths", lambda x: x >= 10)
-    looped = F.greatest(*[F.regexp_like(t, python_regex(p, "im")).cast("int") for p in L.LOOPS])
-    mythic = (hits(low, L.MYTHS) > 0).cast("int")
-    repeated = F.exists(F.transform("_sorted", lambda w, i: F.coalesce(F.get("_sorted", i + 3) == w, F.lit(False))), lambda x: x)
+    loud = once(F.regexp_count(t, python_regex(r"(?=[A-Z]{2})\b(?:" + "|".join(L.EMOTIONAL_CAPS) + r")\b", "")))
+    caps = once(F.regexp_like(t, python_regex(r"(?=[A-Z]{2})\b(?!(?:" + "|".join(L.ACRONYMS) + r")\b)[A-Z]{2,}\b", "")))
+    lengths, count, strip, asked = once(word_counts(t)), once(F.size(words(t))), once(stripped(t)), once(F.regexp_count(t, F.lit(r"\?")))
+    pieces = F.greatest(F.lit(1), once(F.size(F.split(t, "[.!?]+"))))
+    ordered = once(F.sort_array(F.regexp_extract_all("_low", python_regex(r"\b[a-z]{4,}\b", ""), F.lit(0))))
+    n = F.size(lengths)
+    terse = F.coalesce(_round(F.size(F.filter(lengths, lambda x: x <= 3)) / F.nullif(n, F.lit(0))), F.lit(0.0))
+    variance = F.exists(lengths, lambda x: x <= 3) & F.exists(lengths, lambda x: x >= 10)
+    looped = once(F.greatest(*[guarded(low, p, F.regexp_like(t, python_regex(p, "im")).cast("int")) for p in L.LOOPS]))
+    mythic = (once(hits(low, L.MYTHS)) > 0).cast("int")
+    repeated = F.exists(F.transform(ordered, lambda w, i: F.coalesce(F.get(ordered, i + 3) == w, F.lit(False))), lambda x: x)
     frustration = (
         F.least(F.size(annoyed) * 0.15, F.lit(0.3))
         + F.when(variance & (terse > 0.2), F.least(terse * 0.3, F.lit(0.2))).otherwise(0.0)
@@ -95,61 +95,59 @@ def with_behaviours(df: DataFrame, text: str = "text") -> DataFrame:
         + (looped * 0.5 + mythic * 0.5) * 0.2
         + F.when(repeated, 0.1).otherwise(0.0)
     )
-    engaged = hits(low, L.ENGAGEMENT)
+    engaged = once(hits(low, L.ENGAGEMENT))
     boredom = F.when(engaged >= 3, 0.0).otherwise(
         F.when(engaged >= 1, -0.2).otherwise(0.0)
-        + F.when(F.col("_words") < 30, 0.3).when(F.col("_words") < 50, 0.15).otherwise(0.0)
+        + F.when(count < 30, 0.3).when(count < 50, 0.15).otherwise(0.0)
         + F.when(F.size(actions) == 0, 0.1).otherwise(0.0)
-        + F.when(caps == 0, 0.05).otherwise(0.0)
+        + F.when(~caps, 0.05).otherwise(0.0)
         + F.when(variance, 0.0).otherwise(0.1)
-        + F.when(F.col("_ask") == 0, 0.1).otherwise(0.0)
-        + F.when(hits(low, L.ROUTINE) >= 2, 0.2).otherwise(0.0)
+        + F.when(asked == 0, 0.1).otherwise(0.0)
+        + F.when(once(hits(low, L.ROUTINE)) >= 2, 0.2).otherwise(0.0)
     )
     # the condition on the length binds last: in a short text only the phrase counts
     phrase = lambda s: F.contains(s, F.lit("I'm not sure"))
-    ended = F.col("_strip").rlike(r"(\?|\.\.\.|--)\z") | phrase(F.right(F.col("_strip"), F.lit(100)))
-    unresolved = F.when(F.length("_strip") > 100, ended).otherwise(phrase(F.col("_strip")))
-    asking = F.when(F.col("_words") > 0, steps(F.col("_ask") / (F.col("_words") / 50), (1, 0.15), (0.5, 0.08))).otherwise(0.0)
+    ended = strip.rlike(r"(\?|\.\.\.|--)\z") | phrase(F.right(strip, F.lit(100)))
+    unresolved = F.when(F.length(strip) > 100, ended).otherwise(phrase(strip))
+    asking = F.when(count > 0, steps(asked / (count / 50), (1, 0.15), (0.5, 0.08))).otherwise(0.0)
     curiosity = (
-        F.least(_round(F.least(F.lit(1.0), matches(t, L.INTROSPECTION, lowered=low) / F.col("_pieces"))) * 2, F.lit(0.25))
-        + steps(hits(low, L.DELIGHT), (2, 0.2), (1, 0.1))
-        + steps(hits(low, L.ELABORATION), (3, 0.25), (1, 0.15))
+        F.least(_round(F.least(F.lit(1.0), once(matches(t, L.INTROSPECTION, lowered=low)) / pieces)) * 2, F.lit(0.25))
+        + steps(once(hits(low, L.DELIGHT)), (2, 0.2), (1, 0.1))
+        + steps(once(hits(low, L.ELABORATION)), (3, 0.25), (1, 0.15))
         + asking
-        + steps(matches(t, L.METAPHORS, lowered=low), (3, 0.1), (1, 0.05))
+        + steps(once(matches(t, L.METAPHORS, lowered=low)), (3, 0.1), (1, 0.05))
         + F.when(unresolved, 0.05).otherwise(0.0)
     )
     anxiety = (
-        steps(matches(t, L.META_HEDGES, lowered=low), (2, 0.3), (1, 0.15))
-        + steps(hits(low, L.POWERLESS), (2, 0.2), (1, 0.1))
-        + steps(hits(low, L.PERMISSION_SEEKING), (2, 0.15), (1, 0.08))
-        + steps(matches(t, L.CONTRADICTIONS, lowered=low), (2, 0.15), (1, 0.08))
-        + F.when(unresolved, steps(F.col("_ask"), (4, 0.2), (2, 0.1))).otherwise(0.0)
+        steps(once(matches(t, L.META_HEDGES, lowered=low)), (2, 0.3), (1, 0.15))
+        + steps(once(hits(low, L.POWERLESS)), (2, 0.2), (1, 0.1))
+        + steps(once(hits(low, L.PERMISSION_SEEKING)), (2, 0.15), (1, 0.08))
+        + steps(once(matches(t, L.CONTRADICTIONS, lowered=low)), (2, 0.15), (1, 0.08))
+        + F.when(unresolved, steps(asked, (4, 0.2), (2, 0.1))).otherwise(0.0)
     )
     joy = (
-        steps(matches(t, L.JOY_ACTIONS, lowered=low), (2, 0.35), (1, 0.2))
-        + steps(matches(t, L.REALIZATIONS, lowered=low), (2, 0.25), (1, 0.15))
-        + steps(hits(low, L.UNDERSTATED), (2, 0.2), (1, 0.1))
-        + steps(F.regexp_count(t, F.lit("!")) / F.col("_pieces"), (0.3, 0.2), (0.15, 0.1))
+        steps(once(matches(t, L.JOY_ACTIONS, lowered=low)), (2, 0.35), (1, 0.2))
+        + steps(once(matches(t, L.REALIZATIONS, lowered=low)), (2, 0.25), (1, 0.15))
+        + steps(once(hits(low, L.UNDERSTATED)), (2, 0.2), (1, 0.1))
+        + steps(once(F.regexp_count(t, F.lit("!"))) / pieces, (0.3, 0.2), (0.15, 0.1))
     )
-    yours = F.regexp_count(t, python_regex(r"\byou\b"))
+    yours = once(guarded(low, r"\byou\b", F.regexp_count(t, python_regex(r"\byou\b"))))
     warmth = (
-        steps(matches(t, L.INTIMATE, lowered=low), (3, 0.35), (2, 0.25), (1, 0.15))
-        + steps(hits(low, L.TENDERNESS), (2, 0.35), (1, 0.2))
-        + steps(matches(t, L.CALLBACKS, lowered=low), (2, 0.2), (1, 0.1))
-        + F.when((F.col("_words") > 0) & (yours / F.greatest(F.lit(1), F.col("_words")) > 0.02), 0.1).otherwise(0.0)
+        steps(once(matches(t, L.INTIMATE, lowered=low)), (3, 0.35), (2, 0.25), (1, 0.15))
+        + steps(once(hits(low, L.TENDERNESS)), (2, 0.35), (1, 0.2))
+        + steps(once(matches(t, L.CALLBACKS, lowered=low)), (2, 0.2), (1, 0.1))
+        + F.when((count > 0) & (yours / F.greatest(F.lit(1), count) > 0.02), 0.1).otherwise(0.0)
     )
     lines = F.transform(F.split(t, "\n"), stripped)
-    compressed = F.size(F.filter(lines, lambda x: (F.length(x) < 20) & (F.size(words(x)) <= 2) & x.rlike(L.COMPRESSED_LINE)))
+    compressed = once(F.size(F.filter(lines, lambda x: (F.length(x) < 20) & (F.size(words(x)) <= 2) & x.rlike(L.COMPRESSED_LINE))))
     arousal = (
         steps(compressed, (3, 0.2), (1, 0.1))
-        + steps(matches(t, L.ANAPHORA, "is", lowered=low), (2, 0.25), (1, 0.15))
-        + F.when(matches(t, L.COLLISIONS, lowered=low) >= 1, 0.2).otherwise(0.0)
-        + steps(hits(low, L.SUPERPOSITION), (2, 0.2), (1, 0.1))
-        + steps(hits(low, L.INTENSITY), (3, 0.15), (1, 0.08))
+        + steps(once(matches(t, L.ANAPHORA, "is", lowered=low)), (2, 0.25), (1, 0.15))
+        + F.when(once(matches(t, L.COLLISIONS, lowered=low)) >= 1, 0.2).otherwise(0.0)
+        + steps(once(hits(low, L.SUPERPOSITION)), (2, 0.2), (1, 0.1))
+        + steps(once(hits(low, L.INTENSITY)), (3, 0.15), (1, 0.08))
     )
     scores = zip(BEHAVIOURS, (frustration, boredom, curiosity, anxiety, joy, warmth, arousal), strict=True)
-    blank = F.col("_strip") == ""
-    for name, score in scores:
-        bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-        df = df.withColumn(f"behavioral_{name}", F.when(blank, 0.0).otherwise(_round(bounded)))
-    return df.drop("_lengths", "_sorted", "_words", "_pieces", "_strip", "_ask", "_low")
+    bounded = lambda score: _round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    df = df.withColumn("_low", F.lower(text)).withColumn("_has", low.flags(F.col("_low"))).withColumns(counts)
+    return df.withColumns({f"behavioral_{name}": F.when(strip == "", 0.0).otherwise(bounded(score)) for name, score in scores}).drop("_low", "_has", *counts)
