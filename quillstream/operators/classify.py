@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hits, matches
+from ..functions.text import Searched, hits, matches
 
 # Keyword and pattern lists of the type classifiers.
 INFRASTRUCTURE = ["build", "fix", "deploy", "pipeline", "test", "refactor", "debug", "install", "configure", "migrate", "update", "script", "automate", "endpoint", "database", "schema", "api", "server", "lint", "format"]
@@ -43,41 +43,52 @@ def _result(kind: Column | str, confidence: Column | float) -> Column:
     return F.struct(kind.alias("type"), confidence.cast("double").alias("confidence"))
 
 
-def output_type(text: Column, in_dialog: Column) -> Column:
-    """struct<type, confidence> of an output: companion, or a pattern family twice as frequent as the next, or exploratory."""
-    scores = {"infrastructure": matches(text, TOOL_PATTERNS), "philosophical": matches(text, PHILOSOPHICAL_PATTERNS), "consolidation": matches(text, CONSOLIDATION_PATTERNS)}
+def with_output_type(df: DataFrame, text: str, in_dialog: Column, name: str) -> DataFrame:
+    """Add struct<type, confidence> of an output; every pattern is counted once, though the rules mention the counts often."""
+    low, families = Searched("_has"), {"infrastructure": TOOL_PATTERNS, "philosophical": PHILOSOPHICAL_PATTERNS, "consolidation": CONSOLIDATION_PATTERNS, "companion": COMPANION_PATTERNS}
+    counts = {f"_o_{k}": matches(F.col(text), v, lowered=low) for k, v in families.items()}
+    df = df.withColumn("_has", low.flags(F.lower(text))).withColumns(counts)
+    return df.withColumn(name, output_type(F.col(text), in_dialog, {k: F.col(f"_o_{k}") for k in families})).drop("_has", *counts)
+
+
+def output_type(text: Column, in_dialog: Column, counts: dict[str, Column]) -> Column:
+    """struct<type, confidence> of an output by its counts of patterns: companion, or a family twice as frequent as the next, or exploratory."""
+    scores = {k: counts[k] for k in ("infrastructure", "philosophical", "consolidation")}
     ranked = F.sort_array(F.array(*scores.values()), asc=False)
     top, second = ranked[0], F.greatest(ranked[1], F.lit(1))
     clear = (top >= 2) & (top >= 2 * second)
     return (
         F.when(text == "", _result("exploratory", LOW))
         .when(in_dialog, _result("companion", HIGH))
-        .when(matches(text, COMPANION_PATTERNS) >= 3, _result("companion", MODERATE))
+        .when(counts["companion"] >= 3, _result("companion", MODERATE))
         .when(~clear, _result("exploratory", LOW))
         .otherwise(_result(first_largest(scores), F.when(top >= 4, MODERATE).otherwise(LOW)))
     )
 
 
-def run_prediction(context: Column, pulse: Column) -> Column:
+def with_hints(df: DataFrame, instructions: Column, texture: Column, context: Column) -> DataFrame:
+    """Add the counts of keywords that ``expected_type`` reads: _i_<type> of instructions, _r_<type> of the run so far, _hinted."""
+    ins, tex, run = (Searched(f"_has_{k}") for k in ("ins", "tex", "run"))
+    lists = {"infrastructure": INFRASTRUCTURE, "philosophical": PHILOSOPHICAL, "consolidation": CONSOLIDATION}
+    counts = {f"_i_{k}": hits(ins, v) for k, v in lists.items()} | {"_hinted": hits(tex, PHILOSOPHICAL[:8])}
+    counts |= {f"_r_{k}": hits(run, v + (GALLERY if k == "philosophical" else [])) for k, v in (lists | {"companion": COMPANION}).items()}
+    flags = {s.name: s.flags(F.lower(F.coalesce(c, F.lit("")))) for s, c in ((ins, instructions), (tex, texture), (run, context))}
+    return df.withColumns(flags).withColumns(counts).drop(*flags)
+
+
+def run_prediction(pulse: Column) -> Column:
     """struct<type, confidence> from the narrative of a run so far, or null."""
-    low = F.lower(context)
-    scores = {
-        "infrastructure": hits(low, INFRASTRUCTURE), "philosophical": hits(low, PHILOSOPHICAL) + hits(low, GALLERY),
-        "consolidation": hits(low, CONSOLIDATION), "companion": hits(low, COMPANION),
-    }
+    scores = {k: F.col(f"_r_{k}") for k in ("infrastructure", "philosophical", "consolidation", "companion")}
     top = F.greatest(*scores.values())
     return F.when((pulse > 1) & (top >= 2), _result(first_largest(scores), F.when(top >= 5, MODERATE).otherwise(LOW)))
 
 
-def expected_type(
-    instructions: Column, texture: Column, context: Column, companion: Column, flags: Column, pulse: Column, last_type: Column
-) -> Column:
-    """struct<type, confidence> before a pulse, by a cascade of what is known; ``last_type`` is the last one observed."""
-    low = F.lower(F.coalesce(instructions, F.lit("")))
-    scores = {"infrastructure": hits(low, INFRASTRUCTURE), "philosophical": hits(low, PHILOSOPHICAL), "consolidation": hits(low, CONSOLIDATION)}
+def expected_type(companion: Column, flags: Column, pulse: Column, last_type: Column) -> Column:
+    """struct<type, confidence> before a pulse, by a cascade of what is known (``with_hints``); ``last_type`` is the last one observed."""
+    scores = {k: F.col(f"_i_{k}") for k in ("infrastructure", "philosophical", "consolidation")}
     top = F.greatest(*scores.values())
-    run = run_prediction(F.coalesce(context, F.lit("")), pulse)
-    hinted = hits(F.lower(F.coalesce(texture, F.lit(""))), PHILOSOPHICAL[:8]) >= 3
+    run = run_prediction(pulse)
+    hinted = F.col("_hinted") >= 3
     return F.coalesce(
         F.when(companion, _result("companion", HIGH)),
         F.when(flags & (pulse == 1), _result("consolidation", MODERATE)),

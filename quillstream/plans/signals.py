@@ -30,7 +30,7 @@ def q_signals_behavioral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed(df: DataFrame) -> DataFrame:
     dialog = F.pmod(F.col("doc_id"), F.lit(17)) == 0
-    return df.withColumn("o", classify.output_type(F.col("text"), dialog)).withColumn("observed", F.col("o.type"))
+    return classify.with_output_type(df, "text", dialog, "o").withColumn("observed", F.col("o.type"))
 
 
 def q_output_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +54,12 @@ def q_feeling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_predicted_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = typed(notes(spark, sf_dir)).select("doc_id", "source", "observed")
-    last = temporal.with_last_observed(kinds, "source", "doc_id", "observed", "last_type").select("doc_id", "last_type")
-    df = notes(spark, sf_dir).join(last, "doc_id")
     m = lambda n, k: F.pmod(F.col("doc_id"), F.lit(n)) == k
-    expected = classify.expected_type(
-        F.when(m(3, 0), F.col("text")), F.when(m(3, 1), F.col("text")), F.when(m(2, 1), F.col("text")), m(23, 5), m(7, 2), F.pmod(F.col("doc_id"), F.lit(8)) + 1, F.col("last_type")
-    )
+    given = [F.when(m(n, k), F.col("text")) for n, k in ((3, 0), (3, 1), (2, 1))]
+    df = classify.with_hints(typed(notes(spark, sf_dir)), *given)  # all that needs the text comes first, so that no text is sorted or joined
+    df = df.select("doc_id", "source", "observed", *[c for c in df.columns if c.startswith(("_i_", "_r_", "_hinted"))])
+    df = temporal.with_last_observed(df, "source", "doc_id", "observed", "last_type")
+    expected = classify.expected_type(m(23, 5), m(7, 2), F.pmod(F.col("doc_id"), F.lit(8)) + 1, F.col("last_type"))
     return df.withColumn("e", expected).select("doc_id", F.col("e.type").alias("expected"), F.col("e.confidence").alias("confidence"))
 
 
