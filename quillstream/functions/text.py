@@ -54,9 +54,10 @@ def hits(lowered: Column | Searched, tokens: list[str]) -> Column:
     return total([has(lowered, t).cast("int") for t in tokens])
 
 
-def occurrences(lowered: Column, tokens: list[str]) -> Column:
-    """Number of non-overlapping occurrences of all tokens."""
-    return total([((F.length(lowered) - F.length(F.replace(lowered, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in tokens])
+def occurrences(lowered: Column, tokens: list[str], searched: Searched | None = None) -> Column:
+    """Number of non-overlapping occurrences of all tokens; with ``searched``, only those that the text has are counted."""
+    each = [((F.length(lowered) - F.length(F.replace(lowered, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in tokens]
+    return total(each if searched is None else [F.when(~searched.has(t), 0).otherwise(c) for t, c in zip(tokens, each, strict=True)])
 
 
 def needed_literal(pattern: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +103,11 @@ def expected_type(companion: Column, flags: Column, pulse: Column, last_type: Co
     )
 
 
-def nudged(valence: Column, arousal: Column, b: dict[str, Column]) -> tuple[Column, Column]:
-    """Valence and arousal after the moderate behavioural scores have moved them, in their fixed order."""
+def nudge(valence: Column, arousal: Column, b: dict[str, Column], keep: Callable[[Column, Column], tuple[Column, Column]] = lambda v, a: (v, a)) -> tuple[Column, Column]:
+    """Valence and arousal after the moderate behavioural scores have moved them, in their fixed order.
+
+    ``keep`` is given both after every move and may make columns of them: as one expression they double in size each time.
+    """
     v, a = valence, arousal
     moves = [
         ("frustration", 0.15, -0.15, 0.1), ("anxiety", 0.2, -0.1, 0.05), ("joy", 0.2, 0.15, 0.0), ("warmth", 0.2, 0.1, -0.05),
@@ -110,16 +115,30 @@ def nudged(valence: Column, arousal: Column, b: dict[str, Column]) -> tuple[Colu
     ]
     for name, least, dv, da in moves:
         on = b[name] >= least
-        v = v + F.when(on, dv).otherwise(0.0)
         moved = F.least(F.lit(1.0), a + da) if da >= 0 else F.greatest(F.lit(0.0), a + da)
-        a = F.when(on, moved).otherwise(a) if da else a
+        v, a = keep(v + F.when(on, dv).otherwise(0.0), F.when(on, moved).otherwise(a) if da else a)
     return v, a
 
 
+def with_feeling(df: DataFrame, valence: str, arousal: str, context: Column, b: dict[str, Column], name: str) -> DataFrame:
+    """Add struct<type, confidence> of a feeling, every move of valence and arousal being a step of the plan."""
+
+    def keep(v: Column, a: Column) -> tuple[Column, Column]:
+        nonlocal df
+        df = df.withColumns({"_v": v, "_a": a})
+        return F.col("_v"), F.col("_a")
+
+    v, a = nudge(F.col(valence), F.col(arousal), b, keep)
+    return df.withColumn(name, _feeling(v, a, F.col(arousal), context, b)).drop("_v", "_a")
+
+
 def feeling(valence: Column, arousal: Column, context: Column, b: dict[str, Column]) -> Column:
     """struct<type, confidence>: strong behavioural scores first, else the quadrant of nudged valence and arousal."""
+    return _feeling(*nudge(valence, arousal, b), arousal, context, b)
+
+
+def _feeling(v: Column, a: Column, arousal: Column, context: Column, b: dict[str, Column]) -> Column:
     strong = lambda name, base, most: F.least(F.lit(most), base + b[name])
-    v, a = nudged(valence, arousal, b)
     high, positive, negative = a >= 0.5, v >= 0.15, v <= -0.15
     return (
         F.when(b["frustration"] >= 0.3, _result("frustrated", strong("frustration", 0.5, 0.9)))

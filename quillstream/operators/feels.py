@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import hits, population_deviation, words
+from ..functions.text import Searched, hits, population_deviation
 from .order import counted
 
 # The tags that change the score, and the caps of two of its parts.
@@ -14,10 +14,14 @@ CLOSED, META, AFFECT = "resolution / closure", "meta-commentary", "affectively l
 VARIANCE_CAP, RESISTANCE_CAP = 1.2, 4.0
 
 
-def feels_parts(low: Column, tags: Column) -> dict[str, Column]:
+def sentence_lengths(low: Column) -> Column:
+    """Words of each sentence of more than two."""
+    return F.filter(F.transform(F.split(low, r"(?U)[.!?]\s+"), lambda s: F.regexp_count(s, F.lit(r"(?U)\S+"))), lambda n: n > 2)
+
+
+def feels_parts(low: Column | Searched, tags: Column, lengths: Column) -> dict[str, Column]:
     """The parts that add up to the unweighted score of a lower-case text; 0 where one does not apply."""
     has = lambda tag: F.array_contains(tags, tag)
-    lengths = F.filter(F.transform(F.split(low, r"(?U)[.!?]\s+"), lambda s: F.size(words(s))), lambda n: n > 2)
     uncertain, closing = hits(low, L.UNCERTAINTY) > 0, hits(low, L.CLOSURE) > 0
     return {
         "nonterminal": F.when(has(CLOSED), -5.0).otherwise(3.0),
@@ -37,8 +41,10 @@ def pair_weight(pair_count: Column) -> Column:
 
 def with_feels(chunks: DataFrame) -> DataFrame:
     """Add feels_score and feels_components (only parts that are not 0) to chunks with text, tags and pair_count."""
-    parts = feels_parts(F.col("_low"), F.col("tags"))
-    chunks = chunks.withColumn("_low", F.lower("text")).withColumns({f"_{k}": v for k, v in parts.items()})
+    seen = Searched("_has")
+    parts = feels_parts(seen, F.col("tags"), F.col("_lengths"))
+    chunks = chunks.withColumn("_low", F.lower("text")).withColumn("_has", seen.flags(F.col("_low"))).withColumn("_lengths", sentence_lengths(F.col("_low")))
+    chunks = chunks.withColumns({f"_{k}": v for k, v in parts.items()})
     total = sum((F.col(f"_{k}") for k in parts), F.lit(0.0))
     weight = pair_weight(F.col("pair_count"))
     named = {**{k: F.round(f"_{k}", 3) for k in parts}, "pair_weight": F.when(weight != 1.0, weight).otherwise(0.0)}
@@ -46,7 +52,7 @@ def with_feels(chunks: DataFrame) -> DataFrame:
     return (
         chunks.withColumn("feels_score", F.round(total * weight, 3))
         .withColumn("feels_components", F.map_from_entries(F.filter(entries, lambda e: e["value"] != 0)))
-        .drop("_low", *[f"_{k}" for k in parts])
+        .drop("_low", "_has", "_lengths", *[f"_{k}" for k in parts])
     )
 
 

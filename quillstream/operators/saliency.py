@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import HEURISTICS
-from ..functions.text import guarded, python_regex, total
+from ..functions.text import Searched, guarded, python_regex, total
 from .order import values_at
 
 THRESHOLD, TO_PREVIOUS, TO_NEXT = 3.0, 0.3, 0.15
@@ -35,9 +35,12 @@ def family_scores(text: Column, families: list[tuple[str, float, list[str]]], li
 
 def with_salience(df: DataFrame, text: str = "text", families: list | None = None) -> DataFrame:
     """Add one column ``h_<family>`` each and salience, their sum."""
-    scores = family_scores(F.col("_low"), heuristics() if families is None else families)
-    df = df.withColumn("_low", F.lower(text)).withColumns({f"h_{k}": v for k, v in scores.items()})
-    return df.withColumn("salience", F.round(total([F.col(f"h_{k}") for k in scores]), 6)).drop("_low")
+    families, low, seen = heuristics() if families is None else families, F.col("_low"), Searched("_has")
+    # the patterns found are columns of their own, as a score mentions their number more than once
+    found = {f"_m_{k}": total([guarded(seen, p, F.regexp_like(low, python_regex(p)).cast("int")) for p in patterns]) for k, _, patterns in families}
+    scores = {f"h_{k}": F.when(F.col(f"_m_{k}") > 0, weight * (1 + 0.5 * (F.col(f"_m_{k}") - 1))).otherwise(0.0) for k, weight, _ in families}
+    df = df.withColumn("_low", F.lower(text)).withColumn("_has", seen.flags(low)).withColumns(found).withColumns(scores)
+    return df.withColumn("salience", F.round(total([F.col(k) for k in scores]), 6)).drop("_low", "_has", *found)
 
 
 def with_context_bonus(df: DataFrame, document: str, order: str) -> DataFrame:

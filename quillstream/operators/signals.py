@@ -17,17 +17,16 @@ def _round(value: Column, digits: int = 3) -> Column:
 
 def with_linguistic(df: DataFrame, text: str = "text") -> DataFrame:
     """Add meta_commentary, hedging_ratio, self_correction and question_density."""
-    df = df.withColumn("_low", F.lower(text))
-    t, low = F.col(text), F.col("_low")
-    df = df.withColumn("_n", F.greatest(F.lit(1), F.size(sentences(t))))
-    df = df.withColumn("_h", matches(t, L.HEDGE_PATTERNS, lowered=low)).withColumn("_a", matches(t, L.ASSERT_PATTERNS, lowered=low))
+    t, low = F.col(text), Searched("_has")
+    counts = {f"_{k}": matches(t, v, lowered=low) for k, v in {"h": L.HEDGE_PATTERNS, "a": L.ASSERT_PATTERNS, "m": L.META_PATTERNS, "c": L.CORRECTION_PATTERNS}.items()}
+    df = df.withColumn("_has", low.flags(F.lower(text))).withColumns({"_n": F.greatest(F.lit(1), F.size(sentences(t))), **counts})
     unquoted = F.regexp_replace(F.regexp_replace(t, F.lit('"[^"]*"'), F.lit("")), python_regex(r"(?<!\w)'[^']*'(?!\w)", ""), F.lit(""))
     return (
-        df.withColumn("meta_commentary", _round(F.least(F.lit(1.0), matches(t, L.META_PATTERNS, lowered=low) / F.col("_n"))))
+        df.withColumn("meta_commentary", _round(F.least(F.lit(1.0), F.col("_m") / F.col("_n"))))
         .withColumn("hedging_ratio", _round(F.coalesce(F.col("_h") / F.nullif(F.col("_h") + F.col("_a"), F.lit(0)), F.lit(0.5))))
-        .withColumn("self_correction", matches(t, L.CORRECTION_PATTERNS, lowered=low).cast("double"))
+        .withColumn("self_correction", F.col("_c").cast("double"))
         .withColumn("question_density", _round(F.least(F.lit(1.0), F.regexp_count(unquoted, F.lit(r"\?")) / F.col("_n"))))
-        .drop("_n", "_h", "_a", "_low")
+        .drop("_n", "_has", *counts)
     )
 
 
@@ -45,17 +44,17 @@ def with_affect(df: DataFrame, lexicon: DataFrame, key: str, text: str = "text")
     tokens = split.select(key, F.explode(negated).alias("t")).select(key, "t.*").where(~F.col("word").isin(L.NEGATIONS))
     valence = F.when(F.col("negated"), -F.col("valence")).otherwise(F.col("valence"))
     means = tokens.join(lexicon, "word").groupBy(key).agg(F.avg(valence).alias("_v"), F.avg("arousal").alias("_r"))
-    t, low = F.col(text), F.col("_low")
-    df = df.withColumn("_low", F.lower(text)).withColumn("_lengths", word_counts(t))
-    resisting = F.least(0.02 * occurrences(low, L.AFFECT_RESISTANCE), F.lit(0.08))
-    allowing = F.least(0.02 * (occurrences(low, L.AFFECT_PERMISSIONS) + occurrences(low, L.LIFTS)), F.lit(0.08))
+    t, low, seen = F.col(text), F.col("_low"), Searched("_has")
+    resisting = F.least(0.02 * occurrences(low, L.AFFECT_RESISTANCE, seen), F.lit(0.08))
+    allowing = F.least(0.02 * (occurrences(low, L.AFFECT_PERMISSIONS, seen) + occurrences(low, L.LIFTS, seen)), F.lit(0.08))
+    df = df.withColumn("_low", F.lower(text)).withColumn("_has", seen.flags(low)).withColumn("_lengths", word_counts(t))
     n = F.greatest(F.lit(1), F.size("_lengths"))
     varied = F.when(F.size("_lengths") >= 2, F.least(population_deviation(F.col("_lengths")) / 200, F.lit(0.05))).otherwise(0.0)
     exclaimed = F.least(F.regexp_count(t, F.lit("!")) / n * 0.03, F.lit(0.06))
     asked = F.least(F.regexp_count(t, F.lit(r"\?")) / n * 0.015, F.lit(0.03))
     mixed = (F.size("_lengths") >= 3) & F.exists("_lengths", lambda x: x < 5) & F.exists("_lengths", lambda x: x > 15)
     # all that needs the text comes before the join, so that the text does not go through it where nobody asks for it
-    df = df.withColumns({"_dv": allowing - resisting, "_da": varied + exclaimed + asked + F.when(mixed, 0.03).otherwise(0.0), "_blank": stripped(t) == ""}).drop("_lengths", "_low")
+    df = df.withColumns({"_dv": allowing - resisting, "_da": varied + exclaimed + asked + F.when(mixed, 0.03).otherwise(0.0), "_blank": stripped(t) == ""}).drop("_lengths", "_low", "_has")
     clamp = lambda x, low: F.greatest(F.lit(low), F.least(F.lit(1.0), x))
     valence, arousal = F.coalesce("_v", F.lit(0.0)) + F.col("_dv"), F.coalesce((F.col("_r") + 1) / 2, F.lit(0.5)) + F.col("_da")
     return (

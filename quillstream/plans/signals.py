@@ -40,7 +40,7 @@ def q_output_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def felt(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = signals.with_affect(signals.with_behaviours(typed(notes(spark, sf_dir))), lexicon(spark), "doc_id").drop("text")
     scores = {b: F.col(f"behavioral_{b}") for b in B}
-    return full.withColumn("f", classify.feeling(F.col("affect_valence"), F.col("affect_arousal"), F.col("observed"), scores))
+    return classify.with_feeling(full, "affect_valence", "affect_arousal", F.col("observed"), scores, "f")
 
 
 def q_feeling(spark: SparkSession, sf_dir: str) -> DataFrame:

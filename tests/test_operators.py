@@ -235,3 +235,27 @@ def test_bm25_adds_scores_up_where_a_text_lies(spark):
     found = retrieval.bm25(asked, docs, "q", "k", 2)
     assert not re.search(r"hashpartitioning\(q#\w+, k#", found._jdf.queryExecution().executedPlan().toString())
     assert [(r["q"], r["k"], r["rank"]) for r in found.orderBy("q", "rank").collect()] == [(7, 2, 1), (7, 1, 2), (8, 3, 1), (8, 2, 2)]
+
+
+def test_guards_and_one_search_change_no_count(spark):
+    assert T.needed_literals(r"(token|weight).{0,5}(oh|yes)") == ["token", "weight"]
+    assert T.needed_literals(r"\bi('m| am) (here|present)\b") == ["i'm", "i am"]
+    assert T.needed_literals(r"(I am [^.]+\. ?){2,}") == ["i am "]
+    assert T.needed_literals(r"(a|b)?x|y") == []
+    assert T.needed_literals(r"^\d+\.\s.*\n\d") == ["."]
+    patterns = [r"(token|weight).{0,5}(oh|yes)", r"(I am [^.]+\. ?){2,}", r"\bx\b"]
+    texts = [("The WEIGHT, oh. I am one. I am two.",), ("x token",), ("",), (None,), ("token yes x X",)]
+    seen = T.Searched("has")
+    counted = T.matches(F.col("t"), patterns, lowered=seen)
+    df = spark.createDataFrame(texts, "t string").withColumn("has", seen.flags(F.lower("t")))
+    assert [r[0] for r in df.select(counted).collect()][:3] == [2, 1, 0]
+    plain = sum((F.regexp_count("t", T.python_regex(p)) for p in patterns), F.lit(0))
+    assert [r[0] for r in df.where("t IS NOT NULL").select(counted).collect()] == [r[0] for r in df.where("t IS NOT NULL").select(plain).collect()]
+
+
+def test_measures_are_evaluated_once(spark, sf):
+    """Every pattern of a behaviour stands in the plan once, not in every condition that reads its count."""
+    from quillstream.plans.signals import q_output_type, q_signals_behavioral
+
+    for query, pattern in ((q_signals_behavioral, "mechanism).{0,50}"), (q_output_type, "cross-model")):
+        assert query(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count(pattern) <= 2
