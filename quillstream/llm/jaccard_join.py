@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytestream import in_chunks
-from .common import partitions, stored, text_key
-from .graph import connected
+from .common import partitions, sized, stored, text_key
+from .graph import connected, looked_up
 from .shingles import COORDINATES, mixed, shingles, sketches
 
 #: Similarity to reach, as a fraction.
@@ -33,6 +33,8 @@ CANDIDATE, ABSORBED = 0.6, 0.9
 #: Texts of a component that are compared at a time; larger components go block against block.
 BLOCK = 256
 CHUNK = 2_000_000
+#: Rows of buckets that one task compares, about.
+GROUP_ROWS = 4 * LARGE
 
 
 def children(paths: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +134,10 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(waiting)
 
 
-def sorted_groups(df: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
-    """Hash-partition and sort by ``keys`` and stream each partition through ``run``."""
-    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+def sorted_groups(df: DataFrame, keys: list[str], run: Callable, schema: str, rows: int | None = None) -> DataFrame:
+    """Hash-partition and sort by ``keys`` and stream each partition through ``run``; ``rows``: about so many narrow ones."""
+    dealt = df.repartition(partitions(df.sparkSession), *keys)
+    return (dealt if rows is None else sized(dealt, rows, GROUP_ROWS)).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -167,7 +170,7 @@ def candidate_links(texts: DataFrame) -> DataFrame:
     with many near copies is not reported once more by every run.
     """
     groups = connected(links_of_runs(texts, 1, FIRST_RUNS, texts.select("id", F.col("id").alias("group"))))
-    known = texts.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
+    known = texts.select("id").join(looked_up(groups, groups.count()), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
     more = links_of_runs(texts, FIRST_RUNS + 1, RUNS - FIRST_RUNS, known)
     return groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
 
@@ -229,20 +232,22 @@ def links_of_runs(texts: DataFrame, first_run: int, runs: int, groups: DataFrame
             low = _matrix(batch.column("sketch"), np.uint32).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "code"])
 
-    codes = stored(texts.select("id", "sketch").mapInArrow(coded, "id long, code binary").join(groups, "id"))
+    n_texts = texts.count()
+    codes = stored(sized(texts.select("id", "sketch").mapInArrow(coded, "id long, code binary").join(groups, "id"), n_texts))
     sources, schema = texts.select("id", "sketch"), "a long, b long, path long"
 
     def shared(rows: DataFrame) -> DataFrame:
         """The rows of paths that two or more have, with how many."""
-        counts = stored(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-        return stored(rows.join(counts, "path").select("path", "id", "n"))
+        all_rows = rows.count()
+        counts = stored(sized(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), all_rows))
+        return stored(sized(rows.join(looked_up(counts, counts.count()), "path").select("path", "id", "n"), all_rows))
 
-    def met(buckets: DataFrame) -> DataFrame:
+    def met(buckets: DataFrame, rows: int) -> DataFrame:
         """Links inside buckets or their parts, and the leaders of parts, as rows without b."""
         parts = F.ceil(F.col("n") / LARGE)
         salted = buckets.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
-        dealt = salted.join(codes, "id").select("path", "salt", "parts", "id", "code", "group")
-        return stored(sorted_groups(dealt, ["path", "salt"], linked, schema))
+        dealt = sized(salted.join(codes, "id").select("path", "salt", "parts", "id", "code", "group"), max(rows, n_texts))
+        return stored(sorted_groups(dealt, ["path", "salt"], linked, schema, rows))
 
     def block_by_block(buckets: DataFrame) -> DataFrame:
         """Links of buckets that stay large, each block of rows with each other: quadratic in what is left of them."""
@@ -256,14 +261,17 @@ def links_of_runs(texts: DataFrame, first_run: int, runs: int, groups: DataFrame
     found = []
     rows = stored(sources.mapInArrow(roots(first_run, runs), "id long, path long"))
     for split in range(SPLITS, MOST_SPLITS + 1):
-        found.append(met(shared(rows)))
+        both = shared(rows)
+        found.append(met(both, both.count()))
         leaders = found[-1].where("b IS NULL").select("path", F.col("a").alias("id"))
         if not leaders.limit(1).count():
             break
         left = shared(leaders)
-        found.append(met(left.where(F.col("n") <= LARGE)))
         large = left.where(F.col("n") > LARGE)
-        if not large.limit(1).count():
+        n_left, n_large = left.count(), large.count()
+        if n_left > n_large:
+            found.append(met(left.where(F.col("n") <= LARGE), n_left - n_large))
+        if not n_large:
             break
         if split == MOST_SPLITS:
             found.append(block_by_block(large))
@@ -272,7 +280,7 @@ def links_of_runs(texts: DataFrame, first_run: int, runs: int, groups: DataFrame
         if split == SPLITS:
             again = sources.join(large.select("id").distinct(), "id", "left_semi").select("id", "sketch")
             rows = rows.unionByName(again.mapInArrow(roots(RUNS + first_run, runs), "id long, path long"))
-        rows = stored(rows)
+        rows = stored(sized(rows, n_large, GROUP_ROWS))
     links = found[0]
     for more in found[1:]:
         links = links.union(more)

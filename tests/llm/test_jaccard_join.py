@@ -8,7 +8,10 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from quillstream.llm import jaccard_join
+from quillstream.llm.graph import connected
 from quillstream.llm.shingles import shingles
 from tests.llm.conftest import prose
 
@@ -136,3 +139,21 @@ def test_links_behind_a_leader_in_large_buckets(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = {r["doc_id"]: r["class_id"] for r in jaccard_join.join_near_texts(docs).collect()}
     assert len(rows) > jaccard_join.LARGE and all(found[i] == three[0] for three in threes for i in three)
+
+
+def test_small_graphs_take_few_tasks(spark):
+    """A step over few rows starts as many tasks as they need, however many shuffle partitions there are."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        found = connected(chain.union(spark.range(500, 600).select(F.col("id").alias("a"), F.lit(500).cast("long").alias("b"))))
+        assert len(found.inputFiles()) == 1
+        roots = {r["node"]: r["root"] for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(roots) == {*range(201), *range(500, 600)}
+    assert len({roots[n] for n in range(201)}) == 1 and len({roots[n] for n in range(500, 600)}) == 1 and roots[0] != roots[500]
