@@ -16,15 +16,28 @@ FILES, STEP, DELAY = 6, 5 * 86400, 3
 LATE = "16 days"
 
 
-def with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
-    """Run with the state store that stateful processors need, and set back what was before."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, windows.ROCKSDB)
+def with_settings(spark: SparkSession, settings: dict[str, str], run: Callable[[], DataFrame]) -> DataFrame:
+    """Run with some settings of the session, and set back what was before."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         return run()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """Run with the state store that stateful processors need."""
+    return with_settings(spark, {"spark.sql.streaming.stateStore.providerClass": windows.ROCKSDB}, run)
+
+
+def with_few_stores(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """Run with two state stores a core at most: every batch opens and commits each, however few of its keys changed."""
+    key = "spark.sql.shuffle.partitions"
+    stores = min(int(spark.conf.get(key)), 2 * spark.sparkContext.defaultParallelism)
+    return with_rocksdb(spark, lambda: with_settings(spark, {key: str(stores)}, run))
 
 
 def arriving(rows: DataFrame, time: str, number: str) -> DataFrame:
@@ -46,7 +59,7 @@ def q_stream_dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs, sessions = ledger.dialogs(spark, sf_dir)
     streams = arriving(logs, "ts", "event_id"), arriving(sessions, "session_ts", "session_id")
     found = joins.interval_match(*streams, "event_id", "session_id", "ts", "session_ts", 600, LATE)
-    return with_rocksdb(spark, lambda: windows.drained(found, scratch(spark, "stream"), "append")).where("event_id IS NOT NULL")
+    return with_few_stores(spark, lambda: windows.drained(found, scratch(spark, "stream"), "append")).where("event_id IS NOT NULL")
 
 
 def oracles() -> dict[str, str]:

@@ -107,3 +107,21 @@ def test_a_batch_of_calls_sets_few_timers(spark, tmp_path):
     query.awaitTermination()
     timers = [o["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for o in p["stateOperators"]]
     assert timers and max(timers) <= 3 * 6
+
+
+def test_interval_join_keeps_rows_not_pairs(spark, tmp_path):
+    """In a dense hour every log is near every session; the state has windows, each row at most three times, and no pairs."""
+    rng = random.Random(9)
+    at = lambda: START + datetime.timedelta(microseconds=rng.randrange(3600 * 10**6))
+    logs = spark.createDataFrame([(i, at()) for i in range(600)] + [(None, START + datetime.timedelta(days=3))], "log long, t timestamp")
+    sessions = spark.createDataFrame([(f"s{rng.randrange(10**6)}", at()) for _ in range(600)] + [(None, START + datetime.timedelta(days=3))], "s string, u timestamp")
+    for df, time, name in ((logs, "t", "logs"), (sessions, "u", "sessions")):
+        replay.arrivals(df, time, str(tmp_path / name), 2, 86400, F.lit(0))
+    streams = [replay.replayed(df, str(tmp_path / name)) for df, name in ((logs, "logs"), (sessions, "sessions"))]
+    query = joins.interval_match(*streams, "log", "s", "t", "u", 1800, late="1 hour").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+    query = query.format("memory").queryName("dense").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress) < 20
+    matched = {r["log"]: r["s"] for r in relate.interval_match(logs, sessions, [], "log", "s", "t", "u", 1800).collect() if r["log"] is not None}
+    got = {r["log"]: r["s"] for r in spark.table("dense").where("log IS NOT NULL").collect()}
+    assert got == {i: matched.get(i) for i in range(600)} and len(set(got.values())) > 1
