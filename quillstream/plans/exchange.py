@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..jobs import Job, Registry, loaded
 from ..operators.tags import scale
 from ..sources import commits, files
-from ..sources.tables import scratch, table
+from ..sources.tables import TASK_ROWS, dealt, scratch, table
 from ..streaming import windows
 from . import chunks, duck
 
@@ -71,7 +71,13 @@ def q_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             store.commit("events", step, {"log": events.where(F.pmod("event_id", F.lit(5)) == step)})
         if step == 3:
             store.compact("log", events.schema)
-    return store.read("log", events.schema).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("distinct"), F.max("ts").alias("last"))
+    return types_of(store.read("log", events.schema))
+
+
+def types_of(log: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows, different ids and last time of each type of event."""
+    ids = dealt(log, ["event_type", "event_id"], task_rows).groupBy("event_type", "event_id").agg(F.count("*").alias("_n"), F.max("ts").alias("_last"))
+    return ids.groupBy("event_type").agg(F.sum("_n").alias("n"), F.count("event_id").alias("distinct"), F.max("_last").alias("last"))
 
 
 def q_errors_aside(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of different keys that one task holds in a hash table, about.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Stored rows dealt out by their keys, to more tasks the more rows there are.
+
+    For groups of keys that hardly repeat: a partial count where rows are read would hold every key of its split, and a
+    split is cut by compressed bytes, so it may have tens of millions of narrow rows.
+    """
+    return df.repartition(max(1, -(-df.count() // task_rows)), *keys)
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
