@@ -94,6 +94,14 @@ def needed_literals(pattern: str) -> list[str]:
     return [again[1].lower()] if again and "|" not in re.sub(r"\([^()]*\)", "", pattern[1:].rsplit(")", 1)[0]) else []
 
 
+def within_lines(pattern: str) -> bool:
+    """Whether a pattern looks at one line only, so that a text has it if one of its lines has it.
+
+    White space, classes of all characters but some, anchors, flags and unknown escapes may reach further.
+    """
+    return not re.search(r"\\[^bdw\W_]|[\^$]|\(\?(?![:!=])|[^\S ]", pattern)
+
+
 def guarded(lowered: Column | Searched, pattern: str, found: Column) -> Column:
     """``found`` where the text has a literal that the pattern needs, else 0: a plain search is far cheaper than a pattern's."""
     literals = needed_literals(pattern)

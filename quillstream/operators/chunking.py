@@ -41,20 +41,32 @@ def turn_pairs(turns: DataFrame) -> DataFrame:
     return pairs.select("conv_id", (F.row_number().over(by_conversation) - 1).alias("pair"), F.col("text").alias("voice_a"), "voice_b")
 
 
+def voices(pair: Column) -> Column:
+    return F.concat(F.lit("=== Voice A ===\n"), pair["voice_a"], F.lit("\n\n=== Voice B ===\n"), pair["voice_b"])
+
+
+def joined(texts: Column) -> Column:
+    return F.array_join(texts, "\n\n")
+
+
 def pair_text(pairs: Column) -> Column:
-    return F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("=== Voice A ===\n"), p["voice_a"], F.lit("\n\n=== Voice B ===\n"), p["voice_b"])), "\n\n")
+    return joined(F.transform(pairs, voices))
 
 
 def chunk_windows(pairs: DataFrame, overlaps: dict[int, int] | None = None) -> DataFrame:
     """(conv_id, pair_count, chunk_index, pairs, text): windows of each size, at a stride of size minus overlap."""
+    return windows(pairs, ["voice_a", "voice_b"], overlaps).withColumn("text", pair_text(F.col("pairs")))
+
+
+def windows(pairs: DataFrame, columns: list[str], overlaps: dict[int, int] | None = None) -> DataFrame:
+    """(conv_id, pair_count, chunk_index, pairs): the windows, with some columns of each pair."""
     overlaps = OVERLAPS if overlaps is None else overlaps
-    whole = pairs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pair", "voice_a", "voice_b"))).alias("_pairs"))
+    whole = pairs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pair", *columns))).alias("_pairs"))
     sizes = F.array(*[F.struct(F.lit(k).alias("size"), F.lit(max(1, k - o)).alias("stride")) for k, o in overlaps.items()])
     sized = whole.select("conv_id", "_pairs", F.explode(sizes).alias("w")).where(F.size("_pairs") >= F.col("w.size"))
     starts = F.sequence(F.lit(0), F.size("_pairs") - F.col("w.size"), F.col("w.stride"))
     placed = sized.select("conv_id", "_pairs", "w", F.posexplode(starts).alias("chunk_index", "start"))
-    chunks = placed.withColumn("pairs", F.slice("_pairs", F.col("start") + 1, F.col("w.size")))
-    return chunks.select("conv_id", F.col("w.size").alias("pair_count"), "chunk_index", "pairs", pair_text(F.col("pairs")).alias("text"))
+    return placed.select("conv_id", F.col("w.size").alias("pair_count"), "chunk_index", F.slice("_pairs", F.col("start") + 1, F.col("w.size")).alias("pairs"))
 
 
 def without_thinking(text: Column) -> Column:

@@ -43,8 +43,13 @@ def with_feels(chunks: DataFrame) -> DataFrame:
     """Add feels_score and feels_components (only parts that are not 0) to chunks with text, tags and pair_count."""
     seen = Searched("_has")
     parts = feels_parts(seen, F.col("tags"), F.col("_lengths"))
-    chunks = chunks.withColumn("_low", F.lower("text")).withColumn("_has", seen.flags(F.col("_low"))).withColumn("_lengths", sentence_lengths(F.col("_low")))
-    chunks = chunks.withColumns({f"_{k}": v for k, v in parts.items()})
+    chunks = chunks.withColumn("_low", F.lower("text")).withColumn("_has", seen.flags(F.col("_low")))
+    return summed(chunks, parts).drop("_low", "_has")
+
+
+def summed(chunks: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """Add feels_score and feels_components to chunks with _low, by parts that refer to the column _lengths of sentences."""
+    chunks = chunks.withColumn("_lengths", sentence_lengths(F.col("_low"))).withColumns({f"_{k}": v for k, v in parts.items()})
     total = sum((F.col(f"_{k}") for k in parts), F.lit(0.0))
     weight = pair_weight(F.col("pair_count"))
     named = {**{k: F.round(f"_{k}", 3) for k in parts}, "pair_weight": F.when(weight != 1.0, weight).otherwise(0.0)}
@@ -52,7 +57,7 @@ def with_feels(chunks: DataFrame) -> DataFrame:
     return (
         chunks.withColumn("feels_score", F.round(total * weight, 3))
         .withColumn("feels_components", F.map_from_entries(F.filter(entries, lambda e: e["value"] != 0)))
-        .drop("_low", "_has", "_lengths", *[f"_{k}" for k in parts])
+        .drop("_lengths", *[f"_{k}" for k in parts])
     )
 
 

@@ -36,11 +36,16 @@ def family_scores(text: Column, families: list[tuple[str, float, list[str]]], li
 def with_salience(df: DataFrame, text: str = "text", families: list | None = None) -> DataFrame:
     """Add one column ``h_<family>`` each and salience, their sum."""
     families, low, seen = heuristics() if families is None else families, F.col("_low"), Searched("_has")
+    found = {p: guarded(seen, p, F.regexp_like(low, python_regex(p)).cast("int")) for _, _, patterns in families for p in patterns}
+    return summed(df.withColumn("_low", F.lower(text)).withColumn("_has", seen.flags(low)), families, found).drop("_low", "_has")
+
+
+def summed(df: DataFrame, families: list[tuple[str, float, list[str]]], each: dict[str, Column]) -> DataFrame:
+    """Add ``h_<family>`` and salience, given 1 or 0 for each pattern."""
     # the patterns found are columns of their own, as a score mentions their number more than once
-    found = {f"_m_{k}": total([guarded(seen, p, F.regexp_like(low, python_regex(p)).cast("int")) for p in patterns]) for k, _, patterns in families}
+    found = {f"_m_{k}": total([each[p] for p in patterns]) for k, _, patterns in families}
     scores = {f"h_{k}": F.when(F.col(f"_m_{k}") > 0, weight * (1 + 0.5 * (F.col(f"_m_{k}") - 1))).otherwise(0.0) for k, weight, _ in families}
-    df = df.withColumn("_low", F.lower(text)).withColumn("_has", seen.flags(low)).withColumns(found).withColumns(scores)
-    return df.withColumn("salience", F.round(total([F.col(k) for k in scores]), 6)).drop("_low", "_has", *found)
+    return df.withColumns(found).withColumns(scores).withColumn("salience", F.round(total([F.col(k) for k in scores]), 6)).drop(*found)
 
 
 def with_context_bonus(df: DataFrame, document: str, order: str) -> DataFrame:

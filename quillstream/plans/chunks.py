@@ -21,8 +21,11 @@ def coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dressed(chunking.chunk_windows(chunking.turn_pairs(coalesced(spark, sf_dir)), OVERLAPS))
+
+
+def dressed(found: DataFrame) -> DataFrame:
     """Windows of pairs, with a date and tags derived from their numbers, as a tagger would add them."""
-    found = chunking.chunk_windows(chunking.turn_pairs(coalesced(spark, sf_dir)), OVERLAPS)
     tags = [["meta-commentary"], ["resolution / closure"], ["affectively loaded / emotional", "meta-commentary"], ["logistics"], []]
     which = F.pmod(F.col("conv_id") + F.col("chunk_index"), F.lit(5))
     chosen = F.element_at(F.array(*[F.array(*[F.lit(t) for t in x]).cast("array<string>") for x in tags]), (which + 1).cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hits
-from ..operators import saliency, sampling
+from ..operators import chunking, saliency, sampling, windowed
 from ..sources.tables import stored, table, talks
 from . import chunks, duck
 
@@ -59,7 +59,7 @@ def q_heuristic_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def both_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with feels score and the salience of their whole text."""
-    return saliency.with_salience(chunks.scored(spark, sf_dir), families=FAMILIES)
+    return windowed.with_both_scores(chunking.turn_pairs(chunks.coalesced(spark, sf_dir)), chunks.OVERLAPS, FAMILIES, chunks.dressed)
 
 
 def q_score_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,9 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = both_scores(spark, sf_dir).withColumn("key", F.concat_ws("|", "conv_id", "pair_count", "chunk_index"))
+    """Scores are stored, as a filter on them would else be planned before they are, and each made again for it."""
+    scores = stored(both_scores(spark, sf_dir).select("conv_id", "pair_count", "chunk_index", "source_date", "feels_score", "salience"))
+    keyed = scores.withColumn("key", F.concat_ws("|", "conv_id", "pair_count", "chunk_index"))
     return sampling.with_effective_score(keyed, state(spark, sf_dir), "key", F.lit(TODAY).cast("date")).where("feels_score >= 0")
 
 
