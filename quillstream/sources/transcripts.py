@@ -1,26 +1,29 @@
 """A data source of whole text files: ``spark.read.format("transcripts")`` and its stream.
 
 Files under a folder, at any depth, are listed on the driver (names, times and sizes only) and dealt out in groups of
-about ``groupBytes``; each group is a partition whose task opens its files. Parsers for every format follow as DataFrame
-operators, see ``segments``.
+about ``groupBytes`` and at most ``groupFiles``; each group is a partition whose task opens its files and hands their texts on in
+batches of a few MB. Parsers for every format follow as DataFrame operators, see ``segments``.
 """
 
 from __future__ import annotations
 
-import datetime
 import fnmatch
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, modified timestamp, size long, text string"
+ARROW = pa.schema([("path", pa.string()), ("modified", pa.timestamp("us", "UTC")), ("size", pa.int64()), ("text", pa.string())])
 NAME = "transcripts"
+#: Bytes of the files of a batch, about.
+BATCH_BYTES = 4 << 20
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class File:
     """A file by its place in the order of arrival: time of the last change (microseconds), then path."""
 
@@ -61,12 +64,12 @@ def listed(root: str, glob: str) -> list[File]:
     return sorted(found, key=lambda f: (f.modified, f.path))
 
 
-def grouped(files: list[File], size: int) -> list[Group]:
-    """Neighbours together up to so many bytes; a larger file is a group of its own."""
+def grouped(files: list[File], size: int, count: int) -> list[Group]:
+    """Neighbours together up to so many bytes and files; a larger file is a group of its own."""
     groups: list[list[File]] = []
     total = size
     for f in files:
-        if total + f.size > size:
+        if total + f.size > size or len(groups[-1]) == count:
             groups.append([])
             total = 0
         groups[-1].append(f)
@@ -74,6 +77,10 @@ def grouped(files: list[File], size: int) -> list[Group]:
     return [Group(tuple(g)) for g in groups]
 
 
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
 class Files:
     """Options that both readers share."""
 
@@ -81,20 +88,31 @@ class Files:
         if "path" not in options:
             raise ValueError("transcripts need a path")
         self.root, self.glob = options["path"], options.get("pathGlob", "*")
-        self.size, self.archive = int(options.get("groupBytes", 64 << 20)), options.get("archive")
+        self.size, self.count, self.archive = int(options.get("groupBytes", 64 << 20)), int(options.get("groupFiles", 10_000)), options.get("archive")
+
+    def groups(self, files: list[File]) -> list[Group]:
+        return grouped(files, self.size, self.count) or [Group(())]
 
-    def read(self, partition: Group) -> Iterator[tuple]:
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         """Rows of a group; bytes that are no UTF-8 become replacement characters."""
         system, base = opened(self.root)
+        rows: list[tuple] = []
+        total = 0
         for f in partition.files:
             with system.open_input_stream(f"{base}/{f.path}") as stream:
-                text = stream.read().decode("utf-8", "replace")
-            yield f.path, datetime.datetime.fromtimestamp(f.modified / 1e6, datetime.UTC), f.size, text
+                data = stream.read()
+            rows.append((f.path, f.modified, f.size, data.decode("utf-8", "replace")))
+            total += len(data)
+            if total >= BATCH_BYTES:
+                yield batch(rows)
+                rows, total = [], 0
+        if rows:
+            yield batch(rows)
 
 
 class BatchReader(Files, DataSourceReader):
     def partitions(self) -> list[Group]:
-        return grouped(listed(self.root, self.glob), self.size) or [Group(())]
+        return self.groups(listed(self.root, self.glob))
 
 
 class StreamReader(Files, DataSourceStreamReader):
@@ -111,7 +129,7 @@ class StreamReader(Files, DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Group]:
         self.last = end
         low, high = ((o["modified"], o["path"]) for o in (start, end))
-        return grouped([f for f in listed(self.root, self.glob) if low < (f.modified, f.path) <= high], self.size) or [Group(())]
+        return self.groups([f for f in listed(self.root, self.glob) if low < (f.modified, f.path) <= high])
 
     def commit(self, end: dict) -> None:
         if not self.archive:
@@ -124,7 +142,7 @@ class StreamReader(Files, DataSourceStreamReader):
 
 
 class Transcripts(DataSource):
-    """Options: path; pathGlob, for names (all); groupBytes of a partition (64 MiB); archive, of the stream."""
+    """Options: path; pathGlob, for names (all); groupBytes (64 MiB) and groupFiles (10,000) of a partition; archive, of the stream."""
 
     @classmethod
     def name(cls) -> str:

@@ -37,6 +37,20 @@ def test_a_group_of_files_is_a_partition(spark, folder, size, groups):
     assert found.rdd.getNumPartitions() == groups and found.count() == 4
 
 
+@pytest.mark.parametrize("count, groups", [(1, 4), (3, 2), (10_000, 1)])
+def test_a_group_has_few_files(spark, folder, count, groups):
+    found = reader(spark).option("groupFiles", count).load(str(folder))
+    assert found.rdd.getNumPartitions() == groups and found.count() == 4
+
+
+def test_texts_are_handed_on_in_small_batches(folder, monkeypatch):
+    """However many bytes a group has, a task holds those of one batch."""
+    monkeypatch.setattr(transcripts, "BATCH_BYTES", 20)
+    files = transcripts.listed(str(folder), "*")
+    found = list(transcripts.BatchReader({"path": str(folder)}).read(transcripts.Group(tuple(files))))
+    assert [b.num_rows for b in found] == [2, 1, 1] and [p for b in found for p in b.column("path").to_pylist()] == [f.path for f in files]
+
+
 def test_segments_of_all_formats(spark, folder):
     found = {(r["path"], r["speaker"], r["content"]) for r in transcripts.segments(reader(spark).load(str(folder))).collect()}
     assert {("a/1.md", "human", "hi"), ("a/b/2.jsonl", "human", "yo"), ("3.txt", "human", "plain � end")} <= found
